@@ -32,7 +32,7 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 PLAIN = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞₠-₿]"
 #: The same pieces for texts of such characters, where letters are the word characters that are no digits.
 PLAIN_PIECES = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-CACHED_PIECES = 250_000
+CACHED_PIECES = 400_000
 KEPT_PAIRS = 1_000_000
 BLOCK_CHARS = 1_000_000
 
@@ -278,20 +278,27 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n_tokens long, ids binary, ids_text string, decoded string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """What :func:`encode_decode` gives, as digests: no token list leaves the task."""
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """What :func:`encode_decode` gives, as digests; and the ids as an array if asked for."""
     file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def each(batch: pa.RecordBatch):
         enc = encoder(file.value)
         out: dict = {"doc_id": batch.column("doc_id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        every = []
         for as_text, tokens in enc.encode_many(texts(batch)):
             out["n_tokens"].append(len(tokens))
             out["ids_sha256"].append(sha256(as_text.encode()).hexdigest())
             out["decoded_sha256"].append(sha256(enc.decode(tokens).encode()).hexdigest())
+            if with_ids:
+                every.append(tokens)
+        if with_ids:
+            offsets = np.cumsum([0, *out["n_tokens"]]).astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(offsets, np.concatenate(every))
         return out
 
-    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
+    return arrow_map(docs.select("doc_id", "text"), each, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
