@@ -1,2 +1,93 @@
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+"""Media-library tables derived from the star-schema test tables, for Spark and, as CTEs, for the oracle."""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MEMBERS = "SELECT * FROM (VALUES (1,'alpha',1),(2,'alpha',2),(3,'beta',1)) AS t(model_version_id, backend, rank)"
+ROLES = "SELECT * FROM (VALUES (1,'general',CAST(NULL AS DOUBLE),FALSE),(1,'character',NULL,FALSE),(1,'rating',NULL,FALSE),(1,'embedding',NULL,FALSE),(2,'general',0.6,FALSE),(2,'character',NULL,FALSE),(3,'general',NULL,TRUE),(3,'copyright',NULL,FALSE),(3,'artist',0.9,FALSE)) AS t(model_version_id, role, score_cutoff, yields)"
+THRESHOLDS = "SELECT * FROM (VALUES (1,'general','red',CAST(0.7 AS DOUBLE)),(1,'general','ring',0.5),(2,'general','bolt',0.8),(3,'artist','Supplier#1',0.5)) AS t(model_version_id, category, tag, threshold)"
+RATINGS = "SELECT * FROM (VALUES ('general',1),('sensitive',2),('questionable',3),('explicit',4)) AS t(name, rank)"
+HIDDEN = "SELECT * FROM (VALUES ('Brand#3'),('Brand#7'),('ring')) AS t(tag)"
+
+#: The shipped parameters of a profile.
+PARAMS = {
+    "score:default": 0.35, "score:general": 0.35, "score:character": 0.50, "score:copyright": 0.50, "score:artist": 0.50,
+    "freq:default": 0.30, "freq:general": 0.30, "freq:character": 0.25, "freq:copyright": 0.25, "freq:artist": 0.25, "freqz:default": 0.0,
+    "rating:score": 0.0, "rating:min_pages": 1.0, "check:near": 0.92, "color:page_ratio": 0.05, "color:full": 0.70, "color:gray": 0.20,
+    "type:comic": 0.15, "type:illust": 1.00, "cg:min_images": 10, "cg:max_images": 80, "cg:seq_ratio": 0.80, "cg:aspect_std": 0.08, "cg:min_avg_size": 200000,
+}
+
+#: Portable SQL of each fixture; a name in braces is a table or another fixture.
+FIXTURES = {
+    "works": "SELECT o_orderkey AS id, concat('k:', CAST(o_orderkey AS STRING)) AS content_key, CAST(NULL AS STRING) AS title, o_orderdate AS created_at, c_mktsegment AS collection FROM {orders} JOIN {customer} ON c_custkey = o_custkey",
+    "samples": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS work_id, min(year(l_shipdate)) AS run_id, CASE WHEN l_linenumber = 7 THEN 'video' ELSE 'image' END AS medium, concat('p', CAST(l_linenumber AS STRING)) AS source_relpath, l_linenumber AS position, l_linenumber - 1 AS ordinal, CASE WHEN max(l_tax) >= 0.08 THEN 'blank' END AS skip_reason FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
+    "base": "SELECT l_orderkey * 10 + l_linenumber AS sample_id, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS model_version_id, p_name, p_brand, p_type, s_name, o_orderpriority, CAST(l_quantity / 50.0 AS FLOAT) AS q, CAST(1 - l_discount * 5 AS FLOAT) AS d FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {orders} ON o_orderkey = l_orderkey",
+    "members": MEMBERS, "roles": ROLES, "thresholds": THRESHOLDS, "ratings": RATINGS, "hidden": HIDDEN,
+    "claims": "SELECT event_id AS id, event_id AS work_id, CASE event_type WHEN 'purchase' THEN 'character' WHEN 'error' THEN 'character' WHEN 'signup' THEN 'artist' WHEN 'view' THEN 'tag' ELSE 'language' END AS field, concat('Brand#', CAST(user_id % 25 + 1 AS STRING)) AS value, event_type = 'error' AS negated, ts AS created_at FROM {events}",
+    "vectors": "SELECT 1 AS run_id, vec_id % 100 AS work_id, vec_id AS sample_id, 1 AS model_version_id, embedding AS vec FROM {embeddings}",
+    "paths": "SELECT page_id AS id, page_id AS work_id, url AS path, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM {pages}",
+    "copies": "SELECT doc_id, sha1(text) AS content_key, concat(source, '/', lang, '/', CAST(doc_id AS STRING)) AS path FROM {documents}",
+    "measurements": "SELECT l_orderkey AS work_id, year(l_shipdate) AS run_id, l_orderkey * 10 + l_linenumber AS sample_id, 'color_ratio' AS kind, CAST(l_tax AS STRING) AS value FROM {lineitem} UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'page_census', concat('{\"files\": ', CAST(count(*) AS STRING), '}') FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'duration_s', CAST(max(l_extendedprice) AS STRING) FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate)",
+    "concepts": "SELECT DISTINCT p_brand AS slug, 'character' AS kind, concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)) AS parent FROM {part} UNION ALL SELECT concat('series-', CAST(n AS STRING)), 'series', NULL FROM (SELECT DISTINCT CAST(substring(p_brand, 7) AS INT) % 5 AS n FROM {part}) s",
+    "terms": "SELECT DISTINCT lower(p_brand) AS term, CAST(substring(p_brand, 7) AS INT) % 4 = 0 AS search_only, p_brand AS slug FROM {part}",
+}
+
+_FACETS = (("general", "split_part(p_name, ' ', 1)", "q"), ("general", "split_part(p_name, ' ', 2)", "d"), ("character", "p_brand", "d"), ("copyright", "p_type", "q"), ("artist", "s_name", "d"), ("rating", "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'explicit' WHEN '2' THEN 'questionable' WHEN '3' THEN 'sensitive' ELSE 'general' END", "q"))
+FIXTURES["scores"] = "SELECT sample_id, model_version_id, category, tag, max(score) AS score FROM (" + " UNION ALL ".join(f"SELECT sample_id, model_version_id, '{c}' AS category, {t} AS tag, {s} AS score FROM {{base}}" for c, t, s in _FACETS) + ") u GROUP BY sample_id, model_version_id, category, tag"
+
+
+def _names(sql: str) -> list[str]:
+    import re
+
+    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+
+
+class Library:
+    """The fixtures over one directory, as DataFrames."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("__"):
+            raise AttributeError(name)
+        if name not in FIXTURES:
+            return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        sql = FIXTURES[name]
+        used = _names(sql)
+        plain = sql.replace('{"', '{{"').replace('}\'', '}}\'')
+        return self.spark.sql(plain, **{n: getattr(self, n) for n in used}) if used else self.spark.sql(sql)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """One pass over the joined lines: every line holds six scores."""
+        each = F.array(*[F.struct(F.lit(c).alias("category"), F.expr(t).alias("tag"), F.col(s).alias("score")) for c, t, s in _FACETS])
+        rows = self.base.select("sample_id", "model_version_id", F.inline(each))
+        return rows.groupBy("sample_id", "model_version_id", "category", "tag").agg(F.max("score").alias("score"))
+
+
+#: Named steps of the oracle: SQL with other steps and fixtures in braces.
+STEPS: dict[str, str] = {}
+
+
+def oracle(body: str) -> str:
+    """``body`` with every fixture and step it names in braces as a CTE before it."""
+    order: list[str] = []
+
+    def visit(sql: str) -> None:
+        for n in _names(sql):
+            if (n in FIXTURES or n in STEPS) and n not in order:
+                visit(STEPS.get(n) or FIXTURES[n])
+                order.append(n)
+
+    def plain(sql: str) -> str:
+        for n in _names(sql):
+            sql = sql.replace("{" + n + "}", f"x_{n}" if n in FIXTURES or n in STEPS else n)
+        return sql
+
+    visit(body)
+    return ("WITH " + ", ".join(f"x_{n} AS ({plain(STEPS.get(n) or FIXTURES[n])})" for n in order) + " " if order else "") + plain(body)

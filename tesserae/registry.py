@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from tesserae.plans import fixtures
+from tesserae.plans import derivation
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-
-def _register(module) -> None:
-    QUERIES.update(module.QUERIES)
-    SQL.update(module.SQL)
-
-
-_register(fixtures)
+for _module in (derivation,):
+    QUERIES.update(_module.QUERIES)
+    SQL.update(_module.SQL)
