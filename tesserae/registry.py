@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tesserae.plans import derivation
+from tesserae.plans import curation, derivation, searching
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-for _module in (derivation,):
+for _module in (derivation, searching, curation):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
