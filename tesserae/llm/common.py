@@ -42,14 +42,33 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str) -> DataFrame:
-    """Map Arrow batches to dicts of columns; ``schema`` is DDL."""
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]):
+    """A worker's one large object, such as an encoder; making another drops it."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release(keep: str = "") -> None:
+    """Drop a worker's large object unless its key begins with ``keep``."""
+    for key in [k for k in _resident if not keep or not k.startswith(keep)]:
+        del _resident[key]
+
+
+ROWS = 1024
+
+
+def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str, holds: str = "") -> DataFrame:
+    """Map Arrow batches, some rows at a time, to dicts of columns; ``schema`` is DDL, ``holds`` begins the key of what :func:`resident` keeps."""
 
     def run(batches):
         target = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        release(holds)
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             out = each(batch)
             for columns in [out] if isinstance(out, dict) else out or ():
                 target = target or arrow_schema(schema)

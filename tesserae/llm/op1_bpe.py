@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm.common import arrow_map, table, texts
+from tesserae.llm.common import arrow_map, resident, table, texts
 
 #: Fixed values of the byte-level format: the bytes that are written as themselves.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -32,7 +32,7 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 PLAIN = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞₠-₿]"
 #: The same pieces for texts of such characters, where letters are the word characters that are no digits.
 PLAIN_PIECES = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 KEPT_PAIRS = 1_000_000
 BLOCK_CHARS = 1_000_000
 
@@ -244,16 +244,9 @@ class Encoder:
         return self.merges.decode(ids).decode("utf-8", errors="replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(file: bytes) -> Encoder:
-    """One encoder for each worker and vocabulary."""
-    key = sha256(file).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(file)
-    return _encoders[key]
+    """The worker's encoder of one vocabulary."""
+    return resident(f"bpe {sha256(file).hexdigest()}", lambda: Encoder(file))
 
 
 def read_vocabulary(path: str | None = None) -> bytes:
@@ -275,7 +268,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for k, (as_text, tokens) in enumerate(enc.encode_many(texts(batch))):
             yield {"doc_id": ids.slice(k, 1), "n_tokens": [len(tokens)], "ids": [tokens.tobytes()], "ids_text": [as_text], "decoded": [enc.decode(tokens)]}
 
-    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n_tokens long, ids binary, ids_text string, decoded string")
+    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, n_tokens long, ids binary, ids_text string, decoded string", "bpe")
 
 
 def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -298,7 +291,7 @@ def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
         return out
 
     schema = "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return arrow_map(docs.select("doc_id", "text"), each, schema)
+    return arrow_map(docs.select("doc_id", "text"), each, schema, "bpe")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

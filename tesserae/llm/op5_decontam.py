@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import arrow_map, as_text, table, texts
+from tesserae.llm.common import arrow_map, as_text, release, table, texts
 
 Q = 12
 EDIT_RATE = 0.05
@@ -209,6 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, shared) -> DataFrame:
     def run(batches):
+        release()
         for batch in batches:
             index = shared.value
             keep = [not index.occurrences(normal(t)) for t in texts(batch)]

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import arrow_map, arrow_schema, as_text, small, table, texts, written
+from tesserae.llm.common import arrow_map, arrow_schema, as_text, release, resident, small, table, texts, written
 
 BLOCK_IDS = 1 << 16
 FEW_SHARDS = 100_000
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 #: Fixed value: the pieces of the vocabulary's splitter, for texts of plain characters (see op1_bpe.PLAIN).
 PIECES = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 PLAIN = "[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-įıĲ-ɏ‐-‧‰-⁞₠-₿]"
@@ -101,15 +101,9 @@ class Encoder:
                 yield self.whole(text) if w is None else np.frombuffer(b"".join(map(self.packed.__getitem__, w)), np.uint32)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(file: bytes) -> Encoder:
-    key = sha256(file).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(file)
-    return _encoders[key]
+    """The worker's encoder of one vocabulary."""
+    return resident(f"tokens {sha256(file).hexdigest()}", lambda: Encoder(file))
 
 
 BLOCK_SCHEMA = "shard long, start long, n_ids long, bits int, docs array<long>, sizes array<int>, packed binary"
@@ -126,6 +120,7 @@ def blocks(docs: DataFrame, path: str | None = None, end_id: int = 1, block_ids:
     ranged = docs.select("doc_id", as_text("text").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
+        release("tokens")
         enc, shard, start, held, size = encoder(shared.value), TaskContext.get().partitionId(), 0, [], 0
         target, end = arrow_schema(BLOCK_SCHEMA), np.array([end_id], np.uint32)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import arrow_map, table, texts
+from tesserae.llm.common import arrow_map, release, table, texts
 
 LEAST = 2e-5
 SHARE = 0.1
@@ -118,6 +118,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all labelled documents; tasks add up before anything is shuffled."""
 
     def run(batches):
+        release()
         held: dict[str, list[np.ndarray]] = {}
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -185,6 +186,7 @@ def accepted(docs: DataFrame, model: Filter) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release()
         for batch in batches:
             found = [shared.value.predict(t) for t in texts(batch)]
             yield batch.filter(pa.array([x != "und" and (s >= REJECT_UNDER or n < REJECT_FROM) for x, s, n in found], pa.bool_()))
