@@ -46,8 +46,8 @@ def pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
 
 
 def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    rows = column.values if isinstance(column, pa.ListArray) else column.combine_chunks().values
-    ids, vec = rows.field("id").to_numpy(zero_copy_only=False), rows.field("vec")
+    ids, vec = column.flatten().flatten()  # of the slice alone, unlike values
+    ids = ids.to_numpy(zero_copy_only=False)
     x = np.asarray(vec.flatten()).reshape(len(ids), -1).astype(np.float32)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return ids, np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
