@@ -209,5 +209,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(table(spark, sf_dir, "documents"), WINDOW, GRAM, GROUP, "kept_sha256", lambda x: sha256(x).hexdigest())
 
 
-#: Windows over words are too slow in SQL on whole tables; tests/llm/test_op10.py has the brute force.
+#: Windows over words are too slow in SQL on whole tables; tests/llm/test_ops.py has the brute force.
 SQL = None

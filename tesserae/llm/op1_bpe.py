@@ -298,5 +298,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
-#: Not expressible in SQL; tests/llm/test_op1.py compares it with the tokenizers library.
+#: Not expressible in SQL; tests/llm/test_ops.py compares it with the tokenizers library.
 SQL = None

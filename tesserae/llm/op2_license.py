@@ -161,5 +161,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-#: The base counts are plain text matching, the templates' automata are not SQL; tests/llm/test_op2.py has the brute force.
+#: The base counts are plain text matching, the templates' automata are not SQL; tests/llm/test_ops.py has the brute force.
 SQL = None

@@ -173,5 +173,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-#: Leftmost matching with positions and decoding is not SQL; tests/llm/test_op3.py has the brute force.
+#: Leftmost matching with positions and decoding is not SQL; tests/llm/test_ops.py has the brute force.
 SQL = None

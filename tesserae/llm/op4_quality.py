@@ -196,5 +196,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-#: A trained field is not SQL; tests/llm/test_op4.py has the brute force of the base columns and held-out accuracy.
+#: A trained field is not SQL; tests/llm/test_ops.py has the brute force of the base columns and held-out accuracy.
 SQL = None

@@ -223,5 +223,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: Edit distance to parts of a text is not SQL; tests/llm/test_op5.py has the brute force.
+#: Edit distance to parts of a text is not SQL; tests/llm/test_ops.py has the brute force.
 SQL = None

@@ -145,5 +145,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: XXH64 and components are not SQL; tests/llm/test_op6.py has the brute force.
+#: XXH64 and components are not SQL; tests/llm/test_ops.py has the brute force.
 SQL = None

@@ -165,5 +165,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(written(blocks(table(spark, sf_dir, "documents")), "token-blocks"))
 
 
-#: A tokenizer is not SQL; tests/llm/test_op8.py compares with the library and round trips.
+#: A tokenizer is not SQL; tests/llm/test_ops.py compares with the library and round trips.
 SQL = None

@@ -199,5 +199,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, learn(docs)).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
-#: A learnt filter is not SQL; tests/llm/test_op9.py has held-out accuracy and exact sets in place of the filter.
+#: A learnt filter is not SQL; tests/llm/test_ops.py has held-out accuracy and exact sets in place of the filter.
 SQL = None
