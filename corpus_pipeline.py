@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]
 
-#: No stage but the second is SQL; tests/llm/test_pipeline.py has the brute force.
+#: No stage but the second is SQL; tests/llm/test_ops.py follows every stage by the operators that have brute force.
 ORACLE_SQL = None
 
 
