@@ -93,9 +93,9 @@ def kmer_table(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
     return arrow_map(docs.where("doc_id is not null").select("doc_id", "text"), each, "mh long, sk long, n int, doc_id long, at int")
 
 
-def first_ranges(docs: DataFrame, shared: DataFrame, distinct: DataFrame, window: int, group: int) -> DataFrame:
+def first_ranges(docs: DataFrame, distinct: DataFrame, window: int, group: int) -> DataFrame:
     """(mh, sk, n, a, b): windows a to b of the distinct super-k-mer that a smaller document than its first one has too."""
-    many = distinct.groupBy("mh").agg(F.count("*").alias("strings")).where("strings > 1")
+    many = written(distinct.groupBy("mh").agg(F.count("*").alias("strings")).where("strings > 1"), "buckets")  # read again as a scan, so that the skew join can divide the other side
     wanted = distinct.join(many, "mh").groupBy("doc_id").agg(F.collect_list(F.struct("mh", "sk", "n", "at", F.ceil(F.col("strings") / group).cast("int").alias("s"))).alias("w"))  # at most a document's own
 
     def cut(batch: pa.RecordBatch):
@@ -163,12 +163,12 @@ def _bucket(rows: list[dict], window: int, digest) -> list[tuple]:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(doc_id, spans): for documents with any, the ranges of words in windows that a smaller document has too."""
     every = written(kmer_table(docs, window, gram), "super-kmers")
-    both = every.groupBy("mh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mh")
+    both = written(every.groupBy("mh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mh"), "shared-minimisers")
     shared = written(every.join(both, "mh"), "shared-super-kmers")
     key = ["mh", "sk", "n"]
     distinct = shared.groupBy(*key).agg(F.min(F.struct("doc_id", "at")).alias("m")).select(*key, F.col("m.doc_id").alias("doc_id"), F.col("m.at").alias("at"))
     distinct = written(distinct, "distinct-super-kmers")
-    ranges = first_ranges(docs.where("doc_id is not null"), shared, distinct, window, group)
+    ranges = first_ranges(docs.where("doc_id is not null"), distinct, window, group)
     of_first = shared.join(distinct.select(*key, F.col("doc_id").alias("first")), key)
     whole = of_first.where("doc_id > first").select("doc_id", F.col("at").alias("a"), (F.col("at") + F.col("n") + (window - 1)).alias("b"))
     part = of_first.where("doc_id = first").join(ranges, key).select("doc_id", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + (window - 1)).alias("b"))
