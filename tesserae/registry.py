@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tesserae.plans import curation, derivation, searching
+from tesserae.plans import curation, derivation, searching, upkeep
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-for _module in (derivation, searching, curation):
+for _module in (derivation, searching, curation, upkeep):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
