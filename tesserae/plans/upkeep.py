@@ -45,7 +45,7 @@ def _heirs(x: Library):
 
 def _translations(x: Library):
     new = x.part.select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("tag"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, "").otherwise(F.col("p_type")).alias("display"))
-    return u.new_translations(x.part.where("p_size < 10").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("tag")).distinct(), new)
+    return u.new_translations(x.part.where("p_name < 'm'").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("tag")).distinct(), new)
 
 
 def _faults(x: Library):
@@ -114,7 +114,7 @@ SQL = {
     "rep_holds": oracle(f"SELECT split_part(path, '/', 1) AS collection, count(DISTINCT work) AS works FROM ({_OWNER}) t GROUP BY 1"),
     "rep_unregistered": oracle("SELECT DISTINCT split_part(path, '/', 2) AS child FROM {copies} WHERE starts_with(path, 'src1/') AND split_part(path, '/', 2) NOT LIKE 'e%'"),
     "idn_heir": oracle(f"SELECT a.work, a.path AS old, (SELECT min(path) FROM ({_OWNER}) b WHERE b.work = a.work AND b.doc_id <> b.work AND b.doc_id % 4 = 1) AS heir FROM ({_OWNER}) a WHERE a.doc_id = a.work AND a.doc_id % 4 <> 1"),
-    "voc_import_translations": "SELECT replace(p_name, ' ', '_') AS tag, min(p_type) AS display FROM part WHERE p_partkey % 3 = 2 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size < 10) GROUP BY 1",
+    "voc_import_translations": "SELECT replace(p_name, ' ', '_') AS tag, min(p_type) AS display FROM part WHERE p_partkey % 3 = 2 AND p_name >= 'm' GROUP BY 1",
     "voc_edit_guard": oracle(f"SELECT slug, 'case' AS fault FROM ({_EVERY}) e QUALIFY count(*) OVER (PARTITION BY kind, lower(slug)) > 1 UNION SELECT slug, 'parent' FROM ({_EVERY}) e WHERE parent IS NOT NULL AND parent NOT IN (SELECT slug FROM ({_EVERY}) k WHERE kind = 'series') UNION SELECT slug, 'cycle' FROM ({_EVERY}) e WHERE slug = parent"),
     "voc_search_terms": oracle("SELECT tag, category, count(DISTINCT work_id) AS works, tag AS key FROM {effective} WHERE visible GROUP BY 1, 2 UNION ALL SELECT term, field, count(DISTINCT work_id), concat(field, ':', r.value) FROM {ranked} r JOIN {terms} t ON t.slug = r.value JOIN {concepts} c ON c.slug = r.value AND c.kind = r.field GROUP BY term, field, r.value"),
     "voc_concepts": oracle("SELECT slug, parent, (SELECT string_agg(DISTINCT term, ',' ORDER BY term) FROM {terms} t WHERE t.slug = c.slug) AS terms FROM {concepts} c WHERE kind = 'character'"),
