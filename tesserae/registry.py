@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tesserae.plans import curation, derivation, searching, upkeep
+from tesserae.plans import curation, derivation, lookups, searching, upkeep
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-for _module in (derivation, searching, curation, upkeep):
+for _module in (derivation, searching, curation, upkeep, lookups):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
