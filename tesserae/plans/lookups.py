@@ -268,7 +268,7 @@ QUERIES = {
     "agg_having": _q(lambda x: x.samples.groupBy("work_id", "run_id").agg(F.count("*").alias("n"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped")).where("n > 1 and skipped = 0")),
     "agg_array_ordered": _q(lambda x: tags(x).groupBy("category", "tag").agg(F.count("*").alias("n")).groupBy("category").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "tag"))), 1, 5), lambda y: y["tag"]), ",").alias("top"))),
     "join_case_insensitive": _q(lambda x: x.part.select("p_partkey", F.upper("p_brand").alias("name")).join(F.broadcast(x.terms), F.lower("name") == F.lower("term")).select("p_partkey", "slug")),
-    "set_except": _q(lambda x: x.part.where("p_size < 25").select("p_brand", "p_type").subtract(x.part.where("p_size >= 25").select("p_brand", "p_type"))),
+    "set_except": _q(lambda x: x.part.where("p_size < 25").select("p_name", "p_type", "p_brand").subtract(x.part.where("p_size >= 25").select("p_name", "p_type", "p_brand"))),
     "stm_claim_fold": _q(_fold),
     "stm_incremental_derive": _q(_rederive),
     "stm_stale_rerun": _q(lambda x: incremental.newest_run(x.samples).groupBy("work_id", "run_id").agg(F.count("*").alias("samples"))),
@@ -329,7 +329,7 @@ SQL = {
     "agg_having": oracle("SELECT work_id, run_id, count(*) AS n, count(skip_reason) AS skipped FROM {samples} GROUP BY 1, 2 HAVING count(*) > 1 AND count(skip_reason) = 0"),
     "agg_array_ordered": oracle("SELECT category, string_agg(tag, ',' ORDER BY k) AS top FROM (SELECT category, tag, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, tag) AS k FROM {tags} GROUP BY 1, 2) t WHERE k <= 5 GROUP BY 1"),
     "join_case_insensitive": oracle("SELECT p_partkey, slug FROM part JOIN {terms} t ON lower(t.term) = lower(upper(p_brand))"),
-    "set_except": "SELECT p_brand, p_type FROM part WHERE p_size < 25 EXCEPT SELECT p_brand, p_type FROM part WHERE p_size >= 25",
+    "set_except": "SELECT p_name, p_type, p_brand FROM part WHERE p_size < 25 EXCEPT SELECT p_name, p_type, p_brand FROM part WHERE p_size >= 25",
     "stm_claim_fold": "SELECT event_id % 500 AS work_id, event_type AS field, concat('u', user_id % 5) AS value, event_id % 3 = 0 AS negated FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 500, event_type, user_id % 5 ORDER BY ts DESC, event_id DESC) = 1",
     "stm_incremental_derive": oracle(f"SELECT {_TAGS} {{tags}}"),
     "stm_stale_rerun": oracle("SELECT work_id, run_id, count(*) AS samples FROM {samples} s WHERE run_id = (SELECT max(run_id) FROM {samples} m WHERE m.work_id = s.work_id) GROUP BY 1, 2"),
