@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import content_key_set, frame_budget, leaf_name, sample_budget
@@ -14,19 +11,11 @@ from tesserae.operators import maintenance as m
 from tesserae.operators import vocabulary as v
 from tesserae.plans.derivation import _q, _r, effective, model_claims, tags
 from tesserae.plans.fixtures import Library, oracle
+from tesserae.sources.shared import store
 
 NEAR = 0.35
 
 
-def store(df: DataFrame) -> DataFrame:
-    """A written table in the folder that driver and executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tesserae-shared"
-    path = f"{base.rstrip('/')}/tesserae-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def vectors(x: Library):
     return x.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 

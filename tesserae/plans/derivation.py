@@ -15,7 +15,7 @@ def evidence(x: Library):
 
 
 def tags(x: Library):
-    return d.work_tags(*evidence(x), PARAMS)
+    return x.kept("tags", lambda: d.work_tags(*evidence(x), PARAMS))
 
 
 def run(x: Library):
@@ -35,7 +35,7 @@ def ranked(x: Library):
 
 
 def effective(x: Library):
-    return d.effective_tags(tags(x), x.claims, x.terms, x.hidden)
+    return x.kept("effective", lambda: d.effective_tags(tags(x), x.claims, x.terms, x.hidden))
 
 
 def _r(df, *cols):
@@ -66,7 +66,7 @@ QUERIES = {
     "drv_cutoffs": _q(lambda x: d.cutoffs(x.roles, PARAMS).join(x.scores.groupBy("model_version_id", "category").agg(F.count("*").alias("n_scores")), ["model_version_id", "category"])),
     "drv_gate": _q(lambda x: d.gated(d.flat(d.pages(x.samples), x.scores, x.members, x.roles), x.roles, x.thresholds, PARAMS).groupBy("category", "tag").agg(F.count("*").alias("n_kept"))),
     "drv_denominator": _q(lambda x: d.denominator(d.pages(x.samples), x.scores, x.members, x.roles)),
-    "drv_work_tags": _q(lambda x: _r(tags(x), "freq_ratio", "avg_score")),
+    "drv_work_tags": _q(lambda x: _r(d.work_tags(*evidence(x), PARAMS), "freq_ratio", "avg_score")),
     "drv_subset": _q(_subset),
     "drv_current_run": _q(run),
     "drv_stats": _q(lambda x: d.stats(run(x), x.samples)),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.shared import store
+
 MEMBERS = "SELECT * FROM (VALUES (1,'alpha',1),(2,'alpha',2),(3,'beta',1)) AS t(model_version_id, backend, rank)"
 ROLES = "SELECT * FROM (VALUES (1,'general',CAST(NULL AS DOUBLE),FALSE),(1,'character',NULL,FALSE),(1,'rating',NULL,FALSE),(1,'embedding',NULL,FALSE),(2,'general',0.6,FALSE),(2,'character',NULL,FALSE),(3,'general',NULL,TRUE),(3,'copyright',NULL,FALSE),(3,'artist',0.9,FALSE)) AS t(model_version_id, role, score_cutoff, yields)"
 THRESHOLDS = "SELECT * FROM (VALUES (1,'general','red',CAST(0.7 AS DOUBLE)),(1,'general','ring',0.5),(2,'general','bolt',0.8),(3,'artist','Supplier#1',0.5)) AS t(model_version_id, category, tag, threshold)"
@@ -50,7 +52,13 @@ class Library:
     """The fixtures over one directory, as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._kept = spark, sf_dir, {}
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that a query reads several times, written once."""
+        if name not in self._kept:
+            self._kept[name] = store(make())
+        return self._kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("__"):
@@ -62,8 +70,12 @@ class Library:
         plain = sql.replace('{"', '{{"').replace('}\'', '}}\'')
         return self.spark.sql(plain, **{n: getattr(self, n) for n in used}) if used else self.spark.sql(sql)
 
-    @cached_property
+    @property
     def scores(self) -> DataFrame:
+        """The evidence, which is a table of its own and not joined anew by each of its readers."""
+        return self.kept("scores", self._scores)
+
+    def _scores(self) -> DataFrame:
         """One pass over the joined lines: every line holds six scores."""
         each = F.array(*[F.struct(F.lit(c).alias("category"), F.expr(t).alias("tag"), F.col(s).alias("score")) for c, t, s in _FACETS])
         rows = self.base.select("sample_id", "model_version_id", F.inline(each))

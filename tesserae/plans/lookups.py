@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,6 +21,7 @@ from tesserae.plans.derivation import _q, _r, effective, measured, model_claims,
 from tesserae.plans.fixtures import FIXTURES, PARAMS, STEPS, Library, oracle
 from tesserae.plans.searching import found, unit_vectors
 from tesserae.sources.files import valid_scores
+from tesserae.sources.shared import folder
 from tesserae.streaming import incremental
 
 NEAR = 0.35
@@ -195,12 +195,6 @@ def _arrays(x: Library) -> DataFrame:
     return x.embeddings.select("vec_id", F.size("embedding").cast("long").alias("n"), F.forall(e, lambda y: y.between(-1, 1)).alias("inside"), F.array_position(F.transform(e, lambda y: y > 0.2), True).cast("long").alias("first"))
 
 
-def _folder(x: Library, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = x.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tesserae-shared"
-    return f"{base.rstrip('/')}/tesserae-{x.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(x: Library, name: str) -> DataFrame:
     """A table as a stream of files; the path is a pattern, since a table may be one file and a stream reads folders or patterns."""
     schema = x.spark.read.parquet(f"{x.dir}/{name}.parquet").schema
@@ -209,7 +203,7 @@ def _stream(x: Library, name: str) -> DataFrame:
 
 def _fold(x: Library) -> DataFrame:
     """Claims that arrive as a stream, folded batch by batch and read back."""
-    at = _folder(x, "claims")
+    at = folder(x.spark, "claims")
     rows = _stream(x, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 500).alias("work_id"), F.col("event_type").alias("field"), F.concat(F.lit("u"), F.col("user_id") % 5).alias("value"), (F.col("event_id") % 3 == 0).alias("negated"), F.col("ts").alias("created_at"))
     incremental.fold_stream(rows, f"{at}/out", f"{at}/state").awaitTermination()
     return incremental.latest(x.spark.read.parquet(f"{at}/out").drop("batch_id")).select("work_id", "field", "value", "negated")
@@ -217,7 +211,7 @@ def _fold(x: Library) -> DataFrame:
 
 def _rederive(x: Library) -> DataFrame:
     """Works derived anew as their evidence arrives."""
-    at = _folder(x, "derived")
+    at = folder(x.spark, "derived")
     arrived = _stream(x, "lineitem").select(F.col("l_orderkey").alias("work_id"))
     derive = lambda ids: d.work_tags(*derivation.evidence(x), PARAMS, ids=ids)
     incremental.derive_incrementally(arrived, derive, f"{at}/out", f"{at}/state").awaitTermination()

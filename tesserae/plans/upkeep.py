@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tesserae.operators import derive as d
 from tesserae.operators import upkeep as u
 from tesserae.operators import vocabulary as v
-from tesserae.plans.curation import store
 from tesserae.plans.derivation import _q, _r, effective, measured, model_claims, ranked, run, tags
 from tesserae.plans.fixtures import STEPS, Library, oracle
+from tesserae.sources.shared import store
 
 MARGIN, SCENE = 0.05, 0.14
 
