@@ -134,7 +134,7 @@ def first_ranges(docs: DataFrame, distinct: DataFrame, window: int, group: int)
 
 
 def _bucket(rows: list[dict], window: int, digest) -> list[tuple]:
-    """Sort the windows of one bucket: ranges if it is whole; if it is part of a dealt-out one, its distinct windows too."""
+    """Sort the windows of one bucket: ranges if it is whole; if it is part of a dealt-out one, every place of its first documents' windows too."""
     windows = []
     for k, r in enumerate(rows):
         words = r["words"].split(b" ")
@@ -146,11 +146,9 @@ def _bucket(rows: list[dict], window: int, digest) -> list[tuple]:
             was, first = w, doc
             if rows[k]["s"] > 1:
                 d = digest(w)
-                out.append((rows[k]["mh"], rows[k]["sk"], rows[k]["n"], doc, j, j + 1, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
-            mine = k
-        elif doc > first:
+        if doc > first:
             late.setdefault(k, []).append(j)
-        elif rows[k]["s"] > 1 and k != mine:  # the same first document in another string
+        elif rows[k]["s"] > 1:  # every place of the slot's first document: a smaller one may stand in another slot
             out.append((rows[k]["mh"], rows[k]["sk"], rows[k]["n"], doc, j, j + 1, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
     for k, js in late.items():
         js = np.array(sorted(set(js)))

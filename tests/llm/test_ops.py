@@ -277,6 +277,26 @@ def test_substring_by_brute_force(spark, docs, corpus, group):
         assert counted(tuple(r) for r in op10_substring.substring_dedup(df, group=group).collect()) == counted(want)
 
 
+@pytest.mark.parametrize("group", [64, 2])
+def test_substring_of_repeated_words(spark, group):
+    """Windows that occur again in their own string, in dealt-out buckets."""
+    rnd = random.Random(4)
+    unit = ["0", "word word", "a b", "| --- |", "x y z"]
+    rows = [(d, f"p{d} " * rnd.randint(0, 1) + " ".join(unit[d % 5].split() * 150).split(" ", rnd.randint(50, 140))[-1] + f" q{d}" * rnd.randint(0, 1)) for d in rnd.sample(range(1000), 80)]
+    rows += [(2000 + k, " ".join(["x"] * n)) for k, n in enumerate(rnd.sample(range(50, 200), 100))] + [(1500, "x " * 60), (1501, "x " * 100)]
+    first, want = {}, []
+    for d, x in sorted(rows):
+        words = x.split()
+        gone = [False] * len(words)
+        for k in range(len(words) - 49):
+            if first.setdefault(tuple(words[k : k + 50]), d) < d:
+                gone[k : k + 50] = [True] * 50
+        kept = [w for w, g in zip(words, gone) if not g]
+        want.append((d, len(words), len(words) - len(kept), " ".join(kept)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert counted(tuple(r) for r in op10_substring.substring_dedup(df, group=group).collect()) == counted(want)
+
+
 def test_pipeline(spark):
     """Each stage's decisions take effect on what the one before has kept, and no clean document goes."""
     import corpus_pipeline as p
