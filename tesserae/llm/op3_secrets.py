@@ -5,7 +5,8 @@ if the bytes have the structure of a secret: a DER key whose nested lengths clos
 length-prefixed fields fill it, or a signed token whose header and payload are JSON objects with an algorithm.
 
 Kinds beside the base ones: ``der`` (PKCS#1, PKCS#8 or SEC1 private key), ``openssh``, ``jwt``. A base64 block may run
-over several lines.
+over several lines; a key in it begins at a line and ends where its own lengths say, which has to be the end of a line or
+of the block, or armour ("-----"), so that text before or after it in the same letters does not hide it.
 
 Defined results: a null or empty text has no spans, its digest is that of an empty string. Positions are code points,
 ends exclusive. Rows are independent; a null doc_id is carried; columns beside doc_id and text have no effect; texts are
@@ -121,6 +122,66 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+MAGIC = "b3BlbnNzaC1rZXktdjE"
+
+
+def key_letters(plain: str, at: int) -> int | None:
+    """How many base64 letters the key that begins at ``at`` has by its own lengths; only the lengths are decoded."""
+
+    def read(a: int, n: int) -> int | None:
+        got = unbase64(plain[at + a // 3 * 4 : at + (a + n + 2) // 3 * 4]) or b""
+        got = got[a % 3 : a % 3 + n]
+        return int.from_bytes(got, "big") if len(got) == n else None
+
+    if plain.startswith(MAGIC, at):
+        size = 15
+        for k in range(3):
+            if (n := read(size, 4)) is None:
+                return None
+            size += 4 + n
+        if (count := read(size, 4)) is None or not 1 <= count <= 16:
+            return None
+        size += 4
+        for k in range(count + 1):
+            if (n := read(size, 4)) is None:
+                return None
+            size += 4 + n
+    elif read(0, 1) == 0x30 and (n := read(1, 1)) is not None:
+        size = 2 + n
+        if n & 128:
+            if not 1 <= (more := n & 127) <= 4 or (n := read(2, more)) is None:
+                return None
+            size = 2 + more + n
+    else:
+        return None
+    return -(-size * 4 // 3)
+
+
+def block_keys(m: re.Match) -> list[tuple[int, int, str]]:
+    """The keys in one base64 block: each begins at a line and ends at the end of a line or at armour."""
+    lines = [(x.start(), x.end()) for x in RUN.finditer(m[0])]
+    plain = "".join(m[0][a:b] for a, b in lines)
+    begins, ends, n = [], {}, 0  # letters before a place, and the place
+    for a, b in lines:
+        begins.append((n, a))
+        at = m[0].find("-----", a + 1, b)
+        while at >= 0:
+            ends[n + at - a] = at
+            at = m[0].find("-----", at + 1, b)
+        n += b - a
+        ends[n] = b
+    ends[n] = len(m[0])  # with its padding
+    found, done = [], 0
+    for n, a in begins:
+        if n < done or (size := key_letters(plain, n)) is None or n + size not in ends or "-----" in plain[n : n + size] or not (data := unbase64(plain[n : n + size])):
+            continue
+        if kind := "openssh" if is_openssh_key(data) else "der" if is_der_key(data) else None:
+            done = n + size
+            found.append((m.start() + a, m.start() + ends[done], kind))
+    return found
+
+
 def is_token(text: str) -> bool:
     """A signed token: the header is a JSON object with an algorithm, the payload a JSON object, the signature base64."""
     header, payload, signature = text.split(".")
@@ -139,8 +200,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     if "eyJ" in text:
         found += [(*m.span(), "jwt") for m in TOKEN.finditer(text) if is_token(m[0])]
     for m in BASE64.finditer(text):
-        if data := unbase64(m[0]):
-            found += [(*m.span(), "openssh")] if is_openssh_key(data) else [(*m.span(), "der")] if is_der_key(data) else []
+        found += block_keys(m)
     found += [(*m.span(), "der") for m in HEXES.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
     return found
 

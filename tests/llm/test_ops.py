@@ -113,6 +113,23 @@ def test_secrets(docs, corpus, spark):
         assert counted(tuple(r)[:5] for r in op3_secrets.scan_secrets(df).collect()) == counted(want)
 
 
+@pytest.mark.parametrize("extra", range(3))
+@pytest.mark.parametrize("before", ["", "a line of text\n", "-" * 45 + "\n", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\r\n"])
+@pytest.mark.parametrize("after", ["", "\n", "\n-----END PRIVATE KEY-----", "\nhello world", "\nhello\nworld\n", "\r\n-----END X-----", "-----END X-----", "\n" + "A" * 70])
+def test_secret_keys_in_their_text(extra, before, after):
+    numbers = lambda n: b"".join(der(2, b"\x01" * k) for k in (64, 3, 64, 32, 32, 32, 32, n))
+    pkcs1 = der(0x30, der(2, b"\0") + numbers(30 + extra))
+    pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x03")) + der(4, b"k" * (200 + extra)))
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 30, b"s" * (140 + extra)))
+    end = "\r\n" if "\r" in before else "\n"
+    for data, kind in ((pkcs1, "der"), (pkcs8, "der"), (ssh, "openssh")):
+        letters = b64encode(data).decode()
+        for letters in {letters, letters.rstrip("=")}:
+            body = end.join(letters[k : k + 64] for k in range(0, len(letters), 64))
+            assert op3_secrets.confirmed_spans(before + body + after) == [(len(before), len(before) + len(body), kind)]
+            assert op3_secrets.confirmed_spans(before + body[:-9] + after) == []
+
+
 def test_quality(docs, corpus, spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     for df in (docs, corpus):
