@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go; every document stays, n_chars follows its text."""
-    out = op7_lines.line_dedup(docs, "text", "source")
+    """Boilerplate lines of each source go; every document stays, n_chars follows its text. Copies of a page count once."""
+    out = op7_lines.line_dedup(docs, "text", "source", copies=False)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns)
 
 

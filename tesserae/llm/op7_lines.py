@@ -8,7 +8,8 @@ broadcast if there are at most :data:`FEW_HOSTS` hosts, else by a join on the ho
 Lines are the parts between newlines; lines without a character other than white space are never boilerplate.
 
 Defined results: a null text has no lines and stays null; an empty text is kept as it is. A null host is a host of its
-own. Repeated rows are pages of their own. A page may lose all its lines: its text is then empty and the page stays.
+own. Repeated rows are pages of their own, unless ``copies`` is false: then the pages of one host that have the same whole
+text count as one page, so that copies of a page do not make its own lines boilerplate. A page may lose all its lines: its text is then empty and the page stays.
 Other columns are carried. A line must be on :data:`MIN_PAGES` pages to be boilerplate, so that small hosts lose none.
 """
 
@@ -33,19 +34,24 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def host_lines(pages: DataFrame, text: str, host: str, ratio: float, min_pages: int) -> DataFrame:
+def host_lines(pages: DataFrame, text: str, host: str, ratio: float, min_pages: int, copies: bool = True) -> DataFrame:
     """(_host, _hot): the digests of each host's boilerplate lines."""
     distinct = F.array_distinct(F.transform(F.filter(_lines("t"), lambda x: F.length(F.trim(x)) > 0), _digest))
     page = pages.select(F.coalesce(host, F.lit("\0")).alias("_host"), F.col(text).alias("t"))
+    if copies:
+        page = page.withColumn("found", distinct)
+    else:  # digests travel, not texts; copies meet before the shuffle too
+        page = page.groupBy("_host", _digest(F.col("t")).alias("_page")).agg(F.first(distinct).alias("found"))
+        page = written(page, "distinct-pages")
     total = page.groupBy("_host").agg(F.count("*").alias("pages"))
-    counts = page.where("t is not null").select("_host", F.explode(distinct).alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counts = page.where("found is not null").select("_host", F.explode("found").alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     hot = counts.join(total, "_host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return hot.groupBy("_host").agg(F.collect_list("line").alias("_hot"))
 
 
-def line_dedup(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """``pages`` with boilerplate lines removed from ``text``; ``_lines`` and ``_removed`` count a page's lines."""
-    hot = small(written(host_lines(pages, text, host, ratio, min_pages), "host-lines"), FEW_HOSTS)
+    hot = small(written(host_lines(pages, text, host, ratio, min_pages, copies), "host-lines"), FEW_HOSTS)
     keep = F.filter(_lines(text), lambda x: ~F.array_contains("_hot", _digest(x)))
     out = pages.withColumn("_host", F.coalesce(host, F.lit("\0"))).join(hot, "_host", "left")
     out = out.withColumn("_kept", F.when(F.col("_hot").isNotNull(), keep).otherwise(_lines(text)))

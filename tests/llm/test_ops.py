@@ -238,6 +238,20 @@ def test_line_dedup(spark, docs):
     assert op7_lines.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_copies(spark):
+    """A heavy group of copies keeps its article through lines and near duplicates, and loses what is boilerplate beside it."""
+    import corpus_pipeline as p
+
+    article = "menu\n" + "\n".join(f"the article has line {k} of its own" for k in range(9))
+    rows = [(k, f"menu\npage {k} says w{k} x{k} y{k} z{k}", "en", "s", 1) for k in range(60)] + [(100 + k, article, "en", "s", 1) for k in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = p.lines(spark, d, SMALL)
+    assert {r.text for r in out.where("doc_id >= 100").collect()} == {article[5:]} and not any("menu" in r.text for r in out.collect())
+    assert [r.text for r in p.near_duplicates(spark, out, SMALL).where("doc_id >= 100").collect()] == [article[5:]]
+    odd = spark.createDataFrame([(k, x, "en", None, 1) for k, x in enumerate([None] * 40 + [""] * 40 + ["menu\na", "menu\nb", "menu\nc", "menu\nc"])], d.schema)
+    assert [r.text for r in p.lines(spark, odd, SMALL).orderBy("doc_id").collect()][-4:] == ["a", "b", "c", "c"]
+
+
 def test_tokens_round_trip_and_library(docs, corpus):
     t = tokenizer("word_bpe_49k.json")
     for df in (docs.where("doc_id is null or doc_id <> 3").select("doc_id", "text"), corpus):
