@@ -5,8 +5,9 @@ documents, their doc_ids and counts (the offsets within the block), and the pack
 ascending order of doc_id, with the block's first token within its shard. So a document is found by its block's doc_ids,
 and a token position by shard and block start, and either is read by unpacking one block with numpy.
 
-The text is encoded by the tokenizers library. A piece's ids do not depend on its neighbours, so each distinct piece is
-encoded once in a worker; texts with unusual characters go to the library whole.
+A piece's ids do not depend on its neighbours, so each distinct piece of a block of texts is merged once, all of them at the
+same time in numpy; texts with unusual characters or special tokens, and pieces of more than :data:`LONG` bytes, go to the
+tokenizers library. No cache outlives a block, so the memory of a worker is bounded by the block.
 
 Defined results: a null or empty text is the end id alone. A null doc_id sorts first; rows of one doc_id are ordered by
 text. Columns beside doc_id and text have no effect; texts are encoded whole.
@@ -18,7 +19,6 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -30,13 +30,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import arrow_map, arrow_schema, as_text, release, resident, small, table, texts, written
+from tesserae.llm.op1_bpe import byte_letters
+from tesserae.llm.pieces import PairTable, code_points, distinct, letters, merge_all
 
 BLOCK_IDS = 1 << 16
 FEW_SHARDS = 100_000
-CACHED_PIECES = 250_000
-#: Fixed value: the pieces of the vocabulary's splitter, for texts of plain characters (see op1_bpe.PLAIN).
-PIECES = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+BLOCK_CHARS = 1 << 21
+#: Pieces of more bytes are merged by the library, whose time does not grow with the square of a piece.
+LONG = 64
+#: Characters that are not plain: on all others every Unicode version and regex engine agrees, see op1_bpe.PLAIN.
 PLAIN = "[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-įıĲ-ɏ‐-‧‰-⁞₠-₿]"
+TABLE = 0x20C1
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -68,7 +72,9 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 class Encoder:
-    """The library's ids, with a cache of pieces."""
+    """The library's ids: merges of all distinct pieces of a block at once, and the library itself for what is unusual."""
+
+    SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 
     def __init__(self, file: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -78,27 +84,87 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens") or ()}
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.find, self.unusual = re.compile(PIECES).findall, re.compile(PLAIN).search
-        self.packed: dict[str, bytes] = {}
-        self.bits = max([*spec["model"]["vocab"].values(), *self.special.values()]).bit_length()
+        self.bits = max([*vocab.values(), *self.special.values()]).bit_length()
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.uint16)
+        self.ranks = PairTable(np.array([(vocab[a], vocab[b]) for a, b in pairs]), np.arange(len(pairs)))
+        spelt = {b: c for c, b in byte_letters().items()}
+        self.inner, self.last = (np.array([vocab[spelt[b] + tail] for b in range(256)], np.uint16) for tail in ("", end))
+        self.kind, self.lower = np.full(TABLE, self.ODD, np.uint8), np.arange(TABLE, dtype=np.uint32)
+        usual = re.compile(PLAIN)
+        for i in range(TABLE - 1):
+            if not usual.match(c := chr(i)):
+                self.kind[i] = self.SPACE if c.isspace() else self.DIGIT if re.match(r"\d", c) else self.LETTER if re.match(r"[^\W_]", c) else self.OTHER
+                self.lower[i] = ord(c.lower())
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def pieces(self, codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of each piece of lower-cased code points: contractions, runs of letters, digits, and runs of others."""
+        before = np.r_[np.uint8(self.SPACE), kind[:-1]]
+        edge = (kind != before) | (kind == self.DIGIT)
+        at = np.flatnonzero((codes == 39) & (before != self.OTHER))
+        one, two = (np.r_[codes, 0, 0][at + k] for k in (1, 2))
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l")))
+        edge[at[short | long] + 1] = False
+        rest = np.r_[at[short] + 2, at[long] + 3]
+        rest = rest[rest < len(codes)]
+        edge[rest] = True
+        bounds = np.flatnonzero(edge)
+        ends = np.r_[bounds[1:], len(codes)]
+        real = kind[bounds] != self.SPACE
+        return bounds[real], ends[real]
+
+    def encode_distinct(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of each piece."""
+        here = codes[letters(starts, ends - starts)]
+        size = np.add.reduceat(1 + (here > 0x7F) + (here > 0x7FF), np.r_[0, np.cumsum(ends - starts)[:-1]])  # bytes; the table ends before four-byte letters
+        data = np.frombuffer(here.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+        symbols = self.inner[data]
+        symbols[np.cumsum(size) - 1] = self.last[data[np.cumsum(size) - 1]]
+        big = size > LONG
+        if not big.any():
+            return merge_all(symbols, size, self.ranks, self.made)
+        ids, n = merge_all(symbols[np.repeat(~big, size)], size[~big], self.ranks, self.made)
+        few, parts = iter(np.split(ids, np.cumsum(n)[:-1])), []
+        for k, b in enumerate(big.tolist()):
+            parts.append(self.whole(codes[starts[k] : ends[k]].astype("<u4").tobytes().decode("utf-32-le")) if b else next(few))
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    def encode_block(self, block: list[str]) -> list[np.ndarray]:
+        odd = [any(x in t for x in self.special) for t in block]
+        raw = code_points("\n".join(block) + "\n")
+        size = np.array([len(t) + 1 for t in block])
+        begin = np.cumsum(size) - size
+        kind = self.kind[np.minimum(raw, TABLE - 1)]
+        odd = np.logical_or.reduceat(kind == self.ODD, begin) | np.array(odd)
+        if odd.any():
+            kind[np.repeat(odd, size)] = self.SPACE
+        codes = self.lower[np.minimum(raw, TABLE - 1)]
+        starts, ends = self.pieces(codes, kind)
+        first, which = distinct(codes, starts, ends)
+        if not len(first):
+            return [self.whole(t) if o else np.zeros(0, np.uint32) for t, o in zip(block, odd.tolist())]
+        ids, n = self.encode_distinct(codes, starts[first], ends[first])
+        many = n[which]
+        every = ids[letters((np.cumsum(n) - n)[which], many)].astype(np.uint32)
+        total = np.r_[0, np.cumsum(many)]
+        cuts = total[np.searchsorted(starts, np.r_[begin, len(raw)])].tolist()
+        return [self.whole(t) if o else every[a:b] for t, o, a, b in zip(block, odd.tolist(), cuts, cuts[1:])]
+
     def encode_many(self, many: list[str]) -> Iterator[np.ndarray]:
-        for a in range(0, len(many), 256):
-            block = many[a : a + 256]
-            odd = [bool(self.unusual(t) or (self.split and self.split.search(t))) for t in block]
-            words = [None if o else self.find(t.lower()) for t, o in zip(block, odd)]
-            if len(self.packed) > CACHED_PIECES:
-                self.packed.clear()
-            new = [w for w in set().union(*(w for w in words if w)) if w not in self.packed]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-                self.packed[w] = array("I", e.ids).tobytes()
-            for text, w in zip(block, words):
-                yield self.whole(text) if w is None else np.frombuffer(b"".join(map(self.packed.__getitem__, w)), np.uint32)
+        at = 0
+        while at < len(many):
+            end, chars = at, 0
+            while end < len(many) and chars < BLOCK_CHARS:
+                chars += len(many[end])
+                end += 1
+            yield from self.encode_block(many[at:end])
+            at = end
 
 
 def encoder(file: bytes) -> Encoder:
@@ -142,10 +208,15 @@ def blocks(docs: DataFrame, path: str | None = None, end_id: int = 1, block_ids:
     return ranged.mapInArrow(run, BLOCK_SCHEMA)
 
 
-def read_documents(files: DataFrame, digest=lambda ids: zlib.crc32(ids.astype("<u4").tobytes())) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+def placed(files: DataFrame) -> DataFrame:
+    """The blocks with the number of ids in all shards before theirs."""
     ends = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = ends.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("before"))  # a row for each shard, not for each block
+    return files.join(small(written(before, "shards"), FEW_SHARDS), "shard")
+
+
+def read_documents(files: DataFrame, digest=lambda ids: zlib.crc32(ids.astype("<u4").tobytes())) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
 
     def each(batch: pa.RecordBatch):
         out: dict = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
@@ -157,8 +228,42 @@ def read_documents(files: DataFrame, digest=lambda ids: zlib.crc32(ids.astype("<
                 at += n
         return out
 
-    placed = files.join(small(written(before, "shards"), FEW_SHARDS), "shard")
-    return arrow_map(placed, each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(placed(files), each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_some(files: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of some documents: only the blocks that hold one of them are unpacked."""
+    wanted = set(doc_ids)
+
+    def each(batch: pa.RecordBatch):
+        out: dict = {"doc_id": [], "ids": []}
+        for r in batch.to_pylist():
+            ids, at = unpack(r["packed"], r["n_ids"], r["bits"]), 0
+            for doc, n in zip(r["docs"], r["sizes"]):
+                if doc in wanted:
+                    out["doc_id"].append(doc)
+                    out["ids"].append(ids[at : at + n].tolist())
+                at += n
+        return out
+
+    held = files.where(F.arrays_overlap("docs", F.array(*[F.lit(d).cast("long") for d in sorted(wanted)])))
+    return arrow_map(held, each, "doc_id long, ids array<int>")
+
+
+def read_range(files: DataFrame, first: int, n: int) -> DataFrame:
+    """(start, ids): the ids at positions ``first`` to ``first + n`` of all ids, a row for each block that holds some; only those are unpacked."""
+
+    def each(batch: pa.RecordBatch):
+        out: dict = {"start": [], "ids": []}
+        for r in batch.to_pylist():
+            begin = r["before"] + r["start"]
+            a, b = max(0, first - begin), min(r["n_ids"], first + n - begin)
+            out["start"].append(begin + a)
+            out["ids"].append(unpack(r["packed"], r["n_ids"], r["bits"])[a:b].tolist())
+        return out
+
+    begin = F.col("before") + F.col("start")
+    return arrow_map(placed(files).where((begin < first + n) & (begin + F.col("n_ids") > first)), each, "start long, ids array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

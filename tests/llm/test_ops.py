@@ -254,21 +254,53 @@ def test_line_dedup_of_copies(spark):
 
 def test_tokens_round_trip_and_library(docs, corpus):
     t = tokenizer("word_bpe_49k.json")
-    for df in (docs.where("doc_id is null or doc_id <> 3").select("doc_id", "text"), corpus):
-        start, want = 0, []
-        for d, x in sorted(texts(df), key=lambda r: (r[0] is not None, r[0])):
+    for df in (docs.select("doc_id", "text"), corpus, corpus.limit(0)):
+        start, want, every = 0, [], []
+        for d, x in sorted(texts(df), key=lambda r: (r[0] is not None, r)):
             ids = np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4")
             want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+            every += ids.tolist()
             start += len(ids)
         from tesserae.llm.common import written
 
-        assert counted(tuple(r) for r in op8_tokens.read_documents(written(op8_tokens.blocks(df, block_ids=500), "t")).collect()) == counted(want)
+        files = written(op8_tokens.blocks(df, block_ids=500), "t")
+        assert counted(tuple(r) for r in op8_tokens.read_documents(files).collect()) == counted(want)
+        some = op8_tokens.read_some(files, [4, 3, 10**9]).collect()
+        assert counted((r.doc_id, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in some) == counted((d, n, c) for d, _, n, c in want if d in (3, 4))
+        for first, n in ((0, 1), (450, 1200), (len(every) - 5, 100), (len(every), 5)):
+            parts = sorted((r.start, r.ids) for r in op8_tokens.read_range(files, first, n).collect())
+            assert [i for _, ids in parts for i in ids] == every[first : first + n] and [a for a, _ in parts[:1]] == [first][: len(parts)]
     for bits in (1, 5, 16, 17, 32):
         for n in (0, 1, 63, 64, 1000):
             v = np.random.default_rng(n).integers(0, 1 << bits, n, dtype=np.uint64).astype(np.uint32)
             assert (op8_tokens.unpack(op8_tokens.pack(v, bits), n, bits) == v).all()
 
 
+def test_token_merges_are_the_library():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        enc = op8_tokens.Encoder(f.read())
+    rnd = random.Random(2)
+    letters = ["abcdefghij stmdrevl '' '' _ 12 !?\n\t", "aA'bB é Ñ İ ß ² ½ \u0301 ’ € \x1c \x85 日本 Σς ǅ", "the and ing tion er re in an 's 't 'll 'd !! ,,"]
+    many = ["".join(rnd.choice(rnd.choice(letters)) for _ in range(rnd.randint(0, 60))) for _ in range(4000)]
+    many += ["".join(chr(rnd.randrange(0x2100)) for _ in range(30)) for _ in range(500)] + ["a" * 300, "aaaa" * 40 + " b", "x" * 100_000, "'", "''s", "'s's're'd", "!'s", "a'", "_'ll_"]
+    assert [x.tolist() for x in enc.encode_many(many)] == [x.ids for x in enc.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+
+
+def test_pieces_of_one_hash_stay_apart(monkeypatch):
+    """Spellings whose hashes are equal are told apart by their letters."""
+    from tesserae.llm import pieces
+
+    codes, starts, ends = pieces.code_points("ab cd ab ef"), np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
+    for broken in (False, True):
+        if broken:
+            monkeypatch.setattr(pieces, "powers", lambda n: np.zeros(n, np.uint64))
+        first, which = pieces.distinct(codes, starts, ends)
+        assert which[0] == which[2] and len({*which.tolist()}) == 3 == len(first)
+        assert [codes[starts[first[k]] : ends[first[k]]].tolist() for k in which] == [codes[a:b].tolist() for a, b in zip(starts, ends)]
+
+
 def test_language_held_out(spark, docs):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = op9_language.learn(d)
