@@ -37,9 +37,10 @@ def as_text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if it has at most ``most_rows`` rows, else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small(df: DataFrame, most_rows: int, weight: str | None = None, most_weight: int = 0) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if it has at most ``most_rows`` rows and ``weight`` adds up to at most ``most_weight``, else as it is, to be shuffled."""
+    found = df.agg(F.count("*").alias("n"), (F.sum(weight) if weight else F.lit(0)).alias("w")).first()
+    return F.broadcast(df) if found.n <= most_rows and (found.w or 0) <= most_weight else df
 
 
 _resident: dict[str, object] = {}
@@ -77,6 +78,20 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict] | d
     return df.mapInArrow(run, schema)
 
 
+def filtered(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text: str = "text", holds: str = "") -> DataFrame:
+    """The rows of ``docs`` whose texts are to be kept; columns may have any names."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index(text)
+
+    def run(batches):
+        release(holds)
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            yield batch.filter(pa.array(keep(texts(batch, names[at])), pa.bool_()))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 

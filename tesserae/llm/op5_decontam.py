@@ -7,9 +7,14 @@ region they span is verified by banded alignment of the whole item.
 
 Texts and items are lower-cased and their white space runs become one space; positions are bytes of that form.
 
+An item shorter than a q-gram is searched exactly, as whole words, by an automaton in the same pass.
+
+Memory: what is held for a stretch of text is its longest common stretches with the items, not the pairs of positions, so
+a text and an item of one repeated letter take no more than others; they are held in bounded numbers.
+
 Defined results: one row for each (document, item) with an occurrence within the budget, the one of least edits, then
-least position; documents without any have no row. A null or empty text, and an item of fewer than :data:`Q` bytes, has
-no occurrence. Equal items are each reported; equal documents are each reported. Texts are searched whole.
+least position; documents without any have no row. A null or empty text and a null or empty item have no occurrence.
+Equal items are each reported; equal documents are each reported. Texts are searched whole.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import arrow_map, as_text, release, table, texts
+from tesserae.llm.common import arrow_map, as_text, filtered, table, texts
+from tesserae.llm.pieces import powers
 
 Q = 12
 EDIT_RATE = 0.05
@@ -27,6 +33,9 @@ EDIT_RATE = 0.05
 BLOCK_CHARS = 2_000_000
 SCAN = 1 << 19
 TABLE_BITS = 22
+#: Common stretches are held so many at a time, more only if one text position or one item has more.
+STRETCHES = 1_000_000
+FIRST = 256
 
 _BASE = 0x9E3779B97F4A7C15
 _POW = [np.uint64(pow(_BASE, 1 << k, 1 << 64)) for k in range(3)]
@@ -51,86 +60,172 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of bytes times powers: equal stretches have equal differences, up to a power."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[:-1], out=out[1:])
+    return out
+
+
 class Index:
-    """The q-grams of a block of items: hash -> places, with a table that rejects most foreign hashes."""
+    """The q-grams of a block of items: hash -> places, with a table that rejects most foreign hashes.
+
+    The places of a gram are ordered by the byte before them, so that for a text position those that continue a common
+    stretch are left out: what is enumerated are common stretches, each once, however long or periodic they are.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         by_text: dict[bytes, list[int]] = {}
         for i, text in items:
             by_text.setdefault(normal(text), []).append(i)
+        by_text.pop(b"", None)
+        self.short = {t: sorted(ids) for t, ids in sorted(by_text.items()) if len(t) < Q}
+        self.words = self._short_automaton()
         self.items = [(t, sorted(ids)) for t, ids in sorted(by_text.items()) if len(t) >= Q]
-        grams = [gram_hashes(np.frombuffer(t, np.uint8)) for t, _ in self.items]
+        data = [np.frombuffer(t, np.uint8) for t, _ in self.items]
+        self.size = np.array([len(t) for t in data], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        pool = np.concatenate([np.zeros(0, np.uint8), *data])
+        self.sums = prefix_sums(pool)
+        grams = [gram_hashes(t) for t in data]
         hashes = np.concatenate([np.zeros(0, np.uint64), *grams])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
-        by = np.argsort(hashes, kind="stable")
-        self.item, self.place = item[by], place[by]
-        self.hashes, self.first, self.count = np.unique(hashes[by], return_index=True, return_counts=True)
+        before = np.where(place > 0, pool[np.maximum(0, self.begin[item] + place - 1)] if len(pool) else 0, FIRST)
+        by = np.lexsort((before, hashes))
+        self.item, self.place = item[by].astype(np.int32), place[by].astype(np.int32)
+        self.hashes, self.first, which, self.count = np.unique(hashes[by], return_index=True, return_inverse=True, return_counts=True)
+        self.continued = which * 512 + before[by]
         self.present = np.zeros(1 << TABLE_BITS, bool)
         self.present[self.hashes >> np.uint64(64 - TABLE_BITS)] = True
-        self.most = max([len(t) for t, _ in self.items], default=0)
-        self.edits = np.array([budget(len(t)) for t, _ in self.items], np.int64)
-        self.bound = np.array([len(t) + 1 - Q - k * Q for (t, _), k in zip(self.items, self.edits.tolist())], np.int64)
+        self.most = int(self.size.max()) if len(self.size) else 0
+        self.edits = np.array([budget(n) for n in self.size.tolist()], np.int64)
+        self.bound = self.size + 1 - Q - self.edits * Q
+        self.reach = self.most + int(self.edits.max()) if len(self.edits) else 0
+
+    def _short_automaton(self):
+        """Items of fewer than Q bytes, to be found as whole words."""
+        if not self.short:
+            return None
+        import ahocorasick
 
-    def shared(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text position, item and item position of every shared q-gram of a stretch."""
-        none = np.zeros(0, np.int64)
+        out = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for t in self.short:
+            out.add_word(t.decode(), t)
+        out.make_automaton()
+        return out
+
+    def stretches(self, data: np.ndarray):
+        """(item, diagonal, first place, number of q-grams) of every longest common stretch, a bounded number of them at a time, all of an item together."""
         if len(data) < Q or not self.items:
-            return none, none, none
+            return
         h = gram_hashes(data)
         at = np.flatnonzero(self.present[h >> np.uint64(64 - TABLE_BITS)])
-        where = np.searchsorted(self.hashes, h[at])
-        where[where == len(self.hashes)] = 0
-        same = self.hashes[where] == h[at]
-        at, where = at[same], where[same]
-        n = self.count[where]
-        flat = np.repeat(self.first[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[flat], self.place[flat]
+        gram = np.searchsorted(self.hashes, h[at])
+        gram[gram == len(self.hashes)] = 0
+        same = self.hashes[gram] == h[at]
+        at, gram = at[same], gram[same]
+        if not len(at):
+            return
+        before = np.where(at > 0, data[np.maximum(0, at - 1)], FIRST + 1)
+        low, high = (np.searchsorted(self.continued, gram * 512 + before + k) for k in (0, 1))
+        left, n = low - self.first[gram], self.count[gram] - (high - low)
+        at, left, n, low, high = (x[n > 0] for x in (at, left, n, low, high))
+        if not len(at):
+            return
+        sums, ends = prefix_sums(data), np.cumsum(n)
+        parts = int(-(-ends[-1] // STRETCHES))
+        cuts = np.unique(np.searchsorted(ends, np.arange(1, parts) * STRETCHES))
+        for part in range(parts):
+            found = []
+            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(at)].tolist()):
+                m = n[a:b]
+                step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                go = np.repeat(left[a:b], m)
+                flat = np.where(step < go, np.repeat(low[a:b], m) - go + step, np.repeat(high[a:b], m) + step - go)
+                mine = flat if parts == 1 else flat[self.item[flat] % parts == part]
+                t = np.repeat(at[a:b], m) if parts == 1 else np.repeat(at[a:b], m)[self.item[flat] % parts == part]
+                found.append((t, mine))
+            t, flat = (np.concatenate(x) for x in zip(*found))
+            item, place = self.item[flat].astype(np.int64), self.place[flat].astype(np.int64)
+            size = self._common(sums, t, item, place, np.minimum(self.size[item] - place, len(data) - t))
+            yield item, t - place, place, size - Q + 1
+
+    def _common(self, sums: np.ndarray, t: np.ndarray, item: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes are equal from a text position and an item position on, Q at least; by halving, on prefix sums."""
+        low, high, p = np.full(len(t), Q), most.copy(), self.begin[item] + place
+        power = powers(max(len(sums), len(self.sums)))
+        while True:
+            open_ = np.flatnonzero(low < high)
+            if not len(open_):
+                return low
+            mid = (low[open_] + high[open_] + 1) // 2
+            x, y = t[open_], p[open_]
+            same = (sums[x + mid] - sums[x]) * power[y] == (self.sums[y + mid] - self.sums[y]) * power[x]
+            low[open_[same]] = mid[same]
+            high[open_[~same]] = mid[~same] - 1
 
     def regions(self, data: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, least and greatest diagonal) of each band that reaches the bound of the lemma; a position is counted once for each item position."""
-        parts = []
-        for a in range(0, max(1, len(data) - Q + 1), SCAN):
-            at, item, place = self.shared(data[a : a + SCAN + Q - 1])
-            parts.append((at + a, item, place))
-        at, item, place = (np.concatenate(x) for x in zip(*parts))
-        if not len(at):
-            return []
-        k = self.edits[item]
-        diagonal, width = at - place + self.most, 2 * k + 16
-        out: dict[tuple[int, int], tuple[int, int]] = {}
-        band = diagonal // width
-        extra = (diagonal % width < k) & (band > 0)  # a band reaches k beyond its width, so these count in the band before too
-        item2, band2 = np.concatenate([item, item[extra]]), np.concatenate([band, band[extra] - 1])
-        diagonal2, place2 = np.concatenate([diagonal, diagonal[extra]]), np.concatenate([place, place[extra]])
-        by = np.lexsort((place2, band2, item2))
-        item2, band2, diagonal2, place2 = item2[by], band2[by], diagonal2[by], place2[by]
-        new = np.r_[True, (item2[1:] != item2[:-1]) | (band2[1:] != band2[:-1])]
-        fresh = new | np.r_[True, place2[1:] != place2[:-1]]
-        starts = np.flatnonzero(new)
-        enough = np.add.reduceat(fresh.astype(np.int64), starts) >= self.bound[item2[starts]]
-        low, high = np.minimum.reduceat(diagonal2, starts), np.maximum.reduceat(diagonal2, starts)
-        for s, lo, hi in zip(starts[enough].tolist(), low[enough].tolist(), high[enough].tolist()):
-            out[int(item2[s]), int(band2[s])] = (lo - self.most, hi - self.most)
-        return [(i, lo, hi) for (i, _), (lo, hi) in sorted(out.items())]
+        """(item, least and greatest diagonal) of the bands that reach the bound of the lemma, joined where they meet; an item position counts once in a band."""
+        out: list[tuple[int, int, int]] = []
+        for item, diagonal, place, n in self.stretches(data):
+            k = self.edits[item]
+            diagonal, width = diagonal + self.most, 2 * k + 16
+            band = diagonal // width
+            extra = (diagonal % width < k) & (band > 0)  # a band reaches k beyond its width, so these count in the band before too
+            item, diagonal, place, n, width = (np.concatenate([x, x[extra]]) for x in (item, diagonal, place, n, width))
+            band = np.concatenate([band, band[extra] - 1])
+            by = np.lexsort((place, band, item))
+            item, band, diagonal, place, n, width = (x[by] for x in (item, band, diagonal, place, n, width))
+            new = np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])]
+            starts, group = np.flatnonzero(new), np.cumsum(new) * (self.most + 1)
+            reached = np.maximum.accumulate(group + place + n)
+            done = np.maximum(place, np.where(new, 0, np.r_[0, reached[:-1]] - group))
+            total = np.add.reduceat(np.maximum(0, place + n - done), starts)
+            enough = np.flatnonzero(total >= self.bound[item[starts]])
+            low, high = np.minimum.reduceat(diagonal, starts)[enough] - self.most, np.maximum.reduceat(diagonal, starts)[enough] - self.most
+            for i, lo, hi in zip(item[starts[enough]].tolist(), low.tolist(), high.tolist()):
+                if out and out[-1][0] == i and lo <= out[-1][2] + 2 * int(self.edits[i]) + 1:
+                    out[-1] = (i, out[-1][1], max(hi, out[-1][2]))
+                else:
+                    out.append((i, lo, hi))
+        return out
 
     def occurrences(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the best verified occurrence of each item."""
+        """(item, start, end, edits) of the best verified occurrence of each item, short ones numbered after the others."""
         best: dict[int, tuple[int, int, int]] = {}
-        for i, lo, hi in self.regions(np.frombuffer(text, np.uint8)):
-            item, k = self.items[i][0], int(self.edits[i])
-            if (was := best.get(i)) and was[0] == 0:
-                continue
-            a, b = max(0, lo - k), min(len(text), hi + len(item) + k)
-            exact = text.find(item, a, b)
-            if exact >= 0:
-                found = (0, exact, exact + len(item))
-            elif k and (hit := align(item, text[a:b], k)):
-                found = (hit[0], a + hit[1], a + hit[2])
-            else:
-                continue
-            best[i] = min(was, found) if was else found
-        return [(i, a, b, d) for i, (d, a, b) in sorted(best.items())]
+        for a in range(0, max(1, len(text) - Q + 1), SCAN):  # stretches of text that overlap by a whole occurrence
+            part = text[a : a + SCAN + self.reach]
+            for i, lo, hi in self.regions(np.frombuffer(part, np.uint8)):
+                item, k = self.items[i][0], int(self.edits[i])
+                if (was := best.get(i)) and was[0] == 0:
+                    continue
+                x, y = max(0, lo - k), min(len(part), hi + len(item) + k)
+                exact = part.find(item, x, y)
+                if exact >= 0:
+                    found = (0, a + exact, a + exact + len(item))
+                elif k and (hit := align(item, part[x:y], k)):
+                    found = (hit[0], a + x + hit[1], a + x + hit[2])
+                else:
+                    continue
+                best[i] = min(was, found) if was else found
+        return [(i, a, b, d) for i, (d, a, b) in sorted(best.items())] + self.short_occurrences(text)
+
+    def short_occurrences(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        if not self.words:
+            return []
+        found: dict[bytes, int] = {}
+        spelt = text.decode()
+        for end, t in self.words.iter(spelt):
+            if t not in found:
+                at = end + 1 - len(t.decode())
+                if not (at and spelt[at - 1].isalnum() and spelt[at].isalnum()) and not (end + 1 < len(spelt) and spelt[end + 1].isalnum() and spelt[end].isalnum()):
+                    found[t] = len(spelt[:at].encode())
+        return [(len(self.items) + k, found[t], found[t] + len(t), 0) for k, t in enumerate(self.short) if t in found]
+
+    def names(self, i: int) -> list[int]:
+        """The item_ids of an item found."""
+        return self.items[i][1] if i < len(self.items) else list(self.short.values())[i - len(self.items)]
 
 
 def align(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
@@ -190,7 +285,7 @@ def _searcher(shared):
         index, rows = shared.value, {k.split()[0]: [] for k in SCHEMA.split(", ")}
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
             for i, a, b, d in index.occurrences(normal(text)):
-                for item in index.items[i][1]:
+                for item in index.names(i):
                     for k, v in zip(rows, (doc, item, a, b, d)):
                         rows[k].append(v)
         return rows
@@ -208,15 +303,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, shared) -> DataFrame:
-    def run(batches):
-        release()
-        for batch in batches:
-            index = shared.value
-            keep = [not index.occurrences(normal(t)) for t in texts(batch)]
-            if any(keep):
-                yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, lambda many: [not shared.value.occurrences(normal(t)) for t in many])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
