@@ -10,9 +10,10 @@ document has too goes as a whole, so copies need no windows at all.
 
 Words are runs of characters other than the six ASCII white-space characters, unchanged.
 
-Defined results: a null or empty text has no words. A document of null doc_id loses and causes nothing. Rows of one
-doc_id are one document and are expected to have one text; they do not dedup each other. Columns beside doc_id and text
-have no effect; texts are taken whole.
+Defined results: a null or empty text has no words. A document of null doc_id loses and causes nothing. A row is known by
+its doc_id and a 64-bit hash of its text: rows of one doc_id are judged each by its own text, against smaller doc_ids
+alone, so they do not dedup each other, whether their texts are equal or not. Columns beside doc_id and text have no
+effect; texts are taken whole.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from tesserae.llm.common import arrow_map, arrow_schema, grouped_batches, table,
 WINDOW = 50
 GRAM = 16
 GROUP = 64
+#: A super-k-mer of more windows is cut into several of the same bucket, so that a long run of one word is no long row.
+MOST_WINDOWS = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POW = [np.uint64(pow(0xC2B2AE3D27D4EB4F, 1 << k, 1 << 64)) for k in range(8)]
 
@@ -68,17 +71,22 @@ def super_kmers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> t
     h = (h ^ (h >> np.uint64(32))) * _MIX
     least = sliding_min(h ^ (h >> np.uint64(29)), window - gram + 1)
     starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return least[starts].view(np.int64), starts, np.diff(np.r_[starts, len(least)])
+    size = np.diff(np.r_[starts, len(least)])
+    if size.max() > MOST_WINDOWS:
+        cuts = -(-size // MOST_WINDOWS)
+        step = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        starts, size = np.repeat(starts, cuts) + step * MOST_WINDOWS, np.minimum(MOST_WINDOWS, np.repeat(size, cuts) - step * MOST_WINDOWS)
+    return least[starts].view(np.int64), starts, size
 
 
 def kmer_table(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(mh, sk, n, doc_id, at): minimiser, hash of the words, number of windows, document and first word of every super-k-mer."""
+    """(mh, sk, n, doc_id, th, at): minimiser, hash of the words, number of windows, row and first word of every super-k-mer; ``docs`` has doc_id, th and text."""
 
     def each(batch: pa.RecordBatch):
         import xxhash
 
         parts = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+        for doc, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts(batch)):
             words = text.encode().split()
             mh, at, n = super_kmers(words, window, gram)
             if len(mh):
@@ -86,17 +94,17 @@ def kmer_table(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
                 ends = np.cumsum(size)
                 begin, end = (ends - size)[at].tolist(), (ends - 1)[at + n + window - 2].tolist()
                 sk = np.array([xxhash.xxh3_64_intdigest(line[a:b]) for a, b in zip(begin, end)], np.uint64).view(np.int64)
-                parts.append((mh, sk, n, np.full(len(mh), doc, np.int64), at))
+                parts.append((mh, sk, n, np.full(len(mh), doc, np.int64), np.full(len(mh), th, np.int64), at))
         if parts:
-            return {k: pa.array(np.concatenate(v)) for k, v in zip(("mh", "sk", "n", "doc_id", "at"), zip(*parts))}
+            return {k: pa.array(np.concatenate(v)) for k, v in zip(("mh", "sk", "n", "doc_id", "th", "at"), zip(*parts))}
 
-    return arrow_map(docs.where("doc_id is not null").select("doc_id", "text"), each, "mh long, sk long, n int, doc_id long, at int")
+    return arrow_map(docs.where("doc_id is not null").select("doc_id", "th", "text"), each, "mh long, sk long, n int, doc_id long, th long, at int")
 
 
 def first_ranges(docs: DataFrame, distinct: DataFrame, window: int, group: int) -> DataFrame:
     """(mh, sk, n, a, b): windows a to b of the distinct super-k-mer that a smaller document than its first one has too."""
     many = written(distinct.groupBy("mh").agg(F.count("*").alias("strings")).where("strings > 1"), "buckets")  # read again as a scan, so that the skew join can divide the other side
-    wanted = distinct.join(many, "mh").groupBy("doc_id").agg(F.collect_list(F.struct("mh", "sk", "n", "at", F.ceil(F.col("strings") / group).cast("int").alias("s"))).alias("w"))  # at most a document's own
+    wanted = distinct.join(many, "mh").groupBy("doc_id", "th").agg(F.collect_list(F.struct("mh", "sk", "n", "at", F.ceil(F.col("strings") / group).cast("int").alias("s"))).alias("w"))  # at most a document's own
 
     def cut(batch: pa.RecordBatch):
         out: dict = {k: [] for k in ("mh", "slot", "sk", "n", "doc_id", "s", "words")}
@@ -107,7 +115,7 @@ def first_ranges(docs: DataFrame, distinct: DataFrame, window: int, group: int)
                     out[k].append(v)
         return out
 
-    packed = arrow_map(docs.select("doc_id", "text").join(wanted, "doc_id"), cut, "mh long, slot long, sk long, n int, doc_id long, s int, words binary")
+    packed = arrow_map(docs.join(wanted, ["doc_id", "th"]), cut, "mh long, slot long, sk long, n int, doc_id long, s int, words binary")
     packed = packed.repartition("mh", "slot").sortWithinPartitions("mh", "slot")
     schema = "mh long, sk long, n int, doc_id long, a int, b int, w1 long, w2 long"
 
@@ -159,18 +167,18 @@ def _bucket(rows: list[dict], window: int, digest) -> list[tuple]:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(doc_id, spans): for documents with any, the ranges of words in windows that a smaller document has too."""
+    """(doc_id, th, spans): for rows with any, the ranges of words in windows that a smaller document has too."""
     every = written(kmer_table(docs, window, gram), "super-kmers")
     both = written(every.groupBy("mh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mh"), "shared-minimisers")
     shared = written(every.join(both, "mh"), "shared-super-kmers")
     key = ["mh", "sk", "n"]
-    distinct = shared.groupBy(*key).agg(F.min(F.struct("doc_id", "at")).alias("m")).select(*key, F.col("m.doc_id").alias("doc_id"), F.col("m.at").alias("at"))
+    distinct = shared.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "at")).alias("m")).select(*key, "m.doc_id", "m.th", "m.at")
     distinct = written(distinct, "distinct-super-kmers")
     ranges = first_ranges(docs.where("doc_id is not null"), distinct, window, group)
     of_first = shared.join(distinct.select(*key, F.col("doc_id").alias("first")), key)
-    whole = of_first.where("doc_id > first").select("doc_id", F.col("at").alias("a"), (F.col("at") + F.col("n") + (window - 1)).alias("b"))
-    part = of_first.where("doc_id = first").join(ranges, key).select("doc_id", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + (window - 1)).alias("b"))
-    return whole.union(part).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most a document's own windows
+    whole = of_first.where("doc_id > first").select("doc_id", "th", F.col("at").alias("a"), (F.col("at") + F.col("n") + (window - 1)).alias("b"))
+    part = of_first.where("doc_id = first").join(ranges, key).select("doc_id", "th", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + (window - 1)).alias("b"))
+    return whole.union(part).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most a document's own windows
 
 
 def kept_words(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
@@ -199,8 +207,9 @@ def _judged(docs, window, gram, group, name, of) -> DataFrame:
             out[name].append(of(b" ".join(kept)))
         return out
 
-    spans = repeated_spans(docs, window, gram, group)
-    return arrow_map(docs.select("doc_id", "text").join(spans, "doc_id", "left"), each, f"doc_id long, n_words long, n_removed long, {name} string")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    spans = repeated_spans(rows, window, gram, group)
+    return arrow_map(rows.join(spans, ["doc_id", "th"], "left"), each, f"doc_id long, n_words long, n_removed long, {name} string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
