@@ -22,13 +22,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source go; every document stays, n_chars follows its text. Copies of a page count once."""
     out = op7_lines.line_dedup(docs, "text", "source", copies=False)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns)
+    out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long")))
+    return out.drop(*out.columns[len(docs.columns) :])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of smallest doc_id stays."""
     gone = op6_simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import arrow_map, release, table, texts
+from tesserae.llm.common import arrow_map, filtered, release, table, texts
 
 LEAST = 2e-5
 SHARE = 0.1
@@ -185,13 +185,11 @@ def accepted(docs: DataFrame, model: Filter) -> DataFrame:
     """The documents, with their columns, that are in a learnt language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        release()
-        for batch in batches:
-            found = [shared.value.predict(t) for t in texts(batch)]
-            yield batch.filter(pa.array([x != "und" and (s >= REJECT_UNDER or n < REJECT_FROM) for x, s, n in found], pa.bool_()))
+    def keep(many: list[str]) -> list[bool]:
+        found = [shared.value.predict(t) for t in many]
+        return [x != "und" and (s >= REJECT_UNDER or n < REJECT_FROM) for x, s, n in found]
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import op1_bpe, op2_license, op3_secrets, op4_quality, op5_decontam, op6_simhash, op7_lines, op8_tokens, op9_language, op10_substring
 
@@ -180,7 +181,7 @@ def edits(item, text):
 def test_decontamination_by_brute_force(spark, docs):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
-    items = [" ".join(word() for _ in range(n)) for n in (4, 12, 20, 30)] + [None, "", "tiny"]
+    items = [" ".join(word() for _ in range(n)) for n in (4, 12, 20, 30)] + [None, "", "tiny", "8 bytes!", "été"]
     rows = []
     for k in range(60):
         x = list(items[k % 4])
@@ -188,16 +189,50 @@ def test_decontamination_by_brute_force(spark, docs):
             at = rnd.randrange(len(x))
             x[at : at + rnd.randint(0, 1)] = rnd.choice(["", "z", "zz"])
         rows.append((k, " ".join(word() for _ in range(8)) + " " + "".join(x) + " " + " ".join(word() for _ in range(8))))
+    rows += [(100, "a TINY\n text"), (101, "destiny, tinys"), (102, "in 8  bytes! and été."), (103, "l'étés 18 bytes!"), (104, "tinytiny tiny")]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in op5_decontam.occurrences(d, bench, block_chars=100).collect()}
     norm = [op5_decontam.normal(x or "") for x in items]
     want = {(k, i): e for k, x in rows for i, m in enumerate(norm) if len(m) >= 12 and (e := edits(m, op5_decontam.normal(x))) <= op5_decontam.budget(len(m))}
-    assert want and got == want
+    want |= {(k, i): 0 for k, x in rows for i, m in enumerate(norm) if 0 < len(m) < 12 and re.search(rf"(?<!\w){re.escape(m.decode())}(?!\w)" if m[-1:] != b"!" else rf"(?<!\w){re.escape(m.decode())}", op5_decontam.normal(x).decode())}
+    assert want and got == want and {(100, 6), (102, 7), (102, 8), (104, 6)} <= want.keys() and not {101, 103} & {k for k, _ in want}
     assert {r.doc_id for r in op5_decontam.decontaminate(d, bench).collect()} == {k for k, _ in rows} - {k for k, _ in want}
     assert op5_decontam.occurrences(docs, bench).count() == 0 and op5_decontam.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_repetitive_texts():
+    """Against brute force on periodic texts; and a million equal letters take bounded memory."""
+    rnd = random.Random(6)
+    units = ["=", "ab", "0 1 ", "- - -", "abc abd "]
+    for _ in range(60):
+        x = [(rnd.choice(units) * 40)[: rnd.randint(20, 80)] for _ in range(rnd.randint(1, 4))]
+        items = [(rnd.choice(units) * 60)[: rnd.randint(12, 90)] for _ in range(4)]
+        text, index = op5_decontam.normal("".join(x)), op5_decontam.Index(list(enumerate(items)))
+        got = {i: d for k, _, _, d in index.occurrences(text) if k < len(index.items) for i in index.names(k)}
+        norm = [op5_decontam.normal(t) for t in items]
+        assert got == {i: e for i, m in enumerate(norm) if len(m) >= 12 and (e := edits(m, text)) <= op5_decontam.budget(len(m))}
+    code = "import resource; from tesserae.llm.op5_decontam import Index; x = Index([(0, '=' * 400), (1, 'ab' * 200)]); b = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; assert len(x.occurrences(b'=' * 1_000_000 + b'ab' * 500_000)) == 2; print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - b) // 1024)"
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=Path(__file__).parents[2], text=True).stdout) < 500
+
+
+def test_decontamination_over_the_ends_of_stretches(monkeypatch):
+    rnd = random.Random(8)
+    monkeypatch.setattr(op5_decontam, "SCAN", 100)
+    monkeypatch.setattr(op5_decontam, "STRETCHES", 40)
+    text = "".join(rnd.choice("abcd ") for _ in range(2000))
+    items = [text[a : a + n] for a, n in ((0, 60), (95, 60), (130, 300), (1930, 70), (700, 20))]
+    items += [x[:25] + "zz" + x[27:] for x in items[:4]] + ["ab" * 30]
+    text = op5_decontam.normal(text)
+    index = op5_decontam.Index(list(enumerate(items)))
+    got = {i: d for k, _, _, d in index.occurrences(text) for i in index.names(k)}
+    assert got == {i: e for i, x in enumerate(items) if (e := edits(op5_decontam.normal(x), text)) <= op5_decontam.budget(len(op5_decontam.normal(x)))} and len(got) == 9
+
+
 @pytest.mark.parametrize("group", [512, 3])
 def test_simhash_by_brute_force(spark, docs, corpus, group):
     import xxhash
@@ -236,6 +271,33 @@ def test_line_dedup(spark, docs):
     assert got[0].text == "own line 0\n" and got[15].text == "own line 15\n" and got[0]._removed == 2 and got[90].text is None and got[91].text == "" and got[92].text == "menu"
     assert op7_lines.line_dedup(docs).columns == [*docs.columns, "_lines", "_removed"] and op7_lines.line_dedup(docs).count() == docs.count()
     assert op7_lines.line_dedup(df.limit(0)).count() == 0
+    tabs = spark.createDataFrame([(k, f"\t\n \x0b \nmenu\n{k}\t", "a") for k in range(20)], df.schema)
+    assert {r._removed for r in op7_lines.line_dedup(tabs).collect()} == {1}
+    inner = ["host", "hot", "n_hot", "kept", "c0", "c1", "page", "every", "_host", "_hot", "_lines", "_removed", "_kept", "a.b", "t"]
+    clash = df.select("*", *[F.lit(k).alias(x) for k, x in enumerate(inner)])
+    got = op7_lines.line_dedup(clash)
+    assert got.columns == [*clash.columns, "__lines", "__removed"] and got.where("doc_id = 0").first()[1:] == ("own line 0\n", "a", *range(len(inner)), 4, 2)
+    many = spark.createDataFrame([(k, "\n".join(f"hot {j}" for j in range(500)) + f"\nown {k}", "a") for k in range(12)], df.schema)
+    assert {(r.text, r._removed) for r in op7_lines.line_dedup(many).collect()} == {(f"own {k}", 500) for k in range(12)}
+
+
+def test_pipeline_stages_of_awkward_rows(spark, docs):
+    """Every stage takes empty tables, awkward rows and columns of any name."""
+    import corpus_pipeline as p
+
+    odd = docs.select("*", F.lit(1).alias("a.b"), F.lit(2).alias("hot"), F.lit(3).alias("_removed"), F.lit(4).alias("node"))
+    for df in (odd, odd.limit(0)):
+        for name, stage in p.STAGES:
+            out = stage(spark, df, SMALL)
+            assert name == "tokens" or out.columns == df.columns
+            assert out.count() <= df.count() and (name not in ("lines", "tokens") or out.count() == df.count())
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    made = [op1_bpe.digests(none), op1_bpe.encode_decode(none), op2_license.scan_licenses(none), op3_secrets.scan_secrets(none), op4_quality.quality(none, labels), op4_quality.quality(none, labels.limit(0)), op8_tokens.read_documents(op8_tokens.blocks(none)), op9_language.predict(none, op9_language.learn(none))]
+    assert [df.count() for df in made] == [0] * len(made)
 
 
 def test_line_dedup_of_copies(spark):
@@ -327,7 +389,9 @@ def test_substring_by_brute_force(spark, docs, corpus, group):
     rnd = random.Random(9)
     base = [f"v{rnd.randrange(500)}" for _ in range(150)]
     near = [(5000 + k, " ".join(f"e{rnd.randrange(99)}" if rnd.random() < 0.02 else w for w in base)) for k in range(30)]
-    for df in (docs.select("doc_id", "text").where("doc_id is null or doc_id <> 3"), corpus.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string")), corpus.limit(0)):
+    two = [" ".join(f"u{k}" for k in range(a, a + 80)) for a in (0, 500)]
+    two = [(1, two[0]), (2, two[0]), (2, two[1]), (2, two[1]), (3, two[1]), (4, " ".join(["x"] * 5000)), (5, " ".join(["x"] * 3000)), (6, " ".join(["y z"] * 3000)), (7, "y " + " ".join(["y z"] * 2999))]
+    for df in (docs.select("doc_id", "text"), corpus.select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string")), corpus.limit(0), spark.createDataFrame(two, "doc_id long, text string")):
         first, want = {}, []
         for d, x in sorted(texts(df), key=lambda r: (r[0] is None, r[0])):
             words = re.findall("[^\x20\x09-\x0d]+", x)
