@@ -101,6 +101,7 @@ class Index:
         self.most = int(self.size.max()) if len(self.size) else 0
         self.edits = np.array([budget(n) for n in self.size.tolist()], np.int64)
         self.bound = self.size + 1 - Q - self.edits * Q
+        self.least = max(1, int(self.bound.min())) if len(self.bound) else 1
         self.reach = self.most + int(self.edits.max()) if len(self.edits) else 0
 
     def _short_automaton(self):
@@ -125,7 +126,7 @@ class Index:
         gram[gram == len(self.hashes)] = 0
         same = self.hashes[gram] == h[at]
         at, gram = at[same], gram[same]
-        if not len(at):
+        if len(at) < self.least:  # no band can have as many shared q-grams as the lemma asks for
             return
         before = np.where(at > 0, data[np.maximum(0, at - 1)], FIRST + 1)
         low, high = (np.searchsorted(self.continued, gram * 512 + before + k) for k in (0, 1))
