@@ -1,20 +1,27 @@
 """Operator 4: quality rules with line sequence labelling.
 
 Lines of a text are labelled content or boilerplate by Viterbi decoding of a linear-chain conditional random field, and
-the share of word characters in content lines decides retention, together with the base rules. The field is trained on
-``labels``: the lines of documents of quality 1 are content, those of quality 0 boilerplate. The sample is bounded and
-documented: :data:`SAMPLE` documents of each quality, those of least hash of doc_id, :data:`SAMPLE_LINES` lines each.
+the share of word characters in content lines decides retention, together with the base rules. A line is described by
+its looks and by whether it is boilerplate of its host (operator 7: on more than a tenth of the host's distinct pages).
+
+The field is trained on sequences that change label. A line of a document of quality 0 is boilerplate; a line of a document
+of quality 1 is content unless it is boilerplate of its host; and a document of quality 1 is used a second time with
+stretches of lines of documents of quality 0 spliced in before, after and within, and without the mark of its host, so
+that the moves between labels and the looks alone are learnt too. The sample is bounded and documented: :data:`SAMPLE` documents of each
+quality, those of least hash of doc_id, and of each a stretch of :data:`SAMPLE_LINES` lines from a place chosen by hash.
 
 Words are runs of characters other than the six ASCII white-space characters.
 
 Defined results: a null or empty text has no words, hence base_failed and not kept. Where no document is labelled with
-both qualities the field knows nothing and its verdict is to keep. Equal lines, copies and repeated rows are labelled
-alike; a null doc_id is carried; columns beside doc_id and text have no effect; texts are labelled whole.
+both qualities the field knows nothing and its verdict is to keep. A null host is a host of its own. Rows of one doc_id
+are judged each by its own text, and count once in training, by their least text; a null doc_id is carried; columns
+beside doc_id, text and the host have no effect; texts are labelled whole.
 """
 
 from __future__ import annotations
 
 import string
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import arrow_map, table, texts
+from tesserae.llm.op7_lines import marked_lines
 
 SAMPLE = 1500
-SAMPLE_LINES = 64
+SAMPLE_LINES = 32
 KEEP_SHARE = 0.5
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -72,13 +80,15 @@ def base_rules(text: str) -> dict:
     }
 
 
-FEATURES = 13
+FEATURES = 15
+HOST = FEATURES - 1
 
 
-def line_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features and the number of word characters, for each line with a word."""
+def line_features(raw: bytes, marks: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A row of features and the number of word characters, for each line with a word; ``marks`` has a 1 for each line that is its host's boilerplate."""
     rows, sizes, seen = [], [], set()
-    for line in raw.split(b"\n"):
+    lines = raw.split(b"\n")
+    for line, mark in zip(lines, marks or "0" * len(lines)):
         words = line.split()
         if not words:
             continue
@@ -90,7 +100,7 @@ def line_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         digits = size - len(line.translate(None, _DIGIT + SPACES))
         distinct = len(set(words)) / len(words)
         mean = chars / len(words)
-        rows.append((1.0, min(len(words), 100) / 100, len(words) < 4, symbols / size > 0.02, symbols / size, upper / size > 0.3, upper / size, rare / size, digits / size, distinct < 0.5 and len(words) > 8, distinct, min(mean, 20) / 20, line in seen))
+        rows.append((1.0, min(len(words), 100) / 100, len(words) < 4, symbols / size > 0.02, symbols / size, upper / size > 0.3, upper / size, rare / size, digits / size, distinct < 0.5 and len(words) > 8, distinct, min(mean, 20) / 20, line in seen, words[-1][-1:] in b".!?:;\"'", mark == "1"))
         sizes.append(chars)
         seen.add(line)
     return np.array(rows, float).reshape(-1, FEATURES), np.array(sizes, float)
@@ -111,19 +121,52 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], bool)
 
 
-def train(features: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (2, FEATURES) and moves (2, 2) of greatest conditional likelihood, by gradient ascent with Adam.
-
-    Every line of a document has the document's label. Forward and backward sums run over all documents at once.
+def sequences(sample: list[tuple[int, np.ndarray]], seed: int = 0) -> tuple[list[np.ndarray], list[np.ndarray], list[float]]:
+    """Features, label of every line (1: content) and weight of the training sequences made of (quality, features of a document)."""
+    rng = np.random.default_rng(seed)
+    good, bad = ([f for q, f in sample if q == y] for y in (1, 0))
+    x, y, weight = [], [], []
+    for f in bad:
+        x.append(f)
+        y.append(np.zeros(len(f), int))
+        weight.append(1 / len(bad))
+    for f in good:
+        x.append(f)
+        y.append(1 - f[:, HOST].astype(int))
+        weight.append(0.5 / len(good))
+        plain = f.copy()
+        plain[:, HOST] = 0
+        at = int(rng.integers(0, len(f) + 1))
+        parts, labels = [], []
+        for part in (None, plain[:at], None, plain[at:], None):
+            if part is not None:
+                label = 1 - f[len(f) - len(part) :, HOST] if len(labels) > 2 else 1 - f[: len(part), HOST]
+            else:
+                other = bad[int(rng.integers(len(bad)))]
+                size, begin = int(rng.integers(0, 5)), int(rng.integers(len(other)))
+                part = other[begin : begin + size].copy()
+                part[:, HOST] = 0
+                label = np.zeros(len(part))
+            parts.append(part)
+            labels.append(label.astype(int))
+        x.append(np.concatenate(parts)[: 2 * SAMPLE_LINES])
+        y.append(np.concatenate(labels)[: 2 * SAMPLE_LINES])
+        weight.append(0.5 / len(good))
+    return x, y, weight
+
+
+def train(features: list[np.ndarray], labels: list[np.ndarray], weights: list[float], steps: int = 150, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (2, FEATURES) and moves (2, 2) of greatest conditional likelihood of the labels of lines, by gradient ascent with Adam.
+
+    Forward and backward sums run over all sequences at once.
     """
     n, most = len(features), max(map(len, features))
     x, mask = np.zeros((n, most, FEATURES)), np.zeros((n, most), bool)
-    for k, f in enumerate(features):
-        x[k, : len(f)], mask[k, : len(f)] = f, True
     gold = np.zeros((n, most, 2))
-    gold[np.arange(n), :, np.array(labels)] = 1
-    gold *= mask[..., None]
-    weight = np.array([0.5 / max(1, labels.count(y)) for y in labels])  # both labels weigh as much
+    for k, (f, y) in enumerate(zip(features, labels)):
+        x[k, : len(f)], mask[k, : len(f)] = f, True
+        gold[k, np.arange(len(f)), y] = 1
+    weight = np.array(weights)
     theta, m, v = np.zeros(2 * FEATURES + 4), 0.0, 0.0
     lse = lambda z, axis: (top := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - top).sum(axis))
     for step in range(1, steps + 1):
@@ -146,8 +189,14 @@ def train(features: list[np.ndarray], labels: list[int], steps: int = 150, rate:
     return theta[: 2 * FEATURES].reshape(2, FEATURES), theta[2 * FEATURES :].reshape(2, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
-    """The field, from at most ``sample`` documents of each quality; None if one quality has none."""
+def stretch(f: np.ndarray, text: str) -> np.ndarray:
+    """A stretch of :data:`SAMPLE_LINES` lines, its place chosen by a hash of the text."""
+    spare = len(f) - SAMPLE_LINES
+    return f if spare <= 0 else f[(at := zlib.crc32(text.encode()) % (spare + 1)) : at + SAMPLE_LINES]
+
+
+def fit(marked: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray] | None:
+    """The field, from (doc_id, text, marks) of at most ``sample`` documents of each quality; None if one quality has none."""
     known = labels.select("doc_id", "quality").where("doc_id is not null")
     chosen = None
     for q in (0, 1):
@@ -155,41 +204,44 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         chosen = part if chosen is None else chosen.union(part)
 
     def each(batch: pa.RecordBatch):
-        found = [(q, line_features(t.encode())[0][:SAMPLE_LINES]) for t, q in zip(texts(batch), batch.column("q").to_pylist())]
+        found = [(q, stretch(line_features(t.encode(), m)[0], t)) for t, m, q in zip(texts(batch), batch.column("marks").to_pylist(), batch.column("q").to_pylist())]
         found = [(q, f) for q, f in found if len(f)]
         return {"q": [q for q, _ in found], "f": [f.ravel().tolist() for _, f in found]}
 
-    rows = arrow_map(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("q").cast("long").alias("q")), each, "q long, f array<double>").collect()  # at most 2 * sample rows of 64 lines, unless doc_id repeats
-    rows = sorted((r.q, tuple(r.f)) for r in rows)
+    once = marked.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("q").cast("long").alias("q")).agg(F.min(F.struct("text", "marks")).alias("m"))
+    rows = arrow_map(once.select("q", "m.text", "m.marks"), each, "q long, f array<double>").collect()  # at most 2 * sample rows, a doc_id once for each quality
+    rows = [(q, np.array(f).reshape(-1, FEATURES)) for q, f in sorted((r.q, tuple(r.f)) for r in rows)]
     if len({q for q, _ in rows}) < 2:
         return None
-    return train([np.array(f).reshape(-1, FEATURES) for _, f in rows], [q for q, _ in rows])
+    return train(*sequences(rows))
 
 
-def label_lines(text: str, field: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def label_lines(text: str, field: tuple[np.ndarray, np.ndarray], marks: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each line with a word: whether it is content, and its word characters."""
-    f, size = line_features(text.encode())
+    f, size = line_features(text.encode(), marks)
     return (viterbi(f @ field[0].T, field[1]), size) if len(f) else (np.zeros(0, bool), size)
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_content_lines long, content_share double"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_content_lines long, n_boilerplate_lines long, content_share double"
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """(doc_id, text) to the base counts, the content share (null where nothing was learnt) and the verdict."""
-    field = fit(docs, labels, sample)
+def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_share: float = KEEP_SHARE, host: str = "source") -> DataFrame:
+    """(doc_id, text, host) to the base counts, the labelled lines, the content share (null where nothing was learnt) and the verdict."""
+    marked = marked_lines(docs.select("doc_id", "text", host), "text", host)
+    field = fit(marked, labels, sample)
 
     def each(batch: pa.RecordBatch):
         rows = []
-        for text in texts(batch):
-            row, lines, share = base_rules(text), None, None
+        for text, marks in zip(texts(batch), batch.column("marks").to_pylist()):
+            row, lines, rest, share = base_rules(text), None, None, None
             if field is not None:
-                content, size = label_lines(text, field)
+                content, size = label_lines(text, field, marks)
                 lines, share = int(content.sum()), float(size[content].sum() / size.sum()) if len(size) else 0.0
-            rows.append(row | {"kept": not row["base_failed"] and (share is None or share >= keep_share), "n_content_lines": lines, "content_share": share})
+                rest = len(content) - lines
+            rows.append(row | {"kept": not row["base_failed"] and (share is None or share >= keep_share), "n_content_lines": lines, "n_boilerplate_lines": rest, "content_share": share})
         return {k: [r[k] for r in rows] for k in rows[0]} | {"doc_id": batch.column("doc_id")}
 
-    return arrow_map(docs.select("doc_id", "text"), each, SCHEMA)
+    return arrow_map(marked.select("doc_id", "text", "marks"), each, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,36 @@ def test_quality_held_out(spark):
     assert len(rows) > 50 and sum(r.kept == (r.quality == 1) for r in rows) >= 0.95 * len(rows)
 
 
+def test_quality_labels_lines_of_mixed_pages(spark):
+    """Menu lines round an article are boilerplate by their looks or by their host, the article stays content."""
+    base = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    good = d.join(lab.where("quality = 1"), "doc_id").where("length(text) between 1500 and 6000 and text like '%\n%\n%\n%'").orderBy("doc_id").limit(12).collect()
+    menu, foot = ["Home | About | Contact", "HOME!! PRICES!!", "$$$ shop &&& cart ###"], ["### top ### $$$", "Terms | Privacy"]
+    seen = ["Sign in to the site", "Our other pages"]
+    rows = [(10**6 + k, "\n".join([*menu, *r.text.split("\n"), *foot]), "looks") for k, r in enumerate(good)]
+    rows += [(2 * 10**6 + k, "\n".join([*seen, *r.text.split("\n")]), "planted host") for k, r in enumerate(good)]
+    df = d.select("doc_id", "text", "source").union(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r.doc_id: r for r in op4_quality.quality(df, lab).collect()}
+    for doc, text, _ in rows:
+        r, lines = got[doc], sum(1 for x in text.split("\n") if x.strip())
+        assert r.kept and r.n_content_lines > 0 and r.n_boilerplate_lines > 0 and 0.5 < r.content_share < 1 and r.n_content_lines + r.n_boilerplate_lines == lines
+    assert sum(got[doc].n_boilerplate_lines <= 7 for doc, *_ in rows) >= 0.8 * len(rows)
+    both = [r for r in got.values() if r.n_content_lines and r.n_boilerplate_lines]
+    assert len(both) > 50
+
+
+def test_quality_of_repeated_rows(spark):
+    """A doc_id of very many rows is one training document; each of its rows is judged by its own text."""
+    d, lab = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    one = lab.where("quality = 1").orderBy("doc_id").first().doc_id
+    many = spark.range(500).select(F.lit(one).alias("doc_id"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    df = d.select("doc_id", "text", "source").union(many)
+    assert op4_quality.quality(df, lab).where(f"doc_id = {one}").count() == 501
+    few = op4_quality.stretch(np.arange(100)[:, None], "some text")
+    assert len(few) == op4_quality.SAMPLE_LINES and (np.diff(few[:, 0]) == 1).all() and len({int(op4_quality.stretch(np.arange(100)[:, None], f"t{k}")[0, 0]) for k in range(50)}) > 10
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     for n in (1, 2, 6):
