@@ -73,21 +73,41 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+#: Algorithm identifiers of RSA and elliptic-curve keys, and of the keys of the given sizes that are plain octets.
+RSA, EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
+OCTET_KEYS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+
+
+def is_pkcs1(items: list[tuple[int, bytes]]) -> bool:
+    """A version and at least eight positive integers."""
+    return len(items) >= 9 and all(t == 2 for t, _ in items[:9]) and items[0][1] in (b"\0", b"\1") and all(v and not v[0] & 128 for _, v in items[:9])
+
+
+def is_sec1(items: list[tuple[int, bytes]]) -> bool:
+    """Version 1, a private number of 20 to 66 bytes, and closed tagged fields."""
+    return [t for t, _ in items[:2]] == [2, 4] and items[0][1] == b"\1" and 20 <= len(items[1][1]) <= 66 and all(t in (0xA0, 0xA1) and der_items(v) is not None for t, v in items[2:])
+
+
+def is_pkcs8(items: list[tuple[int, bytes]]) -> bool:
+    """A version, an algorithm, and an octet string that holds the key which the algorithm asks for."""
+    if [t for t, _ in items[:3]] != [2, 0x30, 4] or items[0][1] not in (b"\0", b"\1") or any(t not in (0xA0, 0xA1, 0x81) for t, _ in items[3:]):
+        return False
+    algorithm, inner = der_items(items[1][1]), der_items(items[2][1])
+    if not algorithm or algorithm[0][0] != 6 or not inner or len(inner) != 1:
+        return False
+    (oid, (tag, value)) = algorithm[0][1], inner[0]
+    if oid in (RSA, EC):
+        fields = der_items(value) if tag == 0x30 else None
+        return bool(fields) and (is_pkcs1 if oid == RSA else is_sec1)(fields)
+    return tag == 4 and len(value) == OCTET_KEYS[oid] if oid in OCTET_KEYS else tag in (2, 4, 0x30)
+
+
 def is_der_key(data: bytes) -> bool:
     """A PKCS#1, PKCS#8 or SEC1 private key: one sequence, closed exactly, with the fields of one of them."""
     top = der_items(data)
     if not top or len(top) != 1 or top[0][0] != 0x30 or not (items := der_items(top[0][1])):
         return False
-    tags = [t for t, _ in items]
-    if tags[:1] != [2]:
-        return False
-    version = items[0][1]
-    if len(tags) >= 9 and set(tags[:9]) == {2} and version in (b"\0", b"\1"):
-        return all(v and not v[0] & 128 for _, v in items[:9])
-    if tags[:3] == [2, 0x30, 4] and version in (b"\0", b"\1"):
-        algorithm = der_items(items[1][1])
-        return bool(algorithm) and algorithm[0][0] == 6
-    return tags[:2] == [2, 4] and version == b"\1" and 20 <= len(items[1][1]) <= 66 and all(t in (0xA0, 0xA1) and der_items(v) is not None for t, v in items[2:])
+    return is_pkcs1(items) or is_pkcs8(items) or is_sec1(items)
 
 
 def is_openssh_key(data: bytes) -> bool:

@@ -114,13 +114,24 @@ def test_secrets(docs, corpus, spark):
         assert counted(tuple(r)[:5] for r in op3_secrets.scan_secrets(df).collect()) == counted(want)
 
 
+def test_secret_pkcs8_holds_a_key():
+    """The inner octet string of PKCS#8 has to be the key that its algorithm asks for."""
+    rsa, ec, ed = b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01", b"\x2a\x86\x48\xce\x3d\x02\x01", b"\x2b\x65\x70"
+    pkcs1 = der(0x30, der(2, b"\0") + b"".join(der(2, b"\x01" * k) for k in (64, 3, 64, 32, 32, 32, 32, 32)))
+    sec1 = der(0x30, der(2, b"\1") + der(4, b"k" * 32))
+    made = lambda oid, inner, rest=b"": der(0x30, der(2, b"\0") + der(0x30, der(6, oid)) + der(4, inner) + rest)
+    good = [made(rsa, pkcs1), made(ec, sec1), made(ed, der(4, b"k" * 32)), made(b"\x2a\x03", der(2, b"\1" * 20)), made(ed, der(4, b"k" * 32), der(0xA0, b""))]
+    bad = [made(rsa, b"k" * 300), made(rsa, sec1), made(rsa, pkcs1[:-1]), made(ec, pkcs1), made(ed, der(4, b"k" * 31)), made(b"\x2a\x03", b"kkk"), made(rsa, pkcs1 + b"\0"), made(ed, der(4, b"k" * 32), der(2, b"\1"))]
+    assert all(map(op3_secrets.is_der_key, good)) and not any(map(op3_secrets.is_der_key, bad))
+
+
 @pytest.mark.parametrize("extra", range(3))
 @pytest.mark.parametrize("before", ["", "a line of text\n", "-" * 45 + "\n", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\r\n"])
 @pytest.mark.parametrize("after", ["", "\n", "\n-----END PRIVATE KEY-----", "\nhello world", "\nhello\nworld\n", "\r\n-----END X-----", "-----END X-----", "\n" + "A" * 70])
 def test_secret_keys_in_their_text(extra, before, after):
     numbers = lambda n: b"".join(der(2, b"\x01" * k) for k in (64, 3, 64, 32, 32, 32, 32, n))
     pkcs1 = der(0x30, der(2, b"\0") + numbers(30 + extra))
-    pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x03")) + der(4, b"k" * (200 + extra)))
+    pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, pkcs1))
     ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 30, b"s" * (140 + extra)))
     end = "\r\n" if "\r" in before else "\n"
     for data, kind in ((pkcs1, "der"), (pkcs8, "der"), (ssh, "openssh")):
