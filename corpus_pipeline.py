@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest doc_id stays."""
-    gone = op6_simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """Of each group of near duplicates, of a similarity of about 0.8 or more on five-word shingles, the document of smallest doc_id stays."""
+    gone = op6_simhash.similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 

@@ -43,6 +43,18 @@ def small(df: DataFrame, most_rows: int, weight: str | None = None, most_weight:
     return F.broadcast(df) if found.n <= most_rows and (found.w or 0) <= most_weight else df
 
 
+class Hashes(dict):
+    """The hash of each word, kept for some."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
 _resident: dict[str, object] = {}
 
 

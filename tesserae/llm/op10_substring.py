@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import arrow_map, arrow_schema, grouped_batches, table, texts, written
+from tesserae.llm.common import Hashes, arrow_map, arrow_schema, grouped_batches, table, texts, written
 
 WINDOW = 50
 GRAM = 16
@@ -36,18 +36,6 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POW = [np.uint64(pow(0xC2B2AE3D27D4EB4F, 1 << k, 1 << 64)) for k in range(8)]
 
 
-class Hashes(dict):
-    """The hash of each word, kept for some."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
 _hashes = Hashes()
 
 

@@ -2,16 +2,17 @@
 
 A fingerprint has a bit set if more than half of the document's shingle hashes have it set. Two fingerprints that differ
 in at most three bits agree in two of five blocks, so fingerprints meet under each pair of blocks and are verified by
-their Hamming distance. What meets is distinct fingerprints, never copies of documents: each stands for its documents by
-the smallest doc_id. A key under which more than :data:`GROUP` fingerprints meet is dealt out as pairs of slots of that
-many at most, so no task holds an unbounded group; and of the links in a group of slots only a spanning forest leaves
-the task, which loses no connection. Components are found by contraction (``common.components``).
+their Hamming distance. What meets is distinct fingerprints, never copies of documents: each stands for its documents.
+Under a key of more than :data:`GROUP` fingerprints a leader is compared with all, and the triangle
+inequality leaves few other comparisons (:func:`_led`); what then is left is dealt out as pairs of slots of that many at
+most, so no task holds an unbounded group. Of the links in a group only a spanning forest leaves the task, which loses no
+connection. Components are found by contraction (``common.components``).
 
 Words are runs of characters other than the six ASCII white-space characters, A-Z lower-cased.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other. A document of null doc_id has its
 fingerprint, and the component of the documents that have the same one (null if none has a doc_id); it links nothing.
-Equal rows have equal results; columns beside doc_id and text have no effect; texts are hashed whole.
+Rows of one doc_id are each linked by their own text. Equal rows have equal results; columns beside doc_id and text have no effect; texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -23,13 +24,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import arrow_map, arrow_schema, components, grouped_batches, table, texts, written
+from tesserae.llm.common import Hashes, arrow_map, arrow_schema, components, grouped_batches, small, table, texts, written
 
 SHINGLE = 3
 DISTANCE = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 GROUP = 512
 SMALL = 24
+#: Rounds of leaders for keys of more nodes than a group, and keys of that kind that are broadcast.
+LEADERS = 3
+FEW_KEYS = 20_000
+#: Words of 64 bits of the two fingerprints of :func:`similar`, and the bits of the second in which similar texts may differ.
+BLOCK_WORDS, WORDS = 6, 4
+SIMILAR_BITS = 46
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
+_STEP = np.uint64(0xFF51AFD7ED558CCD)
+_hashes = Hashes()
 
 
 def fingerprint(text: str) -> int:
@@ -66,24 +76,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, f long")
 
 
-def block_keys(f: str = "f") -> Column:
-    """The keys of a fingerprint: the pair of blocks and the bits of both."""
-    def bits(k: int) -> Column:
+def sketches(docs: DataFrame, blocks: int = BLOCK_WORDS, verified: int = WORDS) -> DataFrame:
+    """(doc_id, text) to (doc_id, b0, b1, ..., v0, v1, ...): fingerprints of several words, of the distinct pairs of words for blocks and of the distinct five-word shingles for verification."""
+    names = [f"b{k}" for k in range(blocks)] + [f"v{k}" for k in range(verified)]
+
+    def each(batch: pa.RecordBatch):
+        rows = []
+        for t in texts(batch):
+            words = t.encode().lower().split()
+            h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+            rows.append(np.concatenate([wide_fingerprint(h, 2, blocks), wide_fingerprint(h, 5, verified)]))
+        columns = np.array(rows, np.uint64).view(np.int64)
+        return {"doc_id": batch.column("doc_id")} | {n: pa.array(np.ascontiguousarray(columns[:, k])) for k, n in enumerate(names)}
+
+    return arrow_map(docs.select("doc_id", "text"), each, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def wide_fingerprint(words: np.ndarray, shingle: int, size: int) -> np.ndarray:
+    """``size`` words of fingerprint of the distinct shingles of hashed words; a bit is 1 if set in over half of them."""
+    n = max(1, len(words) - shingle + 1) if len(words) else 0
+    h = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(words))):
+        h = h * _STEP + words[k : k + n]
+    h = np.unique(h)
+    ones = np.zeros(64 * size, np.int64)
+    for a in range(0, len(h), 255):
+        part = h[a : a + 255, None] * _MIX[None, :size]
+        part ^= part >> np.uint64(29)
+        part *= _STEP
+        part ^= part >> np.uint64(32)
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")
+
+
+def block_keys(words: list[str]) -> Column:
+    """The keys of a fingerprint of some words: the word, the pair of its blocks and the bits of both."""
+
+    def bits(f: str, k: int) -> Column:
         at, size = BLOCKS[k]
         return F.shiftrightunsigned(F.col(f), at).bitwiseAND(F.lit((1 << size) - 1))
 
-    return F.array(*[F.lit(n << 32).cast("long").bitwiseOR(F.shiftleft(bits(a), 13)).bitwiseOR(bits(b)) for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - DISTANCE))])
+    pairs = list(combinations(range(len(BLOCKS)), len(BLOCKS) - DISTANCE))
+    return F.array(*[F.lit((t * len(pairs) + n) << 32).cast("long").bitwiseOR(F.shiftleft(bits(f, a), 13)).bitwiseOR(bits(f, b)) for t, f in enumerate(words) for n, (a, b) in enumerate(pairs)])
+
+
+def differing(f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The number of differing bits of rows of words."""
+    return np.bitwise_count(f ^ g).sum(-1, dtype=np.int64)
 
 
-def links_in_group(f: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links in one group: every fingerprint is compared once with all not yet reached."""
+def links_in_group(f: np.ndarray, node: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in one group of rows of words: every fingerprint is compared once with all not yet reached."""
     a, b = [], []
     rest = np.arange(len(f))
     while len(rest) > 1:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             at = todo.pop()
-            near = np.bitwise_count(f[rest] ^ f[at]) <= DISTANCE
+            near = differing(f[rest], f[at]) <= distance
             if near.any():
                 reached = rest[near]
                 a.append(np.full(len(reached), node[at]))
@@ -94,21 +144,27 @@ def links_in_group(f: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(found: DataFrame, group: int = GROUP) -> DataFrame:
-    """Links (a, b) that connect the same nodes as all links of ``found`` (f, node), whose fingerprints are distinct."""
-    keyed = found.select("f", "node", F.explode(block_keys()).alias("key"))
+def links(found: DataFrame, blocks: list[str], words: list[str], distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """Links (a, b) that connect the same nodes as all links of ``found`` that meet under a key.
+
+    ``found`` has node and columns of longs; ``blocks`` give the keys, and nodes are linked if ``words`` differ in at
+    most ``distance`` bits. The words of nodes are distinct.
+    """
+    keyed = found.select("node", F.explode(block_keys(blocks)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, "key").withColumn("s", F.ceil(F.col("n") / group).cast("int"))
-    slot = F.pmod(F.xxhash64("f"), F.col("s")).cast("int")
-    met = met.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    met = met.select("key", F.least("slot", "other").alias("s1"), F.greatest("slot", "other").alias("s2"), "f", "node")
-    met = met.repartition("key", "s1", "s2").sortWithinPartitions("key", "s1", "s2")
+    met = written(keyed.join(sizes, "key").join(found.select("node", *words), "node").select("key", "node", *words, "n"), "met")
+    groups = [met.where(F.col("n") <= group).select("key", F.lit(0).alias("s1"), F.lit(0).alias("s2"), "node", *words)]
+    stars, hot = _led(met.where(F.col("n") > group).select("key", "node", *words), words, distance, group, groups)
+    every = groups[0]
+    for g in groups[1:]:
+        every = every.union(g)
+    every = every.repartition("key", "s1", "s2").sortWithinPartitions("key", "s1", "s2")
 
     def run(batches):
         target = arrow_schema("a long, b long")
         for t in grouped_batches(batches, ["key", "s1", "s2"]):
-            key, s1, s2, f, node = (t.column(c).to_numpy() for c in ("key", "s1", "s2", "f", "node"))
-            f = f.view(np.uint64)
+            key, s1, s2, node = (t.column(c).to_numpy() for c in ("key", "s1", "s2", "node"))
+            f = np.stack([t.column(c).to_numpy() for c in words], 1).view(np.uint64)
             new = np.r_[True, (key[1:] != key[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]
             starts = np.flatnonzero(new)
             size = np.diff(np.r_[starts, len(f)])
@@ -117,30 +173,90 @@ def links(found: DataFrame, group: int = GROUP) -> DataFrame:
             out_a, out_b = [], []
             for step in range(1, min(SMALL, int(size.max()))):
                 i = np.flatnonzero((which[step:] == which[:-step]) & few[step:])
-                i = i[np.bitwise_count(f[i] ^ f[i + step]) <= DISTANCE]
+                i = i[differing(f[i], f[i + step]) <= distance]
                 out_a.append(node[i])
                 out_b.append(node[i + step])
             for a, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                x, y = links_in_group(f[a : a + n], node[a : a + n])
+                x, y = links_in_group(f[a : a + n], node[a : a + n], distance)
                 out_a.append(x)
                 out_b.append(y)
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=target)
 
-    return met.mapInArrow(run, "a long, b long")
+    return every.mapInArrow(run, "a long, b long").union(stars) if hot else every.mapInArrow(run, "a long, b long")
+
+
+def _led(rest: DataFrame, words: list[str], distance: int, group: int, groups: list[DataFrame]) -> tuple[DataFrame | None, bool]:
+    """Links of keys under which more than ``group`` nodes meet; what is still to be compared is added to ``groups``.
+
+    Each key takes its least node for a leader, and nodes within the distance are linked to it. They are connected, so
+    they need no comparison with each other, nor with nodes beyond twice the distance, which cannot be near any of them;
+    they are compared with the nodes between, and all nodes that are not linked with each other. So one large group of near
+    copies costs a pass, not its square. After :data:`LEADERS` rounds what is left is dealt out as pairs of slots.
+    """
+    stars = None
+    for turn in range(LEADERS):
+        if rest.isEmpty():
+            return stars, stars is not None
+        lead = small(written(rest.groupBy("key").agg(F.min(F.struct("node", *words)).alias("lead")), "leaders"), FEW_KEYS)
+        d = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("lead")[w])) for w in words), F.lit(0))
+        led = written(rest.join(lead, "key").select("key", "node", *words, F.col("lead.node").alias("leader"), d.alias("d")), "led")
+        star = led.where((F.col("d") <= distance) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        stars = star if stars is None else stars.union(star)
+        near, border = led.where(F.col("d") <= distance), led.where((F.col("d") > distance) & (F.col("d") <= 2 * distance))
+        dealt = lambda c: F.ceil(F.count(F.when(c, 1)) / group).cast("int")
+        slots = led.groupBy("key").agg(dealt(F.col("d") <= distance).alias("n1"), dealt((F.col("d") > distance) & (F.col("d") <= 2 * distance)).alias("n2"), F.count(F.when(F.col("d") > distance, 1)).alias("n"))
+        slots = small(written(slots, "slots"), FEW_KEYS)
+        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        tag = (2 * turn + 1) << 20  # apart from the slots of other rounds
+        met = slots.where("n1 > 0 and n2 > 0").select("key", "n1", "n2")
+        groups.append(near.join(met, "key").select("key", (own("n1") + tag).alias("s1"), other("n2").alias("s2"), "node", *words))
+        groups.append(border.join(met, "key").select("key", other("n1").alias("s1"), own("n2").alias("s2"), "node", *words).withColumn("s1", F.col("s1") + tag))
+        apart = led.where(F.col("d") > distance).join(slots.select("key", "n"), "key")
+        groups.append(apart.where((F.col("n") > 1) & (F.col("n") <= group)).select("key", F.lit((2 * turn + 2) << 20).alias("s1"), F.lit(0).alias("s2"), "node", *words))
+        rest = apart.where(F.col("n") > group).select("key", "node", *words)
+    s = rest.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("s"))
+    slot = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
+    pairs = rest.join(small(written(s, "slots"), FEW_KEYS), "key").withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    groups.append(pairs.select("key", (F.least("slot", "other") + ((2 * LEADERS + 1) << 20)).alias("s1"), F.greatest("slot", "other").alias("s2"), "node", *words))
+    return stars, True
+
+
+def _components(of: DataFrame, blocks: list[str], words: list[str], distance: int, group: int) -> DataFrame:
+    """(words, component_id): the smallest doc_id that can be reached, for each distinct fingerprint of ``of``."""
+    same = list(dict.fromkeys([*words, *blocks]))
+    node = F.col(same[0]) if len(same) == 1 else F.xxhash64(*same)
+    found = of.where("doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("least")).withColumn("node", node)
+    found = written(found, "distinct-fingerprints")
+    parts = components(links(found, blocks, words, distance, group))
+    named = found.join(parts, "node", "left").select(*same, "least", F.coalesce("component", "node").alias("part"))
+    least = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    return written(named.join(least, "part").select(*same, "component_id"), "fingerprint-components")
 
 
 def near_duplicates(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row."""
     of = written(fingerprints(docs), "fingerprints")
-    found = written(of.where("doc_id is not null").groupBy("f").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    parts = components(links(found, group))
-    named = found.join(parts, "node", "left").select("f", "node", F.coalesce("component", "node").alias("part"))
-    least = named.groupBy("part").agg(F.min("node").alias("component_id"))
-    named = written(named.join(least, "part").select("f", "component_id"), "fingerprint-components")
+    named = _components(of, ["f"], ["f"], DISTANCE, group)
     return of.join(named, "f", "left").select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def similar(docs: DataFrame, bits: int = SIMILAR_BITS, group: int = GROUP) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose five-word shingles are alike in about 0.8 or more.
+
+    The wide form for whole corpora: texts meet under the pairs of blocks of six fingerprints of their pairs of words,
+    which near copies change less than longer shingles, and are linked if their fingerprints of five-word shingles, of 256 bits,
+    differ in at most ``bits``; at a similarity of 0.8 the expected number is 39, with a deviation of 6. Texts whose first
+    fingerprints differ in at most three bits in any of the six words surely meet, others by chance: README has the
+    measured recall. Fingerprints are known by a 64-bit hash of all their words.
+    """
+    of = written(sketches(docs), "sketches")
+    blocks, words = [f"b{k}" for k in range(BLOCK_WORDS)], [f"v{k}" for k in range(WORDS)]
+    named = _components(of, blocks, words, bits, group)
+    return of.join(named, [*words, *blocks], "left").select("doc_id", "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -305,6 +305,70 @@ def test_simhash_by_brute_force(spark, docs, corpus, group):
         assert counted((r.doc_id, r.fingerprint, r.component_id) for r in got) == counted((d, f"{f:016x}", of.get(f)) for d, f in rows)
 
 
+def wide(text, shingle, size):
+    """A plain form of the wide fingerprint, bit by bit."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+    salts, step = [int(x) for x in op6_simhash._MIX], int(op6_simhash._STEP)
+    words = [xxhash.xxh64_intdigest(w) for w in text.encode().lower().split()]
+    found = set()
+    for k in range(max(1, len(words) - shingle + 1) if words else 0):
+        h = 0
+        for w in words[k : k + shingle]:
+            h = (h * step + w) & mask
+        found.add(h)
+    out = []
+    for j in range(size):
+        mixed = []
+        for h in found:
+            x = h * salts[j] & mask
+            x = (x ^ x >> 29) * step & mask
+            mixed.append(x ^ x >> 32)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)))
+    return tuple(out)
+
+
+def test_similar_texts_by_brute_force(spark, docs, corpus, group=4):
+    """Links are the pairs that share a pair of blocks and differ in few bits; large groups go through leaders and slots."""
+    rnd = random.Random(7)
+    base = [[f"w{rnd.randrange(3000)}" for _ in range(120)] for _ in range(3)]
+    near = [(5000 + k, " ".join(f"e{rnd.randrange(99)}" if rnd.random() < rnd.choice((0.005, 0.02, 0.06)) else w for w in base[k % 3])) for k in range(90)]
+    short = [(6000 + k, f"a{k} b") for k in range(20)]
+    df = docs.select("doc_id", "text").union(corpus.where("n_chars < 1000").select("doc_id", "text")).union(spark.createDataFrame(near + short, "doc_id long, text string"))
+    for df in (df, df.limit(0)):
+        rows = [(d, wide(x, 2, 6) + wide(x, 5, 4)) for d, x in texts(df)]
+        part = {f: f for d, f in rows if d is not None}
+
+        def root(f):
+            while part[f] != f:
+                f = part[f]
+            return f
+
+        seen = {}
+        for f in part:
+            for t, b in enumerate(f[:6]):
+                cut = [(b >> at) & ((1 << size) - 1) for at, size in op6_simhash.BLOCKS]
+                for i in range(5):
+                    for j in range(i):
+                        for g in seen.setdefault((t, i, j, cut[i], cut[j]), []):
+                            if sum((p ^ q).bit_count() for p, q in zip(f[6:], g[6:])) <= op6_simhash.SIMILAR_BITS:
+                                part[root(f)] = root(g)
+                        seen[t, i, j, cut[i], cut[j]].append(f)
+        least = {}
+        for d, f in rows:
+            if d is not None:
+                least[root(f)] = min(d, least.get(root(f), d))
+        got = op6_simhash.similar(df, group=group).collect()
+        assert counted((r.doc_id, r.component_id) for r in got) == counted((d, least[root(f)] if f in part else None) for d, f in rows)
+    edited = []
+    for k in range(30):
+        words = list(base[0])
+        words[rnd.randrange(len(words))] = "changed"
+        edited.append((k, " ".join(words)))
+    assert op6_simhash.similar(spark.createDataFrame(edited, "doc_id long, text string")).select("component_id").distinct().count() <= 2
+
+
 def test_line_dedup(spark, docs):
     rows = [(k, f"menu\nown line {k}\n\nmenu", "a" if k < 12 else None) for k in range(20)] + [(90, None, "a"), (91, "", "a"), (92, "menu", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("doc_id", "doc_id")
@@ -473,10 +537,10 @@ def test_pipeline(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept, columns = d, d.columns
     for name, stage in p.STAGES[:-1]:
-        kept = written(stage(spark, kept, SMALL), name)
+        before, kept = kept, written(stage(spark, kept, SMALL), name)
         assert kept.columns == columns
         if name == "near_duplicates":
-            of = op6_simhash.near_duplicates(written(p.lines(spark, d, SMALL), "l"))
+            of = op6_simhash.similar(before)
             assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in of.where("doc_id = component_id").collect()}
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     assert kept.count() > 0.8 * d.count() and op5_decontam.occurrences(kept, bench).count() == 0
