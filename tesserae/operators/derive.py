@@ -34,17 +34,22 @@ def unpacked(evidence: DataFrame) -> DataFrame:
     return evidence.select("sample_id", "model_version_id", F.inline(F.arrays_zip(F.col("categories").alias("category"), F.col("tags").alias("tag"), F.col("scores").alias("score"))))
 
 
+def seen(page: DataFrame, scores: DataFrame) -> DataFrame:
+    """(sample_id, model_version_id, work_id, page): which version has scored which page; a plan that several readers share, so its exchange is reused."""
+    return scores.select("sample_id", "model_version_id").distinct().join(page, "sample_id")
+
+
 def chosen(page: DataFrame, scores: DataFrame, members: DataFrame) -> DataFrame:
     """For each work and backend the best-ranked member that has scores."""
-    has = page.join(scores.select("sample_id", "model_version_id").distinct(), "sample_id").select("work_id", "model_version_id").distinct()
+    has = seen(page, scores).select("work_id", "model_version_id").distinct()
     w = W.partitionBy("work_id", "backend").orderBy("rank", "model_version_id")
-    return has.join(F.broadcast(members), "model_version_id").withColumn("k", F.row_number().over(w)).where("k = 1").select("work_id", "model_version_id")
+    return has.join(members, "model_version_id").withColumn("k", F.row_number().over(w)).where("k = 1").select("work_id", "model_version_id")
 
 
 def flat(page: DataFrame, scores: DataFrame, members: DataFrame, roles: DataFrame) -> DataFrame:
     """The scores of chosen versions in the roles they hold."""
     held = roles.select("model_version_id", F.col("role").alias("category"))
-    rows = scores.join(F.broadcast(held), ["model_version_id", "category"], "left_semi").join(page, "sample_id")
+    rows = scores.join(held, ["model_version_id", "category"], "left_semi").join(page, "sample_id")
     return rows.join(chosen(page, scores, members), ["work_id", "model_version_id"])
 
 
@@ -68,17 +73,20 @@ def yielded(roles: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def gated(rows: DataFrame, roles: DataFrame, thresholds: DataFrame, params: dict[str, float]) -> DataFrame:
-    """Scores that reach their threshold, without those that are yielded."""
-    out = rows.join(F.broadcast(cutoffs(roles, params)), ["model_version_id", "category"]).join(F.broadcast(thresholds), ["model_version_id", "category", "tag"], "left")
+    """Scores that reach their threshold, without those that are yielded.
+
+    Nothing here depends on pages or works, so scores are gated before they are joined with either.
+    """
+    out = rows.join(cutoffs(roles, params), ["model_version_id", "category"]).join(thresholds, ["model_version_id", "category", "tag"], "left")
     out = out.where(F.col("score").cast("double") >= F.coalesce("threshold", "cutoff"))
-    return out.join(F.broadcast(yielded(roles, thresholds)), ["model_version_id", "category", "tag"], "left_anti")
+    return out.join(yielded(roles, thresholds), ["model_version_id", "category", "tag"], "left_anti")
 
 
 def denominator(page: DataFrame, scores: DataFrame, members: DataFrame, roles: DataFrame) -> DataFrame:
     """Distinct pages that any contributor to a category has scored, before gating."""
-    seen = scores.select("sample_id", "model_version_id").distinct().join(page, "sample_id").join(chosen(page, scores, members), ["work_id", "model_version_id"])
+    rows = seen(page, scores).join(chosen(page, scores, members), ["work_id", "model_version_id"])
     held = roles.where("role <> 'embedding'").select("model_version_id", F.col("role").alias("category"))
-    return seen.join(F.broadcast(held), "model_version_id").groupBy("work_id", "category").agg(F.countDistinct("page").alias("samples"))
+    return rows.join(held, "model_version_id").groupBy("work_id", "category").agg(F.countDistinct("page").alias("samples"))
 
 
 def _by_category(params: dict[str, float], kind: str) -> Column:
@@ -91,7 +99,8 @@ def work_tags(samples: DataFrame, scores: DataFrame, members: DataFrame, roles:
     if ids is not None:
         samples = samples.join(ids.select("work_id").distinct(), "work_id", "left_semi")
     page = pages(samples)
-    kept = gated(flat(page, scores, members, roles), roles, thresholds, params)
+    gate = gated(scores, roles, thresholds, params).select("sample_id", "model_version_id", "category", "tag", "score")
+    kept = gate.join(page, "sample_id").join(chosen(page, scores, members), ["work_id", "model_version_id"])
     agg = kept.groupBy("work_id", "category", "tag").agg(F.countDistinct("page").alias("hits"), F.avg("score").cast("float").alias("avg_score"))
     out = agg.join(denominator(page, scores, members, roles), ["work_id", "category"])
     bound = coverage_lower_bound(F.col("hits"), F.col("samples"), _by_category(params, "freqz"))
@@ -113,13 +122,13 @@ def stats(current: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def measures(current: DataFrame, measurements: DataFrame, params: dict[str, float]) -> DataFrame:
-    """Duration, page census and share of coloured pages of the current run."""
+    """Duration, page census, share of coloured pages, features of a set of images and video probe of the current run."""
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
     color = F.count_if(F.col("kind") == "color_ratio")
     over = F.count_if((F.col("kind") == "color_ratio") & (json_number(F.col("value")) > param(params, "color:page_ratio")))
     return measurements.join(current, ["work_id", "run_id"]).groupBy("work_id").agg(
         F.max(of("duration_s", json_number(F.col("value")))).alias("duration_s"), F.max(of("page_census", json_number(F.col("value"), "$.files").cast("int"))).alias("page_files"),
-        (over / F.nullif(color, F.lit(0))).alias("color_page_ratio"),
+        (over / F.nullif(color, F.lit(0))).alias("color_page_ratio"), F.max(of("cg_features", F.col("value"))).alias("cg_features"), F.max(of("video_probe", F.col("value"))).alias("video_probe"),
     )
 
 
@@ -142,16 +151,25 @@ def rating(samples: DataFrame, scores: DataFrame, members: DataFrame, roles: Dat
 
 
 def work_type(stat: DataFrame, measured: DataFrame, tags: DataFrame, signal: list[str], comic: str, params: dict[str, float]) -> DataFrame:
-    """video, comic, illustration or nothing; ``signal`` and ``comic`` are general tags."""
+    """video, comic, cg_set, illustration or nothing; ``signal`` and ``comic`` are general tags.
+
+    A work without statistics is a video if it was probed as one. A set of drawn images is known by its number of images,
+    how many are numbered in sequence, how alike their shapes are and how large their files.
+    """
     strength = F.col("freq_ratio").cast("double") * F.col("avg_score").cast("double")
     general = tags.where("category = 'general'").groupBy("work_id").agg(F.max(F.when(F.col("tag") == comic, strength)).alias("comic"), F.sum(F.when(F.col("tag").isin(signal), strength)).alias("illust"))
-    seen = stat.join(measured, "work_id", "full").join(general, "work_id", "left")
+    rows = stat.join(measured, "work_id", "full").join(general, "work_id", "left")
+    feature = lambda name: json_number(F.col("cg_features"), f"$.{name}")
     kind = (
-        F.when(F.coalesce("has_video", F.lit(False)) & ~F.coalesce("has_image", F.lit(False)), "video")
+        F.when(F.coalesce("has_video", F.col("video_probe").isNotNull()) & ~F.coalesce("has_image", F.lit(False)), "video")
         .when(F.coalesce("comic", F.lit(0.0)) >= param(params, "type:comic"), "comic")
+        .when(
+            feature("n_images").between(param(params, "cg:min_images"), param(params, "cg:max_images")) & (feature("sequential_ratio") >= param(params, "cg:seq_ratio"))
+            & (feature("aspect_std") <= param(params, "cg:aspect_std")) & (feature("avg_file_size") >= param(params, "cg:min_avg_size")), "cg_set",
+        )
         .when(F.coalesce("illust", F.lit(0.0)) >= param(params, "type:illust"), "illustration")
     )
-    return seen.select("work_id", kind.alias("value"))
+    return rows.select("work_id", kind.alias("value"))
 
 
 def named(tags: DataFrame, terms: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -26,10 +27,13 @@ def blocked(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 def pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b, score) with a < b of all pairs of ``vectors`` (id, vec) with cosine of at least ``least``; exact.
 
-    Blocks are met pair by pair and multiplied as matrices, and only pairs that reach the bound leave a task.
+    Blocks are met pair by pair and multiplied as matrices, and only pairs that reach the bound leave a task. A block is
+    sent once for every block before it, by a join on the number of the other.
     """
     packed = blocked(vectors, block)
-    met = packed.alias("x").join(packed.alias("y"), F.col("x.b") <= F.col("y.b")).select(F.col("x.rows").alias("left"), F.col("y.rows").alias("right"), (F.col("x.b") == F.col("y.b")).alias("same"))
+    left = packed.select("b", F.col("rows").alias("left"))
+    right = packed.select(F.col("b").alias("own"), F.col("rows").alias("right"), F.explode(F.sequence(F.lit(0), "b")).alias("b"))
+    met = right.join(left, "b").select("left", "right", (F.col("own") == F.col("b")).alias("same"))
 
     def run(batches):
         for batch in batches:
@@ -45,10 +49,38 @@ def pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, score double")
 
 
-def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query_id, id, score, k): of each query (id, vec) the ``k`` likest of all vectors, itself left out, by score, then id; exact.
+
+    Each block of queries meets each block of vectors in a task of its own, and only ``k`` rows of each query leave it.
+    """
+    packed, asked = blocked(vectors, block), blocked(queries, block)
+    n = packed.agg(F.max("b").alias("n"))
+    sent = asked.crossJoin(F.broadcast(n)).select(F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), "n")).alias("b"))  # one row beside each block
+    met = sent.join(packed.select("b", F.col("rows").alias("right")), "b").select("left", "right")
+
+    def run(batches):
+        for batch in batches:
+            for j in range(batch.num_rows):
+                one = batch.slice(j, 1)
+                (ia, va), (ib, vb) = (_unit(one.column(c), np.float64) for c in ("left", "right"))
+                score = np.round(va @ vb.T, 9)
+                score[ia[:, None] == ib[None, :]] = -np.inf
+                by = np.argsort(ib, kind="stable")
+                ib, score = ib[by], score[:, by]
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                got = np.take_along_axis(score, order, 1)
+                row, col = np.nonzero(got > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(ia[row]), pa.array(ib[order[row, col]]), pa.array(got[row, col])], names=["query_id", "id", "score"])
+
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return met.mapInArrow(run, "query_id long, id long, score double").withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+
+
+def _unit(column: pa.Array, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
     ids, vec = column.flatten().flatten()  # of the slice alone, unlike values
     ids = ids.to_numpy(zero_copy_only=False)
-    x = np.asarray(vec.flatten()).reshape(len(ids), -1).astype(np.float32)
+    x = np.asarray(vec.flatten()).reshape(len(ids), -1).astype(kind)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return ids, np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
 

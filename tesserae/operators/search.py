@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,36 +27,87 @@ def tagged(tags: DataFrame, groups: list[list[str]], mode: str = "AND") -> DataF
     return hit.where(F.col("n") >= (len(groups) if mode == "AND" else 1)).select("work_id")
 
 
-def idf_weights(tags: DataFrame, wanted: list[str]) -> DataFrame:
-    """(tag, weight): ln(1 + N / (1 + df)) of each wanted tag, summing to 1; a repeated tag counts again."""
+def idf_weights(tags: DataFrame, works: DataFrame, wanted: list[str], collections: list[str] | None = None) -> DataFrame:
+    """(tag, weight): ln(1 + N / (1 + df)) of each wanted tag, summing to 1; a repeated tag counts again.
+
+    N counts all works, and df the works that have the tag, both within the collections if there are any. A tag that no
+    work has keeps its weight in the sum.
+    """
     times = {t: wanted.count(t) for t in wanted}
-    n = tags.agg(F.countDistinct("work_id").alias("n_works"))
-    df = tags.where(F.col("tag").isin(*times)).groupBy("tag").agg(F.countDistinct("work_id").alias("df"))
-    raw = df.crossJoin(F.broadcast(n)).select("tag", (F.log(1 + F.col("n_works") / (1 + F.col("df"))) * F.create_map(*[F.lit(x) for t, k in times.items() for x in (t, k)])[F.col("tag")]).alias("raw"))
-    total = raw.agg(F.sum("raw").alias("total"))
-    return raw.crossJoin(F.broadcast(total)).select("tag", (F.col("raw") / F.col("total")).alias("weight"))  # one row for each wanted tag
+    kept = within(works, collections)
+    n = kept.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_works"))
+    asked = n.select("n_works", F.inline(F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(k).alias("times")) for t, k in times.items()])))  # one row for each wanted tag
+    has = tags.where(F.col("tag").isin(*times))
+    if collections:
+        has = has.join(kept.select(F.col("id").alias("work_id")), "work_id", "left_semi")
+    df = has.groupBy("tag").agg(F.countDistinct("work_id").alias("df"))
+    raw = F.log(1 + F.col("n_works") / (1 + F.coalesce("df", F.lit(0)))) * F.col("times")
+    rows = asked.join(df, "tag", "left").select("tag", raw.alias("raw"))
+    return rows.select("tag", (F.col("raw") / F.sum("raw").over(W.partitionBy(F.lit(0)))).alias("weight"))
+
+
+def within(works: DataFrame, collections: list[str] | None) -> DataFrame:
+    return works.where(F.col("collection").isin(*collections)) if collections else works
 
 
-def relevance(tags: DataFrame, wanted: list[str]) -> DataFrame:
-    """(work_id, relevance): the weighted confidence of the wanted tags."""
-    weights = F.broadcast(idf_weights(tags, wanted))
+def relevance(tags: DataFrame, works: DataFrame, wanted: list[str], collections: list[str] | None = None) -> DataFrame:
+    """(work_id, relevance): the weighted confidence of the wanted tags; a tag in two categories of a work counts in both."""
+    weights = idf_weights(tags, works, wanted, collections)
     return tags.where(F.col("tag").isin(*set(wanted))).join(weights, "tag").groupBy("work_id").agg(F.sum(F.col("weight") * F.col("confidence").cast("double")).alias("relevance"))
 
 
-def search(tags: DataFrame, works: DataFrame, groups: list[list[str]], mode: str = "AND", exclude: list[str] = (), collections: list[str] | None = None) -> DataFrame:
-    """Works found by tag, less those with an excluded tag, with relevance; to be ordered by the caller."""
-    found = tagged(tags, groups, mode)
+def search(
+    tags: DataFrame, works: DataFrame, groups: list[list[str]], mode: str = "AND", exclude: list[str] = (), collections: list[str] | None = None,
+    category_tags: dict[str, list[list[str]]] | None = None, text: dict[str, str] | None = None, enums: dict[str, list[str]] | None = None,
+    copies: bool = False, near: DataFrame | None = None, names: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Works that pass all filters, with relevance; to be ordered by the caller.
+
+    ``groups`` are wanted tags with their synonyms, of any category; ``category_tags`` the same for one category each, any
+    of its groups; ``text`` are substrings of columns, or of a spelling that ``names`` (name) has for the column;
+    ``enums`` are values of columns; ``copies`` asks for works with a copy, ``near`` (work_id) counts as such.
+    """
+    kept = within(works, collections)
+    for field, values in (enums or {}).items():
+        kept = kept.where(F.col(field).isin(*values))
+    for field, value in (text or {}).items():
+        like = like_text(field, value)
+        if names and field in names:
+            spelt = names[field].select(F.lower("name").alias("name")).distinct()
+            kept = kept.withColumn("name", F.lower(field)).join(spelt.withColumn("named", F.lit(True)), "name", "left").where(like | F.col("named")).drop("name", "named")
+        else:
+            kept = kept.where(like)
+    if copies:
+        if near is None:
+            kept = kept.where("has_copies")
+        else:
+            leads = near.select(F.col("work_id").alias("id"), F.lit(True).alias("led")).distinct()
+            kept = kept.join(leads, "id", "left").where("has_copies or led").drop("led")
+    kept = kept.withColumnRenamed("id", "work_id")
+    if groups:
+        kept = kept.join(tagged(tags, groups, mode), "work_id", "left_semi")
+    for category, values in (category_tags or {}).items():
+        kept = kept.join(tagged(tags.where(F.col("category") == category), values, "OR"), "work_id", "left_semi")
     if exclude:
-        found = found.join(tags.where(F.col("tag").isin(*exclude)).select("work_id"), "work_id", "left_anti")
-    kept = works.where(F.col("collection").isin(*collections)) if collections else works
-    found = found.join(kept.select(F.col("id").alias("work_id"), "collection", "created_at"), "work_id")
-    return found.join(relevance(tags, [g[0] for g in groups]), "work_id", "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+        kept = kept.join(tags.where(F.col("tag").isin(*exclude)).select("work_id"), "work_id", "left_anti")
+    wanted = [t for g in groups for t in g] + [t for values in (category_tags or {}).values() for g in values for t in g]
+    if not wanted:
+        return kept.withColumn("relevance", F.lit(0.0))
+    return kept.join(relevance(tags, works, wanted, collections), "work_id", "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+
+
+def with_total(page: DataFrame, found: DataFrame) -> DataFrame:
+    """A page with the number of all works found beside each of its rows."""
+    return page.crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))  # one row
 
 
 def sorted_page(found: DataFrame, mode: str, limit: int, offset: int = 0) -> DataFrame:
     """A page in one of the orders, newer ids first among equals."""
-    orders = {"relevance": [F.round("relevance", 9).desc()], "newest": [F.desc_nulls_last("created_at")], "oldest": [F.asc_nulls_last("created_at")]}
-    return found.orderBy(*orders[mode], F.desc("work_id")).offset(offset).limit(limit)
+    orders = {
+        "relevance": lambda: [F.round("relevance", 9).desc()], "newest": lambda: [F.desc_nulls_last("created_at")], "oldest": lambda: [F.asc_nulls_last("created_at")],
+        "title": lambda: [F.asc_nulls_last(F.coalesce("title", "folder_name"))], "pages": lambda: [F.desc_nulls_last("total_images")],
+    }
+    return found.orderBy(*orders[mode](), F.desc("work_id")).offset(offset).limit(limit)
 
 
 def column_facets(found: DataFrame, columns: list[str], top: int = 40) -> DataFrame:
@@ -83,17 +136,39 @@ def visible_tags(tags: DataFrame, category: str = "general", most: int = 12) ->
 
 
 def work_vectors(vectors: DataFrame) -> DataFrame:
-    """The normalised mean of the newest run's vectors for each work and version; means are added up before the shuffle."""
+    """The normalised mean of the newest run's vectors for each work and version.
+
+    Vectors are added up as arrays: first those of a work that stand in one batch of a task, then the sums of its batches.
+    """
     newest = vectors.groupBy("work_id", "model_version_id").agg(F.max("run_id").alias("run_id"))
-    rows = vectors.join(newest, ["work_id", "model_version_id", "run_id"]).select("work_id", "model_version_id", F.posexplode("vec").alias("i", "x"))
-    mean = rows.groupBy("work_id", "model_version_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    vec = mean.groupBy("work_id", "model_version_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
+    rows = vectors.join(newest, ["work_id", "model_version_id", "run_id"]).select(F.col("work_id").cast("long"), F.col("model_version_id").cast("long"), "vec").where("vec is not null and size(vec) > 0")
+    sums = rows.mapInArrow(_added, "work_id long, model_version_id long, n long, s array<double>")
+    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    every = sums.groupBy("work_id", "model_version_id").agg(F.sum("n").alias("n"), F.collect_list("s").alias("parts"))
+    total = F.aggregate(F.slice("parts", 2, F.size("parts")), F.element_at("parts", 1), add)
+    vec = every.select("work_id", "model_version_id", F.transform(total, lambda x: x / F.col("n")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     return vec.select("work_id", "model_version_id", F.when(norm > 0, F.transform("v", lambda x: x / norm)).alias("vec"))
 
 
-def similar(vectors: DataFrame, reference: DataFrame, exclude_self: bool = True) -> DataFrame:
-    """(query_id, work_id, score) of all works against a few reference vectors (query_id, vec); exact."""
+def _added(batches):
+    """One sum for each work and version of a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("work_id", "model_version_id")], 1)
+        key, which = np.unique(keys, axis=0, return_inverse=True)
+        x = np.asarray(batch.column("vec").flatten()).reshape(batch.num_rows, -1).astype(np.float64)
+        sums = np.zeros((len(key), x.shape[1]))
+        np.add.at(sums, which.ravel(), x)
+        parts = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, x.shape[1], dtype=np.int32), sums.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(np.bincount(which.ravel())), parts], names=["work_id", "model_version_id", "n", "s"])
+
+
+def similar(vectors: DataFrame, reference: DataFrame, exclude_self: bool = True, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, work_id, score) of all works, or those of ``among`` (work_id), against a few reference vectors (query_id, vec); exact."""
+    if among is not None:
+        vectors = vectors.join(among.select("work_id").distinct(), "work_id", "left_semi")
     rows = vectors.crossJoin(F.broadcast(reference.select("query_id", F.col("vec").alias("q"))))  # the caller's own query vectors
     if exclude_self:
         rows = rows.where("work_id <> query_id")

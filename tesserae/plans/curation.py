@@ -26,11 +26,8 @@ def _items(x: Library):
 
 def _knn(x: Library):
     """Of each item the three likest works, and whether the first is near."""
-    pairs = u.pairs(vectors(x), 0.0)
-    both = pairs.select(F.col("a").alias("item"), F.col("b").alias("work"), "score").union(pairs.select("b", "a", "score"))
-    rows = both.where("item % 5 = 4 and work % 5 <> 4")
-    w = d.W.partitionBy("item").orderBy(F.desc(F.round("score", 5)), "work")
-    return rows.withColumn("k", F.row_number().over(w)).where("k <= 3").select("item", "work", "k", F.when(F.max("score").over(d.W.partitionBy("item")) >= NEAR, "near").otherwise("new").alias("verdict"))
+    rows = u.nearest(vectors(x).where("id % 5 = 4"), vectors(x).where("id % 5 <> 4"), 3)
+    return rows.select(F.col("query_id").alias("item"), F.col("id").alias("work"), "k", F.when(F.max("score").over(d.W.partitionBy("query_id")) >= NEAR, "near").otherwise("new").alias("verdict"))
 
 
 def _paths(x: Library):
@@ -93,7 +90,7 @@ _PAGES = "SELECT l_suppkey, count(*) AS pages FROM lineitem GROUP BY 1"
 SQL = {
     "dup_exact": oracle("SELECT i.doc_id AS item, w.doc_id AS work FROM {copies} i JOIN {copies} w ON w.content_key = i.content_key WHERE i.doc_id % 10 = 3 AND w.doc_id % 10 <> 3"),
     "dup_near_pairs": f"SELECT a, b, round(score, 4) AS score FROM ({_COS.format(op='<')}) t WHERE score >= {NEAR}",
-    "dup_knn": f"SELECT item, work, k, CASE WHEN max(score) OVER (PARTITION BY item) >= {NEAR} THEN 'near' ELSE 'new' END AS verdict FROM (SELECT a AS item, b AS work, score, CAST(row_number() OVER (PARTITION BY a ORDER BY round(score, 5) DESC, b) AS INT) AS k FROM ({_COS.format(op='<>')}) t WHERE a % 5 = 4 AND b % 5 <> 4) q WHERE k <= 3",
+    "dup_knn": f"SELECT item, work, k, CASE WHEN max(score) OVER (PARTITION BY item) >= {NEAR} THEN 'near' ELSE 'new' END AS verdict FROM (SELECT a AS item, b AS work, score, CAST(row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS INT) AS k FROM ({_COS.format(op='<>')}) t WHERE a % 5 = 4 AND b % 5 <> 4) q WHERE k <= 3",
     "idn_resolve": oracle("SELECT f.path, CASE WHEN k.w IS NOT NULL AND k.w = p.w THEN 'same' WHEN k.w IS NOT NULL THEN 'moved' WHEN p.w IS NOT NULL THEN 'changed' ELSE 'new' END AS outcome, coalesce(k.w, p.w) AS work FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN concat(path, '/moved') ELSE path END AS path, CASE WHEN doc_id % 11 = 0 THEN concat(content_key, 'x') ELSE content_key END AS content_key FROM {copies}) f LEFT JOIN (SELECT content_key, min(doc_id) AS w FROM {copies} GROUP BY 1) k ON k.content_key = f.content_key LEFT JOIN (SELECT path, max(doc_id) AS w FROM {copies} GROUP BY 1) p ON p.path = f.path"),
     "idn_absent": oracle("SELECT path FROM {copies} WHERE doc_id % 9 = 0"),
     "fn_content_key_set": f"SELECT folder, concat('img:', sha1(string_agg(concat(name, ':', size), chr(10) ORDER BY concat(name, ':', size)))) AS content_key FROM ({_FILES}) f GROUP BY 1",

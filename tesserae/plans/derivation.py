@@ -97,7 +97,7 @@ STEPS |= {
     "tags": f"SELECT a.work_id, a.category, a.tag, CAST(a.hits / d.samples AS FLOAT) AS freq_ratio, a.avg_score FROM (SELECT work_id, category, tag, count(DISTINCT page) AS hits, CAST(avg(CAST(score AS DOUBLE)) AS FLOAT) AS avg_score FROM {{gated}} GROUP BY 1, 2, 3) a JOIN {{denom}} d ON d.work_id = a.work_id AND d.category = a.category WHERE CAST(a.hits AS DOUBLE) / d.samples >= {_FREQ}",
     "cur": "SELECT work_id, max(run_id) AS run_id FROM (SELECT work_id, run_id, sum(analyzed) AS analyzed, bool_or(scored) AS scored FROM (SELECT s.work_id, s.run_id, CASE WHEN s.skip_reason IS NULL THEN 1 ELSE 0 END AS analyzed, s.id IN (SELECT sample_id FROM {scores} WHERE model_version_id IN (SELECT model_version_id FROM {members})) AS scored FROM {samples} s UNION ALL SELECT DISTINCT work_id, run_id, 0, FALSE FROM {measurements}) t GROUP BY 1, 2) u WHERE analyzed = 0 OR scored GROUP BY 1",
     "stats": "SELECT s.work_id, count(*) FILTER (WHERE skip_reason IS NULL) AS analyzed_samples, bool_or(medium = 'video') AS has_video, bool_or(medium = 'image') AS has_image FROM {samples} s JOIN {cur} c ON c.work_id = s.work_id AND c.run_id = s.run_id GROUP BY 1",
-    "measures": "SELECT m.work_id, max(CASE WHEN kind = 'duration_s' THEN TRY_CAST(value AS DOUBLE) END) AS duration_s, max(CASE WHEN kind = 'page_census' THEN CAST(regexp_extract(value, '([0-9]+)', 1) AS INT) END) AS page_files, CAST(count(*) FILTER (WHERE kind = 'color_ratio' AND TRY_CAST(value AS DOUBLE) > 0.05) AS DOUBLE) / nullif(count(*) FILTER (WHERE kind = 'color_ratio'), 0) AS color_page_ratio FROM (SELECT * FROM {measurements}) m JOIN {cur} c ON c.work_id = m.work_id AND c.run_id = m.run_id GROUP BY 1",
+    "measures": "SELECT m.work_id, max(CASE WHEN kind = 'duration_s' THEN TRY_CAST(value AS DOUBLE) END) AS duration_s, max(CASE WHEN kind = 'page_census' THEN CAST(regexp_extract(value, '([0-9]+)', 1) AS INT) END) AS page_files, CAST(count(*) FILTER (WHERE kind = 'color_ratio' AND TRY_CAST(value AS DOUBLE) > 0.05) AS DOUBLE) / nullif(count(*) FILTER (WHERE kind = 'color_ratio'), 0) AS color_page_ratio, max(value) FILTER (WHERE kind = 'cg_features') AS cg_features, max(value) FILTER (WHERE kind = 'video_probe') AS video_probe FROM (SELECT * FROM {measurements}) m JOIN {cur} c ON c.work_id = m.work_id AND c.run_id = m.run_id GROUP BY 1",
     "named": "SELECT DISTINCT t.work_id, t.category AS field, c.slug AS value FROM {tags} t JOIN {terms} m ON lower(m.term) = lower(t.tag) AND NOT m.search_only JOIN {concepts} c ON c.slug = m.slug AND c.kind = t.category AND c.kind <> 'series'",
     "ranked": "SELECT * FROM (SELECT work_id, field, value, negated, 2 AS priority, created_at, id AS claim_id FROM {claims} UNION ALL SELECT work_id, field, value, FALSE, 1, NULL, NULL FROM {named}) a WHERE NOT negated AND NOT EXISTS (SELECT 1 FROM {claims} n WHERE n.negated AND n.work_id = a.work_id AND n.field = a.field AND n.value = a.value)",
     "effective": "SELECT t.work_id, t.category, t.tag, CAST(t.freq_ratio * t.avg_score AS FLOAT) AS confidence, NOT EXISTS (SELECT 1 FROM {hidden} h WHERE h.tag = t.tag) AS visible FROM {tags} t WHERE t.category <> 'rating' AND NOT EXISTS (SELECT 1 FROM (SELECT n.work_id, n.field, lower(n.value) AS k FROM {claims} n WHERE n.negated UNION SELECT n.work_id, n.field, lower(m.term) FROM {claims} n JOIN {terms} m ON m.slug = n.value AND NOT m.search_only WHERE n.negated) n WHERE n.work_id = t.work_id AND n.k = lower(t.tag) AND n.field = CASE t.category WHEN 'general' THEN 'tag' WHEN 'copyright' THEN 'series' ELSE t.category END) UNION ALL SELECT c.work_id, CASE c.field WHEN 'tag' THEN 'general' ELSE c.field END, c.value, CAST(1 AS FLOAT), NOT EXISTS (SELECT 1 FROM {hidden} h WHERE h.tag = c.value) FROM {claims} c WHERE NOT c.negated AND c.field IN ('tag', 'character', 'artist') AND NOT EXISTS (SELECT 1 FROM {tags} t WHERE t.work_id = c.work_id AND t.tag = c.value AND t.category = CASE c.field WHEN 'tag' THEN 'general' ELSE c.field END)",
@@ -115,12 +115,12 @@ SQL = {
     "drv_subset": oracle(_TAGS + " WHERE work_id % 7 = 3"),
     "drv_current_run": oracle("SELECT * FROM {cur}"),
     "drv_stats": oracle("SELECT * FROM {stats}"),
-    "drv_measures": oracle("SELECT work_id, round(duration_s, 6) AS duration_s, page_files, round(color_page_ratio, 6) AS color_page_ratio FROM {measures}"),
+    "drv_measures": oracle("SELECT work_id, round(duration_s, 6) AS duration_s, page_files, round(color_page_ratio, 6) AS color_page_ratio, cg_features, video_probe FROM {measures}"),
     "drv_color_mode": oracle("SELECT work_id, CASE WHEN color_page_ratio >= 0.7 THEN 'full_color' WHEN color_page_ratio <= 0.2 THEN 'grayscale' ELSE 'partial_color' END AS value FROM {measures} WHERE color_page_ratio IS NOT NULL"),
     "drv_rating": oracle("SELECT work_id, name AS value FROM (SELECT t.work_id, o.name, o.rank, count(*) AS pages FROM (SELECT s.work_id, s.sample_id, c.tag FROM (SELECT DISTINCT p.work_id, p.sample_id FROM {page} p) s JOIN {scores} c ON c.sample_id = s.sample_id AND c.category = 'rating' AND c.model_version_id = 1 AND c.score >= 0 QUALIFY row_number() OVER (PARTITION BY s.sample_id ORDER BY c.score DESC, c.tag) = 1) t JOIN {ratings} o ON o.name = t.tag GROUP BY 1, 2, 3) r WHERE pages >= 1 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY rank DESC, name) = 1"),
-    "drv_work_type": oracle(f"SELECT work_id, CASE WHEN coalesce(has_video, FALSE) AND NOT coalesce(has_image, FALSE) THEN 'video' WHEN coalesce(comic, 0) >= 0.15 THEN 'comic' WHEN coalesce(illust, 0) >= 1 THEN 'illustration' END AS value FROM (SELECT coalesce(s.work_id, m.work_id) AS work_id, has_video, has_image FROM {{stats}} s FULL JOIN {{measures}} m ON m.work_id = s.work_id) o LEFT JOIN (SELECT work_id AS w, max(CASE WHEN tag = '{COMIC}' THEN CAST(freq_ratio AS DOUBLE) * CAST(avg_score AS DOUBLE) END) AS comic, sum(CASE WHEN tag IN ({_SIGNAL}) THEN CAST(freq_ratio AS DOUBLE) * CAST(avg_score AS DOUBLE) END) AS illust FROM {{tags}} WHERE category = 'general' GROUP BY 1) g ON g.w = o.work_id"),
+    "drv_work_type": oracle(f"SELECT work_id, CASE WHEN coalesce(has_video, video_probe IS NOT NULL, FALSE) AND NOT coalesce(has_image, FALSE) THEN 'video' WHEN coalesce(comic, 0) >= 0.15 THEN 'comic' WHEN CAST(cg_features ->> 'n_images' AS DOUBLE) BETWEEN 10 AND 80 AND CAST(cg_features ->> 'sequential_ratio' AS DOUBLE) >= 0.8 AND CAST(cg_features ->> 'aspect_std' AS DOUBLE) <= 0.08 AND CAST(cg_features ->> 'avg_file_size' AS DOUBLE) >= 200000 THEN 'cg_set' WHEN coalesce(illust, 0) >= 1 THEN 'illustration' END AS value FROM (SELECT coalesce(s.work_id, m.work_id) AS work_id, has_video, has_image, cg_features, video_probe FROM {{stats}} s FULL JOIN {{measures}} m ON m.work_id = s.work_id) o LEFT JOIN (SELECT work_id AS w, max(CASE WHEN tag = '{COMIC}' THEN CAST(freq_ratio AS DOUBLE) * CAST(avg_score AS DOUBLE) END) AS comic, sum(CASE WHEN tag IN ({_SIGNAL}) THEN CAST(freq_ratio AS DOUBLE) * CAST(avg_score AS DOUBLE) END) AS illust FROM {{tags}} WHERE category = 'general' GROUP BY 1) g ON g.w = o.work_id"),
     "drv_named": oracle("SELECT * FROM {named}"),
-    "drv_franchise": oracle("SELECT work_id, parent AS value FROM (SELECT x.work_id, c.parent, max(by_user) AS by_user, max(score) AS score FROM (SELECT t.work_id, m.slug AS value, CAST(t.freq_ratio AS DOUBLE) * CAST(t.avg_score AS DOUBLE) AS score, 0 AS by_user FROM {tags} t JOIN {terms} m ON lower(m.term) = lower(t.tag) AND NOT m.search_only WHERE t.category = 'character' UNION ALL SELECT work_id, value, 1.0, 1 FROM {claims} WHERE field = 'character' AND NOT negated) x JOIN {concepts} c ON c.slug = x.value AND c.kind = 'character' WHERE NOT EXISTS (SELECT 1 FROM {claims} n WHERE n.negated AND n.work_id = x.work_id AND n.field = 'character' AND n.value = x.value) GROUP BY 1, 2) f QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY by_user DESC, score DESC, parent) = 1"),
+    "drv_franchise": oracle("SELECT work_id, parent AS value FROM (SELECT x.work_id, c.parent, max(by_user) AS by_user, max(score) AS score FROM (SELECT t.work_id, m.slug AS value, CAST(t.freq_ratio AS DOUBLE) * CAST(t.avg_score AS DOUBLE) AS score, 0 AS by_user FROM {tags} t JOIN {terms} m ON lower(m.term) = lower(t.tag) AND NOT m.search_only WHERE t.category = 'character' UNION ALL SELECT work_id, value, 1.0, 1 FROM {claims} WHERE field = 'character' AND NOT negated) x JOIN {concepts} c ON c.slug = x.value AND c.kind = 'character' WHERE NOT EXISTS (SELECT 1 FROM {claims} n WHERE n.negated AND n.work_id = x.work_id AND n.field = 'character' AND n.value = x.value) AND NOT EXISTS (SELECT 1 FROM {claims} n WHERE n.negated AND n.work_id = x.work_id AND n.field = 'series' AND n.value = c.parent) GROUP BY 1, 2) f QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY by_user DESC, score DESC, parent) = 1"),
     "drv_ranked_claims": oracle("SELECT work_id, field, value, priority FROM {ranked}"),
     "drv_current_claims": oracle("SELECT work_id, field, value, priority FROM {ranked} QUALIFY row_number() OVER (PARTITION BY work_id, field ORDER BY priority DESC, created_at DESC NULLS LAST, claim_id DESC NULLS LAST, value) = 1"),
     "drv_multi_claims": oracle("SELECT DISTINCT work_id, field, value FROM {ranked} WHERE field IN ('character', 'artist', 'tag')"),

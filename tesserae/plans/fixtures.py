@@ -26,14 +26,15 @@ PARAMS = {
 #: Portable SQL of each fixture; a name in braces is a table or another fixture.
 FIXTURES = {
     "works": "SELECT o_orderkey AS id, concat('k:', CAST(o_orderkey AS STRING)) AS content_key, CAST(NULL AS STRING) AS title, o_orderdate AS created_at, c_mktsegment AS collection FROM {orders} JOIN {customer} ON c_custkey = o_custkey",
+    "catalog": "SELECT o_orderkey AS id, c_mktsegment AS collection, o_orderdate AS created_at, CASE WHEN o_orderkey % 3 = 0 THEN c_name END AS title, concat('folder ', CAST(o_orderkey AS STRING)) AS folder_name, CAST(floor(o_totalprice) AS INT) % 97 AS total_images, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'explicit' WHEN '2' THEN 'questionable' WHEN '3' THEN 'sensitive' ELSE 'general' END AS rating, o_orderstatus AS color_mode, o_orderkey % 9 = 4 AS has_copies FROM {orders} JOIN {customer} ON c_custkey = o_custkey",
     "samples": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS work_id, min(year(l_shipdate)) AS run_id, CASE WHEN l_linenumber = 7 THEN 'video' ELSE 'image' END AS medium, concat('p', CAST(l_linenumber AS STRING)) AS source_relpath, l_linenumber AS position, l_linenumber - 1 AS ordinal, CASE WHEN max(l_tax) >= 0.08 THEN 'blank' END AS skip_reason FROM {lineitem} GROUP BY l_orderkey, l_linenumber",
     "base": "SELECT l_orderkey * 10 + l_linenumber AS sample_id, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS model_version_id, p_name, p_brand, p_type, s_name, o_orderpriority, CAST(l_quantity / 50.0 AS FLOAT) AS q, CAST(1 - l_discount * 5 AS FLOAT) AS d FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {orders} ON o_orderkey = l_orderkey",
     "members": MEMBERS, "roles": ROLES, "thresholds": THRESHOLDS, "ratings": RATINGS, "hidden": HIDDEN,
-    "claims": "SELECT event_id AS id, event_id AS work_id, CASE event_type WHEN 'purchase' THEN 'character' WHEN 'error' THEN 'character' WHEN 'signup' THEN 'artist' WHEN 'view' THEN 'tag' ELSE 'language' END AS field, concat('Brand#', CAST(user_id % 25 + 1 AS STRING)) AS value, event_type = 'error' AS negated, ts AS created_at FROM {events}",
-    "vectors": "SELECT 1 AS run_id, vec_id % 100 AS work_id, vec_id AS sample_id, 1 AS model_version_id, embedding AS vec FROM {embeddings}",
+    "claims": "SELECT event_id AS id, event_id AS work_id, CASE event_type WHEN 'purchase' THEN 'character' WHEN 'error' THEN 'character' WHEN 'signup' THEN 'artist' WHEN 'view' THEN 'tag' ELSE 'language' END AS field, concat('Brand#', CAST(user_id % 25 + 1 AS STRING)) AS value, event_type = 'error' AS negated, ts AS created_at FROM {events} UNION ALL SELECT event_id + 1000000000, event_id, 'series', concat('series-', CAST((user_id + 1) % 5 AS STRING)), event_type <> 'view', ts FROM {events} WHERE event_type IN ('view', 'purchase') AND user_id % 4 = 0",
+    "vectors": "SELECT 1 AS run_id, CAST(floor(vec_id / 3) AS BIGINT) AS work_id, vec_id AS sample_id, 1 AS model_version_id, embedding AS vec FROM {embeddings}",
     "paths": "SELECT page_id AS id, page_id AS work_id, url AS path, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM {pages}",
     "copies": "SELECT doc_id, sha1(text) AS content_key, concat(source, '/', lang, '/', CAST(doc_id AS STRING)) AS path FROM {documents}",
-    "measurements": "SELECT l_orderkey AS work_id, year(l_shipdate) AS run_id, l_orderkey * 10 + l_linenumber AS sample_id, 'color_ratio' AS kind, CAST(l_tax AS STRING) AS value FROM {lineitem} UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'page_census', concat('{\"files\": ', CAST(count(*) AS STRING), '}') FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'duration_s', CAST(max(l_extendedprice) AS STRING) FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate)",
+    "measurements": "SELECT l_orderkey AS work_id, year(l_shipdate) AS run_id, l_orderkey * 10 + l_linenumber AS sample_id, 'color_ratio' AS kind, CAST(l_tax AS STRING) AS value FROM {lineitem} UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'page_census', concat('{\"files\": ', CAST(count(*) AS STRING), '}') FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'duration_s', CAST(max(l_extendedprice) AS STRING) FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'cg_features', concat('{\"n_images\": ', CAST(CAST(sum(l_quantity) AS INT) AS STRING), ', \"sequential_ratio\": ', CAST(CAST(1 - max(l_discount) * 3 AS DECIMAL(6, 2)) AS STRING), ', \"aspect_std\": ', CAST(CAST(max(l_tax) * 1.5 AS DECIMAL(6, 3)) AS STRING), ', \"avg_file_size\": ', CAST(CAST(floor(max(l_extendedprice) * 8) AS INT) AS STRING), '}') FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT DISTINCT l_orderkey, year(l_shipdate), CAST(NULL AS BIGINT), 'video_probe', '{\"streams\": 1}' FROM {lineitem} WHERE l_orderkey % 3 = 0",
     "concepts": "SELECT DISTINCT p_brand AS slug, 'character' AS kind, concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)) AS parent FROM {part} UNION ALL SELECT concat('series-', CAST(n AS STRING)), 'series', NULL FROM (SELECT DISTINCT CAST(substring(p_brand, 7) AS INT) % 5 AS n FROM {part}) s",
     "terms": "SELECT DISTINCT lower(p_brand) AS term, CAST(substring(p_brand, 7) AS INT) % 4 = 0 AS search_only, p_brand AS slug FROM {part}",
 }
@@ -102,4 +103,4 @@ def oracle(body: str) -> str:
         return sql
 
     visit(body)
-    return ("WITH " + ", ".join(f"x_{n} AS ({plain(STEPS.get(n) or FIXTURES[n])})" for n in order) + " " if order else "") + plain(body)
+    return ("WITH " + ", ".join(f"x_{n} AS MATERIALIZED ({plain(STEPS.get(n) or FIXTURES[n])})" for n in order) + " " if order else "") + plain(body)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import trigram_similarity
+from tesserae.operators import duplicates as u
 from tesserae.operators import search as s
 from tesserae.plans.derivation import _q, _r, effective
 from tesserae.plans.fixtures import STEPS, Library, oracle
@@ -21,7 +22,38 @@ def unit_vectors(x: Library):
 
 
 def reference(x: Library):
-    return unit_vectors(x).where("work_id in (3, 42)").select(F.col("work_id").alias("query_id"), "vec")
+    return unit_vectors(x).where("work_id = 3").select(F.col("work_id").alias("query_id"), "vec")
+
+
+def _similar(x: Library):
+    """Every work whose id is divisible by 50 against all works, the ten likest each."""
+    vec = x.kept("vectors", lambda: unit_vectors(x)).select(F.col("work_id").alias("id"), "vec")
+    return _r(u.nearest(vec.where("id % 50 = 0"), vec, 10).withColumnRenamed("id", "work_id"), "score")
+
+
+def _faceted(x: Library):
+    """All filters at once, the total beside the page."""
+    names = {"title": x.customer.where("c_acctbal > 9900").select(F.col("c_name").alias("name"))}
+    near = x.orders.where("o_orderkey % 10 = 7").select(F.col("o_orderkey").alias("work_id"))
+    all_found = s.search(effective(x), x.catalog, [["red", "blue"], ["bolt"]], "OR", ["ring"], ["BUILDING", "MACHINERY", "AUTOMOBILE"], {"general": [["red"], ["green"]]}, {"title": "1"}, {"rating": ["explicit", "questionable"], "color_mode": ["O", "F"]}, True, near, names)
+    return _r(s.with_total(s.sorted_page(all_found, "title", 50, 3), all_found).select("work_id", "title", "rating", "relevance", "total"), "relevance")
+
+
+def _modes(x: Library):
+    """The first works in each order."""
+    rows = s.search(effective(x), x.catalog, [["red"], ["bolt"]], "OR")
+    pages = [s.sorted_page(rows, mode, 40).select(F.lit(mode).alias("mode"), "work_id", "relevance") for mode in ("relevance", "newest", "oldest", "title", "pages")]
+    out = pages[0]
+    for page in pages[1:]:
+        out = out.unionByName(page)
+    return _r(out, "relevance")
+
+
+def _similar_within(x: Library):
+    """Likeness to one work among those of a collection and a tag, with the total."""
+    among = s.search(effective(x), x.works, [["red"], ["bolt"], ["ring"]], "OR", collections=["BUILDING", "FURNITURE"])
+    rows = s.similar(unit_vectors(x), reference(x), among=among)
+    return _r(s.with_total(s.top_k(rows.withColumn("score", F.round("score", 9)), "query_id", 10), rows), "score")
 
 
 def _hybrid(x: Library):
@@ -47,22 +79,29 @@ def _trigram(x: Library):
     return _r(rows.select("a", "b", trigram_similarity(F.col("a"), F.col("b")).alias("sim")).where("sim > 0"), "sim")
 
 
+def _checked(vec: str):
+    """A sum over all elements, each with its place."""
+    return F.aggregate(F.zip_with(vec, F.sequence(F.lit(1), F.size(vec)), lambda v, i: v * i), F.lit(0.0), lambda a, y: a + y)
+
+
 QUERIES = {
     "sea_tags": _q(lambda x: s.tagged(effective(x), [["red"], ["ring", "bolt"]], "AND")),
     "sea_synonyms": _q(lambda x: s.synonyms(x.terms.union(x.terms.select(F.replace("term", F.lit("#"), F.lit(" ")), "search_only", "slug")).where("not search_only"))),
-    "sea_relevance": _q(lambda x: _r(s.relevance(effective(x), WANTED), "relevance")),
-    "sea_faceted": _q(lambda x: _r(s.sorted_page(s.search(effective(x), x.works, [["red"], ["bolt"]], "OR", ["ring"], ["BUILDING", "MACHINERY"]), "newest", 100, 20), "relevance")),
-    "srt_modes": _q(lambda x: _r(s.sorted_page(found(x), "relevance", 200), "relevance")),
+    "sea_relevance": _q(lambda x: _r(s.relevance(effective(x), x.works, [*WANTED, "no such tag", "red"], ["BUILDING", "MACHINERY"]), "relevance")),
+    "sea_faceted": _q(_faceted),
+    "srt_modes": _q(_modes),
+    "fn_idf": _q(lambda x: _r(s.idf_weights(effective(x), x.works, [*WANTED, "no such tag", "red"]), "weight")),
     "sea_facets_cols": _q(lambda x: s.column_facets(found(x).withColumn("year", F.year("created_at")), ["collection", "year"])),
     "sea_facets_tags": _q(lambda x: s.tag_facets(found(x), effective(x), ["character", "copyright"])),
     "sea_facet_general": _q(lambda x: s.tag_facets(found(x), effective(x), ["general"])),
     "sea_facet_collection": _q(lambda x: s.column_facets(found(x, "AND"), ["collection"])),
     "sea_tags_by_work": _q(lambda x: s.visible_tags(effective(x), "character", 12)),
     "lim_visible_tags": _q(lambda x: s.visible_tags(effective(x))),
-    "flt_rating_at_least": _q(lambda x: x.works.where("id % 3 = 0").select("id").join(x.orders.select(F.col("o_orderkey").alias("id"), F.element_at(F.create_map(*[F.lit(v) for v in ("1", "explicit", "2", "questionable", "3", "sensitive", "4", "general", "5", "general")]), F.substring("o_orderpriority", 1, 1)).alias("name")), "id").join(F.broadcast(s.rating_at_least(x.ratings, "questionable")), "name", "left_semi").select("id", "name")),
+    "flt_rating_at_least": _q(lambda x: x.works.select("id").join(x.orders.select(F.col("o_orderkey").alias("id"), F.element_at(F.create_map(*[F.lit(v) for v in ("1", "explicit", "2", "questionable", "3", "sensitive", "4", "general", "5", "general")]), F.substring("o_orderpriority", 1, 1)).alias("name")), "id").join(F.broadcast(s.rating_at_least(x.ratings, "questionable")), "name", "left_semi").select("id", "name")),
     "flt_text_substr": _q(lambda x: x.part.where(s.like_text("p_name", "RIN")).select("p_partkey", "p_name")),
-    "drv_vectors": _q(lambda x: _r(unit_vectors(x).select("work_id", "model_version_id", F.element_at("vec", 1).alias("first"), F.element_at("vec", -1).alias("last"), F.size("vec").cast("long").alias("dim")), "first", "last")),
-    "sea_similar": _q(lambda x: _r(s.top_k(s.similar(unit_vectors(x), reference(x)), "query_id", 10), "score")),
+    "drv_vectors": _q(lambda x: _r(unit_vectors(x).select("work_id", "model_version_id", F.element_at("vec", 1).alias("first"), F.element_at("vec", -1).alias("last"), _checked("vec").alias("checked"), F.size("vec").cast("long").alias("dim")), "first", "last", "checked")),
+    "sea_similar": _q(_similar),
+    "sea_similar_within": _q(_similar_within),
     "sea_hybrid": _q(_hybrid),
     "sea_stats": _q(lambda x: s.column_facets(x.works.select(F.col("id").alias("work_id"), "collection", F.year("created_at").alias("year")), ["collection", "year"])),
     "fn_suggest_rank": _q(_suggest),
@@ -70,12 +109,16 @@ QUERIES = {
 }
 
 STEPS |= {
-    "idf": "SELECT tag, raw / sum(raw) OVER () AS weight FROM (SELECT tag, ln(1 + CAST(n AS DOUBLE) / (1 + df)) AS raw FROM (SELECT tag, count(DISTINCT work_id) AS df FROM {effective} WHERE tag IN ('red', 'bolt') GROUP BY 1) a CROSS JOIN (SELECT count(DISTINCT work_id) AS n FROM {effective}) b) c",
+    "idf": "SELECT tag, raw / sum(raw) OVER () AS weight FROM (SELECT q.tag, ln(1 + (SELECT count(*) FROM {works}) / CAST(1 + coalesce(df, 0) AS DOUBLE)) AS raw FROM (VALUES ('red'), ('bolt')) q(tag) LEFT JOIN (SELECT tag, count(DISTINCT work_id) AS df FROM {effective} GROUP BY 1) a ON a.tag = q.tag) c",
+    "idf4": "SELECT tag, sum(raw) / sum(sum(raw)) OVER () AS weight FROM (SELECT q.tag, ln(1 + (SELECT count(*) FROM {works}) / CAST(1 + coalesce(df, 0) AS DOUBLE)) AS raw FROM (VALUES ('red'), ('bolt'), ('no such tag'), ('red')) q(tag) LEFT JOIN (SELECT tag, count(DISTINCT work_id) AS df FROM {effective} GROUP BY 1) a ON a.tag = q.tag) c GROUP BY tag",
+    "idf4in": "SELECT tag, sum(raw) / sum(sum(raw)) OVER () AS weight FROM (SELECT q.tag, ln(1 + (SELECT count(*) FROM {works} WHERE collection IN ('BUILDING', 'MACHINERY')) / CAST(1 + coalesce(df, 0) AS DOUBLE)) AS raw FROM (VALUES ('red'), ('bolt'), ('no such tag'), ('red')) q(tag) LEFT JOIN (SELECT tag, count(DISTINCT work_id) AS df FROM {effective} JOIN {works} w ON w.id = work_id WHERE w.collection IN ('BUILDING', 'MACHINERY') GROUP BY 1) a ON a.tag = q.tag) c GROUP BY tag",
+    "wide": "SELECT c.*, c.id AS work_id FROM {catalog} c WHERE c.collection IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') AND (c.has_copies OR c.id % 10 = 7) AND c.rating IN ('explicit', 'questionable') AND c.color_mode IN ('O', 'F') AND (c.title ILIKE '%1%' OR lower(c.title) IN (SELECT lower(c_name) FROM customer WHERE c_acctbal > 9900)) AND EXISTS (SELECT 1 FROM {effective} e WHERE e.work_id = c.id AND e.tag IN ('red', 'blue', 'bolt')) AND EXISTS (SELECT 1 FROM {effective} e WHERE e.work_id = c.id AND e.category = 'general' AND e.tag IN ('red', 'green')) AND NOT EXISTS (SELECT 1 FROM {effective} e WHERE e.work_id = c.id AND e.tag = 'ring')",
+    "idfwide": "SELECT tag, sum(raw) / sum(sum(raw)) OVER () AS weight FROM (SELECT q.tag, ln(1 + (SELECT count(*) FROM {works} WHERE collection IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')) / CAST(1 + coalesce(df, 0) AS DOUBLE)) AS raw FROM (VALUES ('red'), ('blue'), ('bolt'), ('red'), ('green')) q(tag) LEFT JOIN (SELECT tag, count(DISTINCT work_id) AS df FROM {effective} JOIN {works} w ON w.id = work_id WHERE w.collection IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') GROUP BY 1) a ON a.tag = q.tag) c GROUP BY tag",
     "relevance": "SELECT e.work_id, sum(i.weight * CAST(e.confidence AS DOUBLE)) AS relevance FROM {effective} e JOIN {idf} i ON i.tag = e.tag GROUP BY 1",
     "found": "SELECT r.work_id, w.collection, w.created_at, r.relevance FROM {relevance} r JOIN {works} w ON w.id = r.work_id",
     "mean": "SELECT work_id, model_version_id, i, avg(x) AS m FROM (SELECT work_id, model_version_id, generate_subscripts(vec, 1) AS i, CAST(unnest(vec) AS DOUBLE) AS x FROM {vectors}) u GROUP BY 1, 2, 3",
     "unit": "SELECT m.work_id, m.model_version_id, m.i, m.m / n.norm AS x FROM {mean} m JOIN (SELECT work_id, model_version_id, sqrt(sum(m * m)) AS norm FROM {mean} GROUP BY 1, 2) n ON n.work_id = m.work_id AND n.model_version_id = m.model_version_id",
-    "likeness": "SELECT q.work_id AS query_id, u.work_id, sum(q.x * u.x) AS score FROM {unit} q JOIN {unit} u ON u.i = q.i WHERE q.work_id IN (3, 42) GROUP BY 1, 2",
+    "likeness": "SELECT q.work_id AS query_id, u.work_id, sum(q.x * u.x) AS score FROM {unit} q JOIN {unit} u ON u.i = q.i WHERE q.work_id = 3 OR q.work_id % 50 = 0 GROUP BY 1, 2",
 }
 
 
@@ -96,19 +139,21 @@ _A, _B = _PAD.format(c="a"), _PAD.format(c="b")
 SQL = {
     "sea_tags": oracle("SELECT work_id FROM {effective} WHERE tag IN ('red', 'ring', 'bolt') GROUP BY 1 HAVING count(DISTINCT CASE tag WHEN 'red' THEN 0 ELSE 1 END) = 2"),
     "sea_synonyms": oracle("SELECT DISTINCT a.n AS tag, b.n AS also FROM (SELECT slug, lower(term) AS n FROM {terms} WHERE NOT search_only UNION SELECT slug, replace(lower(term), '#', ' ') FROM {terms} WHERE NOT search_only UNION SELECT slug, lower(slug) FROM {terms} WHERE NOT search_only) a JOIN (SELECT slug, lower(term) AS n FROM {terms} WHERE NOT search_only UNION SELECT slug, replace(lower(term), '#', ' ') FROM {terms} WHERE NOT search_only UNION SELECT slug, lower(slug) FROM {terms} WHERE NOT search_only) b ON a.slug = b.slug AND a.n <> b.n"),
-    "sea_relevance": oracle("SELECT work_id, round(relevance, 6) AS relevance FROM {relevance}"),
-    "sea_faceted": oracle("SELECT work_id, collection, created_at, round(relevance, 6) AS relevance FROM {found} WHERE collection IN ('BUILDING', 'MACHINERY') AND work_id NOT IN (SELECT work_id FROM {effective} WHERE tag = 'ring') ORDER BY created_at DESC NULLS LAST, work_id DESC LIMIT 100 OFFSET 20"),
-    "srt_modes": oracle("SELECT work_id, collection, created_at, round(relevance, 6) AS relevance FROM {found} ORDER BY round({found}.relevance, 9) DESC, work_id DESC LIMIT 200".replace("{found}.", "")),
+    "sea_relevance": oracle("SELECT e.work_id, round(sum(i.weight * CAST(e.confidence AS DOUBLE)), 6) AS relevance FROM {effective} e JOIN {idf4in} i ON i.tag = e.tag GROUP BY 1"),
+    "fn_idf": oracle("SELECT tag, round(weight, 6) AS weight FROM {idf4}"),
+    "sea_faceted": oracle("SELECT w.work_id, title, rating, round(coalesce(relevance, 0), 6) AS relevance, (SELECT count(*) FROM {wide}) AS total FROM {wide} w LEFT JOIN (SELECT e.work_id, sum(i.weight * CAST(e.confidence AS DOUBLE)) AS relevance FROM {effective} e JOIN {idfwide} i ON i.tag = e.tag GROUP BY 1) r ON r.work_id = w.work_id ORDER BY coalesce(title, folder_name), w.work_id DESC LIMIT 50 OFFSET 3"),
+    "srt_modes": oracle(" UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS mode, c.id AS work_id, round(r.relevance, 6) AS relevance FROM {{relevance}} r JOIN {{catalog}} c ON c.id = r.work_id ORDER BY {o}, c.id DESC LIMIT 40)" for m, o in (("relevance", "round(r.relevance, 9) DESC"), ("newest", "created_at DESC NULLS LAST"), ("oldest", "created_at NULLS LAST"), ("title", "coalesce(title, folder_name) NULLS LAST"), ("pages", "total_images DESC NULLS LAST")))),
     "sea_facets_cols": oracle(_facet("{found}", "collection", "collection") + " UNION ALL " + _facet("{found}", "year(created_at)", "year")),
     "sea_facets_tags": oracle(_tag_facet("character") + " UNION ALL " + _tag_facet("copyright")),
     "sea_facet_general": oracle(_tag_facet("general")),
     "sea_facet_collection": oracle(_facet("{found}", "collection", "collection", "WHERE work_id IN (SELECT work_id FROM {effective} WHERE tag IN ('red', 'bolt') GROUP BY 1 HAVING count(DISTINCT tag) = 2)")),
     "sea_tags_by_work": _listed("character"),
     "lim_visible_tags": _listed("general"),
-    "flt_rating_at_least": "SELECT o_orderkey AS id, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'explicit' ELSE 'questionable' END AS name FROM orders WHERE o_orderkey % 3 = 0 AND substring(o_orderpriority, 1, 1) IN ('1', '2')",
+    "flt_rating_at_least": "SELECT o_orderkey AS id, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'explicit' ELSE 'questionable' END AS name FROM orders WHERE substring(o_orderpriority, 1, 1) IN ('1', '2')",
     "flt_text_substr": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%rin%'",
-    "drv_vectors": oracle("SELECT work_id, model_version_id, round(max(CASE WHEN i = 1 THEN x END), 6) AS first, round(max(CASE WHEN i = 64 THEN x END), 6) AS last, count(*) AS dim FROM {unit} GROUP BY 1, 2"),
-    "sea_similar": oracle("SELECT query_id, work_id, round(score, 6) AS score, k FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, work_id) AS INT) AS k FROM {likeness} WHERE work_id <> query_id) t WHERE k <= 10"),
+    "drv_vectors": oracle("SELECT work_id, model_version_id, round(max(CASE WHEN i = 1 THEN x END), 6) AS first, round(max(CASE WHEN i = 64 THEN x END), 6) AS last, round(sum(i * x), 6) AS checked, count(*) AS dim FROM {unit} GROUP BY 1, 2"),
+    "sea_similar": oracle("SELECT query_id, work_id, round(score, 6) AS score, k FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, work_id) AS INT) AS k FROM {likeness} WHERE work_id <> query_id AND query_id % 50 = 0) t WHERE k <= 10"),
+    "sea_similar_within": oracle("SELECT query_id, work_id, round(score, 6) AS score, k, total FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, work_id) AS INT) AS k, count(*) OVER () AS total FROM {likeness} WHERE work_id <> query_id AND query_id = 3 AND work_id IN (SELECT e.work_id FROM {effective} e JOIN {works} w ON w.id = e.work_id WHERE e.tag IN ('red', 'bolt', 'ring') AND w.collection IN ('BUILDING', 'FURNITURE'))) t WHERE k <= 10"),
     "sea_hybrid": oracle("SELECT t.work_id, round(l.score, 6) AS score FROM (SELECT DISTINCT work_id FROM {effective} WHERE tag IN ('red', 'bolt')) t LEFT JOIN {likeness} l ON l.work_id = t.work_id AND l.query_id = 3 ORDER BY l.score DESC NULLS LAST, t.work_id DESC LIMIT 50"),
     "sea_stats": oracle(_facet("(SELECT id AS work_id, collection, created_at FROM {works})", "collection", "collection") + " UNION ALL " + _facet("(SELECT id AS work_id, collection, created_at FROM {works})", "year(created_at)", "year")),
     "fn_suggest_rank": oracle("SELECT typed, tag, tier, works FROM (SELECT p.typed, v.tag, v.works, CASE WHEN lower(v.tag) = p.typed THEN 0 WHEN starts_with(lower(v.tag), p.typed) THEN 1 ELSE 2 END AS tier FROM (SELECT tag, count(DISTINCT work_id) AS works FROM {effective} GROUP BY 1) v JOIN (SELECT DISTINCT substring(split_part(p_name, ' ', 1), 1, 3) AS typed FROM part) p ON contains(lower(v.tag), p.typed)) t QUALIFY row_number() OVER (PARTITION BY typed ORDER BY tier, works DESC, tag) <= 12"),
