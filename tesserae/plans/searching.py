@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import trigram_similarity
+from tesserae.functions.scalars import trigrams
 from tesserae.operators import duplicates as u
 from tesserae.operators import search as s
 from tesserae.plans.derivation import _q, _r, effective
@@ -69,14 +69,20 @@ def _suggest(x: Library):
     vocab = effective(x).groupBy("tag").agg(F.countDistinct("work_id").alias("works"))
     typed = x.part.select(F.substring(F.split("p_name", " ")[0], 1, 3).alias("typed")).distinct()
     tier = F.when(F.lower("tag") == F.col("typed"), 0).when(F.startswith(F.lower("tag"), F.col("typed")), 1).when(F.contains(F.lower("tag"), F.col("typed")), 2)
-    rows = vocab.join(F.broadcast(typed), F.contains(F.lower("tag"), F.col("typed"))).withColumn("tier", tier)
+    low = F.lower("tag")  # what is typed is inside a tag only if its first three letters are
+    inside = vocab.select("tag", "works", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: low.substr(i, n)))))).alias("head"))
+    rows = inside.join(typed.withColumn("head", F.substring("typed", 1, 3)), "head").where(F.contains(low, F.col("typed"))).withColumn("tier", tier)
     w = s.W.partitionBy("typed").orderBy("tier", F.desc("works"), "tag")
     return rows.withColumn("k", F.row_number().over(w)).where("k <= 12").select("typed", "tag", "tier", "works")
 
 
 def _trigram(x: Library):
-    rows = x.part.select(F.col("p_name").alias("a")).distinct().crossJoin(F.broadcast(x.part.select(F.col("p_brand").alias("b")).distinct().unionByName(x.part.select(F.split("p_name", " ")[0].alias("b")).distinct())))
-    return _r(rows.select("a", "b", trigram_similarity(F.col("a"), F.col("b")).alias("sim")).where("sim > 0"), "sim")
+    """Names and words that share a trigram, met by it; the others have no likeness."""
+    a = x.part.select(F.col("p_name").alias("a")).distinct().select("a", F.array_distinct(trigrams(F.col("a"))).alias("ta"))
+    b = x.part.select(F.col("p_brand").alias("b")).distinct().unionByName(x.part.select(F.split("p_name", " ")[0].alias("b")).distinct()).select("b", F.array_distinct(trigrams(F.col("b"))).alias("tb"))
+    met = a.select("a", F.size("ta").alias("na"), F.explode("ta").alias("t")).join(b.select("b", F.size("tb").alias("nb"), F.explode("tb").alias("t")), "t")
+    both = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+    return _r(both.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("sim")), "sim")
 
 
 def _checked(vec: str):

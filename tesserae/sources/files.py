@@ -23,8 +23,12 @@ def works(files: DataFrame, root: str, max_depth: int = 5) -> DataFrame:
     return rows.join(nested, "folder", "left_anti").select("folder", "depth")
 
 
-def vocabulary_csv(spark: SparkSession, path: str, name: str, category: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path).select(F.col(name).alias("tag"), F.col(category).alias("category"))
+def vocabulary_csv(spark: SparkSession, path: str, name: str | int, category: str | int, threshold: str | int | None = None) -> DataFrame:
+    """(tag, category), and threshold if asked for: columns of a file with a header, by name or by place."""
+    rows = spark.read.option("header", True).csv(path)
+    column = lambda c: F.col(f"`{rows.columns[c] if isinstance(c, int) else c}`")
+    more = [] if threshold is None else [column(threshold).alias("threshold")]
+    return rows.select(column(name).alias("tag"), column(category).alias("category"), *more)
 
 
 def vocabulary_json(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +51,31 @@ def thresholds(published: DataFrame) -> DataFrame:
     return published.withColumn("threshold", F.col("threshold").try_cast("double")).where("threshold between 0 and 1")
 
 
+def published(vocabulary: DataFrame, constants: dict[str, float] | None = None) -> DataFrame:
+    """(tag, category, threshold, source): a file's thresholds, and a constant for the tags of a category that have none of their own."""
+    own = F.col("threshold").try_cast("double")
+    of = F.create_map(*[F.lit(v) for pair in constants.items() for v in pair])[F.col("category")] if constants else F.lit(None).cast("double")
+    valid = F.when(own.between(0, 1), own)
+    rows = vocabulary.withColumn("source", F.when(valid.isNotNull(), "file").otherwise("constant")).withColumn("threshold", F.coalesce(valid, of))
+    return rows.where("threshold between 0 and 1")
+
+
+def matched(thresholds: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Thresholds by place beside a vocabulary (index, tag, category); an error is raised if their numbers differ."""
+    n, m = thresholds.count(), vocabulary.count()
+    if n != m:
+        raise ValueError(f"{n} thresholds for {m} tags")
+    return vocabulary.join(thresholds, "index")
+
+
+def optional(rows: DataFrame, **given) -> DataFrame:
+    """Rows whose columns have the values given; None asks for nothing."""
+    for column, value in given.items():
+        if value is not None:
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
 def valid_scores(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packed scores that may be recorded, and those that are refused: arrays equal, not empty, scores from 0 to 1."""
     ok = (F.size("tags") == F.size("scores")) & (F.size("scores") > 0) & F.forall("scores", lambda s: s.isNotNull() & ~F.isnan(s) & s.between(0, 1))

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str = "table") -> str:
-    """A new path below ``spark.checkpoint.dir``, or below a folder of this machine where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tesserae-shared"
+    """A new path below ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of this machine, for a local master alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+        base = "/tmp/tesserae-shared"
     return f"{base.rstrip('/')}/tesserae-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
