@@ -40,11 +40,11 @@ def pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
                 (ia, va), (ib, vb) = (_unit(one.column(c)) for c in ("left", "right"))
-                score = va @ vb.T
-                i, j = np.nonzero(score >= np.float32(least))
+                score = np.round(va @ vb.T, 9)
+                i, j = np.nonzero(score >= least)
                 if one.column("same")[0].as_py():
                     i, j = i[ia[i] < ib[j]], j[ia[i] < ib[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[i], ib[j])), pa.array(np.maximum(ia[i], ib[j])), pa.array(score[i, j].astype(np.float64))], names=["a", "b", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[i], ib[j])), pa.array(np.maximum(ia[i], ib[j])), pa.array(score[i, j])], names=["a", "b", "score"])
 
     return met.mapInArrow(run, "a long, b long, score double")
 
@@ -63,7 +63,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK)
         for batch in batches:
             for j in range(batch.num_rows):
                 one = batch.slice(j, 1)
-                (ia, va), (ib, vb) = (_unit(one.column(c), np.float64) for c in ("left", "right"))
+                (ia, va), (ib, vb) = (_unit(one.column(c)) for c in ("left", "right"))
                 score = np.round(va @ vb.T, 9)
                 score[ia[:, None] == ib[None, :]] = -np.inf
                 by = np.argsort(ib, kind="stable")
@@ -77,10 +77,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK)
     return met.mapInArrow(run, "query_id long, id long, score double").withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
 
 
-def _unit(column: pa.Array, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
+def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ids, vec = column.flatten().flatten()  # of the slice alone, unlike values
     ids = ids.to_numpy(zero_copy_only=False)
-    x = np.asarray(vec.flatten()).reshape(len(ids), -1).astype(kind)
+    x = np.asarray(vec.flatten()).reshape(len(ids), -1).astype(np.float64)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return ids, np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
 

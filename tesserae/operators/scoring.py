@@ -162,10 +162,12 @@ def outcome(scored: DataFrame) -> DataFrame:
 def replaced(picks: DataFrame, pages: DataFrame) -> DataFrame:
     """(work_id, ordinal, pick) after rejected picks are replaced, in order of picks.
 
-    ``picks`` (work_id, pick, first, last) has the zone of each pick, ``pages`` (work_id, page, usable) all pages. A pick
-    that is not usable gives way to the next usable page of its zone that is no pick, else to the one before; without
-    any it goes. A work's pages are one group.
+    ``picks`` (work_id, pick, first, last) has the zone of each pick, ``pages`` (work_id, page, usable, first) all pages with
+    the beginning of their zone; zones of a work lie apart. A pick that is not usable gives way to the next usable page of
+    its zone that is no pick, else to the one before; without any it goes. A zone is one group, however large its work;
+    picks are numbered by their place in the zone and the picks of the zones before, which are added up by zone.
     """
+
     def each(df: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
         df, usable = df.sort_values("pick", kind="stable"), set(page.loc[page["usable"], "page"])
         taken, out = set(df["pick"]), []
@@ -175,7 +177,10 @@ def replaced(picks: DataFrame, pages: DataFrame) -> DataFrame:
                 taken.add(pick)
             if pick is not None:
                 out.append(pick)
-        work = df["work_id"].iloc[0] if len(df) else 0
-        return pd.DataFrame({"work_id": work, "ordinal": range(len(out)), "pick": sorted(out)}).astype({"work_id": "int64", "ordinal": "int32", "pick": "int32"})
+        work, first = (df["work_id"].iloc[0], df["first"].iloc[0]) if len(df) else (0, 0)
+        return pd.DataFrame({"work_id": work, "first": first, "place": range(len(out)), "pick": sorted(out)}).astype({"work_id": "int64", "first": "int32", "place": "int32", "pick": "int32"})
 
-    return picks.groupBy("work_id").cogroup(pages.groupBy("work_id")).applyInPandas(each, "work_id long, ordinal int, pick int")
+    rows = picks.groupBy("work_id", "first").cogroup(pages.groupBy("work_id", "first")).applyInPandas(each, "work_id long, first int, place int, pick int")
+    n = rows.groupBy("work_id", "first").agg(F.count("*").alias("n"))
+    before = n.select("work_id", "first", (F.sum("n").over(W.partitionBy("work_id").orderBy("first")) - F.col("n")).alias("before"))
+    return rows.join(before, ["work_id", "first"]).select("work_id", (F.col("before") + F.col("place")).cast("int").alias("ordinal"), "pick")

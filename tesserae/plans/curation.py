@@ -118,3 +118,21 @@ SQL = {
     "rep_browse": oracle("SELECT split_part(substring(path, 6), '/', 1) AS child, count(*) AS places FROM {copies} WHERE starts_with(path, 'src1/') GROUP BY 1"),
     "rep_overview": oracle("SELECT (SELECT count(*) FROM {works}) AS works, (SELECT count(*) FROM {samples}) AS samples, (SELECT count(*) FROM {samples} WHERE skip_reason IS NOT NULL) AS skipped, (SELECT count(*) FROM {claims} WHERE negated) AS negations"),
 }
+
+_PAIRS = f"SELECT a, b, score, row_number() OVER (ORDER BY score DESC, a DESC, b DESC) AS k FROM (SELECT a, b, round(score, 9) AS score FROM ({_COS.format(op='<')})) t WHERE score >= 0.25"
+_ENDS = "list_contains(leads, p.a) AS la, list_contains(leads, p.b) AS lb, list_contains(members, p.a) OR list_contains(members, p.b) AS bound"
+#: The rule itself, one pair after another, strongest first.
+SQL["dup_near_groups"] = (
+    f"WITH RECURSIVE p AS MATERIALIZED ({_PAIRS}), g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leads, CAST([] AS BIGINT[]) AS members, CAST(NULL AS BIGINT) AS leader, CAST(NULL AS BIGINT) AS member, CAST(NULL AS DOUBLE) AS score "
+    "UNION ALL SELECT k, CASE WHEN leader IS NULL OR list_contains(leads, leader) THEN leads ELSE list_append(leads, leader) END, CASE WHEN member IS NULL THEN members ELSE list_append(members, member) END, leader, member, CASE WHEN leader IS NULL THEN NULL ELSE score END "
+    "FROM (SELECT k, leads, members, score, CASE WHEN bound OR (la AND lb) THEN NULL WHEN lb THEN b ELSE a END AS leader, CASE WHEN bound OR (la AND lb) THEN NULL WHEN lb THEN a ELSE b END AS member "
+    f"FROM (SELECT p.k, p.a, p.b, p.score, leads, members, {_ENDS} FROM g JOIN p ON p.k = g.k + 1) e) f) SELECT leader, member, score FROM g WHERE leader IS NOT NULL"
+)
+SQL["smp_zones"] = (
+    "WITH w AS (SELECT l_suppkey AS work_id, count(*) AS pages FROM lineitem GROUP BY 1), r AS (SELECT *, CASE WHEN pages <= 8 THEN pages ELSE least(pages, CAST(round_even(8 + 2 * sqrt(pages), 0) AS BIGINT)) END AS n FROM w), "
+    "s AS (SELECT work_id, greatest(1, CAST(floor(pages * CAST(0.95 AS DOUBLE)) AS INT)) AS usable, n - 1 AS rest_n FROM r WHERE n < pages), "
+    "q AS (SELECT s.*, zone, share * rest_n - floor(share * rest_n) AS part, CAST(floor(share * rest_n) AS INT) AS q FROM s CROSS JOIN (SELECT zone, CAST(share AS DOUBLE) AS share FROM (VALUES (0, 0.2), (1, 0.5), (2, 0.3)) v(zone, share)) z), "
+    "g AS (SELECT work_id, usable, zone, q + CASE WHEN row_number() OVER (PARTITION BY work_id ORDER BY part DESC, zone) <= rest_n - sum(q) OVER (PARTITION BY work_id) THEN 1 ELSE 0 END AS q FROM q), "
+    "e AS (SELECT work_id, q, CAST(CASE zone WHEN 0 THEN 1 WHEN 1 THEN floor(usable * CAST(0.25 AS DOUBLE)) ELSE floor(usable * CAST(0.65 AS DOUBLE)) END AS DOUBLE) AS a, CAST(CASE zone WHEN 0 THEN floor(usable * CAST(0.25 AS DOUBLE)) WHEN 1 THEN floor(usable * CAST(0.65 AS DOUBLE)) ELSE usable END AS DOUBLE) AS b FROM g WHERE q > 0) "
+    "SELECT work_id, count(*) AS picks, CAST(min(pick) AS BIGINT) AS first FROM (SELECT work_id, CAST(unnest(range(0, pages)) AS INT) AS pick FROM r WHERE n >= pages UNION SELECT work_id, 0 FROM s UNION SELECT work_id, CAST(floor(a + (i + CAST(0.5 AS DOUBLE)) * (b - a) / q) AS INT) FROM (SELECT *, unnest(range(0, q)) AS i FROM e) x) y GROUP BY 1"
+)

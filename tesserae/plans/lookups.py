@@ -163,7 +163,7 @@ def _replaced(x: Library) -> DataFrame:
     """Lines as pages of an order's supplier: every fourth page is unusable, picks are every third, in zones of ten."""
     pages = x.lineitem.groupBy(F.col("l_suppkey").cast("long").alias("work_id")).agg(F.count("*").alias("n")).select("work_id", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("page"))
     zone = (F.floor(F.col("page") / 10) * 10).cast("int")
-    return sc.replaced(pages.where("page % 3 = 0").select("work_id", F.col("page").alias("pick"), zone.alias("first"), (zone + 9).alias("last")), pages.withColumn("usable", F.col("page") % 4 != 0))
+    return sc.replaced(pages.where("page % 3 = 0").select("work_id", F.col("page").alias("pick"), zone.alias("first"), (zone + 9).alias("last")), pages.select("work_id", "page", (F.col("page") % 4 != 0).alias("usable"), zone.alias("first")))
 
 
 def _valid(x: Library) -> DataFrame:
