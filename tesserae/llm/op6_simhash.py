@@ -3,9 +3,9 @@
 A fingerprint has a bit set if more than half of the document's shingle hashes have it set. Two fingerprints that differ
 in at most three bits agree in two of five blocks, so fingerprints meet under each pair of blocks and are verified by
 their Hamming distance. What meets is distinct fingerprints, never copies of documents: each stands for its documents.
-Under a key of more than :data:`GROUP` fingerprints a leader is compared with all, and the triangle
-inequality leaves few other comparisons (:func:`_led`); what then is left is dealt out as pairs of slots of that many at
-most, so no task holds an unbounded group. Of the links in a group only a spanning forest leaves the task, which loses no
+Under a key of more than :data:`GROUP` fingerprints a leader is compared with all, and only what is not connected then
+is compared further, dealt out in slots of that many at most, so no task holds an unbounded group and no group costs its
+square (:func:`links`). Of the links in a group only a spanning forest leaves the task, which loses no
 connection. Components are found by contraction (``common.components``).
 
 Words are runs of characters other than the six ASCII white-space characters, A-Z lower-cased.
@@ -31,8 +31,7 @@ DISTANCE = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 GROUP = 512
 SMALL = 24
-#: Rounds of leaders for keys of more nodes than a group, and keys of that kind that are broadcast.
-LEADERS = 3
+#: Keys of more nodes than a group that are broadcast.
 FEW_KEYS = 20_000
 #: Words of 64 bits of the two fingerprints of :func:`similar`, and the bits of the second in which similar texts may differ.
 BLOCK_WORDS, WORDS = 6, 4
@@ -148,17 +147,45 @@ def links(found: DataFrame, blocks: list[str], words: list[str], distance: int =
     """Links (a, b) that connect the same nodes as all links of ``found`` that meet under a key.
 
     ``found`` has node and columns of longs; ``blocks`` give the keys, and nodes are linked if ``words`` differ in at
-    most ``distance`` bits. The words of nodes are distinct.
+    most ``distance`` bits.
+
+    Under a key of at most ``group`` nodes all are compared. Under a larger one every node is compared with a leader, one
+    for each key, chosen by hash. What these links connect needs no comparison with its like: only keys whose nodes still are
+    in several components go on, and there the nodes of the largest component, dealt out in slots, are compared with the
+    others, and the others with each other. So one large group of near copies costs a pass, not its square.
     """
     keyed = found.select("node", F.explode(block_keys(blocks)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keyed.join(sizes, "key").join(found.select("node", *words), "node").select("key", "node", *words, "n"), "met")
-    groups = [met.where(F.col("n") <= group).select("key", F.lit(0).alias("s1"), F.lit(0).alias("s2"), "node", *words)]
-    stars, hot = _led(met.where(F.col("n") > group).select("key", "node", *words), words, distance, group, groups)
-    every = groups[0]
-    for g in groups[1:]:
-        every = every.union(g)
-    every = every.repartition("key", "s1", "s2").sortWithinPartitions("key", "s1", "s2")
+    few = met.where(F.col("n") <= group).select("key", F.lit(0).alias("s1"), F.lit(0).alias("s2"), "node", *words)
+    out = written(_compared(few, words, distance), "links")
+    hot = met.where(F.col("n") > group)
+    if hot.isEmpty():
+        return out
+    order = F.xxhash64("key", "node").alias("order")
+    lead = small(written(hot.groupBy("key").agg(F.min(F.struct(order, "node", *words)).alias("lead")), "leaders"), FEW_KEYS)
+    d = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("lead")[w])) for w in words), F.lit(0))
+    stars = hot.join(lead, "key").where((F.col("node") != F.col("lead.node")) & (d <= distance)).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    out = written(out.union(stars).distinct(), "links")
+    parts = components(out).select("node", "component")
+    hot = written(hot.select("key", "node", *words).join(parts, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "hot-keys")
+    per = hot.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    slots = lambda n: F.ceil(n / group).cast("int")
+    per = small(written(per.select("key", F.col("top.c").alias("top"), slots(F.col("top.n")).alias("n1"), slots(F.col("n") - F.col("top.n")).alias("n2")), "open-keys"), FEW_KEYS)
+    rows = hot.join(per, "key")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    within, others = rows.where("c = top"), rows.where("c <> top")
+    met = within.select("key", own("n1").alias("s1"), every("n2").alias("s2"), "node", *words)
+    met = met.union(others.select("key", every("n1").alias("s1"), own("n2").alias("s2"), "node", *words))  # with each other too, in one slot
+    pairs = others.where("n2 > 1").withColumn("s", own("n2")).withColumn("o", every("n2"))
+    met = met.union(pairs.select("key", (-1 - F.least("s", "o")).alias("s1"), F.greatest("s", "o").alias("s2"), "node", *words))
+    return out.union(_compared(met, words, distance))
+
+
+def _compared(met: DataFrame, words: list[str], distance: int) -> DataFrame:
+    """(a, b): a forest of the links in each group (key, s1, s2) of nodes."""
+    met = met.repartition("key", "s1", "s2").sortWithinPartitions("key", "s1", "s2")
 
     def run(batches):
         target = arrow_schema("a long, b long")
@@ -183,44 +210,7 @@ def links(found: DataFrame, blocks: list[str], words: list[str], distance: int =
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=target)
 
-    return every.mapInArrow(run, "a long, b long").union(stars) if hot else every.mapInArrow(run, "a long, b long")
-
-
-def _led(rest: DataFrame, words: list[str], distance: int, group: int, groups: list[DataFrame]) -> tuple[DataFrame | None, bool]:
-    """Links of keys under which more than ``group`` nodes meet; what is still to be compared is added to ``groups``.
-
-    Each key takes its least node for a leader, and nodes within the distance are linked to it. They are connected, so
-    they need no comparison with each other, nor with nodes beyond twice the distance, which cannot be near any of them;
-    they are compared with the nodes between, and all nodes that are not linked with each other. So one large group of near
-    copies costs a pass, not its square. After :data:`LEADERS` rounds what is left is dealt out as pairs of slots.
-    """
-    stars = None
-    for turn in range(LEADERS):
-        if rest.isEmpty():
-            return stars, stars is not None
-        lead = small(written(rest.groupBy("key").agg(F.min(F.struct("node", *words)).alias("lead")), "leaders"), FEW_KEYS)
-        d = sum((F.bit_count(F.col(w).bitwiseXOR(F.col("lead")[w])) for w in words), F.lit(0))
-        led = written(rest.join(lead, "key").select("key", "node", *words, F.col("lead.node").alias("leader"), d.alias("d")), "led")
-        star = led.where((F.col("d") <= distance) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        stars = star if stars is None else stars.union(star)
-        near, border = led.where(F.col("d") <= distance), led.where((F.col("d") > distance) & (F.col("d") <= 2 * distance))
-        dealt = lambda c: F.ceil(F.count(F.when(c, 1)) / group).cast("int")
-        slots = led.groupBy("key").agg(dealt(F.col("d") <= distance).alias("n1"), dealt((F.col("d") > distance) & (F.col("d") <= 2 * distance)).alias("n2"), F.count(F.when(F.col("d") > distance, 1)).alias("n"))
-        slots = small(written(slots, "slots"), FEW_KEYS)
-        own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-        other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        tag = (2 * turn + 1) << 20  # apart from the slots of other rounds
-        met = slots.where("n1 > 0 and n2 > 0").select("key", "n1", "n2")
-        groups.append(near.join(met, "key").select("key", (own("n1") + tag).alias("s1"), other("n2").alias("s2"), "node", *words))
-        groups.append(border.join(met, "key").select("key", other("n1").alias("s1"), own("n2").alias("s2"), "node", *words).withColumn("s1", F.col("s1") + tag))
-        apart = led.where(F.col("d") > distance).join(slots.select("key", "n"), "key")
-        groups.append(apart.where((F.col("n") > 1) & (F.col("n") <= group)).select("key", F.lit((2 * turn + 2) << 20).alias("s1"), F.lit(0).alias("s2"), "node", *words))
-        rest = apart.where(F.col("n") > group).select("key", "node", *words)
-    s = rest.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("s"))
-    slot = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
-    pairs = rest.join(small(written(s, "slots"), FEW_KEYS), "key").withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    groups.append(pairs.select("key", (F.least("slot", "other") + ((2 * LEADERS + 1) << 20)).alias("s1"), F.greatest("slot", "other").alias("s2"), "node", *words))
-    return stars, True
+    return met.mapInArrow(run, "a long, b long")
 
 
 def _components(of: DataFrame, blocks: list[str], words: list[str], distance: int, group: int) -> DataFrame:
