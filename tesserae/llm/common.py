@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, as in tests, one of this machine, for a local master alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        spark.conf.set("spark.checkpoint.dir", found := DEFAULT_SHARED)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+        found = DEFAULT_SHARED
     return f"{found.rstrip('/')}/tesserae-{spark.sparkContext.applicationId}"
 
 

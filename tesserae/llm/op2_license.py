@@ -24,8 +24,49 @@ from tesserae.llm.common import arrow_map, table, texts
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Templates: label and marked-up wording.
+#: Templates: label and marked-up wording, without marks of punctuation. The wording of the licenses.
 TEMPLATES = {
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "<<optional>>http<</optional>> <<optional>>https<</optional>> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license "
+        "is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+    ),
+    "bsd-2-clause": "<<bsd>> <<bsd-end>>",
+    "bsd-3-clause": (
+        "<<bsd>> <<optional>>3<</optional>> neither the name of <<var:1-12>> nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission <<bsd-end>>"
+    ),
+    "gpl-notice": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license as published by the "
+        "free software foundation either version <<var:1-2>> of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without "
+        "even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license for more details"
+    ),
+    "isc": (
+        "permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice "
+        "appear in all copies the software is provided as is and <<var:1-8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event "
+        "shall <<var:1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence "
+        "or other tortious action arising out of or in connection with the use or performance of this software"
+    ),
+    "mit-full": (
+        "<<optional>><<optional>>the<</optional>> mit license <<optional>>mit<</optional>><</optional>> <<optional>>copyright <<optional>>c<</optional>> <<var:1-16>><</optional>> "
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including "
+        "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
+        "the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the "
+        "software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+        "noninfringement in no event shall <<var:1-10>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the "
+        "software or the use or other dealings in the software"
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled "
+        "binary for any purpose commercial or non commercial and by any means"
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone "
+        "to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<optional>>1<</optional>> the origin of this software "
+        "must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment <<optional>>see the following<</optional>> in the product documentation "
+        "would be appreciated but is not required <<optional>>2<</optional>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+        "<<optional>>3<</optional>> this notice may not be removed or altered from any source distribution"
+    ),
     "agpl-3.0": "<<optional>>this work is<</optional>> licensed under the gnu affero general public license <<optional>>version<</optional>> <<optional>>v<</optional>> 3",
     "all-rights-reserved": "all rights reserved",
     "apache-2.0": "licensed under the apache license <<optional>>version<</optional>> 2 0 <<optional>>the license<</optional>>",
@@ -41,6 +82,19 @@ TEMPLATES = {
     "mpl-2.0": "subject to the terms of the mozilla public license <<optional>>v<</optional>> <<optional>>version<</optional>> 2 0",
 }
 
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<</optional>> redistributions of source code must "
+    "retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of "
+    "conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_END = (
+    "this software is provided by <<var:1-10>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <<var:1-10>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use "
+    "data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of "
+    "this software even if advised of the possibility of such damage"
+)
+TEMPLATES = {label: markup.replace("<<bsd>>", _BSD).replace("<<bsd-end>>", _BSD_END) for label, markup in TEMPLATES.items()}
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SHAPE = bytes(97 if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 

@@ -87,6 +87,57 @@ def test_license_automaton_needs_the_mandatory_words():
     assert a.places(b"copyright all rights reserved".split()) == [] and a.places(b"copyright a b c d e all rights reserved".split()) == []
 
 
+def expansions(parts):
+    """All word sequences of a template given as words, ("var", least, most) and lists (optional parts); None is any word."""
+    found = [[]]
+    for part in parts:
+        if isinstance(part, list):
+            more = [[]] + expansions(part)
+        elif isinstance(part, tuple):
+            more = [[None] * n for n in range(part[1], part[2] + 1)]
+        else:
+            more = [[part]]
+        found = [a + b for a in found for b in more]
+    return found
+
+
+def test_license_automaton_by_all_expansions():
+    """Places of a template, by trying each of its expansions at each place."""
+    templates = [["a", ["b"], "c"], [["a", ["b"]], "c", ("var", 1, 3), "a"], ["c", ("var", 0, 2), ["b", "b"], "a", ["c"]], ["b", [["a"], ["c"]], "b"]]
+    markup = lambda parts: " ".join(f"<<optional>> {markup(p)} <</optional>>" if isinstance(p, list) else f"<<var:{p[1]}-{p[2]}>>" if isinstance(p, tuple) else p for p in parts)
+    rnd = random.Random(11)
+    for parts in templates:
+        auto, forms = op2_license.Automaton(markup(parts)), expansions(parts)
+        for _ in range(300):
+            words = [rnd.choice("abcd").encode() for _ in range(rnd.randint(0, 14))]
+            want, i = [], 0
+            while i < len(words):
+                ends = [i + len(x) for x in forms if x and len(x) <= len(words) - i and all(w is None or w.encode() == words[i + k] for k, w in enumerate(x))]
+                if ends:
+                    want.append((i, max(ends)))
+                i = max(ends, default=i + 1)
+            assert auto.places(words) == want
+
+
+def test_license_full_texts():
+    """Each template accepts its own wording with and without what is optional, whatever stands in its replaceable places, and not with a mandatory word changed."""
+    automata, rnd = op2_license.compiled(op2_license.TEMPLATES), random.Random(12)
+    for label, markup in op2_license.TEMPLATES.items():
+        for keep in (True, False):
+            text = markup
+            while "<<optional>>" in text:
+                text = re.sub("<<optional>>((?:(?!<<optional>>|<</optional>>).)*)<</optional>>", (lambda m: f" {m[1]} ") if keep else " ", text)
+            words = re.sub(r"<<var:(\d+)-(\d+)>>", lambda m: " ".join(f"some{k}" for k in range(rnd.randint(int(m[1]), int(m[2])))), text).split()
+            spelt = "Before, " + ", ".join(words).upper() + " -- after."
+            found = op2_license.scan(spelt, automata)
+            assert label in found["labels"].split(",") and any(x == label and b - a >= len(words) - 6 for a, b, x in found["places"])
+            fixed = [k for k, w in enumerate(words) if not w.startswith("some") and k > len(words) // 3]
+            if len(words) > 60:
+                broken = list(words)
+                broken[rnd.choice(fixed[:-4])] = "xyzzy"
+                assert not any(x == label and b - a >= len(words) - 6 for a, b, x in op2_license.scan(" ".join(broken), automata)["places"])
+
+
 def der(tag, body):
     size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
     return bytes([tag]) + size + body
@@ -480,6 +531,47 @@ def test_language_held_out(spark, docs):
     assert op9_language.accepted(docs, model).columns == docs.columns
 
 
+def test_language_by_exact_sets(spark, docs, corpus):
+    """What is learnt is what a plain count gives, and the filter predicts what exact sets predict."""
+    d = corpus.select("doc_id", "text", "lang").union(docs.select("doc_id", "text", "lang"))
+    counts, prior = {}, {}
+    for r in d.collect():
+        if r.doc_id is not None and r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            prior[r.lang] = prior.get(r.lang, 0) + 1
+            low = "".join(c.lower()[0] if c.isalpha() else " " for c in f" {r.text} ")
+            for k in range(len(low) - 2):
+                if low[k : k + 3].count(" ") < 2:
+                    by = counts.setdefault(r.lang, {})
+                    by[low[k : k + 3]] = by.get(low[k : k + 3], 0) + 1
+    rate = {lang: {g: n / sum(by.values()) for g, n in by.items()} for lang, by in counts.items()}
+    top = {}
+    for by in rate.values():
+        for g, f in by.items():
+            if f >= op9_language.LEAST:
+                top[g] = max(f, top.get(g, 0))
+    sets = {lang: {g for g, f in by.items() if f >= op9_language.LEAST and f >= op9_language.SHARE * top[g]} for lang, by in rate.items()}
+    kept, seen = op9_language.known_grams(d)
+    spelt = lambda g: "".join(chr(int(g) >> k & 0x1FFFFF) for k in (42, 21, 0))
+    assert seen == prior and {lang: {spelt(g) for g in codes} for lang, codes in kept.items()} == sets
+    model, same, all_ = op9_language.Filter(kept, seen), 0, 0
+    for r in corpus.collect():
+        low = "".join(c.lower()[0] if c.isalpha() else " " for c in f" {r.text or ''} ")
+        grams = [low[k : k + 3] for k in range(len(low) - 2) if low[k : k + 3].count(" ") < 2]
+        hits = {lang: sum(g in s for g in grams) for lang, s in sets.items()}
+        best = min(hits, key=lambda x: (-hits[x], x))
+        got, score, n = model.predict(r.text or "")
+        all_ += 1
+        same += got == ("und" if not any(map(str.isalpha, r.text or "")) else best)
+        assert got == "und" or n == len(grams) and abs(score - hits[got] / n) < 0.05
+    assert same >= 0.99 * all_
+
+
+def test_language_number_is_bounded(spark):
+    many = spark.range(2000).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError):
+        op9_language.learn(many)
+
+
 def test_language_filter_has_every_gram():
     rng = np.random.default_rng(1)
     known = {f"l{k:02}": rng.integers(1, 1 << 60, 500, dtype=np.uint64) for k in range(70)}
