@@ -158,32 +158,37 @@ def sequences(sample: list[tuple[int, np.ndarray]], seed: int = 0) -> tuple[list
 def train(features: list[np.ndarray], labels: list[np.ndarray], weights: list[float], steps: int = 150, rate: float = 0.2, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights (2, FEATURES) and moves (2, 2) of greatest conditional likelihood of the labels of lines, by gradient ascent with Adam.
 
-    Forward and backward sums run over all sequences at once.
+    Forward and backward sums run over all sequences at once, longest first: the lines at one place of all sequences that
+    reach it stand together, so no row is a filler.
     """
-    n, most = len(features), max(map(len, features))
-    x, mask = np.zeros((n, most, FEATURES)), np.zeros((n, most), bool)
-    gold = np.zeros((n, most, 2))
-    for k, (f, y) in enumerate(zip(features, labels)):
-        x[k, : len(f)], mask[k, : len(f)] = f, True
-        gold[k, np.arange(len(f)), y] = 1
-    weight = np.array(weights)
+    order = sorted(range(len(features)), key=lambda k: -len(features[k]))
+    most = len(features[order[0]])
+    reach = [sum(len(f) > t for f in features) for t in range(most)]
+    at = np.cumsum([0, *reach])
+    x = np.concatenate([features[k][t][None] for t in range(most) for k in order[: reach[t]]])
+    y = np.array([labels[k][t] for t in range(most) for k in order[: reach[t]]])
+    which = np.concatenate([np.arange(n) for n in reach])
+    by = np.array([weights[k] for k in order])[which][:, None]
+    later = np.arange(at[1], at[-1])
+    before = np.concatenate([np.zeros(0, int), *(at[t - 1] + np.arange(reach[t]) for t in range(1, most))])
+    gold = np.eye(2)[y]
+    moved = np.zeros((2, 2))
+    np.add.at(moved, (y[before], y[later]), by[later, 0])
     theta, m, v = np.zeros(2 * FEATURES + 4), 0.0, 0.0
-    lse = lambda z, axis: (top := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - top).sum(axis))
     for step in range(1, steps + 1):
         w, moves = theta[: 2 * FEATURES].reshape(2, FEATURES), theta[2 * FEATURES :].reshape(2, 2)
         s = x @ w.T
-        fore, back = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-        fore[:, 0] = s[:, 0]
+        fore, back = s.copy(), np.zeros_like(s)
         for t in range(1, most):
-            fore[:, t] = np.where(mask[:, t, None], lse(fore[:, t - 1, :, None] + moves, 1) + s[:, t], fore[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            back[:, t] = np.where(mask[:, t + 1, None], lse(moves + (s[:, t + 1] + back[:, t + 1])[:, None, :], 2), back[:, t + 1])
-        total = lse(fore[:, -1], 1)
-        p = np.exp(fore + back - total[:, None, None]) * mask[..., None]
-        pairs = np.exp(fore[:, :-1, :, None] + moves + (s + back)[:, 1:, None, :] - total[:, None, None, None]) * mask[:, 1:, None, None]
-        got = gold[:, :-1, :, None] * gold[:, 1:, None, :]
-        by = weight[:, None, None]
-        up = np.concatenate([np.einsum("nts,ntf->sf", (gold - p) * by, x).ravel(), ((got - pairs) * by[..., None]).sum((0, 1)).ravel()]) / 8 - decay * theta
+            was, now = fore[at[t - 1] : at[t - 1] + reach[t]], slice(at[t], at[t + 1])
+            fore[now] += np.stack([np.logaddexp(was[:, 0] + moves[0, j], was[:, 1] + moves[1, j]) for j in (0, 1)], 1)
+        for t in range(most - 1, 0, -1):
+            then = s[at[t] : at[t + 1]] + back[at[t] : at[t + 1]]
+            back[at[t - 1] : at[t - 1] + reach[t]] = np.stack([np.logaddexp(then[:, 0] + moves[i, 0], then[:, 1] + moves[i, 1]) for i in (0, 1)], 1)
+        total = np.logaddexp.reduce(s[: reach[0]] + back[: reach[0]], axis=1)
+        p = np.exp(fore + back - total[which][:, None])
+        pairs = np.exp(fore[before][:, :, None] + moves + (s + back)[later][:, None, :] - total[which[later]][:, None, None])
+        up = np.concatenate([(((gold - p) * by).T @ x).ravel(), (moved - (pairs * by[later][..., None]).sum(0)).ravel()]) / 8 - decay * theta
         m, v = 0.9 * m + 0.1 * up, 0.99 * v + 0.01 * up * up
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta[: 2 * FEATURES].reshape(2, FEATURES), theta[2 * FEATURES :].reshape(2, 2)
