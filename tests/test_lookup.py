@@ -112,6 +112,7 @@ def test_replacement_picks(spark):
     pages = spark.createDataFrame([(1, q, q not in (2, 3, 5, 6)) for q in range(8)] + [(2, 0, False)], "work_id long, page int, usable boolean")
     picks = spark.createDataFrame([(1, 0, 0, 3), (1, 2, 0, 3), (1, 3, 0, 3), (1, 5, 4, 6), (1, 6, 4, 6), (2, 0, 0, 0)], "work_id long, pick int, first int, last int")
     # 2: next in the zone is the pick 3, so the one before, 1; 3: nothing left; 5: before, 4; 6: nothing left
+    pages = pages.withColumn("first", F.when(F.col("page") < 4, 0).otherwise(4))
     assert rows(sc.replaced(picks, pages)) == [(1, 0, 0), (1, 1, 1), (1, 2, 4)]
     assert sc.replaced(picks.limit(0), pages).count() == 0
 
