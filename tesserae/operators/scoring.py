@@ -6,9 +6,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -168,19 +167,19 @@ def replaced(picks: DataFrame, pages: DataFrame) -> DataFrame:
     picks are numbered by their place in the zone and the picks of the zones before, which are added up by zone.
     """
 
-    def each(df: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
-        df, usable = df.sort_values("pick", kind="stable"), set(page.loc[page["usable"], "page"])
-        taken, out = set(df["pick"]), []
-        for pick, first, last in zip(df["pick"].tolist(), df["first"].tolist(), df["last"].tolist()):
-            if pick not in usable:
-                pick = next((p for p in (*range(pick + 1, last + 1), *range(pick - 1, first - 1, -1)) if p in usable and p not in taken), None)
-                taken.add(pick)
-            if pick is not None:
-                out.append(pick)
-        work, first = (df["work_id"].iloc[0], df["first"].iloc[0]) if len(df) else (0, 0)
-        return pd.DataFrame({"work_id": work, "first": first, "place": range(len(out)), "pick": sorted(out)}).astype({"work_id": "int64", "first": "int32", "place": "int32", "pick": "int32"})
-
-    rows = picks.groupBy("work_id", "first").cogroup(pages.groupBy("work_id", "first")).applyInPandas(each, "work_id long, first int, place int, pick int")
+    zones = picks.groupBy("work_id", "first").agg(F.array_sort(F.collect_list(F.col("pick").cast("int"))).alias("picks"), F.max("last").alias("last"))  # of one zone
+    able = pages.where("usable").groupBy("work_id", "first").agg(F.array_sort(F.collect_list(F.col("page").cast("int"))).alias("usable"))
+    zones = zones.join(able, ["work_id", "first"], "left").withColumn("usable", F.coalesce(F.filter("usable", lambda q: q.between(F.col("first"), F.col("last"))), F.filter("picks", lambda q: F.lit(False))))
+
+    def step(state: Column, pick: Column) -> Column:
+        free = F.filter("usable", lambda q: ~F.array_contains(state["taken"], q))
+        other = F.coalesce(F.array_min(F.filter(free, lambda q: q > pick)), F.array_max(F.filter(free, lambda q: q < pick)))
+        got = F.when(F.array_contains("usable", pick), pick).otherwise(other)
+        found = F.array_compact(F.array(got))
+        return F.struct(F.concat(state["taken"], found).alias("taken"), F.concat(state["out"], found).alias("out"))
+
+    start = F.struct(F.col("picks").alias("taken"), F.filter("picks", lambda q: F.lit(False)).alias("out"))
+    rows = zones.select("work_id", "first", F.posexplode(F.array_sort(F.aggregate("picks", start, step, lambda state: state["out"]))).alias("place", "pick"))
     n = rows.groupBy("work_id", "first").agg(F.count("*").alias("n"))
     before = n.select("work_id", "first", (F.sum("n").over(W.partitionBy("work_id").orderBy("first")) - F.col("n")).alias("before"))
     return rows.join(before, ["work_id", "first"]).select("work_id", (F.col("before") + F.col("place")).cast("int").alias("ordinal"), "pick")

@@ -328,3 +328,15 @@ SQL = {
     "stm_incremental_derive": oracle(f"SELECT {_TAGS} {{tags}}"),
     "stm_stale_rerun": oracle("SELECT work_id, run_id, count(*) AS samples FROM {samples} s WHERE run_id = (SELECT max(run_id) FROM {samples} m WHERE m.work_id = s.work_id) GROUP BY 1, 2"),
 }
+
+#: The rule itself, one pick after another within a zone.
+SQL["smp_replace"] = (
+    "WITH RECURSIVE w AS (SELECT l_suppkey AS work_id, count(*) AS n FROM lineitem GROUP BY 1), pg AS MATERIALIZED (SELECT work_id, unnest(range(0, n)) AS page FROM w), "
+    "pk AS MATERIALIZED (SELECT work_id, page AS pick, page // 10 AS z, row_number() OVER (PARTITION BY work_id, page // 10 ORDER BY page) AS j FROM pg WHERE page % 3 = 0), "
+    "c AS MATERIALIZED (SELECT k.work_id, k.pick, k.z, k.j, list(p.page ORDER BY CASE WHEN p.page > k.pick THEN 0 ELSE 1 END, abs(p.page - k.pick)) FILTER (WHERE p.page IS NOT NULL) AS cands "
+    "FROM pk k LEFT JOIN pg p ON p.work_id = k.work_id AND p.page // 10 = k.z AND p.page <> k.pick AND p.page % 4 <> 0 GROUP BY k.work_id, k.pick, k.z, k.j), "
+    "g AS (SELECT work_id, z, CAST(0 AS BIGINT) AS j, list(pick) AS taken, CAST(NULL AS BIGINT) AS got FROM pk GROUP BY 1, 2 "
+    "UNION ALL SELECT work_id, z, j, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got) END, got FROM (SELECT g.work_id, g.z, c.j, taken, "
+    "CASE WHEN c.pick % 4 <> 0 THEN c.pick ELSE list_filter(c.cands, lambda q: NOT list_contains(taken, q))[1] END AS got FROM g JOIN c ON c.work_id = g.work_id AND c.z = g.z AND c.j = g.j + 1) e) "
+    "SELECT work_id, CAST(row_number() OVER (PARTITION BY work_id ORDER BY got) - 1 AS INT) AS ordinal, CAST(got AS INT) AS pick FROM g WHERE got IS NOT NULL"
+)

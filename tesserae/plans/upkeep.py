@@ -122,3 +122,12 @@ SQL = {
     "mea_blank_ratio": "SELECT vec_id, round(len(list_filter(embedding, lambda e: abs(CAST(e AS DOUBLE)) > 0.2)) / len(embedding), 6) AS white, round(len(list_filter(embedding, lambda e: abs(CAST(e AS DOUBLE)) < 0.05)) / len(embedding), 6) AS black FROM embeddings",
     "mea_color_ratio": f"SELECT vec_id, round(len(list_filter(range(len(embedding) // 3), lambda i: {_TOP} > 0 AND {_TOP} - {_LOW} > 0.9 * {_TOP})) / (len(embedding) // 3), 6) AS ratio FROM embeddings",
 }
+
+#: The rule itself, one frame after another: a frame stays if no kept one is near it.
+SQL["smp_scene_dedup"] = (
+    "WITH RECURSIVE f AS MATERIALIZED (SELECT vec_id // 20 AS video, vec_id % 20 AS ordinal, embedding AS sig, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id % 20) AS k FROM embeddings), "
+    f"d AS (SELECT y.video, y.k, x.k AS o, list_sum(list_transform(range(1, len(x.sig) + 1), lambda i: CAST(abs(x.sig[i] - y.sig[i]) AS DOUBLE))) / len(x.sig) < {SCENE} AS near FROM f y JOIN f x ON x.video = y.video AND x.k < y.k), "
+    "n AS MATERIALIZED (SELECT f.video, f.k, f.ordinal, coalesce(list(d.o) FILTER (WHERE d.near), []) AS nears FROM f LEFT JOIN d ON d.video = f.video AND d.k = f.k GROUP BY ALL), "
+    "g AS (SELECT video, k, ordinal, TRUE AS kept, [k] AS stay FROM n WHERE k = 1 UNION ALL SELECT video, k, ordinal, kept, CASE WHEN kept THEN list_append(stay, k) ELSE stay END "
+    "FROM (SELECT n.video, n.k, n.ordinal, NOT list_has_any(g.stay, n.nears) AS kept, g.stay FROM g JOIN n ON n.video = g.video AND n.k = g.k + 1) e) SELECT video, ordinal, kept FROM g"
+)
