@@ -109,7 +109,7 @@ def work_tags(samples: DataFrame, scores: DataFrame, members: DataFrame, roles:
 
 def current_run(samples: DataFrame, measurements: DataFrame, scores: DataFrame, members: DataFrame) -> DataFrame:
     """The newest run of a work that has no analyzed sample (or measurements alone), or has a score by a member."""
-    mine = scores.join(F.broadcast(members), "model_version_id", "left_semi").select("sample_id").distinct().withColumn("scored", F.lit(True))
+    mine = scores.join(members, "model_version_id", "left_semi").select("sample_id").distinct().withColumn("scored", F.lit(True))
     rows = samples.join(mine, samples["id"] == mine["sample_id"], "left")
     runs = rows.groupBy("work_id", "run_id").agg(F.count_if(F.col("skip_reason").isNull()).alias("analyzed"), F.coalesce(F.bool_or("scored"), F.lit(False)).alias("scored"))
     every = runs.unionByName(measurements.select("work_id", "run_id", F.lit(0).cast("long").alias("analyzed"), F.lit(False).alias("scored")).distinct())
@@ -142,11 +142,11 @@ def rating(samples: DataFrame, scores: DataFrame, members: DataFrame, roles: Dat
     """The strongest rating that is on top of enough samples of the best-ranked rating member."""
     able = members.join(roles.where("role = 'rating'").select("model_version_id"), "model_version_id").select("model_version_id", "rank")
     page = samples.where("skip_reason is null").select(F.col("id").alias("sample_id"), "work_id")
-    has = page.join(scores.join(F.broadcast(able), "model_version_id").select("sample_id", "model_version_id", "rank").distinct(), "sample_id").select("work_id", "model_version_id", "rank").distinct()
+    has = page.join(scores.join(able, "model_version_id").select("sample_id", "model_version_id", "rank").distinct(), "sample_id").select("work_id", "model_version_id", "rank").distinct()
     best = has.withColumn("k", F.row_number().over(W.partitionBy("work_id").orderBy("rank", "model_version_id"))).where("k = 1").select("work_id", "model_version_id")
     rows = scores.where((F.col("category") == "rating") & (F.col("score") >= param(params, "rating:score"))).join(page, "sample_id").join(best, ["work_id", "model_version_id"])
     top = rows.withColumn("k", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("score"), "tag"))).where("k = 1")
-    seen = top.join(F.broadcast(order), top["tag"] == order["name"]).groupBy("work_id", "name", "rank").agg(F.count("*").alias("pages")).withColumn("k", F.row_number().over(W.partitionBy("work_id").orderBy(F.desc("rank"), "name")))
+    seen = top.join(order, top["tag"] == order["name"]).groupBy("work_id", "name", "rank").agg(F.count("*").alias("pages")).withColumn("k", F.row_number().over(W.partitionBy("work_id").orderBy(F.desc("rank"), "name")))
     return seen.where((F.col("k") == 1) & (F.col("pages") >= param(params, "rating:min_pages"))).select("work_id", F.col("name").alias("value"))
 
 
@@ -226,4 +226,4 @@ def effective_tags(tags: DataFrame, claims: DataFrame, terms: DataFrame, hidden:
     user = claims.where("not negated and field in ('tag', 'character', 'artist')").select("work_id", category.alias("category"), F.col("value").alias("tag"), F.lit(1.0).cast("float").alias("confidence"))
     user = user.join(tags.select("work_id", "category", "tag"), ["work_id", "category", "tag"], "left_anti")
     shown = hidden.select("tag", F.lit(True).alias("off"))
-    return model.unionByName(user).join(F.broadcast(shown), "tag", "left").select("work_id", "category", "tag", "confidence", F.col("off").isNull().alias("visible"))
+    return model.unionByName(user).join(shown, "tag", "left").select("work_id", "category", "tag", "confidence", F.col("off").isNull().alias("visible"))

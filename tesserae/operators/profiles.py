@@ -43,23 +43,23 @@ def profile_tags(samples: DataFrame, scores: DataFrame, profiles: DataFrame, mem
     page = pages(samples)
     seen = scores.select("sample_id", "model_version_id").distinct().join(page, "sample_id").select("work_id", "page", "model_version_id")
     order = W.partitionBy("profile_id", "work_id", "backend").orderBy("rank", "model_version_id")
-    best = seen.select("work_id", "model_version_id").distinct().join(F.broadcast(members), "model_version_id").withColumn("k", F.row_number().over(order)).where("k = 1").select("profile_id", "work_id", "model_version_id")
+    best = seen.select("work_id", "model_version_id").distinct().join(members, "model_version_id").withColumn("k", F.row_number().over(order)).where("k = 1").select("profile_id", "work_id", "model_version_id")
 
-    rows = scores.join(page, "sample_id").join(F.broadcast(cut), ["model_version_id", "category"]).join(F.broadcast(thresholds), ["model_version_id", "category", "tag"], "left")
-    rows = rows.where(F.col("score").cast("double") >= F.coalesce("threshold", "cutoff")).join(F.broadcast(gone), [*key, "tag"], "left_anti")
-    rows = rows.join(best, ["profile_id", "work_id", "model_version_id"])
+    rows = scores.join(cut, ["model_version_id", "category"]).join(thresholds, ["model_version_id", "category", "tag"], "left")
+    rows = rows.where(F.col("score").cast("double") >= F.coalesce("threshold", "cutoff")).join(gone, [*key, "tag"], "left_anti")  # gated before the pages are joined
+    rows = rows.select("sample_id", *key, "tag", "score").join(page, "sample_id").join(best, ["profile_id", "work_id", "model_version_id"])
     hits = rows.groupBy("profile_id", "work_id", "category", "tag").agg(F.countDistinct("page").alias("hits"), F.avg("score").cast("float").alias("avg_score"))
-    total = seen.join(best, ["work_id", "model_version_id"]).join(F.broadcast(held.select(*key)), ["profile_id", "model_version_id"]).groupBy("profile_id", "work_id", "category").agg(F.countDistinct("page").alias("samples"))
+    total = seen.join(best, ["work_id", "model_version_id"]).join(held.select(*key), ["profile_id", "model_version_id"]).groupBy("profile_id", "work_id", "category").agg(F.countDistinct("page").alias("samples"))
 
     bounds = parameter(params, held, "freq", "freq").join(parameter(params, held, "freqz", "z"), ["profile_id", "category"])
-    out = hits.join(total, ["profile_id", "work_id", "category"]).join(F.broadcast(bounds), ["profile_id", "category"])
+    out = hits.join(total, ["profile_id", "work_id", "category"]).join(bounds, ["profile_id", "category"])
     out = out.where(coverage_lower_bound(F.col("hits"), F.col("samples"), F.col("z")) >= F.col("freq"))
     return out.select("profile_id", "work_id", "category", "tag", (F.col("hits") / F.col("samples")).cast("float").alias("freq_ratio"), "avg_score")
 
 
 def model_claims(enums: DataFrame, franchise: DataFrame, named: DataFrame, concepts: DataFrame) -> DataFrame:
     """(work_id, field, value) that models claim: enumerated values that are concepts of their field, the series, and named concepts."""
-    known = enums.join(F.broadcast(concepts.select(F.col("kind").alias("field"), F.col("slug").alias("value"))), ["field", "value"], "left_semi").select("work_id", "field", "value")
+    known = enums.join(concepts.select(F.col("kind").alias("field"), F.col("slug").alias("value")), ["field", "value"], "left_semi").select("work_id", "field", "value")
     return known.unionByName(franchise.select("work_id", F.lit("series").alias("field"), "value")).unionByName(named.select("work_id", "field", "value"))
 
 

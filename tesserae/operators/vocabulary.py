@@ -13,7 +13,7 @@ def all_tags(tags: DataFrame, hidden: DataFrame) -> DataFrame:
     cats = by.groupBy("tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "category"))), lambda x: x["category"]), ",").alias("categories"))
     works = tags.groupBy("tag").agg(F.countDistinct("work_id").alias("works"))
     off = hidden.select("tag", F.lit(True).alias("off"))
-    return works.join(cats, "tag").join(F.broadcast(off), "tag", "left").select("tag", "categories", "works", F.col("off").isNull().alias("visible"))
+    return works.join(cats, "tag").join(off, "tag", "left").select("tag", "categories", "works", F.col("off").isNull().alias("visible"))
 
 
 def unplaced(tags: DataFrame, category: str, terms: DataFrame) -> DataFrame:

@@ -220,7 +220,7 @@ def _rederive(x: Library) -> DataFrame:
 
 QUERIES = {
     "drv_profiles": _q(_profiles),
-    "drv_yields": _q(lambda x: d.flat(d.pages(x.samples), x.scores, x.members, x.roles).join(F.broadcast(d.yielded(x.roles, x.thresholds)), ["model_version_id", "category", "tag"], "left_semi").groupBy("model_version_id", "category", "tag").agg(F.count("*").alias("dropped"))),
+    "drv_yields": _q(lambda x: d.flat(d.pages(x.samples), x.scores, x.members, x.roles).join(d.yielded(x.roles, x.thresholds), ["model_version_id", "category", "tag"], "left_semi").groupBy("model_version_id", "category", "tag").agg(F.count("*").alias("dropped"))),
     "drv_model_claims": _q(_claims),
     "drv_all_claims": _q(lambda x: p.all_claims(x.claims, model_claims(x))),
     "drv_identity": _q(lambda x: k.live_path(x.sightings)),
@@ -249,7 +249,7 @@ QUERIES = {
     "smp_replace": _q(_replaced),
     "scr_inference": _q(lambda x: _r(_scored(x), "score")),
     "scr_failure_isolation": _q(lambda x: sc.outcome(_scored(x).where("backend = 'corners'"))),
-    "scr_mean_embedding": _q(lambda x: _r(unit_vectors(x).join(F.broadcast(x.members), "model_version_id").select("work_id", "backend", F.element_at("vec", 2).alias("second")), "second")),
+    "scr_mean_embedding": _q(lambda x: _r(unit_vectors(x).join(x.members, "model_version_id").select("work_id", "backend", F.element_at("vec", 2).alias("second")), "second")),
     "fn_content_key_file": _q(lambda x: x.documents.select("doc_id", content_key_file(F.col("n_chars"), F.col("lang")).alias("content_key"))),
     "fn_coverage_lower_bound": _q(_wilson),
     "fn_cosine": _q(_cosine),
@@ -261,7 +261,7 @@ QUERIES = {
     "agg_filter": _q(lambda x: x.samples.groupBy("run_id").agg(F.count("*").alias("samples"), F.count_if(F.col("skip_reason").isNull()).alias("analyzed"), F.max(F.when(F.col("medium") == "video", F.col("position"))).alias("last_video"), F.bool_or(F.col("medium") == "video").alias("has_video"), F.countDistinct("work_id").alias("works"))),
     "agg_having": _q(lambda x: x.samples.groupBy("work_id", "run_id").agg(F.count("*").alias("n"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped")).where("n > 1 and skipped = 0")),
     "agg_array_ordered": _q(lambda x: tags(x).groupBy("category", "tag").agg(F.count("*").alias("n")).groupBy("category").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "tag"))), 1, 5), lambda y: y["tag"]), ",").alias("top"))),
-    "join_case_insensitive": _q(lambda x: x.part.select("p_partkey", F.upper("p_brand").alias("name")).join(F.broadcast(x.terms), F.lower("name") == F.lower("term")).select("p_partkey", "slug")),
+    "join_case_insensitive": _q(lambda x: x.part.select("p_partkey", F.upper("p_brand").alias("name")).join(x.terms, F.lower("name") == F.lower("term")).select("p_partkey", "slug")),
     "set_except": _q(lambda x: x.part.where("p_size < 25").select("p_name", "p_type", "p_brand").subtract(x.part.where("p_size >= 25").select("p_name", "p_type", "p_brand"))),
     "stm_claim_fold": _q(_fold),
     "stm_incremental_derive": _q(_rederive),

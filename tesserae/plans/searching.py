@@ -103,7 +103,7 @@ QUERIES = {
     "sea_facet_collection": _q(lambda x: s.column_facets(found(x, "AND"), ["collection"])),
     "sea_tags_by_work": _q(lambda x: s.visible_tags(effective(x), "character", 12)),
     "lim_visible_tags": _q(lambda x: s.visible_tags(effective(x))),
-    "flt_rating_at_least": _q(lambda x: x.works.select("id").join(x.orders.select(F.col("o_orderkey").alias("id"), F.element_at(F.create_map(*[F.lit(v) for v in ("1", "explicit", "2", "questionable", "3", "sensitive", "4", "general", "5", "general")]), F.substring("o_orderpriority", 1, 1)).alias("name")), "id").join(F.broadcast(s.rating_at_least(x.ratings, "questionable")), "name", "left_semi").select("id", "name")),
+    "flt_rating_at_least": _q(lambda x: x.works.select("id").join(x.orders.select(F.col("o_orderkey").alias("id"), F.element_at(F.create_map(*[F.lit(v) for v in ("1", "explicit", "2", "questionable", "3", "sensitive", "4", "general", "5", "general")]), F.substring("o_orderpriority", 1, 1)).alias("name")), "id").join(s.rating_at_least(x.ratings, "questionable"), "name", "left_semi").select("id", "name")),
     "flt_text_substr": _q(lambda x: x.part.where(s.like_text("p_name", "RIN")).select("p_partkey", "p_name")),
     "drv_vectors": _q(lambda x: _r(unit_vectors(x).select("work_id", "model_version_id", F.element_at("vec", 1).alias("first"), F.element_at("vec", -1).alias("last"), _checked("vec").alias("checked"), F.size("vec").cast("long").alias("dim")), "first", "last", "checked")),
     "sea_similar": _q(_similar),
