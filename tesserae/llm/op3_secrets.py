@@ -6,7 +6,10 @@ length-prefixed fields fill it, or a signed token whose header and payload are J
 
 Kinds beside the base ones: ``der`` (PKCS#1, PKCS#8 or SEC1 private key), ``openssh``, ``jwt``. A base64 block may run
 over several lines; a key in it begins at a line and ends where its own lengths say, which has to be the end of a line or
-of the block, or armour ("-----"), so that text before or after it in the same letters does not hide it.
+of the block, or armour ("-----"), so that text before or after it in the same letters does not hide it. Lines may be indented,
+marked as comments or quotations, followed by blanks, broken by an escaped line end (backslash and n, as in JSON), or be string literals
+one after the other, joined by a sign or not; lines of forty letters and more may have a blank alone between them. A key in hexadecimal letters may
+begin anywhere in them. All searches take time in proportion to the text.
 
 Defined results: a null or empty text has no spans, its digest is that of an empty string. Positions are code points,
 ends exclusive. Rows are independent; a null doc_id is carried; columns beside doc_id and text have no effect; texts are
@@ -31,9 +34,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "der", "jwt", "openssh")
 
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{1,76}(?![A-Za-z0-9+/_-]))*={0,2}")
-HEXES = re.compile(r"(?:[0-9A-Fa-f]{2}){32,}")
+RUN = re.compile(r"[A-Za-z0-9_.-]+")
+BLOCK = re.compile(r"[A-Za-z0-9+/_-]{40,}+")
+LINE = re.compile(r"[A-Za-z0-9+/_-]{1,76}+(?![A-Za-z0-9+/_-])")
+#: What may stand between two lines of a block: a line end with blanks and marks around it, or the ends of two string literals.
+GAP = re.compile(r"""(?>(?:\\*+["']?+[\x20\t\r]*+(?:[+,&.\\][\x20\t\r]*+)?+\n[\x20\t]*+(?:[#>*|;][\x20\t]*+)?+(?:[+.][\x20\t]*+(?=["']))?+["']?+)+|["'][\x20\t]*+(?:[+.,][\x20\t]*+)?+["'])""")
+PADDING = re.compile("={0,2}")
+HEXES = re.compile(r"[0-9A-Fa-f]{64,}")
+#: A sequence whose first item is version 0 or 1, as all keys looked for begin.
+HEX_KEY = re.compile(r"30(?:[0-7][0-9A-Fa-f]|81..|82....|83......)02010[01]")
 
 
 def assign_spans(text: str, lower: str) -> list[tuple[int, int, str]]:
@@ -73,6 +82,14 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def der_size(head: bytes) -> int | None:
+    """The bytes of the item that begins with ``head``."""
+    if len(head) < 2 or not head[1] & 128:
+        return 2 + head[1] if len(head) > 1 else None
+    n = head[1] & 127
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 and len(head) >= 2 + n else None
+
+
 #: Algorithm identifiers of RSA and elliptic-curve keys, and of the keys of the given sizes that are plain octets.
 RSA, EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201")
 OCTET_KEYS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
@@ -142,86 +159,170 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 MAGIC = "b3BlbnNzaC1rZXktdjE"
 
 
 def key_letters(plain: str, at: int) -> int | None:
     """How many base64 letters the key that begins at ``at`` has by its own lengths; only the lengths are decoded."""
 
-    def read(a: int, n: int) -> int | None:
+    def read(a: int, n: int) -> bytes:
         got = unbase64(plain[at + a // 3 * 4 : at + (a + n + 2) // 3 * 4]) or b""
-        got = got[a % 3 : a % 3 + n]
-        return int.from_bytes(got, "big") if len(got) == n else None
+        return got[a % 3 : a % 3 + n]
 
     if plain.startswith(MAGIC, at):
         size = 15
-        for k in range(3):
-            if (n := read(size, 4)) is None:
+        for step in range(3):
+            if len(n := read(size, 4)) < 4:
                 return None
-            size += 4 + n
-        if (count := read(size, 4)) is None or not 1 <= count <= 16:
+            size += 4 + int.from_bytes(n, "big")
+        if not 1 <= (count := int.from_bytes(read(size, 4), "big")) <= 16:
             return None
         size += 4
-        for k in range(count + 1):
-            if (n := read(size, 4)) is None:
+        for step in range(count + 1):
+            if len(n := read(size, 4)) < 4:
                 return None
-            size += 4 + n
-    elif read(0, 1) == 0x30 and (n := read(1, 1)) is not None:
-        size = 2 + n
-        if n & 128:
-            if not 1 <= (more := n & 127) <= 4 or (n := read(2, more)) is None:
-                return None
-            size = 2 + more + n
+            size += 4 + int.from_bytes(n, "big")
+    elif plain[at] == "M":
+        head = read(0, 9)
+        if not head or head[0] != 0x30 or (size := der_size(head)) is None:
+            return None
+        begin = 2 + (head[1] & 127 if head[1] & 128 else 0)
+        if read(begin, 3) not in (b"\2\1\0", b"\2\1\1"):
+            return None
     else:
         return None
     return -(-size * 4 // 3)
 
 
-def block_keys(m: re.Match) -> list[tuple[int, int, str]]:
+def blocks(text: str):
+    """The (start, end) of the lines of each base64 block, and where it ends."""
+    if "\\" in text:
+        text = text.replace("\\n", " \n").replace("\\r", "  ")  # every place stays
+    at = 0
+    while m := BLOCK.search(text, at):
+        lines, at = [m.span()], m.end()
+        while True:
+            gap = GAP.match(text, at)
+            if not gap and text[at : at + 1] == " " and at - lines[-1][0] >= 40:
+                nxt = LINE.match(text, at + 1)
+            else:
+                nxt = gap and LINE.match(text, gap.end())
+            if not nxt:
+                break
+            lines.append(nxt.span())
+            at = nxt.end()
+        at = PADDING.match(text, at).end()
+        yield lines, at
+
+
+def block_keys(text: str, lines: list[tuple[int, int]], end: int) -> list[tuple[int, int, str]]:
     """The keys in one base64 block: each begins at a line and ends at the end of a line or at armour."""
-    lines = [(x.start(), x.end()) for x in RUN.finditer(m[0])]
-    plain = "".join(m[0][a:b] for a, b in lines)
+    plain = "".join(text[a:b] for a, b in lines)
     begins, ends, n = [], {}, 0  # letters before a place, and the place
     for a, b in lines:
         begins.append((n, a))
-        at = m[0].find("-----", a + 1, b)
+        at = text.find("-----", a + 1, b)
         while at >= 0:
             ends[n + at - a] = at
-            at = m[0].find("-----", at + 1, b)
+            at = text.find("-----", at + 1, b)
         n += b - a
         ends[n] = b
-    ends[n] = len(m[0])  # with its padding
+    ends[n] = end  # with its padding
     found, done = [], 0
     for n, a in begins:
-        if n < done or (size := key_letters(plain, n)) is None or n + size not in ends or "-----" in plain[n : n + size] or not (data := unbase64(plain[n : n + size])):
+        if n < done or (size := key_letters(plain, n)) is None or n + size not in ends or plain.find("-----", n, n + size) >= 0 or not (data := unbase64(plain[n : n + size])):
             continue
         if kind := "openssh" if is_openssh_key(data) else "der" if is_der_key(data) else None:
             done = n + size
-            found.append((m.start() + a, m.start() + ends[done], kind))
+            found.append((a, ends[done], kind))
     return found
 
 
-def is_token(text: str) -> bool:
-    """A signed token: the header is a JSON object with an algorithm, the payload a JSON object, the signature base64."""
-    header, payload, signature = text.split(".")
+def hex_keys(text: str, start: int) -> list[tuple[int, int, str]]:
+    """The keys in a run of hexadecimal letters; each letter of it is decoded twice, for even and odd places."""
+    both, found, done = {}, [], 0
+    for m in HEX_KEY.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if (odd := at % 2) not in both:
+            both[odd] = memoryview(bytes.fromhex(text[odd : len(text) - (len(text) - odd) % 2]))
+        data = both[odd][at // 2 :]
+        size = der_size(bytes(data[:6]))
+        if size and size <= len(data) and is_der_key(data[:size]):
+            done = at + 2 * size
+            found.append((start + at, start + done, "der"))
+    return found
+
+
+JSON = json.JSONDecoder()
+
+
+def header_start(segment: str) -> int | None:
+    """Where in ``segment`` a base64 header begins that goes to its end: a JSON object with an algorithm.
+
+    The letters are decoded once for each place modulo four. Where a parse has failed, objects that begin before that
+    place would fail there too, so each is read once.
+    """
+    decoded, failed, at = {}, {}, segment.find("eyJ")
+    while at >= 0:
+        phase = at % 4
+        if phase not in decoded:
+            decoded[phase] = (unbase64(segment[phase:]) or b"").decode("latin-1")
+        data, k = decoded[phase], (at - phase) // 4 * 3
+        if data and k >= failed.get(phase, 0):
+            try:
+                head, end = JSON.raw_decode(data, k)
+                if not data[end:].strip() and isinstance(head.get("alg"), str):
+                    return at
+                failed[phase] = end
+            except json.JSONDecodeError as e:
+                failed[phase] = e.pos
+            except RecursionError:
+                pass
+        at = segment.find("eyJ", at + 1)
+    return None
+
+
+def is_object(segment: str) -> bool:
     try:
-        head, body = (json.loads(unbase64(x) or b"") for x in (header, payload))
+        return isinstance(json.loads(unbase64(segment) or b""), dict)
     except (ValueError, RecursionError):
         return False
-    if not isinstance(head, dict) or not isinstance(head.get("alg"), str) or not isinstance(body, dict):
-        return False
-    return head["alg"] == "none" if not signature else unbase64(signature) is not None
+
+
+def signed_tokens(text: str, start: int) -> list[tuple[int, int, str]]:
+    """The signed tokens in a run of letters and dots: a header, a payload that is a JSON object, and a signature, empty only if the algorithm is none."""
+    parts, found, k = text.split("."), [], 0
+    ends, at = [], start
+    for p in parts:
+        ends.append(at := at + len(p))
+        at += 1
+    while k + 2 < len(parts):
+        head, payload, signature = parts[k : k + 3]
+        if payload and "eyJ" in head and (a := header_start(head)) is not None and is_object(payload):
+            none = JSON.raw_decode((unbase64(head[a:]) or b"").decode("latin-1"))[0]["alg"] == "none"
+            if unbase64(signature) is not None if signature else none:
+                found.append((ends[k] - len(head) + a, ends[k + 2], "jwt"))
+                k += 3
+                continue
+        k += 1
+    return found
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """What the method adds: candidates that decode to the structure of a secret."""
     found = []
     if "eyJ" in text:
-        found += [(*m.span(), "jwt") for m in TOKEN.finditer(text) if is_token(m[0])]
-    for m in BASE64.finditer(text):
-        found += block_keys(m)
-    found += [(*m.span(), "der") for m in HEXES.finditer(text) if is_der_key(bytes.fromhex(m[0]))]
+        at = 0
+        while (k := text.find("eyJ", at)) >= 0:
+            run = RUN.match(text, k)
+            found += signed_tokens(run[0], k)
+            at = run.end()
+    for lines, end in blocks(text):
+        found += block_keys(text, lines, end)
+    for m in HEXES.finditer(text):
+        found += hex_keys(m[0], m.start())
     return found
 
 

@@ -148,6 +148,8 @@ class Index:
                 t = np.repeat(at[a:b], m) if parts == 1 else np.repeat(at[a:b], m)[self.item[flat] % parts == part]
                 found.append((t, mine))
             t, flat = (np.concatenate(x) for x in zip(*found))
+            if not len(t):  # no item of this part occurs
+                continue
             item, place = self.item[flat].astype(np.int64), self.place[flat].astype(np.int64)
             size = self._common(sums, t, item, place, np.minimum(self.size[item] - place, len(data) - t))
             yield item, t - place, place, size - Q + 1
