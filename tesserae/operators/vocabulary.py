@@ -30,10 +30,15 @@ def conflicts(terms: DataFrame) -> DataFrame:
 
 
 def fold_claims(events: DataFrame, single: list[str]) -> DataFrame:
-    """The last polarity of each (work, field, value); of a single-valued field the last positive value alone."""
-    last = events.withColumn("k", F.row_number().over(W.partitionBy("work_id", "field", "value").orderBy(F.desc("created_at"), F.desc("id")))).where("k = 1").drop("k")
-    w = W.partitionBy("work_id", "field", "negated").orderBy(F.desc("created_at"), F.desc("id"))
-    return last.withColumn("k", F.row_number().over(w)).where(F.col("negated") | ~F.col("field").isin(*single) | (F.col("k") == 1)).select("work_id", "field", "value", "negated")
+    """The last polarity of each (work, field, value).
+
+    Asserting a value of a single-valued field removes the other asserted ones, for good: of such a field the last
+    asserted value holds, unless it has been denied since; denials stay.
+    """
+    last = F.max(F.when(~F.col("negated"), F.struct("created_at", "id"))).over(W.partitionBy("work_id", "field"))
+    own = F.row_number().over(W.partitionBy("work_id", "field", "value").orderBy(F.desc("created_at"), F.desc("id")))
+    rows = events.withColumn("last", last).withColumn("k", own).where("k = 1")
+    return rows.where(F.col("negated") | ~F.col("field").isin(*single) | (F.struct("created_at", "id") == F.col("last"))).select("work_id", "field", "value", "negated")
 
 
 def work_claims(claims: DataFrame, model: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ SQL = {
     "voc_all_tags": oracle("SELECT tag, string_agg(category, ',' ORDER BY n DESC, category) AS categories, (SELECT count(DISTINCT work_id) FROM {effective} e WHERE e.tag = t.tag) AS works, tag NOT IN (SELECT tag FROM {hidden}) AS visible FROM (SELECT tag, category, count(DISTINCT work_id) AS n FROM {effective} GROUP BY 1, 2) t GROUP BY tag"),
     "voc_unplaced": oracle("SELECT tag, count(DISTINCT work_id) AS works FROM {tags} WHERE category = 'character' AND lower(tag) NOT IN (SELECT lower(term) FROM {terms} WHERE NOT search_only) GROUP BY 1"),
     "voc_conflicts": oracle("SELECT lower(term) AS term, count(DISTINCT slug) AS concepts, string_agg(DISTINCT slug, ',' ORDER BY slug) AS slugs FROM (SELECT term, slug FROM {terms} WHERE NOT search_only UNION ALL SELECT term, concat('also-', slug) FROM {terms} WHERE NOT search_only AND term LIKE '%1') t GROUP BY 1 HAVING count(DISTINCT slug) > 1"),
-    "voc_fold_claims": oracle("SELECT work_id, field, value, negated FROM (SELECT * FROM (SELECT id, work_id % 500 AS work_id, field, value, negated, created_at FROM {claims}) c QUALIFY row_number() OVER (PARTITION BY work_id, field, value ORDER BY created_at DESC, id DESC) = 1) l QUALIFY negated OR field NOT IN ('language', 'artist') OR row_number() OVER (PARTITION BY work_id, field, negated ORDER BY created_at DESC, id DESC) = 1"),
+    "voc_fold_claims": oracle("SELECT work_id, field, value, negated FROM (SELECT *, max(CASE WHEN NOT negated THEN {'at': created_at, 'id': id} END) OVER (PARTITION BY work_id, field) AS last FROM (SELECT id, work_id % 500 AS work_id, field, value, negated, created_at FROM {claims}) c) e QUALIFY row_number() OVER (PARTITION BY work_id, field, value ORDER BY created_at DESC, id DESC) = 1 AND (negated OR field NOT IN ('language', 'artist') OR (created_at = last.at AND id = last.id))"),
     "voc_work_claims": oracle("SELECT *, (model OR added) AND NOT denied AS result FROM (SELECT work_id, field, value, bool_or(m) AS model, bool_or(a) AS added, bool_or(n) AS denied FROM (SELECT work_id, field, value, FALSE AS m, NOT negated AS a, negated AS n FROM {claims} UNION ALL SELECT work_id, field, value, TRUE, FALSE, FALSE FROM {named}) t GROUP BY 1, 2, 3) u"),
     "voc_merge": oracle("SELECT work_id, field, CASE WHEN value = 'Brand#11' THEN 'Brand#12' ELSE value END AS value, negated FROM {claims} c WHERE value <> 'Brand#11' OR NOT EXISTS (SELECT 1 FROM {claims} t WHERE t.value = 'Brand#12' AND t.work_id = c.work_id AND t.field = c.field)"),
     "voc_delete_guard": oracle("SELECT slug, claims, children FROM (SELECT c.slug, (SELECT count(*) FROM {claims} x WHERE x.value = c.slug) AS claims, (SELECT count(*) FROM {concepts} k WHERE k.parent = c.slug) AS children FROM {concepts} c) t WHERE claims > 0 OR children > 0"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import content_key_file, cosine, coverage_lower_bound
@@ -23,6 +23,7 @@ from tesserae.plans.searching import found, unit_vectors
 from tesserae.sources.files import valid_scores
 from tesserae.sources.shared import folder
 from tesserae.streaming import incremental
+from tesserae.streaming.keyed import KeyedTable
 
 NEAR = 0.35
 FIXTURES |= {
@@ -195,27 +196,39 @@ def _arrays(x: Library) -> DataFrame:
     return x.embeddings.select("vec_id", F.size("embedding").cast("long").alias("n"), F.forall(e, lambda y: y.between(-1, 1)).alias("inside"), F.array_position(F.transform(e, lambda y: y > 0.2), True).cast("long").alias("first"))
 
 
-def _stream(x: Library, name: str) -> DataFrame:
-    """A table as a stream of files; the path is a pattern, since a table may be one file and a stream reads folders or patterns."""
-    schema = x.spark.read.parquet(f"{x.dir}/{name}.parquet").schema
-    return x.spark.readStream.schema(schema).parquet(f"{x.dir}/{name}.parque[t]")
+def _arriving(x: Library, rows: DataFrame, order: Column, batches: int) -> DataFrame:
+    """``rows`` as a stream of as many batches, by ``order``."""
+    at = folder(x.spark, "arriving")
+    rows.repartitionByRange(batches, order).write.parquet(at)
+    return x.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
 def _fold(x: Library) -> DataFrame:
-    """Claims that arrive as a stream, folded batch by batch and read back."""
+    """Claims that arrive in an order of their own, as late as by a whole table, folded batch by batch."""
     at = folder(x.spark, "claims")
-    rows = _stream(x, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 500).alias("work_id"), F.col("event_type").alias("field"), F.concat(F.lit("u"), F.col("user_id") % 5).alias("value"), (F.col("event_id") % 3 == 0).alias("negated"), F.col("ts").alias("created_at"))
-    incremental.fold_stream(rows, f"{at}/out", f"{at}/state").awaitTermination()
-    return incremental.latest(x.spark.read.parquet(f"{at}/out").drop("batch_id")).select("work_id", "field", "value", "negated")
+    rows = x.events.select(F.col("event_id").alias("id"), (F.col("event_id") % 500).alias("work_id"), F.col("event_type").alias("field"), F.concat(F.lit("u"), F.col("user_id") % 5).alias("value"), (F.col("event_id") % 3 == 0).alias("negated"), F.col("ts").alias("created_at"))
+    table = KeyedTable(x.spark, at + "/claims", incremental.CLAIMS, ["work_id", "field", "value"], 8)
+    incremental.fold_stream(_arriving(x, rows, F.xxhash64("id"), 3), ["view", "purchase"], table, at + "/state").awaitTermination()
+    return table.read()
 
 
 def _rederive(x: Library) -> DataFrame:
-    """Works derived anew as their evidence arrives."""
+    """Works derived anew as their evidence arrives; the lines of a work come in several batches."""
     at = folder(x.spark, "derived")
-    arrived = _stream(x, "lineitem").select(F.col("l_orderkey").alias("work_id"))
+    arrived = x.lineitem.select(F.col("l_orderkey").alias("work_id"), "l_linenumber")
+    table = KeyedTable(x.spark, at + "/tags", "work_id long, category string, tag string, freq_ratio double, avg_score double", ["work_id"], 8)
     derive = lambda ids: d.work_tags(*derivation.evidence(x), PARAMS, ids=ids)
-    incremental.derive_incrementally(arrived, derive, f"{at}/out", f"{at}/state").awaitTermination()
-    return _r(incremental.derived(x.spark, f"{at}/out"), "freq_ratio", "avg_score")
+    incremental.derive_incrementally(_arriving(x, arrived, F.col("l_linenumber"), 2), derive, table, at + "/state").awaitTermination()
+    return _r(table.read(), "freq_ratio", "avg_score")
+
+
+def _stale(x: Library) -> DataFrame:
+    """Samples that arrive newest first, so that most runs come too late."""
+    at = folder(x.spark, "runs")
+    rows = x.samples.select("work_id", "run_id", "id", "medium")
+    table = KeyedTable(x.spark, at + "/samples", "work_id long, run_id int, id long, medium string", ["work_id"], 8)
+    incremental.record_runs(_arriving(x, rows, F.desc("run_id"), 4), table, at + "/state").awaitTermination()
+    return table.read().groupBy("work_id", "run_id").agg(F.count("*").alias("samples"))
 
 
 QUERIES = {
@@ -265,7 +278,7 @@ QUERIES = {
     "set_except": _q(lambda x: x.part.where("p_size < 25").select("p_name", "p_type", "p_brand").subtract(x.part.where("p_size >= 25").select("p_name", "p_type", "p_brand"))),
     "stm_claim_fold": _q(_fold),
     "stm_incremental_derive": _q(_rederive),
-    "stm_stale_rerun": _q(lambda x: incremental.newest_run(x.samples).groupBy("work_id", "run_id").agg(F.count("*").alias("samples"))),
+    "stm_stale_rerun": _q(_stale),
 }
 
 
@@ -324,7 +337,7 @@ SQL = {
     "agg_array_ordered": oracle("SELECT category, string_agg(tag, ',' ORDER BY k) AS top FROM (SELECT category, tag, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, tag) AS k FROM {tags} GROUP BY 1, 2) t WHERE k <= 5 GROUP BY 1"),
     "join_case_insensitive": oracle("SELECT p_partkey, slug FROM part JOIN {terms} t ON lower(t.term) = lower(upper(p_brand))"),
     "set_except": "SELECT p_name, p_type, p_brand FROM part WHERE p_size < 25 EXCEPT SELECT p_name, p_type, p_brand FROM part WHERE p_size >= 25",
-    "stm_claim_fold": "SELECT event_id % 500 AS work_id, event_type AS field, concat('u', user_id % 5) AS value, event_id % 3 = 0 AS negated FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 500, event_type, user_id % 5 ORDER BY ts DESC, event_id DESC) = 1",
+    "stm_claim_fold": "SELECT work_id, field, value, negated FROM (SELECT *, max(CASE WHEN NOT negated THEN {'at': ts, 'id': event_id} END) OVER (PARTITION BY work_id, field) AS last FROM (SELECT event_id, ts, event_id % 500 AS work_id, event_type AS field, concat('u', user_id % 5) AS value, event_id % 3 = 0 AS negated FROM events) c) e QUALIFY row_number() OVER (PARTITION BY work_id, field, value ORDER BY ts DESC, event_id DESC) = 1 AND (negated OR field NOT IN ('view', 'purchase') OR (ts = last.at AND event_id = last.id))",
     "stm_incremental_derive": oracle(f"SELECT {_TAGS} {{tags}}"),
     "stm_stale_rerun": oracle("SELECT work_id, run_id, count(*) AS samples FROM {samples} s WHERE run_id = (SELECT max(run_id) FROM {samples} m WHERE m.work_id = s.work_id) GROUP BY 1, 2"),
 }
