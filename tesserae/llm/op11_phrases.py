@@ -36,9 +36,9 @@ WORDS = 4
 TOP = 2000
 SHARE = 80
 #: Characters of text a range, suffixes sampled for each bound, and positions that a task sorts at once.
-RANGE = 16_000_000
+RANGE = 8_000_000
 SAMPLED = 200
-POSITIONS = 1_000_000
+POSITIONS = 500_000
 #: Characters of a text that are taken at once, and the tasks that share a language's ranking.
 STRETCH = 1 << 20
 SALTS = 16
