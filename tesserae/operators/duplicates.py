@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+from tesserae.operators.graph import components
+from tesserae.sources.shared import store
+
+BLOCK = 4096
+#: Rows of a block that are multiplied at once, blocks of a table at most (they grow beyond it), pivots and the vectors they are chosen from.
+TILE, MOST_BLOCKS = 256, 1 << 16
+PIVOTS, SAMPLED = 64, 4096
+#: Pairs of a component that one task takes one by one; a component of more is solved in rounds.
+ONE_TASK = 500_000
 
 
 def exact(items: DataFrame, library: DataFrame, key: str = "content_key") -> DataFrame:
@@ -16,7 +24,7 @@ def exact(items: DataFrame, library: DataFrame, key: str = "content_key") -> Dat
     return items.select("item", key).join(library.select("work", key), key).select("item", "work")
 
 
-def blocked(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+def blocked(vectors: DataFrame, block: int = 1024) -> DataFrame:
     """(b, ids, mat): vectors packed in blocks of about ``block`` rows; the number of blocks follows the table."""
     n = vectors.count()
     parts = max(1, -(-n // block))
@@ -24,32 +32,147 @@ def blocked(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.groupBy("b").agg(F.collect_list(F.struct("id", "vec")).alias("rows"))  # a block's own rows
 
 
-def pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+class Pivots:
+    """Vectors that all others are measured against: few, far from each other, from a sample of bounded size."""
+
+    def __init__(self, vectors: DataFrame, number: int = PIVOTS, sampled: int = SAMPLED):
+        rows = vectors.select("vec").orderBy(F.xxhash64("id"), "id").limit(sampled).toArrow()
+        x = _units(rows.column("vec").combine_chunks()) if rows.num_rows else np.zeros((0, 1))
+        chosen, far = [], np.full(len(x), np.inf)
+        while len(chosen) < min(number, len(x)):
+            k = int(far.argmax())
+            if far[k] <= 1e-9:
+                break  # what is left are copies
+            chosen.append(k)
+            far = np.minimum(far, _distances(x, x[[k]])[:, 0])
+        self.at = x[chosen]
+
+
+def _units(vec: pa.Array) -> np.ndarray:
+    x = np.asarray(vec.flatten()).reshape(len(vec), -1).astype(np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
+
+
+def packed(vectors: DataFrame, pivots: Pivots, block: int, parts: int) -> DataFrame:
+    """(block, ids, mat, lo, hi): unit vectors in blocks of neighbours, dealt by the nearest pivot and the distance from it, with the least and greatest distance of each block's vectors from every pivot."""
+    at = pivots.at
+    element = vectors.schema["vec"].dataType.elementType.simpleString()
+
+    def measure(batches):
+        for batch in batches:
+            if batch.num_rows:
+                d = _distances(_units(batch.column("vec")), at)
+                near = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(near)), near])], names=["id", "vec", "cell", "d"])
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        held, size, made, cell = [], 0, TaskContext.get().partitionId() << 20, None
+
+        def out():
+            t = pa.Table.from_batches(held)
+            x = _units(t.column("vec").combine_chunks())
+            d = _distances(x, at)
+            columns = [[made], [t.column("id").to_numpy().astype("<i8").tobytes()], [x.astype("<f8").tobytes()], [d.min(0)], [d.max(0)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["block", "ids", "mat", "lo", "hi"])
+
+        for batch in batches:
+            cells, k = batch.column("cell").to_numpy(), 0
+            while k < batch.num_rows:
+                if size and (size == block or cells[k] != cell):  # a block lies about one pivot
+                    yield out()
+                    held, size, made = [], 0, made + 1
+                cell = cells[k]
+                part = batch.slice(k, min(block - size, int(np.searchsorted(cells, cell, "right")) - k))
+                held.append(part)
+                size, k = size + part.num_rows, k + part.num_rows
+        if size:
+            yield out()
+
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(measure, f"id long, vec array<{element}>, cell int, d double")
+    return rows.repartitionByRange(parts, "cell", "d", "id").sortWithinPartitions("cell", "d", "id").mapInArrow(pack, "block long, ids binary, mat binary, lo array<double>, hi array<double>")
+
+
+def meetings(blocks: DataFrame, least: float) -> DataFrame:
+    """(block, other): the pairs of blocks, each with itself too, that may hold a pair of cosine ``least``.
+
+    The distance of such a pair is sqrt(2 - 2 * least) at most, so by the triangle inequality the distances of its two
+    vectors from a pivot differ by no more; blocks whose distances from some pivot are further apart never meet. The
+    intervals of all blocks, at most :data:`MOST_BLOCKS` rows, are what every task compares a block with.
+    """
+    reach = np.sqrt(2 - 2 * least) + 1e-6 if least > 0 else np.inf
+    every = blocks.select("block", "lo", "hi").orderBy("block").toArrow()
+    names = every.column("block").to_numpy()
+    lo, hi = (np.asarray(every.column(c).combine_chunks().flatten()).reshape(len(names), -1) for c in ("lo", "hi"))
+    shared = blocks.sparkSession.sparkContext.broadcast((names, lo, hi))
+
+    def meet(batches):
+        names, lo, hi = shared.value
+        for batch in batches:
+            for b in batch.column("block").to_pylist():
+                k = int(np.searchsorted(names, b))
+                apart = np.maximum(lo[k:] - hi[k], lo[k] - hi[k:]).max(1, initial=-np.inf)
+                other = names[k:][apart <= reach]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), b)), pa.array(other)], names=["block", "other"])
+
+    return blocks.select("block").repartition(max(1, min(len(names), 4096)), "block").mapInArrow(meet, "block long, other long")
+
+
+def pairs(vectors: DataFrame, least: float, block: int = BLOCK, write=store) -> DataFrame:
     """(a, b, score) with a < b of all pairs of ``vectors`` (id, vec) with cosine of at least ``least``; exact.
 
-    Blocks are met pair by pair and multiplied as matrices, and only pairs that reach the bound leave a task. A block is
-    sent once for every block before it, by a join on the number of the other.
+    Vectors are packed in blocks of neighbours; only pairs of blocks that :func:`meetings` leaves are shipped, and
+    inside a pair of blocks only tiles whose intervals are near enough are multiplied, so what is met follows how the vectors lie, and is
+    all pairs of blocks if they fill their space evenly. Only pairs that reach the bound leave a task.
     """
-    packed = blocked(vectors, block)
-    left = packed.select("b", F.col("rows").alias("left"))
-    right = packed.select(F.col("b").alias("own"), F.col("rows").alias("right"), F.explode(F.sequence(F.lit(0), "b")).alias("b"))
-    met = right.join(left, "b").select("left", "right", (F.col("own") == F.col("b")).alias("same"))
+    n = vectors.count()
+    if not n:
+        return vectors.select(F.col("id").cast("long").alias("a"), F.col("id").cast("long").alias("b"), F.lit(0.0).alias("score")).where("false")
+    block = max(block, -(-n // MOST_BLOCKS))
+    pivots = Pivots(vectors)
+    blocks = write(packed(vectors, pivots, block, max(1, -(-n // block))))
+    met = meetings(blocks, least)
+    right = blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("mat").alias("mat2"))
+    met = met.join(right, "other").join(blocks.select("block", "ids", "mat"), "block").select((F.col("block") == F.col("other")).alias("same"), "ids", "mat", "ids2", "mat2")
+    at, reach = pivots.at, np.sqrt(2 - 2 * least) + 1e-6 if least > 0 else np.inf
+
+    def read(row: pa.RecordBatch, k: str):
+        ids = np.frombuffer(row.column("ids" + k)[0].as_py(), "<i8")
+        return ids, np.frombuffer(row.column("mat" + k)[0].as_py(), "<f8").reshape(len(ids), -1)
+
+    def tiles(x: np.ndarray):
+        for a in range(0, len(x), TILE):
+            d = _distances(x[a : a + TILE], at)
+            yield a, x[a : a + TILE], d.min(0), d.max(0)
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                (ia, va), (ib, vb) = (_unit(one.column(c)) for c in ("left", "right"))
-                score = np.round(va @ vb.T, 9)
-                i, j = np.nonzero(score >= least)
-                if one.column("same")[0].as_py():
-                    i, j = i[ia[i] < ib[j]], j[ia[i] < ib[j]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[i], ib[j])), pa.array(np.maximum(ia[i], ib[j])), pa.array(score[i, j])], names=["a", "b", "score"])
+                row = batch.slice(k, 1)
+                (ia, va), (ib, vb) = read(row, ""), read(row, "2")
+                others = list(tiles(vb))
+                for i0, x, lo, hi in tiles(va):
+                    near = [t for t in others if max((lo - t[3]).max(initial=-np.inf), (t[2] - hi).max(initial=-np.inf)) <= reach]
+                    if not near:
+                        continue
+                    score = np.round(x @ np.concatenate([t[1] for t in near]).T, 9)
+                    at_b = np.concatenate([t[0] + np.arange(len(t[1])) for t in near])
+                    i, j = np.nonzero(score >= least)
+                    found, a, b = score[i, j], ia[i0 + i], ib[at_b[j]]
+                    if row.column("same")[0].as_py():
+                        found, a, b = (v[a < b] for v in (found, a, b))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found)], names=["a", "b", "score"])
 
     return met.mapInArrow(run, "a long, b long, score double")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """(query_id, id, score, k): of each query (id, vec) the ``k`` likest of all vectors, itself left out, by score, then id; exact.
 
     Each block of queries meets each block of vectors in a task of its own, and only ``k`` rows of each query leave it.
@@ -85,13 +208,43 @@ def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
 
 
-def leader_groups(edges: DataFrame, write) -> DataFrame:
+def leader_groups(edges: DataFrame, write, one_task: int = ONE_TASK) -> DataFrame:
     """(leader, member, score): the greedy groups of the pairs taken strongest first, (score, a, b) descending.
 
-    A pair fires when it comes before every other remaining pair at its free ends: of two free works the smaller
-    becomes leader, a leader takes a free work. Pairs at a member, or of two leaders, drop out. All pairs that may fire
-    do so in one round, which gives what taking them one by one gives; ``write`` stores each round's table.
+    Of two free works the smaller becomes leader, a leader takes a free work; pairs at a member, or of two leaders, drop
+    out. Pairs of different connected components have no effect on each other: a component of at most ``one_task``
+    pairs is taken one by one inside a task, many components a task; larger ones are solved together in rounds.
     """
+    edges = write(edges.select("a", "b", "score"))
+    of = components(edges, write)
+    rows = write(edges.join(of.withColumnRenamed("node", "a"), "a"))
+    size = rows.groupBy("component").agg(F.count("*").alias("pairs"))
+    small = rows.join(size.where(F.col("pairs") <= one_task), "component")
+
+    def solve(batches):
+        component, leads, members = None, set(), set()
+        for batch in batches:
+            out = []
+            for c, a, b, score in zip(*(batch.column(k).to_pylist() for k in ("component", "a", "b", "score"))):
+                if c != component:
+                    component, leads, members = c, set(), set()
+                if a in members or b in members or (a in leads and b in leads):
+                    continue
+                leader, member = (b, a) if b in leads else (a, b)
+                leads.add(leader)
+                members.add(member)
+                out.append((leader, member, score))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["leader", "member", "score"])
+
+    order = [F.asc("component"), F.desc("score"), F.desc("a"), F.desc("b")]
+    done = small.select("component", F.col("a").cast("long"), F.col("b").cast("long"), F.col("score").cast("double")).repartition("component").sortWithinPartitions(*order).mapInArrow(solve, "leader long, member long, score double")
+    large = rows.join(size.where(F.col("pairs") > one_task), "component").select("a", "b", "score")
+    return done if large.isEmpty() else done.unionByName(in_rounds(large, write))
+
+
+def in_rounds(edges: DataFrame, write) -> DataFrame:
+    """The same for components of any size: a pair fires when it comes before every other remaining pair at its free ends; all pairs that may fire do so in one round, which gives what taking them one by one gives."""
     key = F.struct("score", "a", "b")
     left = write(edges.select("a", "b", "score"))
     state = None  # (work, leader): who leads is its own leader
