@@ -56,8 +56,8 @@ def frame_budget(seconds: Column, base: float, per_minute: float, least: float,
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct trigrams of each word, padded by two spaces before and one after."""
-    words = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    """The distinct trigrams of each word, padded by two spaces before and one after; words are of a to z, digits and Chinese characters."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9\u4e00-\u9fff]+"), lambda w: w != "")
 
     def cut(w: Column) -> Column:
         padded = F.concat(F.lit("  "), w, F.lit(" "))

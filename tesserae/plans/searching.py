@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import trigrams
 from tesserae.operators import duplicates as u
 from tesserae.operators import search as s
+from tesserae.operators import suggest
 from tesserae.plans.derivation import _q, _r, effective
 from tesserae.plans.fixtures import STEPS, Library, oracle
 
@@ -65,24 +65,19 @@ def _hybrid(x: Library):
 
 
 def _suggest(x: Library):
-    """Vocabulary for typed prefixes: exact, then prefix, then inside, then by trigrams; ties by works; twelve each."""
+    """For beginnings of words, displays, and misspelt names: the vocabulary that fits best, tags of one display as one."""
     vocab = effective(x).groupBy("tag").agg(F.countDistinct("work_id").alias("works"))
-    typed = x.part.select(F.substring(F.split("p_name", " ")[0], 1, 3).alias("typed")).distinct()
-    tier = F.when(F.lower("tag") == F.col("typed"), 0).when(F.startswith(F.lower("tag"), F.col("typed")), 1).when(F.contains(F.lower("tag"), F.col("typed")), 2)
-    low = F.lower("tag")  # what is typed is inside a tag only if its first three letters are
-    inside = vocab.select("tag", "works", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: low.substr(i, n)))))).alias("head"))
-    rows = inside.join(typed.withColumn("head", F.substring("typed", 1, 3)), "head").where(F.contains(low, F.col("typed"))).withColumn("tier", tier)
-    w = s.W.partitionBy("typed").orderBy("tier", F.desc("works"), "tag")
-    return rows.withColumn("k", F.row_number().over(w)).where("k <= 12").select("typed", "tag", "tier", "works")
+    vocab = vocab.select("tag", "works", F.when(F.col("tag").like("Brand#%"), F.concat(F.lit("品牌"), F.substring("tag", 7, 2))).alias("zh"), F.when(F.col("tag").like("Supplier#%"), F.substring("tag", 1, 17)).alias("key"))
+    one, two = F.split("p_name", " ")[0], F.split("p_type", " ")[0]
+    asked = (F.substring(one, 1, 3), F.concat(F.lit(" -"), F.initcap(one)), F.concat(F.lit("品牌"), F.substring("p_brand", 7, 1)), F.substring(F.lower("p_brand"), 3, 4), F.concat(F.substring("p_type", 1, 3), F.substring("p_type", 5, 40)), F.concat(two, F.lit("x ring")), F.concat(F.lit("suplier#"), F.right("p_brand", F.lit(1))), F.substring(one, 1, 1))
+    return suggest.suggestions(x.part.select(F.explode(F.array(*asked)).alias("typed")), vocab)
 
 
 def _trigram(x: Library):
-    """Names and words that share a trigram, met by it; the others have no likeness."""
-    a = x.part.select(F.col("p_name").alias("a")).distinct().select("a", F.array_distinct(trigrams(F.col("a"))).alias("ta"))
-    b = x.part.select(F.col("p_brand").alias("b")).distinct().unionByName(x.part.select(F.split("p_name", " ")[0].alias("b")).distinct()).select("b", F.array_distinct(trigrams(F.col("b"))).alias("tb"))
-    met = a.select("a", F.size("ta").alias("na"), F.explode("ta").alias("t")).join(b.select("b", F.size("tb").alias("nb"), F.explode("tb").alias("t")), "t")
-    both = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    return _r(both.select("a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("sim")), "sim")
+    """Names of parts, and brands and words, that are near enough to be suggested for each other."""
+    a = x.part.select(F.col("p_name").alias("name"))
+    b = x.part.select(F.explode(F.array("p_brand", F.split("p_name", " ")[0], "p_type")).alias("name"))
+    return _r(suggest.near_names(a.unionByName(x.part.select("p_type").toDF("name")), b), "sim")
 
 
 def _checked(vec: str):
@@ -140,8 +135,17 @@ def _listed(category: str) -> str:
     return oracle(f"SELECT work_id, string_agg(tag, ',' ORDER BY k) AS tags FROM (SELECT work_id, tag, row_number() OVER (PARTITION BY work_id ORDER BY confidence DESC, tag) AS k FROM {{effective}} WHERE visible AND category = '{category}') t WHERE k <= 12 GROUP BY 1")
 
 
-_PAD = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) AS INT) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
-_A, _B = _PAD.format(c="a"), _PAD.format(c="b")
+_PAD = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({c}), '[^a-z0-9一-鿿]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) AS INT) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+def _like(a: str, b: str) -> str:
+    """The similarity of the trigrams of two expressions, 0 if one has none."""
+    x, y = _PAD.format(c=a), _PAD.format(c=b)
+    return f"(CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0 ELSE CAST(len(list_intersect({x}, {y})) AS DOUBLE) / len(list_distinct(list_concat({x}, {y}))) END)"
+
+
+_ASKED = "substring({one}, 1, 3), concat(' -', upper(substring({one}, 1, 1)), substring({one}, 2)), concat('品牌', substring(p_brand, 7, 1)), substring(lower(p_brand), 3, 4), concat(substring(p_type, 1, 3), substring(p_type, 5, 40)), concat(split_part(p_type, ' ', 1), 'x ring'), concat('suplier#', right(p_brand, 1)), substring({one}, 1, 1)".format(one="split_part(p_name, ' ', 1)")
+_TIER = f"CASE WHEN low = raw OR clean = raw THEN 0 WHEN zh = raw THEN 1 WHEN starts_with(low, raw) THEN 2 WHEN list_contains(string_split(clean, ' '), raw) THEN 3 WHEN len(list_filter(string_split(clean, ' '), lambda w: starts_with(w, raw))) > 0 THEN 4 WHEN starts_with(zh, raw) THEN 5 WHEN contains(zh, raw) THEN 6 WHEN contains(clean, raw) THEN 7 WHEN length(raw) >= 4 AND greatest({_like('raw', 'clean')}, {_like('raw', 'coalesce(zh, chr(32))')}) >= 0.4 THEN 8 END"
 SQL = {
     "sea_tags": oracle("SELECT work_id FROM {effective} WHERE tag IN ('red', 'ring', 'bolt') GROUP BY 1 HAVING count(DISTINCT CASE tag WHEN 'red' THEN 0 ELSE 1 END) = 2"),
     "sea_synonyms": oracle("SELECT DISTINCT a.n AS tag, b.n AS also FROM (SELECT slug, lower(term) AS n FROM {terms} WHERE NOT search_only UNION SELECT slug, replace(lower(term), '#', ' ') FROM {terms} WHERE NOT search_only UNION SELECT slug, lower(slug) FROM {terms} WHERE NOT search_only) a JOIN (SELECT slug, lower(term) AS n FROM {terms} WHERE NOT search_only UNION SELECT slug, replace(lower(term), '#', ' ') FROM {terms} WHERE NOT search_only UNION SELECT slug, lower(slug) FROM {terms} WHERE NOT search_only) b ON a.slug = b.slug AND a.n <> b.n"),
@@ -162,6 +166,6 @@ SQL = {
     "sea_similar_within": oracle("SELECT query_id, work_id, round(score, 6) AS score, k, total FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, work_id) AS INT) AS k, count(*) OVER () AS total FROM {likeness} WHERE work_id <> query_id AND query_id = 3 AND work_id IN (SELECT e.work_id FROM {effective} e JOIN {works} w ON w.id = e.work_id WHERE e.tag IN ('red', 'bolt', 'ring') AND w.collection IN ('BUILDING', 'FURNITURE'))) t WHERE k <= 10"),
     "sea_hybrid": oracle("SELECT t.work_id, round(l.score, 6) AS score FROM (SELECT DISTINCT work_id FROM {effective} WHERE tag IN ('red', 'bolt')) t LEFT JOIN {likeness} l ON l.work_id = t.work_id AND l.query_id = 3 ORDER BY l.score DESC NULLS LAST, t.work_id DESC LIMIT 50"),
     "sea_stats": oracle(_facet("(SELECT id AS work_id, collection, created_at FROM {works})", "collection", "collection") + " UNION ALL " + _facet("(SELECT id AS work_id, collection, created_at FROM {works})", "year(created_at)", "year")),
-    "fn_suggest_rank": oracle("SELECT typed, tag, tier, works FROM (SELECT p.typed, v.tag, v.works, CASE WHEN lower(v.tag) = p.typed THEN 0 WHEN starts_with(lower(v.tag), p.typed) THEN 1 ELSE 2 END AS tier FROM (SELECT tag, count(DISTINCT work_id) AS works FROM {effective} GROUP BY 1) v JOIN (SELECT DISTINCT substring(split_part(p_name, ' ', 1), 1, 3) AS typed FROM part) p ON contains(lower(v.tag), p.typed)) t QUALIFY row_number() OVER (PARTITION BY typed ORDER BY tier, works DESC, tag) <= 12"),
-    "fn_trigram_sim": f"SELECT a, b, round(sim, 6) AS sim FROM (SELECT a, b, CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))) AS sim FROM (SELECT a, b, {_A} AS x, {_B} AS y FROM (SELECT DISTINCT p_name AS a FROM part) p CROSS JOIN (SELECT DISTINCT p_brand AS b FROM part UNION ALL SELECT DISTINCT split_part(p_name, ' ', 1) FROM part) q) r) z WHERE sim > 0",
+    "fn_suggest_rank": oracle(f"SELECT typed, tag, CAST(tier AS INT) AS tier, works FROM (SELECT * FROM (SELECT typed, tag, works, {_TIER} AS tier, key FROM (SELECT tag, count(DISTINCT work_id) AS works, lower(tag) AS low, lower(replace(tag, '_', ' ')) AS clean, CASE WHEN tag LIKE 'Brand#%' THEN concat('品牌', substring(tag, 7, 2)) END AS zh, CASE WHEN tag LIKE 'Supplier#%' THEN substring(tag, 1, 17) ELSE tag END AS key FROM {{effective}} GROUP BY tag) v CROSS JOIN (SELECT DISTINCT typed, regexp_replace(lower(trim(typed)), '^-', '') AS raw FROM (SELECT unnest([{_ASKED}]) AS typed FROM part) q) p WHERE length(raw) >= 2) t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY typed, key ORDER BY tier, works DESC, tag) = 1) u QUALIFY row_number() OVER (PARTITION BY typed ORDER BY tier, works DESC, tag) <= 12"),
+    "fn_trigram_sim": f"SELECT a, b, round(sim, 6) AS sim FROM (SELECT a, b, {_like('a', 'b')} AS sim FROM (SELECT DISTINCT p_name AS a FROM part UNION SELECT p_type FROM part) p CROSS JOIN (SELECT DISTINCT unnest([p_brand, split_part(p_name, ' ', 1), p_type]) AS b FROM part) q) z WHERE sim >= 0.4",
 }
