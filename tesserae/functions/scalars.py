@@ -72,5 +72,10 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.size(F.array_intersect(x, y)) / both).otherwise(F.lit(0.0))
 
 
+def digest(vec: Column | str) -> Column:
+    """A sum over all elements of a vector, each times its place."""
+    return F.aggregate(F.zip_with(vec, F.sequence(F.lit(1), F.size(vec)), lambda v, i: v * i), F.lit(0.0), lambda a, y: a + y)
+
+
 def json_number(json: Column, path: str = "$") -> Column:
     return F.get_json_object(json, path).try_cast("double")

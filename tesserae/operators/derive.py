@@ -29,6 +29,10 @@ def packed(scores: DataFrame) -> DataFrame:
     return rows.select("sample_id", "model_version_id", F.col("s.category").alias("categories"), F.col("s.tag").alias("tags"), F.col("s.score").alias("scores"))
 
 
+def is_packed(scores: DataFrame) -> bool:
+    return "tags" in scores.columns
+
+
 def unpacked(evidence: DataFrame) -> DataFrame:
     """A row for each score of :func:`packed`."""
     return evidence.select("sample_id", "model_version_id", F.inline(F.arrays_zip(F.col("categories").alias("category"), F.col("tags").alias("tag"), F.col("scores").alias("score"))))
@@ -36,7 +40,8 @@ def unpacked(evidence: DataFrame) -> DataFrame:
 
 def seen(page: DataFrame, scores: DataFrame) -> DataFrame:
     """(sample_id, model_version_id, work_id, page): which version has scored which page; a plan that several readers share, so its exchange is reused."""
-    return scores.select("sample_id", "model_version_id").distinct().join(page, "sample_id")
+    rows = scores.select("sample_id", "model_version_id")
+    return (rows if is_packed(scores) else rows.distinct()).join(page, "sample_id")
 
 
 def chosen(page: DataFrame, scores: DataFrame, members: DataFrame) -> DataFrame:
@@ -65,18 +70,45 @@ def cutoffs(roles: DataFrame, params: dict[str, float]) -> DataFrame:
     )
 
 
-def yielded(roles: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(version, category, tag) that a yielding member leaves to another member of the role."""
+def yields_to(roles: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(version, category, tag, other): which member of the role a yielding member leaves a tag to."""
     other = thresholds.join(roles.select("model_version_id", F.col("role").alias("category")), ["model_version_id", "category"]).select(F.col("model_version_id").alias("other"), "category", "tag")
     mine = roles.where("yields and role <> 'embedding'").select("model_version_id", F.col("role").alias("category"))
-    return mine.join(other, "category").where("model_version_id <> other").select("model_version_id", "category", "tag").distinct()
+    return mine.join(other, "category").where("model_version_id <> other").select("model_version_id", "category", "tag", "other")
+
+
+def yielded(roles: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(version, category, tag) that a yielding member leaves to another member of the role."""
+    return yields_to(roles, thresholds).drop("other").distinct()
+
+
+def opened(evidence: DataFrame, roles: DataFrame, thresholds: DataFrame, params: dict[str, float]) -> DataFrame:
+    """The scores of packed evidence that may reach their threshold, a row each.
+
+    Arrays are filtered where they lie: a score has to reach the cutoff of its version and category, or belong to a tag
+    of a lower threshold. Most of what a model puts out is far below both, and never becomes a row.
+    """
+    cut = cutoffs(roles, params).select("model_version_id", "category", "cutoff")
+    low = thresholds.join(cut, ["model_version_id", "category"]).where("threshold < cutoff").groupBy("model_version_id", "category").agg(F.min("threshold").alias("low"), F.collect_set("tag").alias("low_tags"))
+    gate = cut.join(low, ["model_version_id", "category"], "left").groupBy("model_version_id").agg(
+        F.min(F.least("cutoff", "low")).alias("least"), F.collect_list(F.struct("category", "cutoff", "low", "low_tags")).alias("gates")
+    )  # configuration: a row for each version
+    rows = evidence.join(gate, "model_version_id")
+
+    def reaches(e: Column) -> Column:
+        score = e["score"].cast("double")
+        return (score >= F.col("least")) & F.exists("gates", lambda g: (g["category"] == e["category"]) & ((score >= g["cutoff"]) | ((score >= g["low"]) & F.array_contains(g["low_tags"], e["tag"]))))
+
+    zipped = F.arrays_zip(F.col("categories").alias("category"), F.col("tags").alias("tag"), F.col("scores").alias("score"))
+    return rows.select("sample_id", "model_version_id", F.filter(zipped, reaches).alias("s")).where(F.size("s") > 0).select("sample_id", "model_version_id", F.inline("s"))
 
 
 def gated(rows: DataFrame, roles: DataFrame, thresholds: DataFrame, params: dict[str, float]) -> DataFrame:
-    """Scores that reach their threshold, without those that are yielded.
+    """Scores, as rows or packed, that reach their threshold, without those that are yielded.
 
     Nothing here depends on pages or works, so scores are gated before they are joined with either.
     """
+    rows = opened(rows, roles, thresholds, params) if is_packed(rows) else rows
     out = rows.join(cutoffs(roles, params), ["model_version_id", "category"]).join(thresholds, ["model_version_id", "category", "tag"], "left")
     out = out.where(F.col("score").cast("double") >= F.coalesce("threshold", "cutoff"))
     return out.join(yielded(roles, thresholds), ["model_version_id", "category", "tag"], "left_anti")
@@ -95,7 +127,7 @@ def _by_category(params: dict[str, float], kind: str) -> Column:
 
 
 def work_tags(samples: DataFrame, scores: DataFrame, members: DataFrame, roles: DataFrame, thresholds: DataFrame, params: dict[str, float], ids: DataFrame | None = None) -> DataFrame:
-    """(work_id, category, tag, freq_ratio, avg_score); ``ids`` (work_id) narrows the works at the source."""
+    """(work_id, category, tag, freq_ratio, avg_score) of scores, as rows or packed; ``ids`` (work_id) narrows the works at the source."""
     if ids is not None:
         samples = samples.join(ids.select("work_id").distinct(), "work_id", "left_semi")
     page = pages(samples)

@@ -135,34 +135,63 @@ def visible_tags(tags: DataFrame, category: str = "general", most: int = 12) ->
     return rows.groupBy("work_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
 
 
-def work_vectors(vectors: DataFrame) -> DataFrame:
-    """The normalised mean of the newest run's vectors for each work and version.
+SUMS = 20_000
+
 
-    Vectors are added up as arrays: first those of a work that stand in one batch of a task, then the sums of its batches.
+def vector_sums(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, s): how many vectors (keys, vec) each key has, and their sum; keys are whole numbers.
+
+    A task adds up what it reads and holds at most :data:`SUMS` keys, so a key sends a few sums for each task, however
+    many rows it has; those are added one after another where the key's rows meet, so no row or task ever holds a list of them.
     """
-    newest = vectors.groupBy("work_id", "model_version_id").agg(F.max("run_id").alias("run_id"))
-    rows = vectors.join(newest, ["work_id", "model_version_id", "run_id"]).select(F.col("work_id").cast("long"), F.col("model_version_id").cast("long"), "vec").where("vec is not null and size(vec) > 0")
-    sums = rows.mapInArrow(_added, "work_id long, model_version_id long, n long, s array<double>")
-    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
-    every = sums.groupBy("work_id", "model_version_id").agg(F.sum("n").alias("n"), F.collect_list("s").alias("parts"))
-    total = F.aggregate(F.slice("parts", 2, F.size("parts")), F.element_at("parts", 1), add)
-    vec = every.select("work_id", "model_version_id", F.transform(total, lambda x: x / F.col("n")).alias("v"))
+    width = len(keys)
+    schema = ", ".join(f"{k} long" for k in keys) + ", n long, s array<double>"
+
+    def added(batches, whole: bool):
+        held: dict[tuple, list] = {}
+
+        def out(items):
+            if items:
+                columns = [*(pa.array([k[i] for k, _ in items], pa.int64()) for i in range(width)), pa.array([n for _, (n, _) in items], pa.int64()), pa.array([x for _, (_, x) in items], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "n", "s"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width)], 1)
+            key, which = np.unique(rows, axis=0, return_inverse=True)
+            x = np.asarray(batch.column("s").flatten()).reshape(batch.num_rows, -1).astype(np.float64)
+            sums = np.zeros((len(key), x.shape[1]))
+            np.add.at(sums, which.ravel(), x)
+            counts = np.bincount(which.ravel(), batch.column("n").to_numpy())
+            for k, n, v in zip(map(tuple, key.tolist()), counts.astype(np.int64).tolist(), sums):
+                have = held.get(k)
+                held[k] = [n, v] if have is None else [have[0] + n, have[1] + v]
+            if whole:  # rows come sorted: only the last key may go on
+                last = tuple(rows[-1].tolist())
+                yield from out([i for i in held.items() if i[0] != last])
+                held = {last: held[last]}
+            elif len(held) > SUMS:
+                yield from out([*held.items()])
+                held = {}
+        yield from out([*held.items()])
+
+    rows = vectors.where("vec is not null and size(vec) > 0").select(*(F.col(k).cast("long").alias(k) for k in keys), F.lit(1).cast("long").alias("n"), F.col("vec").alias("s"))
+    parts = rows.mapInArrow(lambda b: added(b, False), schema)
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda b: added(b, True), schema)
+
+
+def mean_vectors(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, vec): the normalised mean of each key's vectors, null if it is zero."""
+    mean = vector_sums(vectors, keys).select(*keys, F.transform("s", lambda x: x / F.col("n")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return vec.select("work_id", "model_version_id", F.when(norm > 0, F.transform("v", lambda x: x / norm)).alias("vec"))
-
-
-def _added(batches):
-    """One sum for each work and version of a batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("work_id", "model_version_id")], 1)
-        key, which = np.unique(keys, axis=0, return_inverse=True)
-        x = np.asarray(batch.column("vec").flatten()).reshape(batch.num_rows, -1).astype(np.float64)
-        sums = np.zeros((len(key), x.shape[1]))
-        np.add.at(sums, which.ravel(), x)
-        parts = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, x.shape[1], dtype=np.int32), sums.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(np.bincount(which.ravel())), parts], names=["work_id", "model_version_id", "n", "s"])
+    return mean.select(*keys, norm.alias("norm"), "v").select(*keys, F.when(F.col("norm") > 0, F.transform("v", lambda x: x / F.col("norm"))).alias("vec"))
+
+
+def work_vectors(vectors: DataFrame) -> DataFrame:
+    """The normalised mean of the newest run's vectors for each work and version."""
+    newest = vectors.groupBy("work_id", "model_version_id").agg(F.max("run_id").alias("run_id"))
+    return mean_vectors(vectors.join(newest, ["work_id", "model_version_id", "run_id"]), ["work_id", "model_version_id"])
 
 
 def similar(vectors: DataFrame, reference: DataFrame, exclude_self: bool = True, among: DataFrame | None = None) -> DataFrame:

@@ -69,6 +69,18 @@ def ancestors(concepts: DataFrame, write) -> DataFrame:
         new = nxt.join(seen.select("slug", "ancestor"), ["slug", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
 
 
+def ancestors_sql(concepts: DataFrame) -> DataFrame:
+    """The same by a recursive query of Spark SQL, which follows each path until it comes to a concept that is on it; for hierarchies of the size of a vocabulary. :func:`ancestors` follows each pair once, whatever the number of paths."""
+    return concepts.sparkSession.sql(
+        """WITH RECURSIVE above (slug, ancestor, depth, path) AS (
+          SELECT slug, parent, 1, array(parent) FROM {edges} WHERE parent IS NOT NULL
+          UNION ALL SELECT a.slug, e.parent, a.depth + 1, array_append(a.path, e.parent) FROM above a JOIN {edges} e ON e.slug = a.ancestor
+            WHERE e.parent IS NOT NULL AND NOT array_contains(a.path, e.parent))
+        SELECT slug, ancestor, min(depth) AS depth FROM above GROUP BY slug, ancestor""",
+        edges=concepts,
+    )
+
+
 def find_concept(names: DataFrame, concepts: DataFrame, terms: DataFrame) -> DataFrame:
     """The concept of each name: by slug, by slug in any case, then by a spelling."""
     slug = concepts.select("slug", F.col("slug").alias("key"), F.lit(1).alias("how")).union(concepts.select("slug", F.lower("slug"), F.lit(2))).union(terms.select("slug", F.lower("term"), F.lit(3)))

@@ -77,7 +77,7 @@ QUERIES = {
     "voc_merge": _q(lambda x: v.merge(x.claims.select("work_id", "field", "value", "negated"), "Brand#11", "Brand#12")),
     "voc_delete_guard": _q(lambda x: v.in_use(x.concepts, x.claims)),
     "voc_find_concept": _q(lambda x: v.find_concept(x.part.select(F.upper("p_brand").alias("name")).distinct().union(x.part.select("p_brand").distinct()), x.concepts, x.terms)),
-    "join_recursive": _q(lambda x: v.ancestors(x.concepts.select("slug", "parent"), store)),
+    "join_recursive": _q(lambda x: v.ancestors_sql(x.kept("lineage", lambda: x.lineage))),
     "rep_collections": _q(lambda x: x.works.groupBy("collection").agg(F.countDistinct("id").alias("works"))),
     "rep_browse": _q(lambda x: m.browse(x.copies, "src1")),
     "rep_overview": _q(lambda x: x.works.agg(F.count("*").alias("works")).crossJoin(x.samples.agg(F.count("*").alias("samples"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"))).crossJoin(x.claims.agg(F.count_if("negated").alias("negations")))),
@@ -113,7 +113,7 @@ SQL = {
     "voc_merge": oracle("SELECT work_id, field, CASE WHEN value = 'Brand#11' THEN 'Brand#12' ELSE value END AS value, negated FROM {claims} c WHERE value <> 'Brand#11' OR NOT EXISTS (SELECT 1 FROM {claims} t WHERE t.value = 'Brand#12' AND t.work_id = c.work_id AND t.field = c.field)"),
     "voc_delete_guard": oracle("SELECT slug, claims, children FROM (SELECT c.slug, (SELECT count(*) FROM {claims} x WHERE x.value = c.slug) AS claims, (SELECT count(*) FROM {concepts} k WHERE k.parent = c.slug) AS children FROM {concepts} c) t WHERE claims > 0 OR children > 0"),
     "voc_find_concept": oracle("SELECT name, slug, how FROM (SELECT n.name, k.slug, k.how FROM (SELECT DISTINCT upper(p_brand) AS name FROM part UNION ALL SELECT DISTINCT p_brand FROM part) n JOIN (SELECT slug, slug AS key, 1 AS how FROM {concepts} UNION ALL SELECT slug, lower(slug), 2 FROM {concepts} UNION ALL SELECT slug, lower(term), 3 FROM {terms}) k ON (k.how = 1 AND k.key = n.name) OR (k.how > 1 AND k.key = lower(n.name))) t QUALIFY row_number() OVER (PARTITION BY name ORDER BY how, slug) = 1"),
-    "join_recursive": oracle("SELECT slug, parent AS ancestor, 1 AS depth FROM {concepts} WHERE parent IS NOT NULL"),
+    "join_recursive": oracle("SELECT slug, ancestor, CAST(min(depth) AS INT) AS depth FROM (WITH RECURSIVE above AS (SELECT slug, parent AS ancestor, 1 AS depth, [parent] AS path FROM {lineage} WHERE parent IS NOT NULL UNION ALL SELECT a.slug, e.parent, a.depth + 1, list_append(a.path, e.parent) FROM above a JOIN {lineage} e ON e.slug = a.ancestor WHERE e.parent IS NOT NULL AND NOT list_contains(a.path, e.parent)) SELECT * FROM above) t GROUP BY 1, 2"),
     "rep_collections": oracle("SELECT collection, count(DISTINCT id) AS works FROM {works} GROUP BY 1"),
     "rep_browse": oracle("SELECT split_part(substring(path, 6), '/', 1) AS child, count(*) AS places FROM {copies} WHERE starts_with(path, 'src1/') GROUP BY 1"),
     "rep_overview": oracle("SELECT (SELECT count(*) FROM {works}) AS works, (SELECT count(*) FROM {samples}) AS samples, (SELECT count(*) FROM {samples} WHERE skip_reason IS NOT NULL) AS skipped, (SELECT count(*) FROM {claims} WHERE negated) AS negations"),

@@ -11,7 +11,7 @@ SIGNAL, COMIC = ["red", "blue", "green"], "ring"
 
 
 def evidence(x: Library):
-    return x.samples, x.scores, x.members, x.roles, x.thresholds
+    return x.samples, x.evidence, x.members, x.roles, x.thresholds
 
 
 def tags(x: Library):

@@ -36,6 +36,7 @@ FIXTURES = {
     "copies": "SELECT doc_id, sha1(text) AS content_key, concat(source, '/', lang, '/', CAST(doc_id AS STRING)) AS path FROM {documents}",
     "measurements": "SELECT l_orderkey AS work_id, year(l_shipdate) AS run_id, l_orderkey * 10 + l_linenumber AS sample_id, 'color_ratio' AS kind, CAST(l_tax AS STRING) AS value FROM {lineitem} UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'page_census', concat('{\"files\": ', CAST(count(*) AS STRING), '}') FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'duration_s', CAST(max(l_extendedprice) AS STRING) FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'cg_features', concat('{\"n_images\": ', CAST(CAST(sum(l_quantity) AS INT) AS STRING), ', \"sequential_ratio\": ', CAST(CAST(1 - max(l_discount) * 3 AS DECIMAL(6, 2)) AS STRING), ', \"aspect_std\": ', CAST(CAST(max(l_tax) * 1.5 AS DECIMAL(6, 3)) AS STRING), ', \"avg_file_size\": ', CAST(CAST(floor(max(l_extendedprice) * 8) AS INT) AS STRING), '}') FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT DISTINCT l_orderkey, year(l_shipdate), CAST(NULL AS BIGINT), 'video_probe', '{\"streams\": 1}' FROM {lineitem} WHERE l_orderkey % 3 = 0",
     "concepts": "SELECT DISTINCT p_brand AS slug, 'character' AS kind, concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)) AS parent FROM {part} UNION ALL SELECT concat('series-', CAST(n AS STRING)), 'series', NULL FROM (SELECT DISTINCT CAST(substring(p_brand, 7) AS INT) % 5 AS n FROM {part}) s",
+    "lineage": "SELECT DISTINCT p_brand AS slug, concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)) AS parent FROM {part} UNION SELECT DISTINCT p_brand, concat('line-', CAST(p_size % 2 AS STRING)) FROM {part} UNION SELECT concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)), concat('house-', CAST(CAST(substring(p_brand, 7) AS INT) % 2 AS STRING)) FROM {part} UNION SELECT concat('line-', CAST(p_size % 2 AS STRING)), concat('house-', CAST(p_size % 2 AS STRING)) FROM {part} UNION SELECT concat('house-', CAST(p_size % 2 AS STRING)), 'group' FROM {part} UNION SELECT 'group', 'owner' FROM {part} UNION SELECT 'owner', 'group' FROM {part} UNION SELECT 'owner', NULL FROM {part}",
     "terms": "SELECT DISTINCT lower(p_brand) AS term, CAST(substring(p_brand, 7) AS INT) % 4 = 0 AS search_only, p_brand AS slug FROM {part}",
 }
 
@@ -82,6 +83,18 @@ class Library:
         rows = self.base.select("sample_id", "model_version_id", F.inline(each))
         return rows.groupBy("sample_id", "model_version_id", "category", "tag").agg(F.max("score").alias("score"))
 
+    @property
+    def evidence(self) -> DataFrame:
+        """The same as models put it out: packed, a row for each sample and version."""
+        return self.kept("evidence", self._evidence)
+
+    def _evidence(self) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(c).alias("category"), F.expr(t).alias("tag"), F.col(s).alias("score")) for c, t, s in _FACETS])
+        rows = self.base.groupBy("sample_id", "model_version_id").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("s"))  # the lines of one sample
+        last = lambda e, i: F.coalesce((F.get("s", i + 1)["category"] != e["category"]) | (F.get("s", i + 1)["tag"] != e["tag"]), F.lit(True))
+        best = rows.withColumn("s", F.filter("s", last))  # of a tag the greatest score, which stands last
+        return best.select("sample_id", "model_version_id", F.col("s.category").alias("categories"), F.col("s.tag").alias("tags"), F.col("s.score").alias("scores"))
+
 
 #: Named steps of the oracle: SQL with other steps and fixtures in braces.
 STEPS: dict[str, str] = {}

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import content_key_file, cosine, coverage_lower_bound
+from tesserae.functions.scalars import content_key_file, cosine, coverage_lower_bound, digest
 from tesserae.operators import derive as d
 from tesserae.operators import duplicates as dup
 from tesserae.operators import lookup as k
@@ -262,7 +262,7 @@ QUERIES = {
     "smp_replace": _q(_replaced),
     "scr_inference": _q(lambda x: _r(_scored(x), "score")),
     "scr_failure_isolation": _q(lambda x: sc.outcome(_scored(x).where("backend = 'corners'"))),
-    "scr_mean_embedding": _q(lambda x: _r(unit_vectors(x).join(x.members, "model_version_id").select("work_id", "backend", F.element_at("vec", 2).alias("second")), "second")),
+    "scr_mean_embedding": _q(lambda x: _r(unit_vectors(x).join(x.members, "model_version_id").select("work_id", "backend", digest("vec").alias("checked"), F.element_at("vec", 2).alias("second")), "checked", "second")),
     "fn_content_key_file": _q(lambda x: x.documents.select("doc_id", content_key_file(F.col("n_chars"), F.col("lang")).alias("content_key"))),
     "fn_coverage_lower_bound": _q(_wilson),
     "fn_cosine": _q(_cosine),
@@ -323,7 +323,7 @@ SQL = {
     "smp_candidates": "SELECT conv_id AS folder, concat('p', turn) AS name, length(text) AS size, length(text) >= 100 OR max(length(text)) OVER (PARTITION BY conv_id) < 100 AS candidate, count(*) OVER (PARTITION BY conv_id) AS census FROM conversations",
     "scr_inference": f"SELECT vec_id AS sample_id, vec_id % 100 AS work_id, 'mean' AS backend, 'score' AS output, round(1 / (1 + exp(-(((list_sum({_DOUBLES}) + 192 * 0.5) / 256 / 2 - 0.1) / 0.2))), 6) AS score, CAST(NULL AS VARCHAR) AS error FROM embeddings UNION ALL SELECT vec_id, vec_id % 100, 'corners', o, round(CAST(CASE o WHEN 'first' THEN embedding[4] ELSE embedding[61] END AS DOUBLE), 6), NULL FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id) <= 3) e, (VALUES ('first'), ('last')) t(o) WHERE embedding[4] >= 0 UNION ALL SELECT vec_id, vec_id % 100, 'corners', NULL, NULL, 'negative' FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id) <= 3) e WHERE embedding[4] < 0",
     "scr_failure_isolation": "SELECT work_id, CAST(bool_or(ok) AS BIGINT) AS backends, CAST(bool_or(NOT ok) AS BIGINT) AS failed, CASE WHEN NOT bool_or(ok) THEN 'error' WHEN bool_or(NOT ok) THEN 'partial' ELSE 'ok' END AS verdict FROM (SELECT vec_id % 100 AS work_id, embedding[4] >= 0 AS ok FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id) <= 3) e GROUP BY 1",
-    "scr_mean_embedding": oracle("SELECT work_id, backend, round(x, 6) AS second FROM {unit} u JOIN {members} m ON m.model_version_id = u.model_version_id WHERE i = 2"),
+    "scr_mean_embedding": oracle("SELECT work_id, backend, round(sum(i * x), 6) AS checked, round(max(CASE WHEN i = 2 THEN x END), 6) AS second FROM {unit} u JOIN {members} m ON m.model_version_id = u.model_version_id GROUP BY 1, 2"),
     "fn_content_key_file": "SELECT doc_id, concat('vid:', sha1(concat_ws(':', CAST(n_chars AS VARCHAR), lang))) AS content_key FROM documents",
     "fn_coverage_lower_bound": "SELECT l_suppkey, l_partkey, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS bound FROM (SELECT l_suppkey, l_partkey, count(*) FILTER (WHERE l_returnflag = 'R') / count(*)::DOUBLE AS p, count(*)::DOUBLE AS n, 1.96::DOUBLE AS z FROM lineitem GROUP BY 1, 2) g",
     "fn_cosine": "SELECT x.vec_id, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS score FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1",

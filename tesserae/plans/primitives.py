@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import json_number, l2_normalize
+from tesserae.functions import sql
+from tesserae.functions.scalars import digest, json_number, l2_normalize
 from tesserae.operators import derive as d
 from tesserae.operators import scoring as sc
 from tesserae.operators import search as s
@@ -82,10 +83,8 @@ def _theta(x: Library) -> DataFrame:
 
 def _vectors(x: Library) -> DataFrame:
     """The mean of a group's vectors, normalised, as digests."""
-    rows = x.embeddings.select(F.lit(1).alias("run_id"), F.col("label").alias("work_id"), F.lit(1).alias("model_version_id"), F.col("embedding").alias("vec"))
-    vec = s.work_vectors(rows)
-    place = F.zip_with("vec", F.sequence(F.lit(1), F.size("vec")), lambda v, i: v * i)
-    return _r(vec.select(F.col("work_id").alias("label"), F.aggregate(place, F.lit(0.0), lambda a, y: a + y).alias("checked"), F.element_at("vec", 1).alias("first")), "checked", "first")
+    vec = s.mean_vectors(x.embeddings.select("label", F.col("embedding").alias("vec")), ["label"])
+    return _r(vec.select("label", digest("vec").alias("checked"), F.element_at("vec", 1).alias("first")), "checked", "first")
 
 
 def _overview(x: Library) -> DataFrame:
@@ -150,12 +149,32 @@ def _protocol(x: Library) -> DataFrame:
     return sc.score(images, scorers, (2, 8, 4))
 
 
-def _checked_param(x: Library) -> DataFrame:
-    """A parameter by name beside each category that is scored, its default where it has none of its own."""
-    rows = x.scores.select("category").distinct()
-    return rows.select("category", d._by_category(PARAMS, "freq").alias("freq"), d._by_category(PARAMS, "freqz").alias("z"))
+def _functions(x: Library) -> None:
+    """The SQL functions over this library, whose active profile is 1."""
+    displays = x.concepts.select("slug", F.concat(F.lit("the "), F.lower("slug")).alias("display"))
+    sql.register(x.spark, sql.params_table(x.spark, PARAMS), d.cutoffs(x.roles, PARAMS), x.thresholds, d.yields_to(x.roles, x.thresholds), x.spark.sql("SELECT 1 AS profile_id"), displays)
+    x.scores.createOrReplaceTempView("evidence_scores")
 
 
+def _by_functions(x: Library) -> DataFrame:
+    """Scalar functions called from SQL: parameters by name, the bound of a share, and displays of concepts."""
+    _functions(x)
+    return x.spark.sql(
+        """SELECT category, tag, active_profile_id() AS profile_id, derivation_param(concat('score:', category)) AS cutoff, concept_display(tag) AS display,
+        round(coverage_lower_bound(hits, n, 1.96), 6) AS bound
+        FROM (SELECT category, tag, count_if(score >= 0.5) AS hits, count(*) AS n FROM evidence_scores WHERE category IN ('general', 'character', 'copyright', 'artist') GROUP BY category, tag) s"""
+    )
+
+
+def _explained(x: Library) -> DataFrame:
+    """The table function for a few tags, and how many scores of each member reach the bar it gives."""
+    _functions(x)
+    bars = " UNION ALL ".join(f"SELECT '{t}' AS tag, * FROM explain_tag('{t}')" for t in EXPLAINED)
+    return x.spark.sql(f"""SELECT e.tag, e.model_version_id, e.category, official, applied, source, yields_to, freq, freq_source, count(s.score) AS scores, count_if(s.score >= applied) AS reached
+        FROM ({bars}) e LEFT JOIN evidence_scores s ON s.model_version_id = e.model_version_id AND s.category = e.category AND s.tag = e.tag GROUP BY ALL""")
+
+
+EXPLAINED = ("red", "ring", "bolt", "Supplier#1")
 QUERIES = {
     "src_listing": _q(_listed),
     "src_find_works": _q(_found),
@@ -198,22 +217,16 @@ QUERIES = {
     "set_union": _q(lambda x: x.scores.where("tag = 'red'").select("sample_id").union(x.scores.where("category = 'artist'").select("sample_id")).distinct()),
     "fn_json_path": _q(lambda x: x.measurements.where("kind in ('cg_features', 'page_census')").select("work_id", "run_id", "kind", json_number(F.col("value"), "$.n_images").alias("n_images"), json_number(F.col("value"), "$.aspect_std").alias("aspect_std"), json_number(F.col("value"), "$.files").alias("files"))),
     "fn_date": _q(lambda x: x.works.select(F.col("id").alias("work_id"), "created_at").join(x.claims.groupBy("work_id").agg(F.max("created_at").alias("claimed_at")), "work_id", "left").select("work_id", F.coalesce("claimed_at", "created_at").alias("at"))),
-    "fn_l2_normalize": _q(lambda x: _r(x.embeddings.select("vec_id", F.size("embedding").alias("dims"), l2_normalize(F.transform("embedding", lambda e: e.cast("double"))).alias("u")).select("vec_id", "dims", F.element_at("u", 1).alias("first"), F.element_at("u", -1).alias("last")), "first", "last")),
+    "fn_l2_normalize": _q(lambda x: _r(x.embeddings.select("vec_id", F.size("embedding").alias("dims"), l2_normalize(F.transform("embedding", lambda e: e.cast("double"))).alias("u")).select("vec_id", "dims", digest("u").alias("checked"), F.element_at("u", -1).alias("last")), "checked", "last")),
     "scr_preprocess": _q(_prepared),
     "voc_hide": _q(lambda x: tags(x).select("tag").distinct().join(x.hidden.withColumn("off", F.lit(True)), "tag", "left").select("tag", F.col("off").isNull().alias("shown"))),
-    "udf_sql_scalar": _q(_checked_param),
-    "udf_sql_table": _q(lambda x: explain(x).where("model_version_id <> 3")),
+    "udf_sql_scalar": _q(_by_functions),
+    "udf_sql_table": _q(_explained),
     "udf_backend_protocol": _q(lambda x: _r(_protocol(x).select("backend", "sample_id", "output", "score"), "score")),
     "udf_op_registry": _q(_stages),
 }
 
 
-def explain(x: Library) -> DataFrame:
-    """The bar of every tag that a member scores, and where it comes from."""
-    rows = x.scores.select("model_version_id", "category", "tag").distinct().join(d.cutoffs(x.roles, PARAMS), ["model_version_id", "category"]).join(x.thresholds, ["model_version_id", "category", "tag"], "left")
-    return rows.select("model_version_id", "category", "tag", F.coalesce("threshold", "cutoff").alias("applied"), F.when(F.col("threshold").isNotNull(), "published").otherwise(F.col("cutoff_source")).alias("source"))
-
-
 _PATH = "'/lib/' || coalesce(source, 'none') || CASE WHEN doc_id % 50 = 0 THEN '' WHEN doc_id % 7 = 1 THEN '/.hidden' WHEN doc_id % 7 = 2 THEN '/a/b/c/d/e' ELSE '/' || coalesce(lang, 'none') END"
 _STEPS = {name: stage for name, (stage, _) in sorted(sc.STEPS.items())}
 _NAMED = "[" + ", ".join(f"'{n}'" for n in _STEPS) + "]"
@@ -263,11 +276,11 @@ SQL = {
     "set_union": oracle("SELECT sample_id FROM {scores} WHERE tag = 'red' UNION SELECT sample_id FROM {scores} WHERE category = 'artist'"),
     "fn_json_path": oracle("SELECT work_id, run_id, kind, TRY_CAST(value ->> '$.n_images' AS DOUBLE) AS n_images, TRY_CAST(value ->> '$.aspect_std' AS DOUBLE) AS aspect_std, TRY_CAST(value ->> '$.files' AS DOUBLE) AS files FROM {measurements} WHERE kind IN ('cg_features', 'page_census')"),
     "fn_date": oracle("SELECT w.id AS work_id, coalesce(max(c.created_at), w.created_at) AS at FROM {works} w LEFT JOIN {claims} c ON c.work_id = w.id GROUP BY w.id, w.created_at"),
-    "fn_l2_normalize": f"WITH u AS ({_UNNESTED}), n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm, CAST(count(*) AS INT) AS dims FROM u GROUP BY 1) SELECT n.vec_id, dims, round(max(CASE WHEN i = 1 THEN x / norm END), 6) AS first, round(max(CASE WHEN i = dims THEN x / norm END), 6) AS last FROM n JOIN u ON u.vec_id = n.vec_id GROUP BY 1, 2",
+    "fn_l2_normalize": f"WITH u AS ({_UNNESTED}), n AS (SELECT vec_id, sqrt(sum(x * x)) AS norm, CAST(count(*) AS INT) AS dims FROM u GROUP BY 1) SELECT n.vec_id, dims, round(sum(i * x / norm), 6) AS checked, round(max(CASE WHEN i = dims THEN x / norm END), 6) AS last FROM n JOIN u ON u.vec_id = n.vec_id GROUP BY 1, 2",
     "scr_preprocess": f"WITH u AS ({_UNNESTED}), p AS (SELECT vec_id, (i - 1) // 32 + 4 AS r, ((i - 1) // 4) % 8 + 1 AS c, 4 - (i - 1) % 4 AS ch, x FROM u), own AS (SELECT vec_id, sum((r * 100 + c * 10 + ch) * (x / 2 - ch * 0.1) / 0.25) AS t FROM p GROUP BY 1), pad AS (SELECT sum((r * 100 + c * 10 + ch) * (0.25 - ch * 0.1) / 0.25) AS t FROM range(1, 9) a(r), range(1, 9) b(c), range(1, 5) d(ch) WHERE r NOT IN (4, 5)) SELECT vec_id, round(CAST(own.t + pad.t AS DOUBLE), 6) AS checked FROM own CROSS JOIN pad",
     "voc_hide": oracle("SELECT DISTINCT tag, tag NOT IN (SELECT tag FROM {hidden}) AS shown FROM {tags}"),
-    "udf_sql_scalar": oracle("SELECT DISTINCT category, CAST(CASE category " + " ".join(f"WHEN '{k[5:]}' THEN {v}" for k, v in PARAMS.items() if k.startswith("freq:") and k != "freq:default") + f" ELSE {PARAMS['freq:default']} END AS DOUBLE) AS freq, CAST({PARAMS['freqz:default']} AS DOUBLE) AS z FROM {{scores}}"),
-    "udf_sql_table": oracle(_BAR.replace("{how}", "") + " WHERE q.model_version_id <> 3"),
+    "udf_sql_scalar": oracle("SELECT category, tag, 1 AS profile_id, CAST(CASE category WHEN 'general' THEN 0.35 ELSE 0.5 END AS DOUBLE) AS cutoff, (SELECT concat('the ', lower(slug)) FROM {concepts} c WHERE c.slug = tag) AS display, round(CASE WHEN p IS NULL THEN 0 ELSE (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) END, 6) AS bound FROM (SELECT category, tag, CAST(count(*) FILTER (WHERE score >= 0.5) AS DOUBLE) / count(*) AS p, CAST(count(*) AS DOUBLE) AS n, CAST(1.96 AS DOUBLE) AS z FROM {scores} WHERE category IN ('general', 'character', 'copyright', 'artist') GROUP BY 1, 2) g"),
+    "udf_sql_table": oracle(f"SELECT e.tag, e.model_version_id, e.category, t.threshold AS official, coalesce(t.threshold, e.cutoff) AS applied, CASE WHEN t.tag IS NOT NULL THEN 'official' ELSE e.cutoff_source END AS source, (SELECT min(o.model_version_id) FROM {{thresholds}} o JOIN {{roles}} r ON r.model_version_id = o.model_version_id AND r.role = o.category WHERE o.category = e.category AND o.tag = e.tag AND o.model_version_id <> e.model_version_id AND e.yields) AS yields_to, CAST(CASE e.category " + " ".join(f"WHEN '{k[5:]}' THEN {v}" for k, v in PARAMS.items() if k.startswith("freq:") and k != "freq:default") + f" ELSE {PARAMS['freq:default']} END AS DOUBLE) AS freq, CASE WHEN e.category IN ({', '.join(repr(k[5:]) for k in PARAMS if k.startswith('freq:') and k != 'freq:default')}) THEN concat('freq:', e.category) ELSE 'freq:default' END AS freq_source, (SELECT count(*) FROM {{scores}} s WHERE s.model_version_id = e.model_version_id AND s.category = e.category AND s.tag = e.tag) AS scores, (SELECT count(*) FROM {{scores}} s WHERE s.model_version_id = e.model_version_id AND s.category = e.category AND s.tag = e.tag AND CAST(s.score AS DOUBLE) >= coalesce(t.threshold, e.cutoff)) AS reached FROM (SELECT * FROM {{cutoffs}}, (SELECT unnest(['red', 'ring', 'bolt', 'Supplier#1']) AS tag) v) e LEFT JOIN {{thresholds}} t ON t.model_version_id = e.model_version_id AND t.category = e.category AND t.tag = e.tag"),
     "udf_backend_protocol": f"WITH u AS ({_UNNESTED}) SELECT 'sum' AS backend, vec_id AS sample_id, 'score' AS output, round(sum(x) / 2, 6) AS score FROM u GROUP BY vec_id UNION ALL SELECT 'ends', vec_id, CASE i WHEN 1 THEN 'first' ELSE 'last' END, round(x, 6) FROM u WHERE i IN (1, 64)",
     "udf_op_registry": f"SELECT p_partkey, ({_NAMED})[a + 1] AS first, ({_NAMED})[b + 1] AS second, ({_STAGE})[a + 1] <= ({_STAGE})[b + 1] AS taken FROM (SELECT p_partkey, p_size % 4 AS a, p_partkey % 4 AS b FROM part)",
 }

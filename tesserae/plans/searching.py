@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.functions.scalars import digest
 from tesserae.operators import duplicates as u
 from tesserae.operators import search as s
 from tesserae.operators import suggest
@@ -80,11 +81,6 @@ def _trigram(x: Library):
     return _r(suggest.near_names(a.unionByName(x.part.select("p_type").toDF("name")), b), "sim")
 
 
-def _checked(vec: str):
-    """A sum over all elements, each with its place."""
-    return F.aggregate(F.zip_with(vec, F.sequence(F.lit(1), F.size(vec)), lambda v, i: v * i), F.lit(0.0), lambda a, y: a + y)
-
-
 QUERIES = {
     "sea_tags": _q(lambda x: s.tagged(effective(x), [["red"], ["ring", "bolt"]], "AND")),
     "sea_synonyms": _q(lambda x: s.synonyms(x.terms.union(x.terms.select(F.replace("term", F.lit("#"), F.lit(" ")), "search_only", "slug")).where("not search_only"))),
@@ -100,7 +96,7 @@ QUERIES = {
     "lim_visible_tags": _q(lambda x: s.visible_tags(effective(x))),
     "flt_rating_at_least": _q(lambda x: x.works.select("id").join(x.orders.select(F.col("o_orderkey").alias("id"), F.element_at(F.create_map(*[F.lit(v) for v in ("1", "explicit", "2", "questionable", "3", "sensitive", "4", "general", "5", "general")]), F.substring("o_orderpriority", 1, 1)).alias("name")), "id").join(s.rating_at_least(x.ratings, "questionable"), "name", "left_semi").select("id", "name")),
     "flt_text_substr": _q(lambda x: x.part.where(s.like_text("p_name", "RIN")).select("p_partkey", "p_name")),
-    "drv_vectors": _q(lambda x: _r(unit_vectors(x).select("work_id", "model_version_id", F.element_at("vec", 1).alias("first"), F.element_at("vec", -1).alias("last"), _checked("vec").alias("checked"), F.size("vec").cast("long").alias("dim")), "first", "last", "checked")),
+    "drv_vectors": _q(lambda x: _r(unit_vectors(x).select("work_id", "model_version_id", F.element_at("vec", 1).alias("first"), F.element_at("vec", -1).alias("last"), digest("vec").alias("checked"), F.size("vec").cast("long").alias("dim")), "first", "last", "checked")),
     "sea_similar": _q(_similar),
     "sea_similar_within": _q(_similar_within),
     "sea_hybrid": _q(_hybrid),
