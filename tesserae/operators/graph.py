@@ -40,16 +40,17 @@ def components(edges: DataFrame, write: Write, rounds: int = 64) -> DataFrame:
 
 
 def chain_ends(links: DataFrame, write: Write, rounds: int = 40) -> DataFrame:
-    """(source, target) of ``links`` (source, target), one target a source, followed to the end by doubling; a source on a cycle has no row."""
-    now = write(links.select("source", "target"))
-    ends = now.select("target").join(links.select(F.col("source").alias("target")), "target", "left_anti").distinct()
+    """(source, target, steps) of ``links`` (source, target), one target a source, followed to the end by doubling; a source that leads into a cycle has no row."""
+    now = write(links.select("source", "target", F.lit(1).cast("long").alias("steps")))
+    ends = write(links.select("target").join(links.select(F.col("source").alias("target")), "target", "left_anti").distinct())
     for _ in range(rounds):
-        on = now.join(ends, "target", "left_anti")
-        if on.isEmpty():
-            return now
-        step = now.select(F.col("source").alias("target"), F.col("target").alias("next"))
-        far = now.join(step, "target", "left").select("source", F.coalesce("next", "target").alias("target"))
-        if far.exceptAll(now).isEmpty():
+        open_ = now.join(ends, "target", "left_anti")
+        if open_.isEmpty():
             break
-        now = write(far)
-    return now.join(ends, "target", "left_semi").select("source", "target")
+        step = now.select(F.col("source").alias("target"), F.col("target").alias("next"), F.col("steps").alias("more"))
+        far = write(now.join(step, "target", "left").select("source", F.coalesce("next", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        reached = far.join(ends, "target", "left_semi")
+        if reached.count() == now.join(ends, "target", "left_semi").count():
+            break  # who is not at an end by now is on a cycle or leads into one
+        now = far
+    return now.join(ends, "target", "left_semi").select("source", "target", "steps")

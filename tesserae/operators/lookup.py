@@ -69,13 +69,6 @@ def display_names(concepts: DataFrame, terms: DataFrame, translations: DataFrame
     return concepts.join(first, "slug", "left").select("slug", F.coalesce("display_name", "t.display").alias("display"))
 
 
-def placed(unplaced: DataFrame, kind: str, concepts: DataFrame) -> DataFrame:
-    """(slug, kind, term): a concept and its spelling for each unplaced tag; the concept is new unless a slug of the kind equals the tag in any case."""
-    known = concepts.where(F.col("kind") == kind).groupBy(F.lower("slug").alias("key")).agg(F.min("slug").alias("known"))
-    rows = unplaced.select("tag", F.lower("tag").alias("key")).join(known, "key", "left")
-    return rows.select(F.coalesce("known", "tag").alias("slug"), F.lit(kind).alias("kind"), F.col("tag").alias("term"))
-
-
 def escaped(text: str) -> str:
     """A text as a LIKE pattern in which it stands for itself."""
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

@@ -9,8 +9,8 @@ from tesserae.operators import derive as d
 from tesserae.operators import duplicates as u
 from tesserae.operators import maintenance as m
 from tesserae.operators import vocabulary as v
-from tesserae.plans.derivation import _q, _r, effective, model_claims, tags
-from tesserae.plans.fixtures import Library, oracle
+from tesserae.plans.derivation import COMIC, SIGNAL, SQL as DERIVED, _q, _r, measured, model_claims, run, tags
+from tesserae.plans.fixtures import PARAMS, STEPS, Library, oracle
 from tesserae.sources.shared import store
 
 NEAR = 0.35
@@ -49,6 +49,31 @@ def _files(x: Library):
     return x.conversations.select(F.col("conv_id").alias("folder"), F.concat(F.lit("p"), F.col("turn").cast("string")).alias("name"), F.length("text").cast("long").alias("size"))
 
 
+def _unplaced(x: Library):
+    """Characters and series that no spelling names, and tags, whose concepts assert nothing."""
+    of = lambda category, kind: v.unplaced(tags(x), category, kind, x.spellings, x.translations, x.fields).withColumn("kind", F.lit(kind))
+    return of("character", "character").unionByName(of("copyright", "series")).unionByName(of("general", "tag"))
+
+
+def _displays(x: Library):
+    return x.translations.select(F.col("tag").alias("slug"), "display")
+
+
+def _asked(x: Library):
+    """Names as people write them, with the kind they want or none."""
+    name = F.explode(F.array("p_brand", F.upper("p_brand"), F.lower("p_type"), F.concat(F.lit("series-"), F.col("p_size") % 5)))
+    rows = x.part.select(name.alias("name")).distinct()
+    return rows.select("name", F.lit(None).cast("string").alias("wanted")).unionByName(rows.select("name", F.lit("character").alias("wanted")))
+
+
+def _merged(x: Library):
+    """Many merges at once: what each comes to, and the concepts, spellings and claims after them, as one table."""
+    plan = store(v.merge_plan(x.merges, x.curated, store))
+    concepts, terms, claims = v.merge(plan, x.curated, x.spellings, x.claims.withColumn("work_id", F.col("work_id") % 300).groupBy("work_id", "field", "value").agg(F.bool_or("negated").alias("negated")))
+    row = lambda df, name, a, b, c: df.select(F.lit(name).alias("kept"), *(F.expr(e).cast("string").alias(n) for n, e in zip("abc", (a, b, c))))
+    return row(plan, "plan", "source", "target", "refused").unionByName(row(concepts, "concept", "slug", "kind", "parent")).unionByName(row(terms, "term", "term", "slug", "search_only")).unionByName(row(claims, "claim", "concat(work_id, ' ', field)", "value", "negated"))
+
+
 QUERIES = {
     "dup_exact": _q(lambda x: u.exact(*_items(x))),
     "dup_near_pairs": _q(lambda x: u.pairs(vectors(x), NEAR).select("a", "b", F.round("score", 4).alias("score"))),
@@ -69,25 +94,47 @@ QUERIES = {
     "scr_drift": _q(lambda x: _r(m.drift(x.labels.select(F.col("doc_id").alias("item"), F.lit("q").alias("tag"), F.col("quality").cast("double").alias("score")), x.labels.select(F.col("doc_id").alias("item"), F.lit("q").alias("tag"), F.col("toxic").cast("double").alias("score"))), "drift")),
     "smp_zones": _q(lambda x: _zones(x).groupBy("work_id").agg(F.count("*").alias("picks"), F.min("pick").cast("long").alias("first"))),
     "mea_cg": _q(lambda x: _r(m.set_features(_files(x)), "sequential_ratio", "mean_gap", "avg_file_size")),
-    "voc_all_tags": _q(lambda x: v.all_tags(effective(x), x.hidden)),
-    "voc_unplaced": _q(lambda x: v.unplaced(tags(x), "character", x.terms)),
+    "voc_all_tags": _q(lambda x: v.all_tags(tags(x), x.translations, x.hidden)),
+    "voc_unplaced": _q(_unplaced),
+    "voc_place": _q(lambda x: v.place(tags(x), "copyright", "series", x.spellings, x.curated, x.claims)),
+    "voc_lookup": _q(lambda x: v.lookup(_asked(x).select(F.col("name").alias("asked")), x.spellings, x.curated, _displays(x))),
+    "voc_resolve": _q(lambda x: v.resolve_names(_asked(x), x.spellings, x.curated, _displays(x))),
     "voc_conflicts": _q(lambda x: v.conflicts(x.terms.union(x.terms.select("term", "search_only", F.concat(F.lit("also-"), "slug")).where("not search_only and term like '%1'")))),
     "voc_fold_claims": _q(lambda x: v.fold_claims(x.claims.withColumn("work_id", F.col("work_id") % 500), ["language", "artist"])),
     "voc_work_claims": _q(lambda x: v.work_claims(x.claims, model_claims(x))),
-    "voc_merge": _q(lambda x: v.merge(x.claims.select("work_id", "field", "value", "negated"), "Brand#11", "Brand#12")),
+    "voc_merge": _q(_merged),
     "voc_delete_guard": _q(lambda x: v.in_use(x.concepts, x.claims)),
     "voc_find_concept": _q(lambda x: v.find_concept(x.part.select(F.upper("p_brand").alias("name")).distinct().union(x.part.select("p_brand").distinct()), x.concepts, x.terms)),
     "join_recursive": _q(lambda x: v.ancestors_sql(x.kept("lineage", lambda: x.lineage))),
-    "rep_collections": _q(lambda x: x.works.groupBy("collection").agg(F.countDistinct("id").alias("works"))),
-    "rep_browse": _q(lambda x: m.browse(x.copies, "src1")),
-    "rep_overview": _q(lambda x: x.works.agg(F.count("*").alias("works")).crossJoin(x.samples.agg(F.count("*").alias("samples"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"))).crossJoin(x.claims.agg(F.count_if("negated").alias("negations")))),
+    "rep_collections": _q(lambda x: m.collection_counts(x.collections, x.places)),
+    "rep_browse": _q(lambda x: m.browse(x.files.select(F.split_part("path", F.lit("/"), F.lit(3)).alias("name")), x.places.where("present"), "/lib")),
+    "rep_overview": _q(lambda x: v.overview(tags(x), x.spellings, x.curated, x.fields, x.works.select(F.col("id").alias("work_id")), d.work_type(d.stats(run(x), x.samples), measured(x), tags(x), SIGNAL, COMIC, PARAMS), x.collections, x.places)),
 }
 
 _COS = "SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS score FROM embeddings x JOIN embeddings y ON x.vec_id {op} y.vec_id"
 _ROOTS = "SELECT DISTINCT root FROM (SELECT regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages UNION ALL SELECT regexp_extract(url, '^(https?://[^/]+/[^/?#]+)', 1) FROM pages) r WHERE root <> ''"
 _FILES = "SELECT conv_id AS folder, concat('p', turn) AS name, length(text) AS size, turn AS num FROM conversations"
 _PAGES = "SELECT l_suppkey, count(*) AS pages FROM lineitem GROUP BY 1"
+_OPEN = "lower(tag) NOT IN (SELECT lower(term) FROM {spellings})"
+_UNPLACED = "SELECT tag, category, count(DISTINCT work_id) AS works, (SELECT max(display) FROM {{translations}} e WHERE e.tag = t.tag) AS zh, (SELECT count(DISTINCT tag) FROM {{tags}} WHERE category = '{c}' AND {open}) AS total, (SELECT CASE WHEN '{k}' = 'tag' THEN 0 ELSE count(DISTINCT work_id) END FROM {{tags}} WHERE category = '{c}' AND {open}) AS total_works, '{k}' <> 'tag' AS asserts, '{k}' AS kind FROM {{tags}} t WHERE category = '{c}' AND {open} GROUP BY tag, category"
+_NAMES = "SELECT DISTINCT unnest([p_brand, upper(p_brand), lower(p_type), concat('series-', p_size % 5)]) AS name FROM part"
+STEPS |= {
+    "up": "SELECT slug, ancestor FROM (WITH RECURSIVE u AS (SELECT slug, parent AS ancestor FROM {curated} WHERE parent IS NOT NULL UNION SELECT u.slug, c.parent FROM u JOIN {curated} c ON c.slug = u.ancestor WHERE c.parent IS NOT NULL) SELECT * FROM u) t",
+    "links": "SELECT m.source, m.target, CASE WHEN a.kind IS NULL OR b.kind IS NULL THEN 'unknown' WHEN m.source = m.target THEN 'itself' WHEN a.kind <> b.kind THEN 'kind' WHEN EXISTS (SELECT 1 FROM {up} u WHERE u.slug = m.target AND u.ancestor = m.source) THEN 'below' END AS refused FROM {merges} m LEFT JOIN {curated} a ON a.slug = m.source LEFT JOIN {curated} b ON b.slug = m.target",
+    "ends": "SELECT source, target, steps FROM (WITH RECURSIVE w AS (SELECT source, target, 1 AS steps FROM {links} WHERE refused IS NULL UNION ALL SELECT w.source, l.target, w.steps + 1 FROM w JOIN {links} l ON l.source = w.target AND l.refused IS NULL WHERE w.steps < 30) SELECT * FROM w) t WHERE NOT EXISTS (SELECT 1 FROM {links} l WHERE l.source = t.target AND l.refused IS NULL)",
+    "mergers": "SELECT l.source, CASE WHEN l.refused IS NULL AND b.slug IS NULL THEN e.target END AS target, CASE WHEN l.refused IS NULL AND b.slug IS NULL THEN e.steps END AS steps, CASE WHEN l.refused IS NOT NULL THEN l.refused WHEN e.target IS NULL THEN 'cycle' WHEN b.slug IS NOT NULL THEN 'below' END AS refused FROM {links} l LEFT JOIN {ends} e ON e.source = l.source LEFT JOIN {up} b ON b.slug = e.target AND b.ancestor = l.source",
+    "said": "SELECT work_id % 300 AS work_id, field, value, bool_or(negated) AS negated FROM {claims} GROUP BY 1, 2, 3",
+}
 SQL = {
+    "voc_all_tags": oracle("SELECT tag, split_part(cats, ',', 1) AS category, cats AS categories, works, (SELECT max(display) FROM {translations} e WHERE e.tag = g.tag) AS zh, tag NOT IN (SELECT tag FROM {hidden}) AS visible FROM (SELECT tag, string_agg(category, ',' ORDER BY n DESC, category) AS cats, (SELECT count(DISTINCT work_id) FROM {tags} e WHERE e.tag = t.tag) AS works FROM (SELECT tag, category, count(DISTINCT work_id) AS n FROM {tags} GROUP BY 1, 2) t GROUP BY tag) g"),
+    "voc_unplaced": oracle(" UNION ALL ".join(_UNPLACED.format(c=c, k=k, open=_OPEN) for c, k in (("character", "character"), ("copyright", "series"), ("general", "tag")))),
+    "voc_place": oracle(f"SELECT coalesce((SELECT min(slug) FROM {{curated}} c WHERE c.kind = 'series' AND lower(c.slug) = lower(p.tag)), tag) AS slug, 'series' AS kind, tag AS term, (SELECT count(DISTINCT work_id) FROM (SELECT work_id, lower(tag) AS key FROM {{tags}} UNION ALL SELECT work_id, lower(value) FROM {{claims}} WHERE value IN (SELECT slug FROM {{curated}}) UNION ALL SELECT c.work_id, lower(s.term) FROM {{claims}} c JOIN {{spellings}} s ON s.slug = c.value) w WHERE w.key = lower(p.tag)) AS works FROM (SELECT DISTINCT tag FROM {{tags}} WHERE category = 'copyright' AND {_OPEN}) p"),
+    "voc_lookup": oracle(f"SELECT n.name AS asked, s.term, s.search_only, c.kind, c.slug, (SELECT max(display) FROM {{translations}} e WHERE e.tag = c.slug) AS display FROM ({_NAMES}) n JOIN {{spellings}} s ON lower(s.term) = lower(n.name) JOIN {{curated}} c ON c.slug = s.slug"),
+    "voc_resolve": oracle(f"SELECT name, wanted, kind, slug, (SELECT max(display) FROM {{translations}} e WHERE e.tag = r.slug) AS display FROM (SELECT n.name, n.wanted, c.kind, c.slug, min(CASE WHEN lower(c.slug) = lower(n.name) THEN 1 ELSE 2 END) AS how FROM (SELECT name, unnest([NULL, 'character']) AS wanted FROM ({_NAMES}) q) n JOIN {{curated}} c ON lower(c.slug) = lower(n.name) OR EXISTS (SELECT 1 FROM {{spellings}} s WHERE s.slug = c.slug AND lower(s.term) = lower(n.name)) WHERE n.wanted IS NULL OR c.kind = n.wanted GROUP BY 1, 2, 3, 4) r QUALIFY row_number() OVER (PARTITION BY name, wanted ORDER BY how, kind, slug) = 1"),
+    "voc_merge": oracle("SELECT 'plan' AS kept, source AS a, target AS b, refused AS c FROM {mergers} UNION ALL SELECT DISTINCT 'concept', c.slug, c.kind, coalesce(p.target, c.parent) FROM {curated} c LEFT JOIN {mergers} p ON p.source = c.parent AND p.refused IS NULL WHERE c.slug NOT IN (SELECT source FROM {mergers} WHERE refused IS NULL) UNION ALL SELECT 'term', term, slug, CAST(search_only AS VARCHAR) FROM (SELECT * FROM (SELECT s.term, s.search_only, coalesce(t.target, s.slug) AS slug, s.slug AS old, coalesce(t.steps, 0) AS far FROM {spellings} s LEFT JOIN {mergers} t ON t.source = s.slug AND t.refused IS NULL UNION ALL SELECT source, TRUE, target, source, 1000000 + steps FROM {mergers} WHERE refused IS NULL) u QUALIFY row_number() OVER (PARTITION BY slug, lower(term) ORDER BY far, old, search_only, term) = 1) v UNION ALL SELECT 'claim', concat(work_id, ' ', field), value, CAST(negated AS VARCHAR) FROM (SELECT c.work_id, c.field, coalesce(t.target, c.value) AS value, c.negated FROM {said} c LEFT JOIN {mergers} t ON t.source = c.value AND t.refused IS NULL QUALIFY row_number() OVER (PARTITION BY c.work_id, c.field, coalesce(t.target, c.value) ORDER BY coalesce(t.steps, 0), c.value) = 1) w"),
+    "rep_collections": oracle("SELECT c.name, c.root, (SELECT count(DISTINCT work_id) FROM {places} p WHERE p.present AND p.collection = c.name) AS works, c.searchable, c.ordinal, c.searchable AS default FROM {collections} c"),
+    "rep_browse": oracle("SELECT n.name, (SELECT work_id FROM {places} p WHERE p.present AND p.path = concat('/lib/', n.name) ORDER BY copy DESC, work_id DESC LIMIT 1) AS work, (SELECT collection FROM {places} p WHERE p.present AND p.path = concat('/lib/', n.name) ORDER BY copy DESC, work_id DESC LIMIT 1) AS collection, (SELECT copy FROM {places} p WHERE p.present AND p.path = concat('/lib/', n.name) ORDER BY copy DESC, work_id DESC LIMIT 1) AS copy, (SELECT count(*) FROM {places} p WHERE p.present AND starts_with(p.path, concat('/lib/', n.name, '/'))) AS holds FROM (SELECT DISTINCT split_part(path, '/', 3) AS name FROM {files}) n"),
+    "rep_overview": oracle(f"SELECT (SELECT count(*) FROM (SELECT 1 FROM {{spellings}} WHERE NOT search_only GROUP BY lower(term) HAVING count(DISTINCT slug) > 1) x) AS conflicts, (SELECT count(*) FROM {{curated}} WHERE kind = 'character' AND parent IS NULL) AS characters_without_series, (SELECT count(*) FROM {{works}} WHERE id NOT IN (SELECT work_id FROM ({DERIVED['drv_work_type']}) t WHERE value IS NOT NULL)) AS untyped_works, (SELECT count(*) FROM {{collections}} c WHERE searchable AND NOT EXISTS (SELECT 1 FROM {{places}} p WHERE p.present AND p.collection = c.name)) AS empty_collections, u.a AS unplaced_characters, u.b AS unplaced_series, u.a + u.b AS unplaced FROM (SELECT count(DISTINCT tag) FILTER (WHERE category = 'character') AS a, count(DISTINCT tag) FILTER (WHERE category = 'copyright') AS b FROM {{tags}} WHERE {_OPEN}) u"),
     "dup_exact": oracle("SELECT i.doc_id AS item, w.doc_id AS work FROM {copies} i JOIN {copies} w ON w.content_key = i.content_key WHERE i.doc_id % 10 = 3 AND w.doc_id % 10 <> 3"),
     "dup_near_pairs": f"SELECT a, b, round(score, 4) AS score FROM ({_COS.format(op='<')}) t WHERE score >= {NEAR}",
     "dup_knn": f"SELECT item, work, k, CASE WHEN max(score) OVER (PARTITION BY item) >= {NEAR} THEN 'near' ELSE 'new' END AS verdict FROM (SELECT a AS item, b AS work, score, CAST(row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) AS INT) AS k FROM ({_COS.format(op='<>')}) t WHERE a % 5 = 4 AND b % 5 <> 4) q WHERE k <= 3",
@@ -105,18 +152,12 @@ SQL = {
     "topk_per_group": oracle("SELECT sample_id, model_version_id, category, tag, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, model_version_id, category ORDER BY score DESC, tag) AS k FROM {scores}) t WHERE (k <= 1 AND score >= 0.5) OR tag IN (SELECT tag FROM {thresholds}) OR category = 'rating'"),
     "scr_drift": "SELECT count(DISTINCT doc_id) AS items, count(*) FILTER (WHERE quality > 0.35 OR toxic > 0.35) AS over, count(*) FILTER (WHERE (quality > 0.35) <> (toxic > 0.35)) AS differ, round(CAST(count(*) FILTER (WHERE (quality > 0.35) <> (toxic > 0.35)) AS DOUBLE) / count(*) FILTER (WHERE quality > 0.35 OR toxic > 0.35), 6) AS drift FROM labels",
     "mea_cg": f"SELECT folder, count(*) AS n_images, 1.0::DOUBLE AS sequential_ratio, round(avg(gap), 6) AS mean_gap, max(gap) AS max_gap, round(avg(size), 6) AS avg_file_size FROM (SELECT *, num - lag(num) OVER (PARTITION BY folder ORDER BY num, name) AS gap FROM ({_FILES}) f) t GROUP BY 1",
-    "voc_all_tags": oracle("SELECT tag, string_agg(category, ',' ORDER BY n DESC, category) AS categories, (SELECT count(DISTINCT work_id) FROM {effective} e WHERE e.tag = t.tag) AS works, tag NOT IN (SELECT tag FROM {hidden}) AS visible FROM (SELECT tag, category, count(DISTINCT work_id) AS n FROM {effective} GROUP BY 1, 2) t GROUP BY tag"),
-    "voc_unplaced": oracle("SELECT tag, count(DISTINCT work_id) AS works FROM {tags} WHERE category = 'character' AND lower(tag) NOT IN (SELECT lower(term) FROM {terms} WHERE NOT search_only) GROUP BY 1"),
     "voc_conflicts": oracle("SELECT lower(term) AS term, count(DISTINCT slug) AS concepts, string_agg(DISTINCT slug, ',' ORDER BY slug) AS slugs FROM (SELECT term, slug FROM {terms} WHERE NOT search_only UNION ALL SELECT term, concat('also-', slug) FROM {terms} WHERE NOT search_only AND term LIKE '%1') t GROUP BY 1 HAVING count(DISTINCT slug) > 1"),
     "voc_fold_claims": oracle("SELECT work_id, field, value, negated FROM (SELECT *, max(CASE WHEN NOT negated THEN {'at': created_at, 'id': id} END) OVER (PARTITION BY work_id, field) AS last FROM (SELECT id, work_id % 500 AS work_id, field, value, negated, created_at FROM {claims}) c) e QUALIFY row_number() OVER (PARTITION BY work_id, field, value ORDER BY created_at DESC, id DESC) = 1 AND (negated OR field NOT IN ('language', 'artist') OR (created_at = last.at AND id = last.id))"),
     "voc_work_claims": oracle("SELECT *, (model OR added) AND NOT denied AS result FROM (SELECT work_id, field, value, bool_or(m) AS model, bool_or(a) AS added, bool_or(n) AS denied FROM (SELECT work_id, field, value, FALSE AS m, NOT negated AS a, negated AS n FROM {claims} UNION ALL SELECT work_id, field, value, TRUE, FALSE, FALSE FROM {named}) t GROUP BY 1, 2, 3) u"),
-    "voc_merge": oracle("SELECT work_id, field, CASE WHEN value = 'Brand#11' THEN 'Brand#12' ELSE value END AS value, negated FROM {claims} c WHERE value <> 'Brand#11' OR NOT EXISTS (SELECT 1 FROM {claims} t WHERE t.value = 'Brand#12' AND t.work_id = c.work_id AND t.field = c.field)"),
     "voc_delete_guard": oracle("SELECT slug, claims, children FROM (SELECT c.slug, (SELECT count(*) FROM {claims} x WHERE x.value = c.slug) AS claims, (SELECT count(*) FROM {concepts} k WHERE k.parent = c.slug) AS children FROM {concepts} c) t WHERE claims > 0 OR children > 0"),
     "voc_find_concept": oracle("SELECT name, slug, how FROM (SELECT n.name, k.slug, k.how FROM (SELECT DISTINCT upper(p_brand) AS name FROM part UNION ALL SELECT DISTINCT p_brand FROM part) n JOIN (SELECT slug, slug AS key, 1 AS how FROM {concepts} UNION ALL SELECT slug, lower(slug), 2 FROM {concepts} UNION ALL SELECT slug, lower(term), 3 FROM {terms}) k ON (k.how = 1 AND k.key = n.name) OR (k.how > 1 AND k.key = lower(n.name))) t QUALIFY row_number() OVER (PARTITION BY name ORDER BY how, slug) = 1"),
     "join_recursive": oracle("SELECT slug, ancestor, CAST(min(depth) AS INT) AS depth FROM (WITH RECURSIVE above AS (SELECT slug, parent AS ancestor, 1 AS depth, [parent] AS path FROM {lineage} WHERE parent IS NOT NULL UNION ALL SELECT a.slug, e.parent, a.depth + 1, list_append(a.path, e.parent) FROM above a JOIN {lineage} e ON e.slug = a.ancestor WHERE e.parent IS NOT NULL AND NOT list_contains(a.path, e.parent)) SELECT * FROM above) t GROUP BY 1, 2"),
-    "rep_collections": oracle("SELECT collection, count(DISTINCT id) AS works FROM {works} GROUP BY 1"),
-    "rep_browse": oracle("SELECT split_part(substring(path, 6), '/', 1) AS child, count(*) AS places FROM {copies} WHERE starts_with(path, 'src1/') GROUP BY 1"),
-    "rep_overview": oracle("SELECT (SELECT count(*) FROM {works}) AS works, (SELECT count(*) FROM {samples}) AS samples, (SELECT count(*) FROM {samples} WHERE skip_reason IS NOT NULL) AS skipped, (SELECT count(*) FROM {claims} WHERE negated) AS negations"),
 }
 
 _PAIRS = f"SELECT a, b, score, row_number() OVER (ORDER BY score DESC, a DESC, b DESC) AS k FROM (SELECT a, b, round(score, 9) AS score FROM ({_COS.format(op='<')})) t WHERE score >= 0.25"

@@ -36,6 +36,15 @@ FIXTURES = {
     "copies": "SELECT doc_id, sha1(text) AS content_key, concat(source, '/', lang, '/', CAST(doc_id AS STRING)) AS path FROM {documents}",
     "measurements": "SELECT l_orderkey AS work_id, year(l_shipdate) AS run_id, l_orderkey * 10 + l_linenumber AS sample_id, 'color_ratio' AS kind, CAST(l_tax AS STRING) AS value FROM {lineitem} UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'page_census', concat('{\"files\": ', CAST(count(*) AS STRING), '}') FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'duration_s', CAST(max(l_extendedprice) AS STRING) FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT l_orderkey, year(l_shipdate), NULL, 'cg_features', concat('{\"n_images\": ', CAST(CAST(sum(l_quantity) AS INT) AS STRING), ', \"sequential_ratio\": ', CAST(CAST(1 - max(l_discount) * 3 AS DECIMAL(6, 2)) AS STRING), ', \"aspect_std\": ', CAST(CAST(max(l_tax) * 1.5 AS DECIMAL(6, 3)) AS STRING), ', \"avg_file_size\": ', CAST(CAST(floor(max(l_extendedprice) * 8) AS INT) AS STRING), '}') FROM {lineitem} GROUP BY l_orderkey, year(l_shipdate) UNION ALL SELECT DISTINCT l_orderkey, year(l_shipdate), CAST(NULL AS BIGINT), 'video_probe', '{\"streams\": 1}' FROM {lineitem} WHERE l_orderkey % 3 = 0",
     "concepts": "SELECT DISTINCT p_brand AS slug, 'character' AS kind, concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)) AS parent FROM {part} UNION ALL SELECT concat('series-', CAST(n AS STRING)), 'series', NULL FROM (SELECT DISTINCT CAST(substring(p_brand, 7) AS INT) % 5 AS n FROM {part}) s",
+    "files": "SELECT concat(folder, '/', name) AS path, folder FROM (SELECT concat('/lib/', coalesce(source, 'none'), CASE WHEN source LIKE '%1' THEN '' WHEN doc_id % 7 = 1 THEN '/.hidden' WHEN doc_id % 7 = 2 THEN '/a/b/c/d/e' WHEN doc_id % 7 = 3 THEN concat('/', coalesce(lang, 'none'), '/extra') WHEN doc_id % 7 = 4 THEN concat('/', coalesce(lang, 'none'), '/extra/deep') ELSE concat('/', coalesce(lang, 'none')) END) AS folder, concat('p', CAST(doc_id AS STRING), CASE doc_id % 5 WHEN 0 THEN '.JPG' WHEN 1 THEN '.bmp' WHEN 2 THEN '.png' WHEN 3 THEN '.txt' ELSE '.jpeg' END) AS name FROM {documents}) d",
+    "images": "SELECT path, folder FROM {files} WHERE lower(path) LIKE '%.jpg' OR lower(path) LIKE '%.bmp' OR lower(path) LIKE '%.png' OR lower(path) LIKE '%.jpeg'",
+    "fields": "SELECT * FROM (VALUES ('artist',FALSE,TRUE),('character',TRUE,TRUE),('series',FALSE,TRUE),('tag',TRUE,FALSE),('language',FALSE,FALSE)) AS t(field, multi, model_mappable)",
+    "translations": "SELECT DISTINCT p_brand AS tag, concat('the ', lower(p_brand)) AS display FROM {part} WHERE p_brand LIKE '%2' UNION SELECT DISTINCT split_part(p_name, ' ', 1), concat('all ', split_part(p_name, ' ', 1)) FROM {part}",
+    "spellings": "SELECT term, search_only, slug FROM {terms} WHERE slug NOT IN ('Brand#6', 'Brand#7', 'Brand#14') UNION ALL SELECT term, search_only, concat('also-', slug) FROM {terms} WHERE NOT search_only AND term LIKE '%1' UNION ALL SELECT DISTINCT lower(p_type), p_size < 25, 'series-1' FROM {part} WHERE p_type LIKE '%O%' AND p_size IN (5, 30)",
+    "curated": "SELECT slug, kind, CASE WHEN slug LIKE '%3' THEN NULL ELSE parent END AS parent FROM {concepts} UNION ALL SELECT 'series-9', 'series', 'series-1' FROM (SELECT min(p_partkey) FROM {part}) p UNION ALL SELECT DISTINCT p_type, 'series', NULL FROM {part} WHERE p_type LIKE 'S%'",
+    "collections": "SELECT source AS name, concat('/lib/', source) AS root, source NOT LIKE '%3' AS searchable, length(source) AS ordinal FROM (SELECT DISTINCT source FROM {documents} WHERE source IS NOT NULL) s UNION ALL SELECT 'empty', '/lib/empty', TRUE, 99 FROM (SELECT min(doc_id) FROM {documents}) e",
+    "places": "SELECT concat('/lib/', source, '/', lang, '/', CAST(doc_id AS STRING)) AS path, doc_id AS work_id, source AS collection, doc_id % 3 <> 0 AND source <> 'src5' AS present, FALSE AS copy FROM {documents} WHERE doc_id % 2 = 0 AND source <> 'src7' UNION ALL SELECT concat('/lib/', source), max(doc_id), source, TRUE, source LIKE '%2' FROM {documents} WHERE source LIKE '%1' OR source LIKE '%2' OR source LIKE '%9' GROUP BY source UNION ALL SELECT concat('/lib/', source), min(doc_id), 'other', TRUE, TRUE FROM {documents} WHERE source LIKE '%9' GROUP BY source",
+    "merges": "SELECT * FROM (VALUES ('Brand#11','Brand#12'),('Brand#12','Brand#13'),('Brand#21','Brand#13'),('Brand#14','Brand#11'),('series-1','Brand#12'),('series-0','series-0'),('Brand#22','Brand#23'),('Brand#23','Brand#24'),('Brand#24','Brand#23'),('Brand#25','nobody'),('series-1b','series-2'),('series-4','series-9'),('series-9','series-4')) AS t(source, target)",
     "lineage": "SELECT DISTINCT p_brand AS slug, concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)) AS parent FROM {part} UNION SELECT DISTINCT p_brand, concat('line-', CAST(p_size % 2 AS STRING)) FROM {part} UNION SELECT concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)), concat('house-', CAST(CAST(substring(p_brand, 7) AS INT) % 2 AS STRING)) FROM {part} UNION SELECT concat('line-', CAST(p_size % 2 AS STRING)), concat('house-', CAST(p_size % 2 AS STRING)) FROM {part} UNION SELECT concat('house-', CAST(p_size % 2 AS STRING)), 'group' FROM {part} UNION SELECT 'group', 'owner' FROM {part} UNION SELECT 'owner', 'group' FROM {part} UNION SELECT 'owner', NULL FROM {part}",
     "terms": "SELECT DISTINCT lower(p_brand) AS term, CAST(substring(p_brand, 7) AS INT) % 4 = 0 AS search_only, p_brand AS slug FROM {part}",
 }

@@ -246,7 +246,6 @@ QUERIES = {
     "dup_group_live": _q(_live),
     "idn_copy": _q(_copies),
     "fn_display_name": _q(_names),
-    "voc_place": _q(lambda x: k.placed(v.unplaced(tags(x), "copyright", x.terms), "copyright", x.concepts)),
     "flt_works_page": _q(lambda x: k.works_page(x.works, x.claims, "k:1", "artist", 50, 10)),
     "flt_overlay_field": _q(lambda x: x.works.select(F.col("id").alias("work_id"), "collection").join(ranked(x).where("field = 'character' and value in ('Brand#11', 'Brand#23')"), "work_id", "left_semi")),
     "flt_has_copies": _q(lambda x: x.owned.where("doc_id <> work").select("work").union(_near(x).select("a")).distinct()),
@@ -308,7 +307,6 @@ SQL = {
     "dup_group_live": oracle(f"SELECT a, b, score FROM {_PAIRS} p WHERE a IN (SELECT doc_id FROM {{copies}} WHERE doc_id % 3 <> 0) AND b IN (SELECT doc_id FROM {{copies}} WHERE doc_id % 3 <> 0)"),
     "idn_copy": oracle("SELECT f.path, min(l.doc_id) AS work FROM {copies} f JOIN {copies} l ON l.content_key = f.content_key AND l.doc_id % 2 = 0 WHERE f.doc_id % 2 = 1 GROUP BY 1"),
     "fn_display_name": oracle("SELECT slug, CASE WHEN slug LIKE '%1' THEN concat('own ', slug) WHEN slug NOT LIKE 'Brand%' THEN NULL WHEN slug LIKE '%2' THEN concat('slug ', slug) WHEN slug NOT LIKE '%5' AND slug IN (SELECT slug FROM {terms} WHERE NOT search_only) THEN concat('term ', slug) END AS display FROM {concepts}"),
-    "voc_place": oracle("SELECT DISTINCT tag AS slug, 'copyright' AS kind, tag AS term FROM {tags} WHERE category = 'copyright' AND lower(tag) NOT IN (SELECT lower(term) FROM {terms} WHERE NOT search_only)"),
     "flt_works_page": oracle("SELECT w.id AS work_id, w.content_key, count(*) FILTER (WHERE NOT c.negated) AS claims, count(*) FILTER (WHERE c.negated) AS denials FROM (SELECT id, content_key FROM {works} WHERE contains(content_key, 'k:1') AND id NOT IN (SELECT work_id FROM {claims} WHERE NOT negated AND field = 'artist') ORDER BY id DESC LIMIT 50 OFFSET 10) w LEFT JOIN {claims} c ON c.work_id = w.id GROUP BY 1, 2"),
     "flt_overlay_field": oracle("SELECT id AS work_id, collection FROM {works} WHERE id IN (SELECT work_id FROM {ranked} WHERE field = 'character' AND value IN ('Brand#11', 'Brand#23'))"),
     "flt_has_copies": oracle(f"SELECT work FROM {{owned}} WHERE doc_id <> work UNION SELECT a FROM {_PAIRS} p"),

@@ -18,18 +18,18 @@ from tesserae.sources.shared import folder
 
 
 def _listed(x: Library) -> DataFrame:
-    """Files written from the documents, a folder for each source and language, listed again: the folders that hold some."""
+    """Files of documents in the order of a work's pages; and, of files that are written and listed again, the folders that hold some."""
     at = folder(x.spark, "listed")
     x.documents.select(F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"), F.col("doc_id").cast("string").alias("value")).write.partitionBy("source", "lang").text(at)
-    rows = f.listing(x.spark, at, "*.txt").where("size > 0")
-    return rows.select(F.regexp_extract("folder", "source=([^/]*)", 1).alias("source"), F.regexp_extract("folder", "lang=([^/]*)", 1).alias("lang")).distinct()
+    held = f.listing(x.spark, at, ("TXT",)).where("size > 0").select("folder").distinct().select(F.regexp_extract("folder", "(source=[^/]*/lang=[^/]*)$", 1).alias("work"), F.lit(None).cast("string").alias("path"), F.lit(0).alias("place"))
+    files = f.images(x.files)
+    return f.pages_of(files, f.works(files, "/lib")).unionByName(held)
 
 
 def _found(x: Library) -> DataFrame:
-    """Works among the folders of documents: a source's own folder for some, its languages' for others, a hidden one and a deep one."""
-    path = F.concat(F.lit("/lib/"), F.coalesce("source", F.lit("none")), F.when(F.col("doc_id") % 50 == 0, "").when(F.col("doc_id") % 7 == 1, "/.hidden").when(F.col("doc_id") % 7 == 2, "/a/b/c/d/e").otherwise(F.concat(F.lit("/"), F.coalesce("lang", F.lit("none")))))
-    own = x.documents.where("doc_id % 50 <> 0 or source like '%1%'")
-    return f.works(own.select(path.alias("folder")), "/lib", 5)
+    """Works among the folders of documents: one source's own folder, the languages' folders of others, none that is hidden or too deep; and the library itself, if it holds images."""
+    some = f.works(f.images(x.files), "/lib", 3).withColumn("below", F.lit("/lib"))
+    return some.unionByName(f.works(x.files, "/lib/src1", 2).withColumn("below", F.lit("/lib/src1")))
 
 
 def _written(x: Library) -> str:
@@ -227,7 +227,9 @@ QUERIES = {
 }
 
 
-_PATH = "'/lib/' || coalesce(source, 'none') || CASE WHEN doc_id % 50 = 0 THEN '' WHEN doc_id % 7 = 1 THEN '/.hidden' WHEN doc_id % 7 = 2 THEN '/a/b/c/d/e' ELSE '/' || coalesce(lang, 'none') END"
+#: The rule of the walk: a folder that holds files is a work unless one above it is, hidden and deep ones are not entered.
+_WORKS = """SELECT folder, CAST(depth AS INT) AS depth FROM (SELECT DISTINCT folder, length(folder) - length(replace(folder, '/', '')) - (length('{root}') - length(replace('{root}', '/', ''))) AS depth FROM {files} WHERE folder = '{root}' OR starts_with(folder, '{root}/')) c
+  WHERE depth <= {deep} AND NOT contains(substring(folder, length('{root}') + 1), '/.') AND NOT EXISTS (SELECT 1 FROM {files} u WHERE u.folder <> c.folder AND starts_with(c.folder, u.folder || '/') AND (u.folder = '{root}' OR starts_with(u.folder, '{root}/')) AND NOT contains(substring(u.folder, length('{root}') + 1), '/.'))"""
 _STEPS = {name: stage for name, (stage, _) in sorted(sc.STEPS.items())}
 _NAMED = "[" + ", ".join(f"'{n}'" for n in _STEPS) + "]"
 _STAGE = "[" + ", ".join(str(v) for v in _STEPS.values()) + "]"
@@ -235,8 +237,8 @@ _BAR = "SELECT q.model_version_id, q.category, q.tag, coalesce(t.threshold, k.cu
 _UNNESTED = "SELECT vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"
 
 SQL = {
-    "src_listing": "SELECT DISTINCT coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang FROM documents",
-    "src_find_works": f"WITH f AS (SELECT DISTINCT {_PATH} AS folder FROM documents WHERE doc_id % 50 <> 0 OR source LIKE '%1%'), ok AS (SELECT folder, length(folder) - length(replace(folder, '/', '')) - 1 AS depth FROM f WHERE NOT contains(folder, '/.')), cut AS (SELECT * FROM ok WHERE depth BETWEEN 1 AND 5) SELECT folder, CAST(depth AS INT) AS depth FROM cut a WHERE NOT EXISTS (SELECT 1 FROM cut b WHERE starts_with(a.folder, b.folder || '/'))",
+    "src_listing": oracle(f"SELECT work, path, CAST(row_number() OVER (PARTITION BY work ORDER BY first, second NULLS FIRST, path) AS INT) AS place FROM (SELECT folder AS work, path, regexp_extract(path, '([^/]*)$', 1) AS first, NULL AS second FROM {{images}} UNION ALL SELECT regexp_replace(folder, '/[^/]*$', ''), path, regexp_extract(folder, '([^/]*)$', 1), regexp_extract(path, '([^/]*)$', 1) FROM {{images}}) p WHERE work IN (SELECT folder FROM ({_WORKS.format(files='{images}', root='/lib', deep=5)}) w) UNION ALL SELECT DISTINCT concat('source=', coalesce(source, 'none'), '/lang=', coalesce(lang, 'none')), NULL, 0 FROM documents"),
+    "src_find_works": oracle(f"SELECT folder, depth, '/lib' AS below FROM ({_WORKS.format(files='{images}', root='/lib', deep=3)}) a UNION ALL SELECT folder, depth, '/lib/src1' FROM ({_WORKS.format(files='{files}', root='/lib/src1', deep=2)}) b"),
     "src_vocab_csv": "SELECT p_name AS tag, p_type AS category, count(*) AS n FROM part GROUP BY 1, 2",
     "src_vocab_json": 'SELECT CAST(min(p_partkey) AS INT) AS "index", p_name AS tag, min(p_type) AS category FROM part GROUP BY p_name',
     "src_vocab_map": "SELECT CASE p_brand WHEN 'Brand#1' THEN 'general' ELSE 'character' END AS category, count(*) AS tags, count(DISTINCT p_name) AS names, FALSE AS wild FROM part WHERE p_brand IN ('Brand#1', 'Brand#2') GROUP BY 1 UNION ALL SELECT CASE p_brand WHEN 'Brand#1' THEN 'general' ELSE 'other' END, count(*), count(DISTINCT p_name), TRUE FROM part GROUP BY 1",

@@ -3,22 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def listing(spark: SparkSession, root: str, extensions: str = "*.{png,jpg,jpeg,webp}") -> DataFrame:
-    """(path, folder, size) of the files below a folder; contents are not read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", extensions).load(root)
+#: Extensions of images.
+IMAGES = ("jpg", "jpeg", "png", "webp", "bmp")
+
+
+def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = IMAGES) -> DataFrame:
+    """(path, folder, size) of the files below a folder, by extensions in any case; contents are not read."""
+    every = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", every).load(root)
     return rows.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.col("length").alias("size"))
 
 
+def below(path: Column, root: str) -> Column:
+    """What of a path follows ``root`` and a slash; empty for the root itself, null outside of it."""
+    base = root.rstrip("/")
+    return F.when(path == F.lit(base), "").when(F.startswith(path, F.lit(base + "/")), F.substring(path, len(base) + 2, 1 << 30))
+
+
+def images(files: DataFrame, extensions: tuple[str, ...] = IMAGES) -> DataFrame:
+    """The files (path, folder) with one of the extensions, in any case."""
+    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
+
+
+def pages_of(files: DataFrame, works: DataFrame) -> DataFrame:
+    """(work, path, place) of the files (path, folder) of each work (folder): those in its folder and in one level of folders below it.
+
+    They stand in order of names, where a folder's files stand at the folder's name; ``place`` counts from 1.
+    """
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    above = F.regexp_replace("folder", "/[^/]*$", "")
+    own = files.select(F.col("folder").alias("work"), "path", name.alias("first"), F.lit(None).cast("string").alias("second"))
+    inner = files.select(above.alias("work"), "path", F.regexp_extract("folder", "([^/]*)$", 1).alias("first"), name.alias("second"))
+    rows = own.unionByName(inner).join(works.select(F.col("folder").alias("work")).distinct(), "work", "left_semi")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("work").orderBy("first", F.asc_nulls_first("second"), "path"))).select("work", "path", "place")
+
+
 def works(files: DataFrame, root: str, max_depth: int = 5) -> DataFrame:
-    """Folders that hold files themselves, within a depth, not hidden, and with no such folder above them."""
-    below: Column = F.regexp_replace(F.col("folder"), F.lit(f"^{root.rstrip('/')}"), F.lit(""))
-    rows = files.select("folder", below.alias("below")).distinct().where(~F.col("below").rlike("/\\.")).withColumn("depth", F.size(F.split("below", "/")) - 1).where(F.col("depth").between(1, max_depth))
-    parents = rows.select("folder", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("k"), "below").where("k >= 1 and k < size(split(below, '/')) - 1")
-    above = parents.select("folder", F.array_join(F.slice(F.split("below", "/"), 1, F.col("k") + 1), "/").alias("below"))
+    """(folder, depth) of the folders that hold files themselves: not deeper than ``max_depth`` below ``root``, which has depth 0 and may be one, not hidden nor in a hidden one, and with no such folder above them."""
+    at = below(F.col("folder"), root)
+    parts = F.when(F.col("below") == "", F.array().cast("array<string>")).otherwise(F.split("below", "/"))
+    rows = files.select("folder", at.alias("below")).distinct().where("below is not null").withColumn("parts", parts).withColumn("depth", F.size("parts"))
+    rows = rows.where((F.col("depth") <= max_depth) & ~F.exists("parts", lambda p: F.startswith(p, F.lit("."))))
+    above = rows.where("depth > 0").select("folder", F.explode(F.transform(F.sequence(F.lit(0), F.col("depth") - 1), lambda k: F.array_join(F.slice("parts", 1, k), "/"))).alias("below"))
     nested = above.join(rows.select("below"), "below", "left_semi").select("folder").distinct()
     return rows.join(nested, "folder", "left_anti").select("folder", "depth")
 

@@ -122,4 +122,5 @@ def test_components(spark):
 def test_chain_ends(spark):
     links = [(k, k + 1) for k in range(1, 70)] + [(200, 30), (300, 301), (301, 302), (302, 300), (400, 300), (500, 501)]
     got = {tuple(r) for r in graph.chain_ends(spark.createDataFrame(links, "source long, target long"), store).collect()}
-    assert got == {(k, 70) for k in range(1, 70)} | {(200, 70), (500, 501)}
+    assert got == {(k, 70, 70 - k) for k in range(1, 70)} | {(200, 70, 41), (500, 501, 1)}
+    assert graph.chain_ends(spark.createDataFrame([], "source long, target long"), store).count() == 0
