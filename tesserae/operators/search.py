@@ -204,6 +204,20 @@ def similar(vectors: DataFrame, reference: DataFrame, exclude_self: bool = True,
     return rows.select("query_id", "work_id", cosine(F.col("vec"), F.col("q")).alias("score")).where("score is not null")
 
 
+def numbered(rows: DataFrame, order: list[str], write) -> DataFrame:
+    """``rows`` with their ``place`` in the whole order, from 1, without one task for all.
+
+    Rows are dealt out by ranges of the order, numbered in their range, and moved on by the size of the ranges before: a
+    number for each range is all that meets in one place.
+    """
+    ranged = write(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    size = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    start = size.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    return own.join(F.broadcast(start), "_p").withColumn("place", (F.col("_start") + F.col("_k")).cast("int")).drop("_p", "_k", "_start")
+
+
 def top_k(scored: DataFrame, by: str, k: int, score: str = "score", tie: str = "work_id") -> DataFrame:
     return scored.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), tie))).where(F.col("k") <= k)
 

@@ -46,7 +46,7 @@ def _zones(x: Library):
 
 
 def _files(x: Library):
-    return x.conversations.select(F.col("conv_id").alias("folder"), F.concat(F.lit("p"), F.col("turn").cast("string")).alias("name"), F.length("text").cast("long").alias("size"))
+    return x.conversations.select(F.col("conv_id").alias("folder"), F.concat(F.lit("p"), F.col("turn").cast("string"), F.when(F.col("turn") % 4 == 3, "x").otherwise("")).alias("name"), F.length("text").cast("long").alias("size"))
 
 
 def _unplaced(x: Library):
@@ -113,7 +113,7 @@ QUERIES = {
 
 _COS = "SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS score FROM embeddings x JOIN embeddings y ON x.vec_id {op} y.vec_id"
 _ROOTS = "SELECT DISTINCT root FROM (SELECT regexp_extract(url, '^(https?://[^/]+)', 1) AS root FROM pages UNION ALL SELECT regexp_extract(url, '^(https?://[^/]+/[^/?#]+)', 1) FROM pages) r WHERE root <> ''"
-_FILES = "SELECT conv_id AS folder, concat('p', turn) AS name, length(text) AS size, turn AS num FROM conversations"
+_FILES = "SELECT conv_id AS folder, concat('p', turn, CASE WHEN turn % 4 = 3 THEN 'x' ELSE '' END) AS name, length(text) AS size, CASE WHEN turn % 4 <> 3 THEN turn END AS num FROM conversations"
 _PAGES = "SELECT l_suppkey, count(*) AS pages FROM lineitem GROUP BY 1"
 _OPEN = "lower(tag) NOT IN (SELECT lower(term) FROM {spellings})"
 _UNPLACED = "SELECT tag, category, count(DISTINCT work_id) AS works, (SELECT max(display) FROM {{translations}} e WHERE e.tag = t.tag) AS zh, (SELECT count(DISTINCT tag) FROM {{tags}} WHERE category = '{c}' AND {open}) AS total, (SELECT CASE WHEN '{k}' = 'tag' THEN 0 ELSE count(DISTINCT work_id) END FROM {{tags}} WHERE category = '{c}' AND {open}) AS total_works, '{k}' <> 'tag' AS asserts, '{k}' AS kind FROM {{tags}} t WHERE category = '{c}' AND {open} GROUP BY tag, category"
@@ -151,7 +151,7 @@ SQL = {
     "scn_coverage": oracle("SELECT m.model_version_id, t.collection, t.total, count(c.work_id) AS scored FROM {members} m CROSS JOIN (SELECT collection, count(*) AS total FROM {works} GROUP BY 1) t LEFT JOIN (SELECT DISTINCT s.model_version_id, a.work_id, w.collection FROM {scores} s JOIN {samples} a ON a.id = s.sample_id JOIN {works} w ON w.id = a.work_id) c ON c.model_version_id = m.model_version_id AND c.collection = t.collection GROUP BY 1, 2, 3"),
     "topk_per_group": oracle("SELECT sample_id, model_version_id, category, tag, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, model_version_id, category ORDER BY score DESC, tag) AS k FROM {scores}) t WHERE (k <= 1 AND score >= 0.5) OR tag IN (SELECT tag FROM {thresholds}) OR category = 'rating'"),
     "scr_drift": "SELECT count(DISTINCT doc_id) AS items, count(*) FILTER (WHERE quality > 0.35 OR toxic > 0.35) AS over, count(*) FILTER (WHERE (quality > 0.35) <> (toxic > 0.35)) AS differ, round(CAST(count(*) FILTER (WHERE (quality > 0.35) <> (toxic > 0.35)) AS DOUBLE) / count(*) FILTER (WHERE quality > 0.35 OR toxic > 0.35), 6) AS drift FROM labels",
-    "mea_cg": f"SELECT folder, count(*) AS n_images, 1.0::DOUBLE AS sequential_ratio, round(avg(gap), 6) AS mean_gap, max(gap) AS max_gap, round(avg(size), 6) AS avg_file_size FROM (SELECT *, num - lag(num) OVER (PARTITION BY folder ORDER BY num, name) AS gap FROM ({_FILES}) f) t GROUP BY 1",
+    "mea_cg": f"SELECT folder, count(*) AS n_images, round(count(num)::DOUBLE / count(*), 6) AS sequential_ratio, round(avg(gap), 6) AS mean_gap, max(gap) AS max_gap, round(avg(size), 6) AS avg_file_size FROM (SELECT *, num - lag(num) OVER (PARTITION BY folder ORDER BY num NULLS FIRST, name) AS gap FROM ({_FILES}) f) t GROUP BY 1",
     "voc_conflicts": oracle("SELECT lower(term) AS term, count(DISTINCT slug) AS concepts, string_agg(DISTINCT slug, ',' ORDER BY slug) AS slugs FROM (SELECT term, slug FROM {terms} WHERE NOT search_only UNION ALL SELECT term, concat('also-', slug) FROM {terms} WHERE NOT search_only AND term LIKE '%1') t GROUP BY 1 HAVING count(DISTINCT slug) > 1"),
     "voc_fold_claims": oracle("SELECT work_id, field, value, negated FROM (SELECT *, max(CASE WHEN NOT negated THEN {'at': created_at, 'id': id} END) OVER (PARTITION BY work_id, field) AS last FROM (SELECT id, work_id % 500 AS work_id, field, value, negated, created_at FROM {claims}) c) e QUALIFY row_number() OVER (PARTITION BY work_id, field, value ORDER BY created_at DESC, id DESC) = 1 AND (negated OR field NOT IN ('language', 'artist') OR (created_at = last.at AND id = last.id))"),
     "voc_work_claims": oracle("SELECT *, (model OR added) AND NOT denied AS result FROM (SELECT work_id, field, value, bool_or(m) AS model, bool_or(a) AS added, bool_or(n) AS denied FROM (SELECT work_id, field, value, FALSE AS m, NOT negated AS a, negated AS n FROM {claims} UNION ALL SELECT work_id, field, value, TRUE, FALSE, FALSE FROM {named}) t GROUP BY 1, 2, 3) u"),

@@ -318,7 +318,7 @@ SQL = {
     "sink_validate": "SELECT vec_id, embedding[1] BETWEEN 0 AND 1 AND embedding[2] BETWEEN 0 AND 1 AS ok FROM embeddings",
     "sink_idempotent": "SELECT l_suppkey, l_orderkey, year(l_shipdate) AS run_id, l_orderkey % 7 AS batch, l_linenumber FROM lineitem QUALIFY l_orderkey % 7 = max(l_orderkey % 7) OVER (PARTITION BY l_suppkey, year(l_shipdate))",
     "sink_errors": "SELECT coalesce(source, 'none') AS stage, count(*) AS errors, max(length(substring(text, 1, 2000))) AS longest FROM documents GROUP BY 1",
-    "smp_candidates": "SELECT conv_id AS folder, concat('p', turn) AS name, length(text) AS size, length(text) >= 100 OR max(length(text)) OVER (PARTITION BY conv_id) < 100 AS candidate, count(*) OVER (PARTITION BY conv_id) AS census FROM conversations",
+    "smp_candidates": "SELECT conv_id AS folder, concat('p', turn, CASE WHEN turn % 4 = 3 THEN 'x' ELSE '' END) AS name, length(text) AS size, length(text) >= 100 OR max(length(text)) OVER (PARTITION BY conv_id) < 100 AS candidate, count(*) OVER (PARTITION BY conv_id) AS census FROM conversations",
     "scr_inference": f"SELECT vec_id AS sample_id, vec_id % 100 AS work_id, 'mean' AS backend, 'score' AS output, round(1 / (1 + exp(-(((list_sum({_DOUBLES}) + 192 * 0.5) / 256 / 2 - 0.1) / 0.2))), 6) AS score, CAST(NULL AS VARCHAR) AS error FROM embeddings UNION ALL SELECT vec_id, vec_id % 100, 'corners', o, round(CAST(CASE o WHEN 'first' THEN embedding[4] ELSE embedding[61] END AS DOUBLE), 6), NULL FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id) <= 3) e, (VALUES ('first'), ('last')) t(o) WHERE embedding[4] >= 0 UNION ALL SELECT vec_id, vec_id % 100, 'corners', NULL, NULL, 'negative' FROM (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id) <= 3) e WHERE embedding[4] < 0",
     "scr_failure_isolation": "SELECT work_id, CAST(bool_or(ok) AS BIGINT) AS backends, CAST(bool_or(NOT ok) AS BIGINT) AS failed, CASE WHEN NOT bool_or(ok) THEN 'error' WHEN bool_or(NOT ok) THEN 'partial' ELSE 'ok' END AS verdict FROM (SELECT vec_id % 100 AS work_id, embedding[4] >= 0 AS ok FROM embeddings QUALIFY row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id) <= 3) e GROUP BY 1",
     "scr_mean_embedding": oracle("SELECT work_id, backend, round(sum(i * x), 6) AS checked, round(max(CASE WHEN i = 2 THEN x END), 6) AS second FROM {unit} u JOIN {members} m ON m.model_version_id = u.model_version_id GROUP BY 1, 2"),

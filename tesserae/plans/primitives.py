@@ -14,7 +14,7 @@ from tesserae.operators import search as s
 from tesserae.plans.derivation import _q, _r, evidence, measured, run, tags
 from tesserae.plans.fixtures import PARAMS, Library, oracle
 from tesserae.sources import files as f
-from tesserae.sources.shared import folder
+from tesserae.sources.shared import folder, store
 
 
 def _listed(x: Library) -> DataFrame:
@@ -175,6 +175,27 @@ def _explained(x: Library) -> DataFrame:
 
 
 EXPLAINED = ("red", "ring", "bolt", "Supplier#1")
+def _in_run(x: Library, which: str, name: str) -> DataFrame:
+    """The samples of each work in its first or last run; of a work of one run both are one."""
+    run_ = F.expr(f"{which}(run_id) OVER (PARTITION BY work_id)")
+    return x.samples.withColumn("of", run_).where("run_id = of").groupBy("work_id", "run_id").agg(F.count("*").alias(name))
+
+
+def _by_prefix(x: Library) -> DataFrame:
+    """Parts by the beginning of their type: a type meets a prefix under each of its own beginnings, not by comparing all with all."""
+    prefixes = x.part.select(F.element_at(F.split("p_type", " "), 1).alias("prefix")).distinct()
+    beginnings = x.part.where("p_type <> ''").select("p_partkey", F.explode(F.transform(F.sequence(F.lit(1), F.length("p_type")), lambda n: F.substring("p_type", F.lit(1), n))).alias("prefix"))
+    return beginnings.join(prefixes, "prefix").groupBy("prefix").agg(F.count("*").alias("parts"))
+
+
+def _verdict_order(x: Library) -> DataFrame:
+    """Every page in the order of verdicts, unknown ones last."""
+    verdict = F.get(F.array(*map(F.lit, ("new", "error", "same", "near", "odd"))), (F.col("page_id") % 5).cast("int"))
+    rows = x.pages.select("url", verdict.alias("verdict"))
+    place = F.nullif(F.array_position(F.array(*map(F.lit, ("same", "near", "new", "error"))), F.col("verdict")), F.lit(0))
+    return s.numbered(rows.withColumn("order", F.coalesce(place, F.lit(9))), ["order", "url"], store).drop("order")
+
+
 QUERIES = {
     "src_listing": _q(_listed),
     "src_find_works": _q(_found),
@@ -188,14 +209,14 @@ QUERIES = {
     "flt_optional": _q(_optional),
     "join_equi_inner": _q(lambda x: x.samples.select(F.col("id").alias("sample_id"), "work_id", "medium").join(x.scores, "sample_id").join(x.members, "model_version_id").groupBy("work_id", "backend", "medium").agg(F.count("*").alias("scores"))),
     "join_left": _q(lambda x: x.scores.select("model_version_id", "category", "tag").distinct().join(x.thresholds, ["model_version_id", "category", "tag"], "left").join(d.cutoffs(x.roles, PARAMS), ["model_version_id", "category"], "left").select("model_version_id", "category", "tag", F.coalesce("threshold", "cutoff").alias("bar"))),
-    "join_full": _q(lambda x: d.stats(run(x), x.samples).join(measured(x).where("work_id % 3 <> 1"), "work_id", "full").select("work_id", "has_image", "page_files")),
+    "join_full": _q(lambda x: _in_run(x, "min", "first").join(_in_run(x, "max", "last"), ["work_id", "run_id"], "full").select("work_id", "run_id", "first", "last")),
     "join_cross": _q(lambda x: x.members.select("model_version_id", "backend").crossJoin(x.works.groupBy("collection").agg(F.count("*").alias("works")))),
     "join_semi": _q(lambda x: x.works.join(x.claims.where("field = 'tag' and not negated").select(F.col("work_id").alias("id")), "id", "left_semi").select("id", "collection")),
     "join_anti": _q(lambda x: x.works.join(x.claims.where("not negated").select(F.col("work_id").alias("id")), "id", "left_anti").select("id", "collection")),
     "join_lateral_unnest": _q(lambda x: d.unpacked(d.packed(x.scores)).groupBy("sample_id").agg(F.count("*").alias("scores"), F.round(F.sum(F.col("score").cast("double")), 5).alias("total"))),
     "join_lateral_top1": _q(_top1),
     "join_theta_rank": _q(_theta),
-    "join_theta_prefix": _q(lambda x: x.part.select("p_partkey", "p_type").join(x.part.select(F.element_at(F.split("p_type", " "), 1).alias("prefix")).distinct(), F.startswith("p_type", "prefix")).groupBy("prefix").agg(F.count("*").alias("parts"))),
+    "join_theta_prefix": _q(_by_prefix),
     "join_composite_in": _q(lambda x: x.scores.join(x.thresholds.select("model_version_id", "category").distinct(), ["model_version_id", "category"], "left_semi").groupBy("model_version_id", "category").agg(F.count("*").alias("scores"))),
     "join_array_param": _q(lambda x: x.scores.where("category = 'general'").join(x.spark.sql("SELECT inline(array(struct('red' AS tag, 0.5D AS weight), struct('bolt' AS tag, 0.3D AS weight), struct('ring' AS tag, 0.2D AS weight)))"), "tag").groupBy("sample_id").agg(F.round(F.sum(F.col("weight") * F.col("score").cast("double")), 6).alias("relevance"))),
     "join_self_latest_run": _q(lambda x: x.measurements.join(x.measurements.groupBy("work_id").agg(F.max("run_id").alias("run_id")), ["work_id", "run_id"]).groupBy("work_id", "run_id").agg(F.count("*").alias("n"))),
@@ -210,7 +231,7 @@ QUERIES = {
     "win_row_number": _q(lambda x: x.scores.withColumn("k", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("score"), "category", "tag", "model_version_id"))).where("k <= 3").groupBy("k", "category").agg(F.count("*").alias("scores"))),
     "win_distinct_on": _q(lambda x: x.claims.withColumn("k", F.row_number().over(W.partitionBy("work_id").orderBy(F.desc("created_at"), F.desc("id")))).where("k = 1").select("work_id", "field", "value")),
     "win_max_run": _q(lambda x: x.samples.withColumn("newest", F.max("run_id").over(W.partitionBy("work_id"))).where("run_id = newest").groupBy("work_id", "newest").agg(F.count("*").alias("samples"))),
-    "srt_verdict_order": _q(lambda x: x.pages.select("url", F.get(F.array(*map(F.lit, ("new", "error", "same", "near", "odd"))), (F.col("page_id") % 5).cast("int")).alias("verdict")).withColumn("place", F.row_number().over(W.orderBy(F.nullif(F.array_position(F.array(*map(F.lit, ("same", "near", "new", "error"))), F.col("verdict")), F.lit(0)).asc_nulls_last(), "url")))),
+    "srt_verdict_order": _q(_verdict_order),
     "lim_offset": _q(lambda x: s.with_total(x.works.orderBy(F.desc("created_at"), F.desc("id")).offset(70).limit(60).select("id", "created_at"), x.works)),
     "lim_page_then_join": _q(_page),
     "set_union_all": _q(lambda x: x.claims.select("field", "value").unionByName(x.concepts.select(F.col("kind").alias("field"), F.col("slug").alias("value"))).groupBy("field", "value").agg(F.count("*").alias("n"))),
@@ -249,7 +270,7 @@ SQL = {
     "flt_optional": oracle(" UNION ALL ".join(f"SELECT collection, rating, count(*) AS works, {n} AS asked FROM {{catalog}} WHERE {c} GROUP BY 1, 2" for n, c in enumerate(("TRUE", "collection = 'BUILDING'", "rating = 'explicit'", "collection = 'MACHINERY' AND rating = 'general'")))),
     "join_equi_inner": oracle("SELECT s.work_id, m.backend, s.medium, count(*) AS scores FROM {samples} s JOIN {scores} c ON c.sample_id = s.id JOIN {members} m ON m.model_version_id = c.model_version_id GROUP BY 1, 2, 3"),
     "join_left": oracle("SELECT model_version_id, category, tag, applied AS bar FROM (" + _BAR.replace("{how}", "LEFT") + ")"),
-    "join_full": oracle("SELECT coalesce(s.work_id, m.work_id) AS work_id, has_image, page_files FROM {stats} s FULL JOIN (SELECT * FROM {measures} WHERE work_id % 3 <> 1) m ON m.work_id = s.work_id"),
+    "join_full": oracle("SELECT coalesce(a.work_id, b.work_id) AS work_id, coalesce(a.run_id, b.run_id) AS run_id, a.n AS first, b.n AS last FROM (SELECT work_id, run_id, count(*) AS n FROM {samples} s WHERE run_id = (SELECT min(run_id) FROM {samples} m WHERE m.work_id = s.work_id) GROUP BY 1, 2) a FULL JOIN (SELECT work_id, run_id, count(*) AS n FROM {samples} s WHERE run_id = (SELECT max(run_id) FROM {samples} m WHERE m.work_id = s.work_id) GROUP BY 1, 2) b ON b.work_id = a.work_id AND b.run_id = a.run_id"),
     "join_cross": oracle("SELECT model_version_id, backend, collection, works FROM {members} CROSS JOIN (SELECT collection, count(*) AS works FROM {works} GROUP BY 1)"),
     "join_semi": oracle("SELECT w.id, collection FROM {works} w WHERE EXISTS (SELECT 1 FROM {claims} c WHERE c.work_id = w.id AND c.field = 'tag' AND NOT c.negated)"),
     "join_anti": oracle("SELECT w.id, collection FROM {works} w WHERE NOT EXISTS (SELECT 1 FROM {claims} c WHERE c.work_id = w.id AND NOT c.negated)"),

@@ -85,3 +85,11 @@ def test_sql_functions(spark):
     sql.register(spark, *tables[:4], tables[4].limit(0), tables[5])
     with pytest.raises(PySparkException, match="no profile is active"):
         spark.sql("SELECT active_profile_id()").collect()
+
+
+def test_numbers_of_a_whole_order(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), f"u{k}") for k in range(400)]
+    got = search.numbered(spark.createDataFrame(rows, "o int, url string").repartition(7), ["o", "url"], store).collect()
+    assert [(r.o, r.url) for r in sorted(got, key=lambda r: r.place)] == sorted(rows) and [r.place for r in sorted(got, key=lambda r: r.place)] == list(range(1, 401))
+    assert search.numbered(spark.createDataFrame([], "o int, url string"), ["o", "url"], store).count() == 0
