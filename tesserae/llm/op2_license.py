@@ -95,6 +95,8 @@ _BSD_END = (
 )
 TEMPLATES = {label: markup.replace("<<bsd>>", _BSD).replace("<<bsd-end>>", _BSD_END) for label, markup in TEMPLATES.items()}
 
+#: Sets of states that an automaton remembers at most.
+MOST_STEPS = 100_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SHAPE = bytes(97 if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -127,6 +129,8 @@ class Automaton:
             raise ValueError("a template needs closed regions and a mandatory word")
         self.end = at
         self.start = self._closed({0})
+        self.words = {w for on in self.on for w in on if w is not None}
+        self.steps: dict[frozenset[int], dict[bytes | None, frozenset[int]]] = {}
 
     def _step(self, at: int, word: str | None) -> int:
         self.on.append({})
@@ -142,6 +146,16 @@ class Automaton:
                 todo.append(s)
         return frozenset(seen)
 
+    def _after(self, states: frozenset[int], word: bytes) -> frozenset[int]:
+        """The states that a word leads to; sets of states met before are looked up, all words that the template lacks as one."""
+        known = self.steps.setdefault(states, {})
+        key = word if word in self.words else None
+        if key not in known:
+            known[key] = self._closed({t for s in states for w in {key, None} for t in self.on[s].get(w, ())})
+            if len(self.steps) > MOST_STEPS:
+                self.steps = {states: known}
+        return known[key]
+
     def places(self, words: list[bytes]) -> list[tuple[int, int]]:
         """Longest accepted place at each start, leftmost first and apart: (first word, word after the last)."""
         found, i, first = [], 0, {w for s in self.start for w in self.on[s]}
@@ -155,7 +169,7 @@ class Automaton:
                     end = j
                 if j == len(words):
                     break
-                states = self._closed({t for s in states for w in (words[j], None) for t in self.on[s].get(w, ())})
+                states = self._after(states, words[j])
                 j += 1
             if end:
                 found.append((i, end))

@@ -7,7 +7,7 @@ from base64 import b64encode
 
 import pytest
 
-from tesserae.llm import op3_secrets, op5_decontam
+from tesserae.llm import op2_license, op3_secrets, op5_decontam
 
 
 def der(tag, data):
@@ -93,6 +93,15 @@ def test_long_texts_take_their_share_of_time():
         assert time.process_time() - began < 12, name  # one to three seconds; a quadratic search takes minutes
 
 
+def test_repeats_of_words_that_begin_a_license():
+    """Each start walks a few steps that are looked up: two megabytes of one word in seconds."""
+    automata = op2_license.compiled(op2_license.TEMPLATES)
+    for text in ("copyright " * 200_000, "redistribution and use in " * 60_000, "permission is hereby granted " * 50_000):
+        began = time.process_time()
+        op2_license.scan(text, automata)
+        assert time.process_time() - began < 12, text[:30]
+
+
 def edits(item, text):
     """The least edits of an item in a text, by the whole table."""
     row = [0] * (len(text) + 1)
