@@ -96,7 +96,8 @@ def packed(vectors: DataFrame, pivots: Pivots, block: int, parts: int) -> DataFr
             yield out()
 
     rows = vectors.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(measure, f"id long, vec array<{element}>, cell int, d double")
-    return rows.repartitionByRange(parts, "cell", "d", "id").sortWithinPartitions("cell", "d", "id").mapInArrow(pack, "block long, ids binary, mat binary, lo array<double>, hi array<double>")
+    dealt = rows.repartitionByRange(parts, "cell", "d", "id") if parts > 1 else rows.coalesce(1)
+    return dealt.sortWithinPartitions("cell", "d", "id").mapInArrow(pack, "block long, ids binary, mat binary, lo array<double>, hi array<double>")
 
 
 def meetings(blocks: DataFrame, least: float) -> DataFrame:
@@ -135,11 +136,15 @@ def pairs(vectors: DataFrame, least: float, block: int = BLOCK, write=store) ->
     if not n:
         return vectors.select(F.col("id").cast("long").alias("a"), F.col("id").cast("long").alias("b"), F.lit(0.0).alias("score")).where("false")
     block = max(block, -(-n // MOST_BLOCKS))
-    pivots = Pivots(vectors)
-    blocks = write(packed(vectors, pivots, block, max(1, -(-n // block))))
-    met = meetings(blocks, least)
-    right = blocks.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("mat").alias("mat2"))
-    met = met.join(right, "other").join(blocks.select("block", "ids", "mat"), "block").select((F.col("block") == F.col("other")).alias("same"), "ids", "mat", "ids2", "mat2")
+    other = [F.col("ids").alias("ids2"), F.col("mat").alias("mat2")]
+    if n <= block:  # one block, which meets itself
+        pivots = Pivots(vectors, 1, 1)
+        met = packed(vectors, pivots, block, 1).select(F.lit(True).alias("same"), "ids", "mat", *other)
+    else:
+        pivots = Pivots(vectors)
+        blocks = write(packed(vectors, pivots, block, -(-n // block)))
+        met = meetings(blocks, least).join(blocks.select(F.col("block").alias("other"), *other), "other").join(blocks.select("block", "ids", "mat"), "block")
+        met = met.select((F.col("block") == F.col("other")).alias("same"), "ids", "mat", "ids2", "mat2")
     at, reach = pivots.at, np.sqrt(2 - 2 * least) + 1e-6 if least > 0 else np.inf
 
     def read(row: pa.RecordBatch, k: str):
