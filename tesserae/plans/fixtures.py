@@ -47,6 +47,15 @@ FIXTURES = {
     "merges": "SELECT * FROM (VALUES ('Brand#11','Brand#12'),('Brand#12','Brand#13'),('Brand#21','Brand#13'),('Brand#14','Brand#11'),('series-1','Brand#12'),('series-0','series-0'),('Brand#22','Brand#23'),('Brand#23','Brand#24'),('Brand#24','Brand#23'),('Brand#25','nobody'),('series-1b','series-2'),('series-4','series-9'),('series-9','series-4')) AS t(source, target)",
     "lineage": "SELECT DISTINCT p_brand AS slug, concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)) AS parent FROM {part} UNION SELECT DISTINCT p_brand, concat('line-', CAST(p_size % 2 AS STRING)) FROM {part} UNION SELECT concat('series-', CAST(CAST(substring(p_brand, 7) AS INT) % 5 AS STRING)), concat('house-', CAST(CAST(substring(p_brand, 7) AS INT) % 2 AS STRING)) FROM {part} UNION SELECT concat('line-', CAST(p_size % 2 AS STRING)), concat('house-', CAST(p_size % 2 AS STRING)) FROM {part} UNION SELECT concat('house-', CAST(p_size % 2 AS STRING)), 'group' FROM {part} UNION SELECT 'group', 'owner' FROM {part} UNION SELECT 'owner', 'group' FROM {part} UNION SELECT 'owner', NULL FROM {part}",
     "terms": "SELECT DISTINCT lower(p_brand) AS term, CAST(substring(p_brand, 7) AS INT) % 4 = 0 AS search_only, p_brand AS slug FROM {part}",
+    "lexicon": "SELECT kind, slug, display, 'noted' AS note, CASE WHEN parent IS NOT NULL THEN 'series' END AS parent_kind, parent AS parent_slug FROM {curated} LEFT JOIN (SELECT tag, max(display) AS display FROM {translations} GROUP BY tag) t ON tag = slug",
+    "lexicon_terms": "SELECT term, search_only, kind, {spellings}.slug FROM {spellings} JOIN {curated} ON {curated}.slug = {spellings}.slug",
+    "filed_concepts": "SELECT * FROM {lexicon} WHERE slug NOT LIKE '%4'",
+    "held_concepts": "SELECT kind, slug, 'old' AS display, 'kept' AS note, CASE WHEN slug LIKE '%3' THEN 'series' END AS parent_kind, CASE WHEN slug LIKE '%3' THEN 'series-2' END AS parent_slug FROM {lexicon} WHERE slug NOT LIKE '%1' AND slug <> 'series-4'",
+    "held_terms": "SELECT DISTINCT upper(term) AS term, TRUE AS search_only, kind, slug FROM {lexicon_terms} WHERE slug LIKE '%2'",
+    "noted": "SELECT doc_id AS id, doc_id AS work_id, 'character' AS field, concat('Brand#', CAST(doc_id % 27 + 1 AS STRING)) AS slug, doc_id % 6 = 0 AS negated, CAST('2020-02-03 04:05:06' AS TIMESTAMP) AS created_at FROM {documents}",
+    "titled": "SELECT doc_id AS id, content_key, CASE WHEN doc_id % 3 = 1 THEN concat('title ', CAST(doc_id AS STRING)) END AS title FROM {copies}",
+    "rescanned": "SELECT doc_id + 1000 AS work_id, CASE WHEN doc_id % 3 = 0 THEN concat('changed ', CAST(doc_id AS STRING)) ELSE content_key END AS content_key, CASE WHEN doc_id % 5 = 0 THEN concat(path, '/moved') ELSE path END AS path, 'kept' AS title FROM {copies}",
+    "held_claims": "SELECT work_id + 1000 AS work_id, field, slug, TRUE AS negated, CAST('2019-02-03 04:05:06' AS TIMESTAMP) AS created_at FROM {noted} WHERE work_id % 4 = 1",
 }
 
 _FACETS = (("general", "split_part(p_name, ' ', 1)", "q"), ("general", "split_part(p_name, ' ', 2)", "d"), ("character", "p_brand", "d"), ("copyright", "p_type", "q"), ("artist", "s_name", "d"), ("rating", "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'explicit' WHEN '2' THEN 'questionable' WHEN '3' THEN 'sensitive' ELSE 'general' END", "q"))

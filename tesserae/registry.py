@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tesserae.plans import curation, derivation, lookups, primitives, searching, upkeep
+from tesserae.plans import curated, curation, derivation, lookups, primitives, searching, upkeep
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-for _module in (derivation, searching, curation, upkeep, lookups, primitives):
+for _module in (derivation, searching, curation, curated, upkeep, lookups, primitives):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
