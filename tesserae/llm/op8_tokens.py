@@ -7,7 +7,8 @@ and a token position by shard and block start, and either is read by unpacking o
 
 A piece's ids do not depend on its neighbours, so each distinct piece of a block of texts is merged once, all of them at the
 same time in numpy; texts with unusual characters or special tokens, and pieces of more than :data:`LONG` bytes, go to the
-tokenizers library. No cache outlives a block, so the memory of a worker is bounded by the block.
+tokenizers library. No cache outlives a block. A text of more than :data:`BLOCK_CHARS` characters is cut at white space and its parts
+are encoded one after another, so the memory of a worker is bounded by a block, the ids of one text, and the longest run without white space.
 
 Defined results: a null or empty text is the end id alone. A null doc_id sorts first; rows of one doc_id are ordered by
 text. Columns beside doc_id and text have no effect; texts are encoded whole.
@@ -71,6 +72,18 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return out.ravel()[:n].astype(np.uint32)
 
 
+def portions(text: str, size: int) -> list[str]:
+    """``text`` in parts of at most ``size`` characters, each but the first beginning with white space, which no piece crosses; a longer run without any stays whole."""
+    out, at = [], 0
+    while len(text) - at > size:
+        end = max(text.rfind(c, at + 1, at + size + 1) for c in " \n")
+        if end < 0:
+            end = min((e for c in " \n" if (e := text.find(c, at + size)) >= 0), default=len(text))
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]] if at < len(text) or not out else out
+
+
 class Encoder:
     """The library's ids: merges of all distinct pieces of a block at once, and the library itself for what is unusual."""
 
@@ -159,8 +172,12 @@ class Encoder:
     def encode_many(self, many: list[str]) -> Iterator[np.ndarray]:
         at = 0
         while at < len(many):
+            if len(many[at]) > BLOCK_CHARS:
+                yield np.concatenate([self.encode_block([p])[0] for p in portions(many[at], BLOCK_CHARS)])
+                at += 1
+                continue
             end, chars = at, 0
-            while end < len(many) and chars < BLOCK_CHARS:
+            while end < len(many) and chars < BLOCK_CHARS and len(many[end]) <= BLOCK_CHARS:
                 chars += len(many[end])
                 end += 1
             yield from self.encode_block(many[at:end])

@@ -3,11 +3,12 @@
 import json
 import random
 import time
+import tracemalloc
 from base64 import b64encode
 
 import pytest
 
-from tesserae.llm import op2_license, op3_secrets, op5_decontam
+from tesserae.llm import op2_license, op3_secrets, op5_decontam, op8_tokens
 
 
 def der(tag, data):
@@ -158,3 +159,42 @@ def test_pipeline_stage_with_a_repetitive_page(spark, tmp_path):
     rule = "\n".join("=" * 11 + f" {k}" for k in range(30_000))
     docs = spark.createDataFrame([(1, page), (2, "x " * 50 + "a question of the benchmark, word for word"), (3, "clean"), (4, rule)], "doc_id long, text string")
     assert {r.doc_id for r in dict(p.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()} == {3, 4}
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        return op8_tokens.Encoder(f.read())
+
+
+def test_long_texts_are_encoded_in_portions(encoder, monkeypatch):
+    """Cuts at white space change no ids: contractions, special tokens, combining marks, runs without white space, and texts of white space alone."""
+    rnd = random.Random(5)
+    pieces = ["it's", "we'll", "'s", "12", "naïve", "é", "́x", "日本", "<|endoftext|>", "!?", "a" * 70, "x" * 9, "ΟΔΟΣ", " ", "\n", "\t", " ", "\x85"]
+    many = ["".join(rnd.choice(pieces) + rnd.choice(["", " ", "\n", "  \n"]) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    many += ["", " ", " " * 200, "\n" * 65, "z" * 300, "z" * 64, "z" * 65, " " + "z" * 64, "z" * 64 + " ", "z" * 100 + " y", "a b " * 100]
+    want = [x.ids for x in encoder.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(op8_tokens, "BLOCK_CHARS", size)
+        assert [x.tolist() for x in encoder.encode_many(many)] == want
+        for text in many:
+            cut = op8_tokens.portions(text, size)
+            assert "".join(cut) == text and all(p[0] in " \n" for p in cut[1:])
+            assert all(len(p) <= size or not {" ", "\n"} & {*p[1:]} for p in cut)
+
+
+def test_memory_of_one_long_text(encoder):
+    """Four times the text takes but its own ids more: the work of a portion is freed before the next one."""
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(50_000)]
+    peaks = []
+    for n in (400_000, 1_600_000):
+        text = " ".join(rnd.choice(words) for _ in range(n))
+        tracemalloc.start()
+        (ids,) = encoder.encode_many([text])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert ids.nbytes < 4 * len(text)
+    assert peaks[1] - peaks[0] < 10 * 1_200_000 * 6.5, peaks  # of 1.2 M words of 6.5 characters; before, 60 bytes a character
