@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import coverage_lower_bound
-from tesserae.operators.derive import pages
+from tesserae.operators.derive import is_packed, narrowed, packed, pages, passing, with_marks
 
 
 def active_profile(profiles: DataFrame) -> Column:
@@ -29,7 +29,8 @@ def profile_tags(samples: DataFrame, scores: DataFrame, profiles: DataFrame, mem
     """(profile_id, work_id, category, tag, freq_ratio, avg_score) of every maintained profile.
 
     ``members``, ``roles`` and ``params`` (name, value) carry profile_id and are configuration, so they are small; the
-    scores are read once and widen only to the profiles that hold their version and role.
+    scores, as rows or packed, are read once, dealt by sample and by work as they are, and widen to the profiles that
+    hold their version and role where they then lie.
     """
     live = profiles.where("maintained").select("profile_id")
     members, roles, params = (t.join(live, "profile_id", "left_semi") for t in (members, roles, params))
@@ -40,21 +41,22 @@ def profile_tags(samples: DataFrame, scores: DataFrame, profiles: DataFrame, mem
     other = thresholds.join(held.select(*key), ["model_version_id", "category"]).select("profile_id", F.col("model_version_id").alias("other"), "category", "tag")
     gone = held.where("yields").select(*key).join(other, ["profile_id", "category"]).where("model_version_id <> other").select(*key, "tag").distinct()
 
-    page = pages(samples)
-    seen = scores.select("sample_id", "model_version_id").distinct().join(page, "sample_id").select("work_id", "page", "model_version_id")
-    order = W.partitionBy("profile_id", "work_id", "backend").orderBy("rank", "model_version_id")
-    best = seen.select("work_id", "model_version_id").distinct().join(members, "model_version_id").withColumn("k", F.row_number().over(order)).where("k = 1").select("profile_id", "work_id", "model_version_id")
+    least = cut.groupBy("model_version_id", "category").agg(F.min("cutoff").alias("cutoff"))
+    packed_ = narrowed(scores if is_packed(scores) else packed(scores), least, thresholds)
+    used = members.select("model_version_id").distinct()
+    rows = packed_.join(F.broadcast(used), "model_version_id", "left_semi").join(pages(samples), "sample_id").repartition("work_id")
 
-    rows = scores.join(cut, ["model_version_id", "category"]).join(thresholds, ["model_version_id", "category", "tag"], "left")
-    rows = rows.where(F.col("score").cast("double") >= F.coalesce("threshold", "cutoff")).join(gone, [*key, "tag"], "left_anti")  # gated before the pages are joined
-    rows = rows.select("sample_id", *key, "tag", "score").join(page, "sample_id").join(best, ["profile_id", "work_id", "model_version_id"])
-    hits = rows.groupBy("profile_id", "work_id", "category", "tag").agg(F.countDistinct("page").alias("hits"), F.avg("score").cast("float").alias("avg_score"))
-    total = seen.join(best, ["work_id", "model_version_id"]).join(held.select(*key), ["profile_id", "model_version_id"]).groupBy("profile_id", "work_id", "category").agg(F.countDistinct("page").alias("samples"))
+    of = members.groupBy("profile_id", "model_version_id", "backend").agg(F.min("rank").alias("rank"))
+    order = W.partitionBy("profile_id", "work_id", "backend").orderBy("rank", "model_version_id")
+    rows = rows.join(F.broadcast(of), "model_version_id").withColumn("k", F.rank().over(order)).where("k = 1")
+    marks = held.groupBy("profile_id", "model_version_id").agg(F.collect_set("category").alias("held"))
+    rows = rows.join(F.broadcast(marks), ["profile_id", "model_version_id"]).select("profile_id", "work_id", "page", "model_version_id", F.inline(with_marks("held")))
+    rows = rows.join(F.broadcast(cut), key, "left").join(thresholds, ["model_version_id", "category", "tag"], "left")
+    rows = rows.join(gone.withColumn("gone", F.lit(True)), [*key, "tag"], "left")
 
     bounds = parameter(params, held, "freq", "freq").join(parameter(params, held, "freqz", "z"), ["profile_id", "category"])
-    out = hits.join(total, ["profile_id", "work_id", "category"]).join(bounds, ["profile_id", "category"])
-    out = out.where(coverage_lower_bound(F.col("hits"), F.col("samples"), F.col("z")) >= F.col("freq"))
-    return out.select("profile_id", "work_id", "category", "tag", (F.col("hits") / F.col("samples")).cast("float").alias("freq_ratio"), "avg_score")
+    rows = rows.join(F.broadcast(bounds), ["profile_id", "category"])
+    return passing(rows, ["work_id", "profile_id"], coverage_lower_bound(F.col("hits"), F.col("samples"), F.col("z")) >= F.col("freq"), ["z", "freq"]).select("profile_id", "work_id", "category", "tag", "freq_ratio", "avg_score")
 
 
 def model_claims(enums: DataFrame, franchise: DataFrame, named: DataFrame, concepts: DataFrame) -> DataFrame:

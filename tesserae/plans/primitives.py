@@ -11,7 +11,7 @@ from tesserae.functions.scalars import digest, json_number, l2_normalize
 from tesserae.operators import derive as d
 from tesserae.operators import scoring as sc
 from tesserae.operators import search as s
-from tesserae.plans.derivation import _q, _r, evidence, measured, run, tags
+from tesserae.plans.derivation import _once, _q, _r, evidence, measured, run, tags
 from tesserae.plans.fixtures import PARAMS, Library, oracle
 from tesserae.sources import files as f
 from tesserae.sources.shared import folder, store
@@ -207,28 +207,28 @@ QUERIES = {
     "flt_in_list": _q(lambda x: x.catalog.where(F.col("rating").isin("explicit", "sensitive") & F.col("color_mode").isin("O", "P")).select("id", "rating", "color_mode")),
     "flt_not_null_facet": _q(lambda x: s.column_facets(x.catalog.select(F.col("id").alias("work_id"), F.when(F.col("id") % 5 == 0, "").otherwise(F.col("title")).alias("title"), "rating"), ["title", "rating"], 15)),
     "flt_optional": _q(_optional),
-    "join_equi_inner": _q(lambda x: x.samples.select(F.col("id").alias("sample_id"), "work_id", "medium").join(x.scores, "sample_id").join(x.members, "model_version_id").groupBy("work_id", "backend", "medium").agg(F.count("*").alias("scores"))),
-    "join_left": _q(lambda x: x.scores.select("model_version_id", "category", "tag").distinct().join(x.thresholds, ["model_version_id", "category", "tag"], "left").join(d.cutoffs(x.roles, PARAMS), ["model_version_id", "category"], "left").select("model_version_id", "category", "tag", F.coalesce("threshold", "cutoff").alias("bar"))),
+    "join_equi_inner": _once(lambda x: x.samples.select(F.col("id").alias("sample_id"), "work_id", "medium").join(x.scores, "sample_id").join(x.members, "model_version_id").groupBy("work_id", "backend", "medium").agg(F.count("*").alias("scores"))),
+    "join_left": _once(lambda x: x.scores.select("model_version_id", "category", "tag").distinct().join(x.thresholds, ["model_version_id", "category", "tag"], "left").join(d.cutoffs(x.roles, PARAMS), ["model_version_id", "category"], "left").select("model_version_id", "category", "tag", F.coalesce("threshold", "cutoff").alias("bar"))),
     "join_full": _q(lambda x: _in_run(x, "min", "first").join(_in_run(x, "max", "last"), ["work_id", "run_id"], "full").select("work_id", "run_id", "first", "last")),
     "join_cross": _q(lambda x: x.members.select("model_version_id", "backend").crossJoin(x.works.groupBy("collection").agg(F.count("*").alias("works")))),
     "join_semi": _q(lambda x: x.works.join(x.claims.where("field = 'tag' and not negated").select(F.col("work_id").alias("id")), "id", "left_semi").select("id", "collection")),
     "join_anti": _q(lambda x: x.works.join(x.claims.where("not negated").select(F.col("work_id").alias("id")), "id", "left_anti").select("id", "collection")),
-    "join_lateral_unnest": _q(lambda x: d.unpacked(d.packed(x.scores)).groupBy("sample_id").agg(F.count("*").alias("scores"), F.round(F.sum(F.col("score").cast("double")), 5).alias("total"))),
+    "join_lateral_unnest": _once(lambda x: x.scores.groupBy("sample_id").agg(F.count("*").alias("scores"), F.round(F.sum(F.col("score").cast("double")), 5).alias("total"))),
     "join_lateral_top1": _q(_top1),
     "join_theta_rank": _q(_theta),
     "join_theta_prefix": _q(_by_prefix),
-    "join_composite_in": _q(lambda x: x.scores.join(x.thresholds.select("model_version_id", "category").distinct(), ["model_version_id", "category"], "left_semi").groupBy("model_version_id", "category").agg(F.count("*").alias("scores"))),
-    "join_array_param": _q(lambda x: x.scores.where("category = 'general'").join(x.spark.sql("SELECT inline(array(struct('red' AS tag, 0.5D AS weight), struct('bolt' AS tag, 0.3D AS weight), struct('ring' AS tag, 0.2D AS weight)))"), "tag").groupBy("sample_id").agg(F.round(F.sum(F.col("weight") * F.col("score").cast("double")), 6).alias("relevance"))),
+    "join_composite_in": _once(lambda x: x.scores.join(x.thresholds.select("model_version_id", "category").distinct(), ["model_version_id", "category"], "left_semi").groupBy("model_version_id", "category").agg(F.count("*").alias("scores"))),
+    "join_array_param": _once(lambda x: x.scores.where("category = 'general'").join(x.spark.sql("SELECT inline(array(struct('red' AS tag, 0.5D AS weight), struct('bolt' AS tag, 0.3D AS weight), struct('ring' AS tag, 0.2D AS weight)))"), "tag").groupBy("sample_id").agg(F.round(F.sum(F.col("weight") * F.col("score").cast("double")), 6).alias("relevance"))),
     "join_self_latest_run": _q(lambda x: x.measurements.join(x.measurements.groupBy("work_id").agg(F.max("run_id").alias("run_id")), ["work_id", "run_id"]).groupBy("work_id", "run_id").agg(F.count("*").alias("n"))),
-    "agg_count_distinct": _q(lambda x: x.scores.join(x.samples.select(F.col("id").alias("sample_id"), "work_id"), "sample_id").groupBy("category").agg(F.countDistinct("work_id").alias("works"), F.countDistinct("tag").alias("tags"))),
+    "agg_count_distinct": _once(lambda x: x.scores.join(x.samples.select(F.col("id").alias("sample_id"), "work_id"), "sample_id").groupBy("category").agg(F.countDistinct("work_id").alias("works"), F.countDistinct("tag").alias("tags"))),
     "agg_bool_or": _q(lambda x: x.samples.groupBy("work_id").agg(F.bool_or(F.col("medium") == "video").alias("has_video"), F.bool_or(F.col("medium") == "image").alias("has_image"), F.bool_or(F.col("skip_reason").isNull()).alias("looked"))),
-    "agg_avg_sum_max": _q(lambda x: _r(x.scores.groupBy("category", "tag").agg(F.avg(F.col("score").cast("double")).alias("mean"), F.sum(F.col("score").cast("double")).alias("total"), F.max("score").alias("most")), "mean", "total", "most")),
+    "agg_avg_sum_max": _once(lambda x: _r(x.scores.groupBy("category", "tag").agg(F.avg(F.col("score").cast("double")).alias("mean"), F.sum(F.col("score").cast("double")).alias("total"), F.max("score").alias("most")), "mean", "total", "most")),
     "agg_any_value": _q(lambda x: x.measurements.where("sample_id is null").groupBy("work_id", "run_id").agg(F.any_value(F.when(F.col("kind") == "duration_s", F.col("value")), True).try_cast("double").alias("duration_s"), F.any_value(F.when(F.col("kind") == "video_probe", F.col("value")), True).alias("probe"))),
     "agg_pivot": _q(lambda x: x.claims.where("not negated").groupBy("work_id").pivot("field", ["artist", "character", "language", "series", "tag"]).agg(F.max("value"))),
     "agg_vec_mean": _q(_vectors),
     "agg_global_multi": _q(_overview),
     "win_dense_rank": _q(lambda x: x.samples.select("work_id", "id", F.dense_rank().over(W.partitionBy("work_id").orderBy("medium", "source_relpath", "position")).alias("page"))),
-    "win_row_number": _q(lambda x: x.scores.withColumn("k", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("score"), "category", "tag", "model_version_id"))).where("k <= 3").groupBy("k", "category").agg(F.count("*").alias("scores"))),
+    "win_row_number": _once(lambda x: x.scores.withColumn("k", F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc("score"), "category", "tag", "model_version_id"))).where("k <= 3").groupBy("k", "category").agg(F.count("*").alias("scores"))),
     "win_distinct_on": _q(lambda x: x.claims.withColumn("k", F.row_number().over(W.partitionBy("work_id").orderBy(F.desc("created_at"), F.desc("id")))).where("k = 1").select("work_id", "field", "value")),
     "win_max_run": _q(lambda x: x.samples.withColumn("newest", F.max("run_id").over(W.partitionBy("work_id"))).where("run_id = newest").groupBy("work_id", "newest").agg(F.count("*").alias("samples"))),
     "srt_verdict_order": _q(_verdict_order),
@@ -240,7 +240,7 @@ QUERIES = {
     "fn_date": _q(lambda x: x.works.select(F.col("id").alias("work_id"), "created_at").join(x.claims.groupBy("work_id").agg(F.max("created_at").alias("claimed_at")), "work_id", "left").select("work_id", F.coalesce("claimed_at", "created_at").alias("at"))),
     "fn_l2_normalize": _q(lambda x: _r(x.embeddings.select("vec_id", F.size("embedding").alias("dims"), l2_normalize(F.transform("embedding", lambda e: e.cast("double"))).alias("u")).select("vec_id", "dims", digest("u").alias("checked"), F.element_at("u", -1).alias("last")), "checked", "last")),
     "scr_preprocess": _q(_prepared),
-    "voc_hide": _q(lambda x: tags(x).select("tag").distinct().join(x.hidden.withColumn("off", F.lit(True)), "tag", "left").select("tag", F.col("off").isNull().alias("shown"))),
+    "voc_hide": _once(lambda x: tags(x).select("tag").distinct().join(x.hidden.withColumn("off", F.lit(True)), "tag", "left").select("tag", F.col("off").isNull().alias("shown"))),
     "udf_sql_scalar": _q(_by_functions),
     "udf_sql_table": _q(_explained),
     "udf_backend_protocol": _q(lambda x: _r(_protocol(x).select("backend", "sample_id", "output", "score"), "score")),

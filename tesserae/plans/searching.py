@@ -8,7 +8,7 @@ from tesserae.functions.scalars import digest
 from tesserae.operators import duplicates as u
 from tesserae.operators import search as s
 from tesserae.operators import suggest
-from tesserae.plans.derivation import _q, _r, effective
+from tesserae.plans.derivation import _once, _q, _r, effective
 from tesserae.plans.fixtures import STEPS, Library, oracle
 
 WANTED = ["red", "bolt"]
@@ -82,26 +82,26 @@ def _trigram(x: Library):
 
 
 QUERIES = {
-    "sea_tags": _q(lambda x: s.tagged(effective(x), [["red"], ["ring", "bolt"]], "AND")),
+    "sea_tags": _once(lambda x: s.tagged(effective(x), [["red"], ["ring", "bolt"]], "AND")),
     "sea_synonyms": _q(lambda x: s.synonyms(x.terms.union(x.terms.select(F.replace("term", F.lit("#"), F.lit(" ")), "search_only", "slug")).where("not search_only"))),
-    "sea_relevance": _q(lambda x: _r(s.relevance(effective(x), x.works, [*WANTED, "no such tag", "red"], ["BUILDING", "MACHINERY"]), "relevance")),
-    "sea_faceted": _q(_faceted),
-    "srt_modes": _q(_modes),
-    "fn_idf": _q(lambda x: _r(s.idf_weights(effective(x), x.works, [*WANTED, "no such tag", "red"]), "weight")),
-    "sea_facets_cols": _q(lambda x: s.column_facets(found(x).withColumn("year", F.year("created_at")), ["collection", "year"])),
-    "sea_facets_tags": _q(lambda x: s.tag_facets(found(x), effective(x), ["character", "copyright"])),
-    "sea_facet_general": _q(lambda x: s.tag_facets(found(x), effective(x), ["general"])),
-    "sea_facet_collection": _q(lambda x: s.column_facets(found(x, "AND"), ["collection"])),
-    "sea_tags_by_work": _q(lambda x: s.visible_tags(effective(x), "character", 12)),
-    "lim_visible_tags": _q(lambda x: s.visible_tags(effective(x))),
+    "sea_relevance": _once(lambda x: _r(s.relevance(effective(x), x.works, [*WANTED, "no such tag", "red"], ["BUILDING", "MACHINERY"]), "relevance")),
+    "sea_faceted": _once(_faceted),
+    "srt_modes": _once(_modes),
+    "fn_idf": _once(lambda x: _r(s.idf_weights(effective(x), x.works, [*WANTED, "no such tag", "red"]), "weight")),
+    "sea_facets_cols": _once(lambda x: s.column_facets(found(x).withColumn("year", F.year("created_at")), ["collection", "year"])),
+    "sea_facets_tags": _once(lambda x: s.tag_facets(found(x), effective(x), ["character", "copyright"])),
+    "sea_facet_general": _once(lambda x: s.tag_facets(found(x), effective(x), ["general"])),
+    "sea_facet_collection": _once(lambda x: s.column_facets(found(x, "AND"), ["collection"])),
+    "sea_tags_by_work": _once(lambda x: s.visible_tags(effective(x), "character", 12)),
+    "lim_visible_tags": _once(lambda x: s.visible_tags(effective(x))),
     "flt_rating_at_least": _q(lambda x: x.works.select("id").join(x.orders.select(F.col("o_orderkey").alias("id"), F.element_at(F.create_map(*[F.lit(v) for v in ("1", "explicit", "2", "questionable", "3", "sensitive", "4", "general", "5", "general")]), F.substring("o_orderpriority", 1, 1)).alias("name")), "id").join(s.rating_at_least(x.ratings, "questionable"), "name", "left_semi").select("id", "name")),
     "flt_text_substr": _q(lambda x: x.part.where(s.like_text("p_name", "RIN")).select("p_partkey", "p_name")),
     "drv_vectors": _q(lambda x: _r(unit_vectors(x).select("work_id", "model_version_id", F.element_at("vec", 1).alias("first"), F.element_at("vec", -1).alias("last"), digest("vec").alias("checked"), F.size("vec").cast("long").alias("dim")), "first", "last", "checked")),
     "sea_similar": _q(_similar),
-    "sea_similar_within": _q(_similar_within),
-    "sea_hybrid": _q(_hybrid),
+    "sea_similar_within": _once(_similar_within),
+    "sea_hybrid": _once(_hybrid),
     "sea_stats": _q(lambda x: s.column_facets(x.works.select(F.col("id").alias("work_id"), "collection", F.year("created_at").alias("year")), ["collection", "year"])),
-    "fn_suggest_rank": _q(_suggest),
+    "fn_suggest_rank": _once(_suggest),
     "fn_trigram_sim": _q(_trigram),
 }
 

@@ -93,3 +93,41 @@ def test_numbers_of_a_whole_order(spark):
     got = search.numbered(spark.createDataFrame(rows, "o int, url string").repartition(7), ["o", "url"], store).collect()
     assert [(r.o, r.url) for r in sorted(got, key=lambda r: r.place)] == sorted(rows) and [r.place for r in sorted(got, key=lambda r: r.place)] == list(range(1, 401))
     assert search.numbered(spark.createDataFrame([], "o int, url string"), ["o", "url"], store).count() == 0
+
+
+@pytest.mark.parametrize("name, most", [("drv_flat", 12), ("drv_gate", 22), ("scn_plan", 10), ("drv_work_tags", 28)])
+def test_shuffles_of_evidence(spark, name, most):
+    """With every join shuffled, those of a few rows of configuration too, lines are dealt by order, part, supplier and sample, and packed evidence by work."""
+    from tesserae import registry
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") <= most
+
+
+@pytest.mark.parametrize("name", ["sink_dedup_scores", "join_lateral_unnest", "win_row_number", "sink_prune", "drv_flat", "drv_gate", "scn_plan"])
+def test_evidence_that_is_read_once_is_not_written(spark, monkeypatch, name):
+    from tesserae import registry
+    from tesserae.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "store", None)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_evidence_of_lines_without_names(spark, tmp_path):
+    """Tags that are null are one tag of a sample, as in SQL."""
+    from tesserae.plans.fixtures import Library
+
+    base = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{base}/part.parquet").selectExpr("p_partkey", "cast(null as string) as p_name", "p_brand", "p_type").write.parquet(f"{tmp_path}/part.parquet")
+    for t in ("lineitem", "supplier", "orders"):
+        spark.read.parquet(f"{base}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    rows = Library(spark, str(tmp_path)).scores.where("category = 'general'").groupBy("sample_id", "model_version_id").count()
+    assert rows.where("count > 1").count() == 0 < rows.count()
