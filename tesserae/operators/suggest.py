@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tesserae.functions.scalars import trigrams
 
 NEAR = 0.4
+#: A likeness that every two sets with a common item reach.
+ANY = 1e-9
 SHOWN = 12
 
 

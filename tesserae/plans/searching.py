@@ -75,10 +75,10 @@ def _suggest(x: Library):
 
 
 def _trigram(x: Library):
-    """Names of parts, and brands and words, that are near enough to be suggested for each other."""
+    """Names and types of parts, and brands, words and types, that share a trigram, with their likeness."""
     a = x.part.select(F.col("p_name").alias("name"))
     b = x.part.select(F.explode(F.array("p_brand", F.split("p_name", " ")[0], "p_type")).alias("name"))
-    return _r(suggest.near_names(a.unionByName(x.part.select("p_type").toDF("name")), b), "sim")
+    return _r(suggest.near_names(a.unionByName(x.part.select("p_type").toDF("name")), b, suggest.ANY), "sim")
 
 
 QUERIES = {
@@ -163,5 +163,5 @@ SQL = {
     "sea_hybrid": oracle("SELECT t.work_id, round(l.score, 6) AS score FROM (SELECT DISTINCT work_id FROM {effective} WHERE tag IN ('red', 'bolt')) t LEFT JOIN {likeness} l ON l.work_id = t.work_id AND l.query_id = 3 ORDER BY l.score DESC NULLS LAST, t.work_id DESC LIMIT 50"),
     "sea_stats": oracle(_facet("(SELECT id AS work_id, collection, created_at FROM {works})", "collection", "collection") + " UNION ALL " + _facet("(SELECT id AS work_id, collection, created_at FROM {works})", "year(created_at)", "year")),
     "fn_suggest_rank": oracle(f"SELECT typed, tag, CAST(tier AS INT) AS tier, works FROM (SELECT * FROM (SELECT typed, tag, works, {_TIER} AS tier, key FROM (SELECT tag, count(DISTINCT work_id) AS works, lower(tag) AS low, lower(replace(tag, '_', ' ')) AS clean, CASE WHEN tag LIKE 'Brand#%' THEN concat('品牌', substring(tag, 7, 2)) END AS zh, CASE WHEN tag LIKE 'Supplier#%' THEN substring(tag, 1, 17) ELSE tag END AS key FROM {{effective}} GROUP BY tag) v CROSS JOIN (SELECT DISTINCT typed, regexp_replace(lower(trim(typed)), '^-', '') AS raw FROM (SELECT unnest([{_ASKED}]) AS typed FROM part) q) p WHERE length(raw) >= 2) t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY typed, key ORDER BY tier, works DESC, tag) = 1) u QUALIFY row_number() OVER (PARTITION BY typed ORDER BY tier, works DESC, tag) <= 12"),
-    "fn_trigram_sim": f"SELECT a, b, round(sim, 6) AS sim FROM (SELECT a, b, {_like('a', 'b')} AS sim FROM (SELECT DISTINCT p_name AS a FROM part UNION SELECT p_type FROM part) p CROSS JOIN (SELECT DISTINCT unnest([p_brand, split_part(p_name, ' ', 1), p_type]) AS b FROM part) q) z WHERE sim >= 0.4",
+    "fn_trigram_sim": f"SELECT a, b, round(sim, 6) AS sim FROM (SELECT a, b, {_like('a', 'b')} AS sim FROM (SELECT DISTINCT p_name AS a FROM part UNION SELECT p_type FROM part) p CROSS JOIN (SELECT DISTINCT unnest([p_brand, split_part(p_name, ' ', 1), p_type]) AS b FROM part) q) z WHERE sim > 0",
 }

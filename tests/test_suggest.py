@@ -56,3 +56,14 @@ def test_suggestions_by_brute_force(spark):
         want |= set(list(seen.values())[:12])
     assert {tuple(r) for r in got.collect()} == want
     assert {8, 0, 2, 4, 7} <= {x[2] for x in want}
+
+
+def test_every_pair_that_shares_a_trigram(spark):
+    """The registered likeness has no lower bound: it puts out all pairs of a common trigram."""
+    from tesserae import registry
+
+    got = registry.QUERIES["fn_trigram_sim"](spark, "/root/testdata/sf0.001").collect()
+    assert min(r.sim for r in got) < 0.2 and all(r.sim > 0 for r in got)
+    pair = spark.createDataFrame([("abcdefgh",), ("xyz",)], "name string")
+    rows = suggest.near_names(pair, spark.createDataFrame([("abq",), ("q",)], "name string"), suggest.ANY).collect()
+    assert [(r.a, r.b) for r in rows] == [("abcdefgh", "abq")]
