@@ -181,6 +181,13 @@ def _in_run(x: Library, which: str, name: str) -> DataFrame:
     return x.samples.withColumn("of", run_).where("run_id = of").groupBy("work_id", "run_id").agg(F.count("*").alias(name))
 
 
+def _full(x: Library) -> DataFrame:
+    """What was observed of each work, counted and measured, beside its samples in its first and last run."""
+    runs = _in_run(x, "min", "first").join(_in_run(x, "max", "last"), ["work_id", "run_id"], "full")
+    observed = d.stats(run(x), x.samples).join(measured(x), "work_id", "full")
+    return observed.join(runs, "work_id", "full").select("work_id", "run_id", "first", "last", "has_image", "page_files")
+
+
 def _by_prefix(x: Library) -> DataFrame:
     """Parts by the beginning of their type: a type meets a prefix under each of its own beginnings, not by comparing all with all."""
     prefixes = x.part.select(F.element_at(F.split("p_type", " "), 1).alias("prefix")).distinct()
@@ -209,7 +216,7 @@ QUERIES = {
     "flt_optional": _q(_optional),
     "join_equi_inner": _once(lambda x: x.samples.select(F.col("id").alias("sample_id"), "work_id", "medium").join(x.scores, "sample_id").join(x.members, "model_version_id").groupBy("work_id", "backend", "medium").agg(F.count("*").alias("scores"))),
     "join_left": _once(lambda x: x.scores.select("model_version_id", "category", "tag").distinct().join(x.thresholds, ["model_version_id", "category", "tag"], "left").join(d.cutoffs(x.roles, PARAMS), ["model_version_id", "category"], "left").select("model_version_id", "category", "tag", F.coalesce("threshold", "cutoff").alias("bar"))),
-    "join_full": _q(lambda x: _in_run(x, "min", "first").join(_in_run(x, "max", "last"), ["work_id", "run_id"], "full").select("work_id", "run_id", "first", "last")),
+    "join_full": _once(_full),
     "join_cross": _q(lambda x: x.members.select("model_version_id", "backend").crossJoin(x.works.groupBy("collection").agg(F.count("*").alias("works")))),
     "join_semi": _q(lambda x: x.works.join(x.claims.where("field = 'tag' and not negated").select(F.col("work_id").alias("id")), "id", "left_semi").select("id", "collection")),
     "join_anti": _q(lambda x: x.works.join(x.claims.where("not negated").select(F.col("work_id").alias("id")), "id", "left_anti").select("id", "collection")),
@@ -270,7 +277,7 @@ SQL = {
     "flt_optional": oracle(" UNION ALL ".join(f"SELECT collection, rating, count(*) AS works, {n} AS asked FROM {{catalog}} WHERE {c} GROUP BY 1, 2" for n, c in enumerate(("TRUE", "collection = 'BUILDING'", "rating = 'explicit'", "collection = 'MACHINERY' AND rating = 'general'")))),
     "join_equi_inner": oracle("SELECT s.work_id, m.backend, s.medium, count(*) AS scores FROM {samples} s JOIN {scores} c ON c.sample_id = s.id JOIN {members} m ON m.model_version_id = c.model_version_id GROUP BY 1, 2, 3"),
     "join_left": oracle("SELECT model_version_id, category, tag, applied AS bar FROM (" + _BAR.replace("{how}", "LEFT") + ")"),
-    "join_full": oracle("SELECT coalesce(a.work_id, b.work_id) AS work_id, coalesce(a.run_id, b.run_id) AS run_id, a.n AS first, b.n AS last FROM (SELECT work_id, run_id, count(*) AS n FROM {samples} s WHERE run_id = (SELECT min(run_id) FROM {samples} m WHERE m.work_id = s.work_id) GROUP BY 1, 2) a FULL JOIN (SELECT work_id, run_id, count(*) AS n FROM {samples} s WHERE run_id = (SELECT max(run_id) FROM {samples} m WHERE m.work_id = s.work_id) GROUP BY 1, 2) b ON b.work_id = a.work_id AND b.run_id = a.run_id"),
+    "join_full": oracle("SELECT coalesce(o.work_id, r.work_id) AS work_id, run_id, first, last, has_image, page_files FROM (SELECT coalesce(s.work_id, m.work_id) AS work_id, has_image, page_files FROM {stats} s FULL JOIN {measures} m ON m.work_id = s.work_id) o FULL JOIN (SELECT coalesce(a.work_id, b.work_id) AS work_id, coalesce(a.run_id, b.run_id) AS run_id, a.n AS first, b.n AS last FROM (SELECT work_id, run_id, count(*) AS n FROM {samples} s WHERE run_id = (SELECT min(run_id) FROM {samples} m WHERE m.work_id = s.work_id) GROUP BY 1, 2) a FULL JOIN (SELECT work_id, run_id, count(*) AS n FROM {samples} s WHERE run_id = (SELECT max(run_id) FROM {samples} m WHERE m.work_id = s.work_id) GROUP BY 1, 2) b ON b.work_id = a.work_id AND b.run_id = a.run_id) r ON r.work_id = o.work_id"),
     "join_cross": oracle("SELECT model_version_id, backend, collection, works FROM {members} CROSS JOIN (SELECT collection, count(*) AS works FROM {works} GROUP BY 1)"),
     "join_semi": oracle("SELECT w.id, collection FROM {works} w WHERE EXISTS (SELECT 1 FROM {claims} c WHERE c.work_id = w.id AND c.field = 'tag' AND NOT c.negated)"),
     "join_anti": oracle("SELECT w.id, collection FROM {works} w WHERE NOT EXISTS (SELECT 1 FROM {claims} c WHERE c.work_id = w.id AND NOT c.negated)"),

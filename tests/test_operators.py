@@ -176,3 +176,13 @@ def test_deepest_collection(spark):
     paths = spark.createDataFrame([(1, "/a/b/c"), (2, "/a/bc"), (3, "/x"), (4, "/a")], "id long, path string")
     roots = spark.createDataFrame([("/a",), ("/a/b",), ("/q",)], "root string")
     assert {r.id: r.collection for r in maintenance.collection_of(paths, roots).collect()} == {1: "/a/b", 2: "/a", 3: None, 4: "/a"}
+
+
+def test_full_join_of_what_was_observed(spark):
+    """Every work, with its measures too, whatever its number."""
+    from tesserae import registry
+
+    base = "/root/testdata/sf0.001"
+    rows = registry.QUERIES["join_full"](spark, base).where("work_id % 3 = 1")
+    lines = spark.read.parquet(f"{base}/lineitem.parquet").where("l_orderkey % 3 = 1").groupBy("l_orderkey").count()
+    assert rows.select("work_id").distinct().count() == lines.count() == rows.where("page_files is not null").select("work_id").distinct().count()
