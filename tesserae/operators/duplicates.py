@@ -223,8 +223,7 @@ def leader_groups(edges: DataFrame, write, one_task: int = ONE_TASK) -> DataFram
     edges = write(edges.select("a", "b", "score"))
     of = components(edges, write)
     rows = write(edges.join(of.withColumnRenamed("node", "a"), "a"))
-    size = rows.groupBy("component").agg(F.count("*").alias("pairs"))
-    small = rows.join(size.where(F.col("pairs") <= one_task), "component")
+    small, large = parted(rows, one_task)
 
     def solve(batches):
         component, leads, members = None, set(), set()
@@ -244,10 +243,20 @@ def leader_groups(edges: DataFrame, write, one_task: int = ONE_TASK) -> DataFram
 
     order = [F.asc("component"), F.desc("score"), F.desc("a"), F.desc("b")]
     done = small.select("component", F.col("a").cast("long"), F.col("b").cast("long"), F.col("score").cast("double")).repartition("component").sortWithinPartitions(*order).mapInArrow(solve, "leader long, member long, score double")
-    large = rows.join(size.where(F.col("pairs") > one_task), "component").select("a", "b", "score")
+    large = large.select("a", "b", "score")
     return done if large.isEmpty() else done.unionByName(in_rounds(large, write))
 
 
+def parted(rows: DataFrame, one_task: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` of components of at most ``one_task`` rows, and of larger ones.
+
+    There are fewer larger ones than rows over ``one_task``, so their names go to every task: rows are not dealt by
+    component, which for a component of nearly all rows would be one task.
+    """
+    more = rows.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > one_task).select("component")
+    return rows.join(F.broadcast(more), "component", "left_anti"), rows.join(F.broadcast(more), "component", "left_semi")
+
+
 def in_rounds(edges: DataFrame, write) -> DataFrame:
     """The same for components of any size: a pair fires when it comes before every other remaining pair at its free ends; all pairs that may fire do so in one round, which gives what taking them one by one gives."""
     key = F.struct("score", "a", "b")

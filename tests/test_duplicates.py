@@ -124,3 +124,17 @@ def test_chain_ends(spark):
     got = {tuple(r) for r in graph.chain_ends(spark.createDataFrame(links, "source long, target long"), store).collect()}
     assert got == {(k, 70, 70 - k) for k in range(1, 70)} | {(200, 70, 41), (500, 501, 1)}
     assert graph.chain_ends(spark.createDataFrame([], "source long, target long"), store).count() == 0
+
+
+def test_a_component_of_all_pairs_is_not_dealt_to_one_task(spark):
+    """Large components are told from small ones without a shuffle of their pairs, also where nothing is known to be small."""
+    rows = spark.createDataFrame([(1, k, k + 1) for k in range(50)] + [(2, 100, 101)], "component long, a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small, large = u.parted(rows, 10)
+        assert [r.a for r in small.collect()] == [100] and large.count() == 50
+        for part in (small, large):
+            assert "SortMergeJoin" not in part._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
