@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import coverage_lower_bound
-from tesserae.operators.derive import is_packed, narrowed, packed, pages, passing, with_marks
+from tesserae.operators.derive import is_packed, marks_of, narrowed, packed, pages, passing, placed
 
 
 def active_profile(profiles: DataFrame) -> Column:
@@ -44,13 +44,14 @@ def profile_tags(samples: DataFrame, scores: DataFrame, profiles: DataFrame, mem
     least = cut.groupBy("model_version_id", "category").agg(F.min("cutoff").alias("cutoff"))
     packed_ = narrowed(scores if is_packed(scores) else packed(scores), least, thresholds)
     used = members.select("model_version_id").distinct()
-    rows = packed_.join(F.broadcast(used), "model_version_id", "left_semi").join(pages(samples), "sample_id").repartition("work_id")
+    rows = packed_.join(F.broadcast(used), "model_version_id", "left_semi")
+    rows = placed(rows, pages(samples))
 
     of = members.groupBy("profile_id", "model_version_id", "backend").agg(F.min("rank").alias("rank"))
     order = W.partitionBy("profile_id", "work_id", "backend").orderBy("rank", "model_version_id")
     rows = rows.join(F.broadcast(of), "model_version_id").withColumn("k", F.rank().over(order)).where("k = 1")
-    marks = held.groupBy("profile_id", "model_version_id").agg(F.collect_set("category").alias("held"))
-    rows = rows.join(F.broadcast(marks), ["profile_id", "model_version_id"]).select("profile_id", "work_id", "page", "model_version_id", F.inline(with_marks("held")))
+    marks = held.groupBy("profile_id", "model_version_id").agg(marks_of(F.collect_set("category")).alias("marks"))
+    rows = rows.join(F.broadcast(marks), ["profile_id", "model_version_id"]).select("profile_id", "work_id", "page", "model_version_id", F.inline(F.concat("s", "marks"))).withColumn("mark", F.col("score").isNull())
     rows = rows.join(F.broadcast(cut), key, "left").join(thresholds, ["model_version_id", "category", "tag"], "left")
     rows = rows.join(gone.withColumn("gone", F.lit(True)), [*key, "tag"], "left")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.operators import derive as d
 from tesserae.operators import upkeep as u
 from tesserae.operators import vocabulary as v
-from tesserae.plans.derivation import _q, _r, effective, measured, model_claims, ranked, run, tags
+from tesserae.plans.derivation import _once, _q, _r, effective, measured, model_claims, ranked, run, tags
 from tesserae.plans.fixtures import STEPS, Library, oracle
 from tesserae.sources.shared import store
 
@@ -76,7 +76,7 @@ QUERIES = {
     "sink_thresholds_sync": _q(_changes),
     "sink_curated_export": _q(lambda x: u.export_claims(x.claims, x.works)),
     "sink_curated_import": _q(_place),
-    "drv_work_search": _q(_rows),
+    "drv_work_search": _once(_rows),
     "drv_affected": _q(lambda x: u.works_naming(x.part.where("p_size = 7").select(F.col("p_brand").alias("name")).distinct(), tags(x), x.claims, x.terms)),
     "drv_affected_concepts": _q(lambda x: x.claims.select("work_id", "value").union(model_claims(x).select("work_id", "value")).where("value in ('Brand#11', 'Brand#12')").select("work_id").distinct()),
     "rep_profiles": _q(lambda x: u.profile_members(x.members, x.roles, x.thresholds, x.scores)),

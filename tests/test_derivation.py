@@ -131,3 +131,42 @@ def test_evidence_of_lines_without_names(spark, tmp_path):
         spark.read.parquet(f"{base}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     rows = Library(spark, str(tmp_path)).scores.where("category = 'general'").groupBy("sample_id", "model_version_id").count()
     assert rows.where("count > 1").count() == 0 < rows.count()
+
+
+@pytest.mark.parametrize("name, most", [("drv_measures", 11), ("drv_color_mode", 11), ("drv_work_tags", 24), ("sea_tags", 42), ("sea_text", 30), ("fn_suggest_rank", 83), ("drv_work_type", 43), ("drv_model_claims", 111), ("drv_work_search", 60), ("drv_works_effective", 62), ("rep_overview", 87), ("agg_group_counts", 44)])
+def test_shuffles_of_what_is_dealt_by_work(spark, monkeypatch, name, most):
+    """With nothing written between and every join shuffled, those of configuration too: lines are dealt by work once for each reader, and stay there."""
+    from tesserae import registry
+    from tesserae.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "store", lambda df: df)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") <= most
+
+
+@pytest.mark.parametrize("name", ["drv_work_tags", "drv_current_run", "drv_measures"])
+@pytest.mark.parametrize("number", ["l_linenumber * 4", "l_linenumber - 3", "nullif(l_linenumber, 2)"])
+def test_lines_whose_numbers_do_not_tell_their_work(spark, tmp_path, name, number):
+    """Two works then share a sample's number, as in SQL."""
+    import duckdb
+
+    from tesserae import registry
+
+    base, c = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("lineitem", "part", "supplier", "orders", "customer"):
+        rows = spark.read.parquet(f"{base}/{t}.parquet")
+        (rows.selectExpr("* except (l_linenumber)", f"cast({number} as int) as l_linenumber") if t == "lineitem" else rows).write.parquet(f"{tmp_path}/{t}.parquet")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    want = c.execute(registry.SQL[name])
+    names = [d[0] for d in want.description]
+    plain = lambda rows: sorted(tuple(repr(round(v, 5) + 0.0) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert plain(want.fetchall()) == plain(map(tuple, got.select(*names).collect()))
