@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,10 @@ TILE, MOST_BLOCKS = 256, 1 << 16
 PIVOTS, SAMPLED = 64, 4096
 #: Pairs of a component that one task takes one by one; a component of more is solved in rounds.
 ONE_TASK = 500_000
+#: Pairs that are listed of a vector at once, and rounds over them before what is left is taken by components.
+LISTED, ROUNDS = 32, 12
+#: Vectors that one task lists the pairs of, vectors of a block that is sent to it, and rows multiplied at once.
+MOST_ASKED, SENT, STRIP = 1 << 15, 2048, 1024
 
 
 def exact(items: DataFrame, library: DataFrame, key: str = "content_key") -> DataFrame:
@@ -54,14 +60,23 @@ def _units(vec: pa.Array) -> np.ndarray:
     return np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
 
 
+def _kind(vectors: DataFrame) -> str:
+    """How the numbers of ``vec`` are packed: in four bytes if they have four."""
+    return "<f4" if vectors.schema["vec"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
 
 
-def packed(vectors: DataFrame, pivots: Pivots, block: int, parts: int) -> DataFrame:
-    """(block, ids, mat, lo, hi): unit vectors in blocks of neighbours, dealt by the nearest pivot and the distance from it, with the least and greatest distance of each block's vectors from every pivot."""
+def packed(vectors: DataFrame, pivots: Pivots, block: int, parts: int, given: bool = False) -> DataFrame:
+    """(block, ids, mat, lo, hi): unit vectors in blocks of neighbours, dealt by the nearest pivot and the distance from it, with the least and greatest distance of each block's vectors from every pivot.
+
+    ``given`` leaves the vectors as they are, of :func:`_kind`, in blocks that may lie about several pivots.
+    """
     at = pivots.at
     element = vectors.schema["vec"].dataType.elementType.simpleString()
+    kind = _kind(vectors)
 
     def measure(batches):
         for batch in batches:
@@ -79,17 +94,18 @@ def packed(vectors: DataFrame, pivots: Pivots, block: int, parts: int) -> DataFr
             t = pa.Table.from_batches(held)
             x = _units(t.column("vec").combine_chunks())
             d = _distances(x, at)
-            columns = [[made], [t.column("id").to_numpy().astype("<i8").tobytes()], [x.astype("<f8").tobytes()], [d.min(0)], [d.max(0)]]
+            mat = np.asarray(t.column("vec").combine_chunks().flatten()).astype(kind) if given else x.astype("<f8")
+            columns = [[made], [t.column("id").to_numpy().astype("<i8").tobytes()], [mat.tobytes()], [d.min(0)], [d.max(0)]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["block", "ids", "mat", "lo", "hi"])
 
         for batch in batches:
             cells, k = batch.column("cell").to_numpy(), 0
             while k < batch.num_rows:
-                if size and (size == block or cells[k] != cell):  # a block lies about one pivot
+                if size and (size == block or not given and cells[k] != cell):  # a block lies about one pivot
                     yield out()
                     held, size, made = [], 0, made + 1
                 cell = cells[k]
-                part = batch.slice(k, min(block - size, int(np.searchsorted(cells, cell, "right")) - k))
+                part = batch.slice(k, min(block - size, len(cells) - k if given else int(np.searchsorted(cells, cell, "right")) - k))
                 held.append(part)
                 size, k = size + part.num_rows, k + part.num_rows
         if size:
@@ -247,6 +263,222 @@ def leader_groups(edges: DataFrame, write, one_task: int = ONE_TASK) -> DataFram
     return done if large.isEmpty() else done.unionByName(in_rounds(large, write))
 
 
+class Strongest:
+    """The ``k`` strongest pairs of each of some vectors with those of the blocks that it is shown, by score, then the other's id, both descending.
+
+    Of the pairs of one vector that is the order of (score, a, b). Products in single precision only tell which pairs
+    may enter a list; scores are computed in double precision, alike from both ends, and rounded as those of :func:`pairs` are.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, at: np.ndarray, least: float, k: int):
+        self.ids, self.x, self.least, self.k = ids, x, least, k
+        self.single = x.astype(np.float32)
+        self.slack = (x.shape[1] + 8) * 2e-7
+        self.score, self.other = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        self.reach = np.sqrt(2 - 2 * least) + 1e-6 if least > 0 else np.inf
+        d = _distances(x, at)
+        self.strips = [(r, min(r + STRIP, len(ids)), d[r : r + STRIP].min(0), d[r : r + STRIP].max(0)) for r in range(0, len(ids), STRIP)]
+
+    def meet(self, ids: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        single = np.ascontiguousarray(y.astype(np.float32).T)
+        for start, stop, low, high in self.strips:
+            if max((low - hi).max(initial=-np.inf), (lo - high).max(initial=-np.inf)) <= self.reach:
+                self._strip(start, stop, ids, y, single)
+
+    def _strip(self, start: int, stop: int, ids: np.ndarray, y: np.ndarray, single: np.ndarray) -> None:
+        s = self.single[start:stop] @ single
+        floor = np.maximum(self.score[start:stop, -1], self.least)
+        at = np.flatnonzero(s >= (floor - self.slack).astype(np.float32)[:, None])
+        i, j = np.divmod(at, len(ids))
+        many = np.flatnonzero(np.bincount(i, minlength=stop - start) > 4 * self.k)
+        if len(many):  # of a row's own candidates those that may be among its k best, itself aside
+            bound = np.full(stop - start, -np.inf)
+            n = min(self.k + 1, len(ids))
+            bound[many] = np.partition(s[many], -n, axis=1)[:, -n] - 2 * self.slack
+            stay = s.ravel()[at] >= bound[i]
+            i, j = i[stay], j[stay]
+        i = i + start
+        for c in range(0, len(i), 1 << 16):
+            self._enter(i[c : c + (1 << 16)], j[c : c + (1 << 16)], ids, y)
+
+    def _enter(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        other, score = ids[j], np.round((self.x[i] * y[j]).sum(1), 9)
+        last, by = self.score[i, -1], self.other[i, -1]
+        stay = (other != self.ids[i]) & (score >= self.least) & ((score > last) | ((score == last) & (other > by)))
+        i, other, score = i[stay], other[stay], score[stay]
+        if not len(i):
+            return
+        rows = np.unique(i)
+        i = np.concatenate([np.repeat(rows, self.k), i])
+        score, other = np.concatenate([self.score[rows].ravel(), score]), np.concatenate([self.other[rows].ravel(), other])
+        order = np.lexsort((-other, -score, i))
+        i, score, other = i[order], score[order], other[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        best = place < self.k
+        self.score[i[best], place[best]], self.other[i[best], place[best]] = score[best], other[best]
+
+    def rows(self):
+        for r in range(0, len(self.ids), STRIP):
+            held = self.score[r : r + STRIP] > -np.inf
+            offsets = pa.array(np.concatenate([[0], held.sum(1).cumsum()]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v[r : r + STRIP][held])) for v in (self.other, self.score)]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[r : r + STRIP]), *lists], names=["id", "others", "scores"])
+
+
+def listed(asked: DataFrame, vectors: DataFrame, least: float, k: int = LISTED, write=store) -> DataFrame:
+    """(id, others, scores): of each of ``asked`` (id, vec) its ``k`` strongest pairs with ``vectors`` of cosine of at least ``least``, strongest first, as :class:`Strongest` orders them; exact.
+
+    Up to :data:`MOST_ASKED` vectors are asked in one task, and every block of vectors that may hold a near one is sent to it
+    and met as it comes, so a task holds the lists and one block, and no pair leaves it that is in no list.
+    """
+    m, n = asked.count(), vectors.count()
+    schema = "id long, others array<bigint>, scores array<double>"
+    if not m or not n:
+        return asked.sparkSession.createDataFrame([], schema)
+    pivots, kind = Pivots(vectors), _kind(vectors)
+    most = max(STRIP, min(MOST_ASKED, -(-m // 16)))
+    groups = write(packed(asked, pivots, most, max(1, -(-5 * m // (4 * most))), True))  # a fifth of room, since ranges are not equal
+    bounds = groups.select("block", "lo", "hi").orderBy("block").toArrow()
+    names = {b: g for g, b in enumerate(bounds.column("block").to_pylist())}
+    low, high = (np.asarray(bounds.column(c).combine_chunks().flatten()).reshape(len(names), -1) for c in ("lo", "hi"))
+    at, reach = pivots.at, np.sqrt(2 - 2 * least) + 1e-6 if least > 0 else np.inf
+
+    def numbered(batches):
+        for batch in batches:
+            g = pa.array([[names[b]] for b in batch.column("block").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([g, pa.array([False] * batch.num_rows), *(batch.column(c) for c in ("ids", "mat", "lo", "hi"))], names=["g", "sent", "ids", "mat", "lo", "hi"])
+
+    def meeting(batches):
+        for batch in batches:
+            lo, hi = (np.asarray(batch.column(c).flatten()).reshape(batch.num_rows, -1) for c in ("lo", "hi"))
+            g = pa.array([np.flatnonzero(np.maximum(low - hi[r], lo[r] - high).max(1, initial=-np.inf) <= reach).astype(np.int32) for r in range(batch.num_rows)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([g, pa.array([True] * batch.num_rows), *(batch.column(c) for c in ("ids", "mat", "lo", "hi"))], names=["g", "sent", "ids", "mat", "lo", "hi"])
+
+    def run(batches):
+        here, now = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                g, sent, ids, mat, lo, hi = (batch.column(c)[r].as_py() for c in range(6))
+                if g != here and now is not None:
+                    yield from now.rows()
+                ids = np.frombuffer(ids, "<i8")
+                x = np.frombuffer(mat, kind).reshape(len(ids), -1).astype(np.float64)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0)
+                if sent:
+                    now.meet(ids, x, np.asarray(lo), np.asarray(hi))
+                else:
+                    here, now = g, Strongest(ids, x, at, least, k)
+        if now is not None:
+            yield from now.rows()
+
+    row = "g array<int>, sent boolean, ids binary, mat binary, lo array<double>, hi array<double>"
+    blocks = packed(vectors, pivots, SENT, max(1, min(-(-n // SENT), 1 << 12)), True)
+    both = groups.mapInArrow(numbered, row).unionByName(blocks.mapInArrow(meeting, row)).withColumn("g", F.explode("g"))
+    return both.repartitionById(len(names), F.col("g")).sortWithinPartitions("g", "sent").mapInArrow(run, schema)
+
+
+def near_groups(vectors: DataFrame, least: float, write=store, k: int = LISTED, rounds: int = ROUNDS, one_task: int = ONE_TASK) -> DataFrame:
+    """(leader, member, score): what :func:`leader_groups` gives of :func:`pairs`, without ever writing or shuffling all pairs.
+
+    Of each vector the ``k`` strongest pairs are listed. A free one whose list is full may have more pairs, all of them
+    weaker than its last one (``cut``); above that its strongest pair left is known, and a pair fires when it is the
+    strongest known one at its free ends. When nothing fires, the free ones that may still have pairs are listed
+    again, against each other and the leaders alone. So what is written grows with the vectors; what is multiplied,
+    all pairs once and few again, grows with their square.
+    """
+    key = F.struct("score", "a", "b")
+    done, asked, every = [], vectors, vectors
+    both = lambda: reduce(DataFrame.unionByName, done)
+    while True:
+        lists = write(listed(asked, every, least, k, write))
+        one = lambda o, s: (s.alias("score"), F.least("id", o).alias("a"), F.greatest("id", o).alias("b"))
+        last = F.struct(*one(F.element_at("others", -1), F.element_at("scores", -1)))
+        cuts = write(lists.where(F.size("others") == k).select(F.col("id").alias("w"), last.alias("cut")))
+        left = lists.select("id", F.explode(F.arrays_zip("others", "scores")).alias("e")).select(*one(F.col("e.others"), F.col("e.scores"))).distinct()
+        left = write(_standing(left.withColumns({"la": F.lit(False), "lb": F.lit(False)}), both() if done else None))
+        number = 0
+        while True:
+            number += 1
+            new = write(_by_components(left, cuts, write, one_task) if number == rounds else _fired(left, cuts, key))
+            empty = new.isEmpty()
+            if not empty or not done:
+                done.append(new)
+            if empty and number != rounds:
+                break
+            left = write(_standing(left, new))
+        gone = both()
+        leaders, members = gone.select(F.col("leader").alias("id")).distinct(), gone.select(F.col("member").alias("id"))
+        waiting = cuts.select(F.col("w").alias("id")).union(left.select("a")).union(left.select("b")).distinct()
+        free = write(lists.select("id").join(waiting, "id", "left_semi").join(leaders, "id", "left_anti").join(members, "id", "left_anti"))
+        if free.isEmpty():
+            return gone
+        every = write(vectors.join(free.union(leaders), "id", "left_semi"))
+        asked = every.join(free, "id", "left_semi")
+
+
+def _standing(left: DataFrame, new: DataFrame | None) -> DataFrame:
+    """The pairs (score, a, b, la, lb: who leads) that ``new`` groups leave: none of a member, and none of two leaders."""
+    if new is None:
+        return left
+    state = new.select(F.col("leader").alias("n"), F.lit(True).alias("s")).union(new.select("member", F.lit(False))).groupBy("n").agg(F.bool_and("s").alias("s"))
+    rows = left.join(state.toDF("a", "sa"), "a", "left").join(state.toDF("b", "sb"), "b", "left").where("coalesce(sa, true) and coalesce(sb, true)")
+    return rows.select("score", "a", "b", F.coalesce("sa", "la").alias("la"), F.coalesce("sb", "lb").alias("lb")).where("not (la and lb)")
+
+
+def _grouped(a, b, lb):
+    """(leader, member) of a pair that fires."""
+    return F.when(lb, b).otherwise(a).alias("leader"), F.when(lb, a).otherwise(b).alias("member")
+
+
+def _fired(left: DataFrame, cuts: DataFrame, key) -> DataFrame:
+    """(leader, member, score) of the pairs that come before every other one, known or not, at their free ends."""
+    ends = left.select(F.col("a").alias("w"), "la", key.alias("key")).union(left.select("b", "lb", key)).where("not la")
+    first = ends.groupBy("w").agg(F.max("key").alias("best")).join(cuts, "w", "left").where("cut is null or best >= cut").drop("cut")
+    rows = left.withColumn("key", key).join(first.toDF("a", "fa"), "a", "left").join(first.toDF("b", "fb"), "b", "left")
+    return rows.where("(la or key = fa) and (lb or key = fb)").select(*_grouped(F.col("a"), F.col("b"), F.col("lb")), "score")
+
+
+def _by_components(left: DataFrame, cuts: DataFrame, write, one_task: int) -> DataFrame:
+    """The same of all pairs of components of at most ``one_task`` pairs and cuts, which a task takes one by one.
+
+    Below its cut a free end is unsure, and so is a free end that a pair joins with an unsure one; pairs of the unsure wait.
+    """
+    of = components(left.select("a", "b"), write)
+    rows = left.select("score", "a", "b", "la", "lb", F.lit(None).cast("long").alias("w")).join(of.withColumnRenamed("node", "a"), "a")
+    ends = cuts.select("cut.score", "cut.a", "cut.b", F.lit(False).alias("la"), F.lit(False).alias("lb"), "w").join(of.withColumnRenamed("node", "w"), "w")
+    small, _ = parted(write(rows.unionByName(ends)), one_task)
+
+    def solve(batches):
+        component, leads, members, unsure = None, set(), set(), set()
+        for batch in batches:
+            out = []
+            for c, score, a, b, la, lb, w in zip(*(batch.column(k).to_pylist() for k in ("component", "score", "a", "b", "la", "lb", "w"))):
+                if c != component:
+                    component, leads, members, unsure = c, set(), set(), set()
+                if w is not None:
+                    if w not in leads and w not in members:
+                        unsure.add(w)
+                    continue
+                for n in (n for n, leading in ((a, la), (b, lb)) if leading):
+                    leads.add(n)
+                    unsure.discard(n)
+                if a in members or b in members or (a in leads and b in leads):
+                    continue
+                if a in unsure or b in unsure:
+                    unsure.update({a, b} - leads)
+                    continue
+                leader, member = (b, a) if b in leads else (a, b)
+                leads.add(leader)
+                members.add(member)
+                out.append((leader, member, score))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["leader", "member", "score"])
+
+    order = [F.asc("component"), F.desc("score"), F.desc("a"), F.desc("b"), F.asc_nulls_first("w")]
+    return small.select("component", "score", "a", "b", "la", "lb", "w").repartition("component").sortWithinPartitions(*order).mapInArrow(solve, "leader long, member long, score double")
+
+
 def parted(rows: DataFrame, one_task: int) -> tuple[DataFrame, DataFrame]:
     """``rows`` of components of at most ``one_task`` rows, and of larger ones.
 

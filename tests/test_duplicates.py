@@ -138,3 +138,42 @@ def test_a_component_of_all_pairs_is_not_dealt_to_one_task(spark):
             assert "SortMergeJoin" not in part._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def seen(n, d, near, seed=3):
+    """Vectors about one direction, so that most of their pairs are near, with copies and zeros."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) + near
+    x[n // 2 : n // 2 + 30] = x[0]
+    x[5] = x[6] = 0
+    return x
+
+
+@pytest.mark.parametrize("k, rounds, one_task, least, near", [(4, 12, 0, 0.25, 0.0), (3, 1, 10**6, 0.6, 1.0), (6, 2, 300, -0.2, 0.0), (32, 12, 10**6, 0.25, 0.0)])
+def test_groups_without_all_pairs(spark, monkeypatch, k, rounds, one_task, least, near):
+    """By lists of few pairs, taken in rounds or one by one, as of all pairs."""
+    for name, value in (("MOST_ASKED", 60), ("STRIP", 16), ("SENT", 25)):
+        monkeypatch.setattr(u, name, value)
+    x = seen(260, 6, near)
+    want = greedy([(int(a), int(b), float(s)) for (a, b), s in brute(x, least).items()])
+    got = sorted(tuple(r) for r in u.near_groups(vectors(spark, x), least, store, k, rounds, one_task).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=1e-8)
+
+
+def test_groups_write_no_table_of_all_pairs(spark, monkeypatch, tmp_path):
+    """Nearly all of 700 vectors' pairs are near; what the query writes is in proportion to the vectors."""
+    from tesserae.plans import curation
+
+    x = seen(700, 16, 2.0)
+    rows, least = [], 0.25
+    assert len(brute(x, least)) > 200_000
+    monkeypatch.setattr(curation, "store", lambda df: (lambda out: rows.append(out.count()) or out)(store(df)))
+    vectors(spark, x).selectExpr("id AS vec_id", "vec AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = curation.QUERIES["dup_near_groups"](spark, str(tmp_path)).count()
+    assert got == len(greedy([(a, b, s) for (a, b), s in brute(x, least).items()])) and max(rows) <= 700 * u.LISTED
+
+
+def test_groups_of_few_and_no_vectors(spark):
+    assert u.near_groups(vectors(spark, np.zeros((0, 4))), 0.9).collect() == []
+    assert u.near_groups(vectors(spark, np.ones((1, 4))), 0.9).collect() == []
+    assert sorted(tuple(r) for r in u.near_groups(vectors(spark, np.ones((3, 4)), [9, 3, 5]), 0.9).collect()) == [(5, 3, 1.0), (5, 9, 1.0)]
