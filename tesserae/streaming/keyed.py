@@ -25,9 +25,9 @@ def delete(spark: SparkSession, path: str) -> None:
 class KeyedTable:
     """Rows of ``schema`` (DDL) by ``keys`` below ``path``; the number of buckets is fixed when the table is made.
 
-    A merge reads the buckets of the keys that it touches, and no others, and writes each anew as one file, so the table
-    is as large as its rows and not as its history. The new buckets are written beside the table first and then put in
-    the place of the old ones by dynamic partition overwrite. A batch that failed while they were being put there finds
+    A merge reads the buckets of the keys that it touches, and no others, and writes each anew, so the table is as large
+    as its rows and not as its history. The new buckets are dealt and written beside the table first, each in one file,
+    and then put in the place of the old ones, file by file as they lie, by dynamic partition overwrite. A batch that failed while they were being put there finds
     them complete and puts them there again; so a batch has effect once, however often it runs. Readers between two
     merges see whole batches; one that reads during a merge may see some buckets before and some after it.
     """
@@ -67,7 +67,6 @@ class KeyedTable:
             empty = self.spark.createDataFrame([(False, b) for b in at], "_row boolean, _bucket int")  # a bucket that loses its last row is replaced too
             every = kept.select(*old.columns).unionByName(new.select(*old.columns)).unionByName(empty, allowMissingColumns=True)
             every.repartition(max(1, len(at)), "_bucket").write.mode("overwrite").parquet(staged)
-        whole = self._rows(staged).repartition("_bucket")
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/rows")
+        self._rows(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/rows")
         if exists(self.spark, f"{self.path}/staged-{number - 1}"):
             delete(self.spark, f"{self.path}/staged-{number - 1}")

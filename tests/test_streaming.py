@@ -147,3 +147,33 @@ def test_scores_out_of_range_are_refused(spark):
     e = spark.createDataFrame([(1, ["a"], [0.9]), (2, ["a"], [1.5]), (3, ["a", "b"], [0.1]), (4, [], [])], "sample_id long, tags array<string>, scores array<double>")
     good, bad = files.valid_scores(e)
     assert [r.sample_id for r in good.collect()] == [1] and bad.count() == 3
+
+
+def test_merge_deals_its_rows_once(spark, tmp_path):
+    """New buckets are put in place as they lie beside the table: each in one file, without another shuffle."""
+    t = table(spark, tmp_path, "k long, v long", ["k"])
+
+    class Listening(KeyedTable):
+        def _rows(self, path):
+            rows = super()._rows(path)
+            if "staged" in path:
+                rows.repartition = None
+            return rows
+
+    t.__class__ = Listening
+    for n in range(3):
+        t.merge(n, spark.range(300).selectExpr("id AS k", f"id + {n} AS v"), spark.range(300).withColumnRenamed("id", "k"))
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "table" / "rows").glob("_bucket=*"))
+
+
+def test_evidence_is_dealt_once_for_all_batches(spark, monkeypatch):
+    """Two batches read what was dealt by work before them, and neither builds the evidence again."""
+    from tesserae import registry
+    from tesserae.plans import fixtures
+
+    built = []
+    make = fixtures.Library._evidence
+    monkeypatch.setattr(fixtures.Library, "_evidence", lambda self, *a, **k: built.append(1) or make(self, *a, **k))
+    want = registry.QUERIES["drv_work_tags"](spark, "/root/testdata/sf0.001").count()
+    built.clear()
+    assert registry.QUERIES["stm_incremental_derive"](spark, "/root/testdata/sf0.001").count() == want and len(built) == 1
